@@ -174,3 +174,200 @@ SELECT * FROM daily""", EV, more=_ROLLUP_SQL))
 def q8_daily_summary(spark, sf_dir):
     """Q8 daily rollup: per (app, day, event) count and four exact distinct counts."""
     return R.daily_summary(Fixture(spark, sf_dir).analytics_events)
+
+
+# --- Q9 - Q19: tenants, keys, users ----------------------------------------
+
+from ..operators import tenants as T  # noqa: E402
+
+_AS_OF_TS = f"TIMESTAMP '{AS_OF}'"
+_APPS_JOIN = """FROM apps a LEFT JOIN api_keys ak ON a.id = ak.app_id
+LEFT JOIN analytics_events ae ON a.id = ae.app_id"""
+
+
+@register("q9_app_with_stats", oracle_with(f"""
+SELECT a.*, count(DISTINCT ak.id) FILTER (WHERE ak.is_active = true) AS active_api_keys,
+       count(DISTINCT ae.id) FILTER (WHERE ae."timestamp" > {_AS_OF_TS} - INTERVAL 30 DAY) AS events_last_30_days
+{_APPS_JOIN}
+GROUP BY ALL""", "apps", "api_keys", EV))
+def q9_app_with_stats(spark, sf_dir):
+    """Q9 for every app: distinct active keys and distinct events of the last 30 days."""
+    fx = Fixture(spark, sf_dir)
+    return T.app_with_stats(fx.apps, fx.api_keys, fx.analytics_events, AS_OF)
+
+
+_Q10_SQL = f"""
+SELECT a.*, count({{keys}}ak.id) FILTER (WHERE ak.is_active = true) AS active_api_keys,
+       count(DISTINCT ae.id) FILTER (WHERE ae."timestamp" > {_AS_OF_TS} - INTERVAL 7 DAY) AS events_last_7_days,
+       max(ae."timestamp") AS last_event_at
+{_APPS_JOIN}
+GROUP BY ALL"""
+
+
+@register("q10_owner_apps", oracle_with(_Q10_SQL.format(keys=""), "apps", "api_keys", EV))
+def q10_owner_apps(spark, sf_dir):
+    """Q10 for every owner, faithful fan-out key count (active keys x max(event rows, 1))."""
+    fx = Fixture(spark, sf_dir)
+    return T.owner_apps(fx.apps, fx.api_keys, fx.analytics_events, AS_OF)
+
+
+@register("q10_owner_apps_exact", oracle_with(_Q10_SQL.format(keys="DISTINCT "), "apps", "api_keys", EV))
+def q10_owner_apps_exact(spark, sf_dir):
+    """Q10 for every owner with the exact distinct active-key count."""
+    fx = Fixture(spark, sf_dir)
+    return T.owner_apps(fx.apps, fx.api_keys, fx.analytics_events, AS_OF, exact_keys=True)
+
+
+_Q11_AGGS = f"""count(DISTINCT a.id) AS total_apps,
+       count(DISTINCT ak.id) FILTER (WHERE ak.is_active = true) AS total_active_keys,
+       count(DISTINCT ae.id) FILTER (WHERE ae."timestamp" > {_AS_OF_TS} - INTERVAL 7 DAY) AS events_last_7_days,
+       count(DISTINCT ae.id) FILTER (WHERE ae."timestamp" > {_AS_OF_TS} - INTERVAL 30 DAY) AS events_last_30_days
+FROM users u LEFT JOIN apps a ON u.id = a.user_id LEFT JOIN api_keys ak ON a.id = ak.app_id
+LEFT JOIN analytics_events ae ON a.id = ae.app_id"""
+
+
+@register("q11_dashboard_stats", oracle_with(f"""
+SELECT u.id AS user_id, {_Q11_AGGS}
+GROUP BY u.id""", "users", "apps", "api_keys", EV))
+def q11_dashboard_stats(spark, sf_dir):
+    """Q11 for every user: apps, distinct active keys, distinct events in 7 and 30 days."""
+    fx = Fixture(spark, sf_dir)
+    return T.dashboard_stats(fx.users, fx.apps, fx.api_keys, fx.analytics_events, AS_OF)
+
+
+@register("q11_dashboard_stats_one_user", oracle_with(f"""
+SELECT {_Q11_AGGS}
+WHERE u.id = 3""", "users", "apps", "api_keys", EV))
+def q11_dashboard_stats_one_user(spark, sf_dir):
+    """Q11 for one user: always exactly one row."""
+    fx = Fixture(spark, sf_dir)
+    return T.dashboard_stats(fx.users, fx.apps, fx.api_keys, fx.analytics_events, AS_OF, user_id=3)
+
+
+@register("q11_dashboard_stats_unknown_user", oracle_with(f"""
+SELECT {_Q11_AGGS}
+WHERE u.id = 100000""", "users", "apps", "api_keys", EV))
+def q11_dashboard_stats_unknown_user(spark, sf_dir):
+    """Q11 for an id with no user row: one row of zeros."""
+    fx = Fixture(spark, sf_dir)
+    return T.dashboard_stats(fx.users, fx.apps, fx.api_keys, fx.analytics_events, AS_OF, user_id=100000)
+
+
+@register("q11b_dashboard", oracle_with("""
+SELECT s.*, q10.id AS app_id, q10.app_name, q10.app_url, q10.description, q10.created_at,
+       q10.active_api_keys, q10.events_last_7_days AS app_events_last_7_days, q10.last_event_at
+FROM s LEFT JOIN q10 ON q10.user_id = s.user_id""", "users", "apps", "api_keys", EV,
+    more=f"s AS (SELECT u.id AS user_id, {_Q11_AGGS} GROUP BY u.id),\nq10 AS ({_Q10_SQL.format(keys='')})"))
+def q11b_dashboard(spark, sf_dir):
+    """Q11b for every user, flat: dashboard numbers joined to each of the user's Q10 rows."""
+    fx = Fixture(spark, sf_dir)
+    return T.dashboard(fx.users, fx.apps, fx.api_keys, fx.analytics_events, AS_OF)
+
+
+@register("q12_apps_with_keys", oracle_with("""
+SELECT q10.*, ak.id AS key_id, ak.key_prefix AS key_key_prefix, ak.name AS key_name,
+       ak.is_active AS key_is_active, ak.expires_at AS key_expires_at,
+       CAST(NULL AS TIMESTAMP) AS key_last_used_at, ak.created_at AS key_created_at,
+       ak.can_write AS key_can_write, ak.rate_limit_per_hour AS key_rate_limit_per_hour
+FROM q10 LEFT JOIN api_keys ak ON ak.app_id = q10.id""", "apps", "api_keys", EV,
+    more=f"q10 AS ({_Q10_SQL.format(keys='')})"))
+def q12_apps_with_keys(spark, sf_dir):
+    """Q12 for every owner, flat: each Q10 row with each of its keys (no hash, no IP list)."""
+    fx = Fixture(spark, sf_dir)
+    out = T.apps_with_keys(fx.apps, fx.api_keys, fx.analytics_events, AS_OF, nested=False)
+    return out.withColumn("key_can_write", F.col("key_permissions.write")).drop("key_permissions")
+
+
+@register("q13_apps_of_owner", oracle_with("SELECT * FROM apps WHERE user_id = 3", "apps"))
+def q13_apps_of_owner(spark, sf_dir):
+    """Q13: the apps of owner 3, newest first."""
+    return T.apps_of_owner(Fixture(spark, sf_dir).apps, 3)
+
+
+def _event_pairs(fx):
+    ev = fx.analytics_events
+    return (ev.filter(F.col("user_id").isNotNull())
+              .select("app_id", F.col("user_id").cast("long").alias("user_id")).distinct())
+
+
+@register("q14_is_owner", oracle_with("""
+SELECT p.app_id, p.user_id,
+       EXISTS (SELECT 1 FROM apps a WHERE a.id = p.app_id AND a.user_id = p.user_id) AS is_owner
+FROM pairs p""", "apps", EV,
+    more="pairs AS (SELECT DISTINCT app_id, CAST(user_id AS BIGINT) AS user_id FROM analytics_events "
+         "WHERE user_id IS NOT NULL)"))
+def q14_is_owner(spark, sf_dir):
+    """Q14: ownership test for every (app, user) pair seen in the events."""
+    fx = Fixture(spark, sf_dir)
+    return T.is_owner(fx.apps, _event_pairs(fx))
+
+
+_KEY_FLAT = ("id", "app_id", "key_hash", "key_prefix", "name", "is_active", "rate_limit_per_hour",
+             "expires_at", "created_at")
+
+
+@register("q15_key_lookup", oracle_with(f"""
+SELECT {', '.join('ak.' + c for c in _KEY_FLAT)}, ak.can_write, ak.allowed_ip, a.user_id, a.app_name
+FROM api_keys ak JOIN apps a ON ak.app_id = a.id
+WHERE ak.key_hash IN (SELECT sha256(api_key) FROM raw_requests WHERE api_key IS NOT NULL)""",
+    "api_keys", "apps", "raw_requests"))
+def q15_key_lookup(spark, sf_dir):
+    """Q15: key rows with owner and app name for every key hash presented in the requests."""
+    fx = Fixture(spark, sf_dir)
+    hashes = (fx.raw_requests.filter(F.col("api_key").isNotNull())
+              .select(F.sha2("api_key", 256).alias("key_hash")))
+    out = T.key_lookup(fx.api_keys, fx.apps, hashes)
+    return out.select(*_KEY_FLAT, F.col("permissions.write").alias("can_write"),
+                      F.array_join("allowed_ips", ",").alias("allowed_ip"), "user_id", "app_name")
+
+
+@register("q16_keys_of_app", oracle_with("""
+SELECT id, app_id, key_prefix, name, is_active, expires_at, CAST(NULL AS TIMESTAMP) AS last_used_at,
+       created_at, CAST(NULL AS TIMESTAMP) AS revoked_at, can_write, allowed_ip, rate_limit_per_hour
+FROM api_keys""", "api_keys"))
+def q16_keys_of_app(spark, sf_dir):
+    """Q16 for every app: the listed key columns without the hash, newest first."""
+    out = T.keys_of_app(Fixture(spark, sf_dir).api_keys)
+    return (out.withColumn("can_write", F.col("permissions.write"))
+               .withColumn("allowed_ip", F.array_join("allowed_ips", ","))
+               .drop("permissions", "allowed_ips"))
+
+
+@register("q17_bulk_lookup", oracle_with("""
+SELECT * FROM users WHERE google_id IN (SELECT concat('g-', CAST(user_id AS VARCHAR)) FROM apps)""",
+    "users", "apps"))
+def q17_bulk_lookup(spark, sf_dir):
+    """Q17: user rows looked up by google_id for every app owner (one semi join)."""
+    fx = Fixture(spark, sf_dir)
+    wanted = fx.apps.select(F.concat(F.lit("g-"), F.col("user_id").cast("string")).alias("google_id"))
+    return T.bulk_lookup(fx.users, "google_id", wanted)
+
+
+_CALLERS = "ids AS (SELECT DISTINCT user_id FROM security_events)"
+
+
+def _callers(fx):
+    return fx.security_events.select("user_id").distinct()
+
+
+@register("q18_user_status", oracle_with("""
+SELECT i.user_id, coalesce(u.is_active, false) AS is_active, coalesce(u.role, 'user') AS role,
+       NOT coalesce(u.is_active, false) AS blocked
+FROM ids i LEFT JOIN users u ON u.id = i.user_id""", "users", "security_events", more=_CALLERS))
+def q18_user_status(spark, sf_dir):
+    """Q18: active flag, role and blocked flag for every user id seen in the security log."""
+    fx = Fixture(spark, sf_dir)
+    return T.user_status(fx.users, _callers(fx))
+
+
+@register("q19_user_security_level", oracle_with("""
+SELECT user_id, security_level, security_level >= 3 AS allowed FROM (
+  SELECT i.user_id,
+         CASE WHEN u.id IS NULL THEN 2
+              ELSE CASE coalesce(u.role, 'user') WHEN 'user' THEN 2 WHEN 'admin' THEN 3
+                   WHEN 'super_admin' THEN 4 ELSE 2 END END AS security_level
+  FROM ids i LEFT JOIN users u ON u.id = i.user_id) t""", "users", "security_events", more=_CALLERS))
+def q19_user_security_level(spark, sf_dir):
+    """Q19: security level (guest falls back to USER, as the reference does) vs. ADMIN."""
+    fx = Fixture(spark, sf_dir)
+    return T.security_levels(_callers(fx), fx.users, required=3)
