@@ -371,3 +371,80 @@ def q19_user_security_level(spark, sf_dir):
     """Q19: security level (guest falls back to USER, as the reference does) vs. ADMIN."""
     fx = Fixture(spark, sf_dir)
     return T.security_levels(_callers(fx), fx.users, required=3)
+
+
+# --- Q20 - Q23: security log ---------------------------------------------------
+
+from ..operators import reqlog as RL  # noqa: E402
+from ..operators import security as S  # noqa: E402
+
+
+@register("q20_security_recent", oracle_with(f"""
+SELECT * FROM security_events WHERE created_at > {_AS_OF_TS} - INTERVAL 24 HOUR""", "security_events"))
+def q20_security_recent(spark, sf_dir):
+    """Q20: security events of the last 24 hours, newest first."""
+    return S.security_recent(Fixture(spark, sf_dir).security_events, AS_OF, 24)
+
+
+@register("q21_security_open_high", oracle_with("""
+SELECT * FROM security_events WHERE severity IN ('high', 'critical') AND resolved = false""", "security_events"))
+def q21_security_open_high(spark, sf_dir):
+    """Q21: unresolved high/critical security events."""
+    return S.security_open_high(Fixture(spark, sf_dir).security_events)
+
+
+@register("q22_failed_key_ips", oracle_with(f"""
+SELECT ip_address, count(*) AS attempts FROM security_events
+WHERE event_type = 'api_key_invalid' AND created_at > {_AS_OF_TS} - INTERVAL 24 HOUR
+GROUP BY ip_address HAVING count(*) > 1""", "security_events"))
+def q22_failed_key_ips(spark, sf_dir):
+    """Q22: IPs with more than one invalid-key attempt in the last 24 hours (thresholds scaled to the data)."""
+    return S.failed_key_ips(Fixture(spark, sf_dir).security_events, AS_OF, "24 HOURS", 1)
+
+
+@register("q23_security_critical", oracle_with("""
+SELECT * FROM security_events WHERE severity = 'critical'""", "security_events"))
+def q23_security_critical(spark, sf_dir):
+    """Q23: critical security events."""
+    return S.security_critical(Fixture(spark, sf_dir).security_events)
+
+
+# --- Q24 - Q26, Q29: request log ----------------------------------------------
+
+@register("q24_request_metrics", oracle_with("""
+SELECT count(*) AS total_requests, count(*) FILTER (WHERE status < 400) AS successful_requests,
+       count(*) FILTER (WHERE status >= 400) AS failed_requests,
+       CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE status < 400) / count(*) * 100, 2) ELSE 100.0 END
+         AS success_rate,
+       CASE WHEN count(*) > 0 THEN round(sum(duration_ms) / count(*), 2) ELSE 0.0 END AS avg_response_ms,
+       count(*) FILTER (WHERE duration_ms > 1000) AS slow_requests
+FROM request_log""", "request_log"))
+def q24_request_metrics(spark, sf_dir):
+    """Q24: request totals, success rate, mean time and slow count over the whole log."""
+    return RL.request_metrics(Fixture(spark, sf_dir).request_log)
+
+
+@register("q25_top_endpoints", oracle_with("""
+SELECT endpoint, count(*) AS count, round(sum(duration_ms) / count(*), 2) AS avg_time_ms,
+       count(*) FILTER (WHERE status >= 400) AS errors,
+       round(count(*) FILTER (WHERE status >= 400) / count(*) * 100, 2) AS error_rate
+FROM request_log GROUP BY endpoint ORDER BY count DESC, endpoint LIMIT 10""", "request_log"))
+def q25_top_endpoints(spark, sf_dir):
+    """Q25: ten busiest endpoints."""
+    return RL.top_endpoints(Fixture(spark, sf_dir).request_log, 10)
+
+
+@register("q26_slowest_endpoints", oracle_with("""
+SELECT endpoint, round(sum(duration_ms) / count(*), 2) AS avg_time_ms, count(*) AS count
+FROM request_log GROUP BY endpoint ORDER BY sum(duration_ms) / count(*) DESC, endpoint LIMIT 10""",
+    "request_log"))
+def q26_slowest_endpoints(spark, sf_dir):
+    """Q26: ten slowest endpoints by mean time."""
+    return RL.slowest_endpoints(Fixture(spark, sf_dir).request_log, 10)
+
+
+@register("q29_slow_requests", oracle_with("""
+SELECT * FROM request_log WHERE duration_ms > 1000""", "request_log"))
+def q29_slow_requests(spark, sf_dir):
+    """Q29: log entries slower than one second."""
+    return RL.slow_queries(Fixture(spark, sf_dir).request_log, 1000)
