@@ -448,3 +448,129 @@ SELECT * FROM request_log WHERE duration_ms > 1000""", "request_log"))
 def q29_slow_requests(spark, sf_dir):
     """Q29: log entries slower than one second."""
     return RL.slow_queries(Fixture(spark, sf_dir).request_log, 1000)
+
+
+# --- I1 - I15: admission ---------------------------------------------------------
+
+from ..operators import ingest as I  # noqa: E402
+from ..operators import limits as L  # noqa: E402
+
+# The fixture's keys allow 3 requests per counter window and see ~7 requests per
+# key and day, so the hourly counter is replayed with a one-day lifetime to make
+# it bite (thresholds scaled to the data).
+ADM_KEY_TTL = 86400
+
+
+def _admission(spark, sf_dir):
+    fx = Fixture(spark, sf_dir)
+    return I.admission(fx.raw_requests, fx.api_keys, fx.apps, as_of=AS_OF, key_hour_ttl=ADM_KEY_TTL)
+
+
+@register("i_admission_outcome")
+def i_admission_outcome(spark, sf_dir):
+    """Every raw request with its first failing step (NULL = accepted) and validation errors."""
+    adm = _admission(spark, sf_dir)
+    return adm.select("received_at", "api_key", "client_ip", "event", "reject_reason",
+                      F.array_join("validation_errors", ",").alias("validation_errors"))
+
+
+@register("i_admission_reason_counts")
+def i_admission_reason_counts(spark, sf_dir):
+    """Outcome counts per reject reason ('accepted' for admitted requests)."""
+    adm = _admission(spark, sf_dir)
+    return (adm.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"))
+               .agg(F.count(F.lit(1)).alias("requests")))
+
+
+@register("i14_accepted_events")
+def i14_accepted_events(spark, sf_dir):
+    """Accepted requests enriched into the event-table layout (ids left out: they are UUIDs)."""
+    return I.accepted_events(_admission(spark, sf_dir), with_ids=False)
+
+
+@register("i15_security_events")
+def i15_security_events(spark, sf_dir):
+    """Security events emitted by the key checks."""
+    return I.security_events(_admission(spark, sf_dir))
+
+
+@register("i_key_check", oracle_with("""
+SELECT r.received_at, r.api_key, r.client_ip,
+       CASE WHEN r.api_key IS NULL OR r.api_key = '' THEN 'api_key_missing'
+            WHEN k.id IS NULL OR NOT coalesce(k.is_active, false)
+                 OR (k.expires_at IS NOT NULL AND k.expires_at < r.received_at) THEN 'api_key_invalid'
+            WHEN k.allowed_ip IS NOT NULL AND k.allowed_ip <> r.client_ip AND k.allowed_ip <> '*'
+                 THEN 'api_key_ip_blocked'
+            WHEN NOT k.can_write THEN 'no_permission' END AS key_outcome
+FROM raw_requests r
+LEFT JOIN (SELECT ak.* FROM api_keys ak JOIN apps a ON ak.app_id = a.id) k ON k.key_hash = sha256(r.api_key)""",
+    "raw_requests", "api_keys", "apps"))
+def i_key_check(spark, sf_dir):
+    """The key checks alone (missing, unknown/inactive/expired, IP allow-list, write permission)."""
+    from ..functions import keys as K
+    fx = Fixture(spark, sf_dir)
+    raw = fx.raw_requests
+    kd = (fx.api_keys.join(fx.apps.select(F.col("id").alias("_a")), F.col("app_id") == F.col("_a"), "inner")
+          .select("key_hash", F.col("id").alias("key_id"), "is_active", "expires_at", "allowed_ips", "permissions"))
+    j = raw.join(kd, K.key_hash(raw["api_key"]) == kd["key_hash"], "left")
+    outcome = (F.when(raw["api_key"].isNull() | (raw["api_key"] == ""), F.lit("api_key_missing"))
+                .when(F.col("key_id").isNull()
+                      | ~K.key_usable(F.col("is_active"), F.col("expires_at"), F.col("received_at")),
+                      F.lit("api_key_invalid"))
+                .when(~K.ip_allowed(F.col("allowed_ips"), F.col("client_ip")), F.lit("api_key_ip_blocked"))
+                .when(~K.has_permission(F.col("permissions"), "write"), F.lit("no_permission")))
+    return j.select("received_at", "api_key", "client_ip", outcome.alias("key_outcome"))
+
+
+# --- L1 - L6: rate-limit replay ----------------------------------------------------
+
+@register("l1_key_counter")
+def l1_key_counter(spark, sf_dir):
+    """Anchored per-key counter replayed over all requests carrying a key
+    (limit 3, one-day lifetime: scaled to the fixture), with remaining/reset columns."""
+    raw = Fixture(spark, sf_dir).raw_requests.filter(F.col("api_key").isNotNull())
+    raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
+    out = L.anchored_counter(raw, ["api_key"], "received_at", ADM_KEY_TTL, 3, tiebreak=["_rid"])
+    out = L.limit_headers(out, "received_at", 3, ADM_KEY_TTL)
+    return out.select("api_key", "received_at", "window_start", "window_count", "limit_exceeded",
+                      "remaining", "reset_at")
+
+
+@register("l2_collect_counter")
+def l2_collect_counter(spark, sf_dir):
+    """L2: per key header (else IP) counter, 2 per hour (scaled to the fixture)."""
+    raw = Fixture(spark, sf_dir).raw_requests
+    raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
+    out = L.collect_limit(raw, limit=2, ttl_seconds=3600, tiebreak=["_rid"])
+    return out.select("api_key", "client_ip", "received_at", "window_start", "window_count", "limit_exceeded")
+
+
+@register("l4_auth_counter_aligned")
+def l4_auth_counter_aligned(spark, sf_dir):
+    """L4 option: clock-aligned 15-minute windows per client IP, limit 10."""
+    raw = Fixture(spark, sf_dir).raw_requests
+    raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
+    out = L.aligned_counter(raw, ["client_ip"], "received_at", L.AUTH_TTL, L.AUTH_LIMIT, tiebreak=["_rid"])
+    return out.select("client_ip", "received_at", "window_start", "window_count", "limit_exceeded")
+
+
+@register("l4_auth_counter_aligned_sql", oracle_with("""
+SELECT client_ip, received_at,
+       to_timestamp(floor(epoch_us(received_at) / 900000000) * 900) :: TIMESTAMP AS window_start,
+       row_number() OVER (PARTITION BY client_ip, floor(epoch_us(received_at) / 900000000)
+                          ORDER BY received_at, rid) AS window_count
+FROM (SELECT *, hash(received_at) AS rid FROM raw_requests) r""", "raw_requests"))
+def l4_auth_counter_aligned_sql(spark, sf_dir):
+    """L4 aligned windows, positions only (ties in arrival time do not occur in the fixture)."""
+    raw = Fixture(spark, sf_dir).raw_requests
+    out = L.aligned_counter(raw, ["client_ip"], "received_at", L.AUTH_TTL, L.AUTH_LIMIT)
+    return out.select("client_ip", "received_at", "window_start", "window_count")
+
+
+@register("l5_sliding_log")
+def l5_sliding_log(spark, sf_dir):
+    """Per-user sliding log admitting 3 per hour (scaled to the fixture); rejected requests not logged."""
+    raw = Fixture(spark, sf_dir).raw_requests
+    raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
+    out = L.sliding_log_limit(raw, ["userId"], "received_at", 3600, 3, tiebreak=["_rid"])
+    return out.select("userId", "received_at", "admitted")
