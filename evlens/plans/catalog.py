@@ -574,3 +574,138 @@ def l5_sliding_log(spark, sf_dir):
     raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
     out = L.sliding_log_limit(raw, ["userId"], "received_at", 3600, 3, tiebreak=["_rid"])
     return out.select("userId", "received_at", "admitted")
+
+
+# --- M1 - M15, Q27: table upkeep ---------------------------------------------------
+
+import uuid  # noqa: E402
+
+from ..operators import upkeep as M  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import tables as TB  # noqa: E402
+
+_SCRATCH: dict = {}
+
+
+def _stored_tables(spark, sf_dir):
+    """Write the fixture events as the partitioned event table in two batches, refreshing
+    the rollup incrementally after each (once per session and folder, in the shared
+    checkpoint folder)."""
+    key = (id(spark), sf_dir)
+    if key in _SCRATCH:
+        return _SCRATCH[key]
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-tables/{uuid.uuid4().hex}"
+    ev_path, roll_path = f"{base}/events", f"{base}/daily_summary"
+    ev = Fixture(spark, sf_dir).analytics_events.withColumn("event_date", F.to_date("timestamp"))
+    cut = F.col("timestamp") < F.lit("2024-01-20").cast("timestamp_ntz")
+    first, second = ev.filter(cut), ev.filter(~cut)
+    TB.append_events(first, ev_path)
+    TB.write_rollup(M.refresh_rollup(spark.read.parquet(ev_path)), roll_path)
+    TB.append_events(second, ev_path)
+    TB.write_rollup(M.refresh_rollup(spark.read.parquet(ev_path), M.touched_dates(second)), roll_path)
+    _SCRATCH[key] = (ev_path, roll_path)
+    return _SCRATCH[key]
+
+
+@register("m13_rollup_incremental", oracle_with("SELECT * FROM daily", EV, more=_ROLLUP_SQL))
+def m13_rollup_incremental(spark, sf_dir):
+    """Rollup built from a first batch, then refreshed only for the dates a second
+    batch touched (dynamic partition overwrite); must equal the full recompute."""
+    _, roll_path = _stored_tables(spark, sf_dir)
+    return spark.read.parquet(roll_path).select(*R.ROLLUP_COLUMNS)
+
+
+@register("q27_partition_rows", oracle_with("""
+SELECT CAST("timestamp" AS DATE) AS event_date, count(*) AS rows FROM analytics_events GROUP BY 1""", EV))
+def q27_partition_rows(spark, sf_dir):
+    """Q27 on the stored event table: rows per event_date partition (sizes and file counts
+    depend on the writer, so only rows are compared)."""
+    ev_path, _ = _stored_tables(spark, sf_dir)
+    return M.partition_stats(spark, ev_path).select("event_date", "rows")
+
+
+@register("s1_pruned_scan", oracle_with(f"""
+SELECT event_name, count(*) AS count FROM analytics_events
+WHERE "timestamp" >= TIMESTAMP '{F_START}' AND "timestamp" <= TIMESTAMP '{F_END}' GROUP BY event_name""", EV))
+def s1_pruned_scan(spark, sf_dir):
+    """Read the stored event table with a time range (partition filters on event_date)."""
+    ev_path, _ = _stored_tables(spark, sf_dir)
+    ev = TB.read_events(spark, ev_path, F_START, F_END)
+    return ev.groupBy("event_name").agg(F.count(F.lit(1)).alias("count"))
+
+
+_M1_CHANGES = """
+changes AS (
+  SELECT concat('g-', CAST(s_nationkey AS VARCHAR)) AS google_id, lower(s_name) || '@apps.example.com' AS email,
+         s_name AS name, CAST(NULL AS VARCHAR) AS profile_picture, s_suppkey AS seq, CAST(NULL AS BIGINT) AS id
+  FROM supplier
+  UNION ALL
+  SELECT concat('g-s', CAST(s_suppkey AS VARCHAR)), concat('s', CAST(s_suppkey AS VARCHAR), '@apps.example.com'),
+         s_name, 'https://img.example.com/' || CAST(s_suppkey AS VARCHAR), s_suppkey, 1000000 + s_suppkey
+  FROM supplier),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY google_id ORDER BY seq DESC) AS rn
+                          FROM changes) t WHERE rn = 1)"""
+
+
+def _m1_changes(spark, sf_dir):
+    sup = Fixture(spark, sf_dir).raw("supplier")
+    upd = sup.select(F.concat(F.lit("g-"), F.col("s_nationkey").cast("string")).alias("google_id"),
+                     F.concat(F.lower("s_name"), F.lit("@apps.example.com")).alias("email"),
+                     F.col("s_name").alias("name"), F.lit(None).cast("string").alias("profile_picture"),
+                     F.col("s_suppkey").alias("seq"), F.lit(None).cast("long").alias("id"))
+    new = sup.select(F.concat(F.lit("g-s"), F.col("s_suppkey").cast("string")).alias("google_id"),
+                     F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@apps.example.com")).alias("email"),
+                     F.col("s_name").alias("name"),
+                     F.concat(F.lit("https://img.example.com/"), F.col("s_suppkey").cast("string")).alias("profile_picture"),
+                     F.col("s_suppkey").alias("seq"), (F.lit(1000000) + F.col("s_suppkey")).alias("id"))
+    return upd.unionByName(new)
+
+
+@register("m1_upsert_users", oracle_with(f"""
+SELECT coalesce(u.id, l.id) AS id, coalesce(u.google_id, l.google_id) AS google_id,
+       CASE WHEN u.id IS NULL OR l.google_id IS NOT NULL THEN l.email ELSE u.email END AS email,
+       CASE WHEN u.id IS NULL OR l.google_id IS NOT NULL THEN l.name ELSE u.name END AS name,
+       CASE WHEN u.id IS NULL OR l.google_id IS NOT NULL THEN l.profile_picture END AS profile_picture,
+       CASE WHEN u.id IS NULL THEN 'user' ELSE u.role END AS role,
+       CASE WHEN u.id IS NULL THEN true ELSE u.is_active END AS is_active,
+       CASE WHEN l.google_id IS NOT NULL AND u.id IS NOT NULL THEN {_AS_OF_TS} END AS last_login_at,
+       CASE WHEN u.id IS NULL THEN {_AS_OF_TS} ELSE u.created_at END AS created_at,
+       CASE WHEN l.google_id IS NOT NULL THEN {_AS_OF_TS} END AS updated_at
+FROM users u
+FULL OUTER JOIN latest l ON u.google_id = l.google_id""", "users", more=_M1_CHANGES))
+def m1_upsert_users(spark, sf_dir):
+    """M1: upsert on google_id: owners' details updated from their latest supplier row,
+    every supplier also registered as a new user."""
+    fx = Fixture(spark, sf_dir)
+    users = (fx.users.withColumn("id", F.col("id").cast("long"))
+             .withColumn("profile_picture", F.lit(None).cast("string"))
+             .withColumn("last_login_at", F.lit(None).cast("timestamp_ntz"))
+             .withColumn("updated_at", F.lit(None).cast("timestamp_ntz")))
+    out = M.upsert_users(users, _m1_changes(spark, sf_dir), AS_OF, order_col="seq")
+    return out.select("id", "google_id", "email", "name", "profile_picture", "role", "is_active",
+                      "last_login_at", "created_at", "updated_at")
+
+
+@register("m6_revoke_keys", oracle_with(f"""
+SELECT id, app_id, CASE WHEN r THEN false ELSE is_active END AS is_active,
+       CASE WHEN r THEN {_AS_OF_TS} END AS revoked_at
+FROM (SELECT k.*, k.id IN (SELECT ak.id FROM api_keys ak JOIN apps a ON ak.app_id = a.id WHERE a.user_id = 3) AS r
+      FROM api_keys k) t""", "api_keys", "apps"))
+def m6_revoke_keys(spark, sf_dir):
+    """M6: revoke every key of the apps of owner 3."""
+    fx = Fixture(spark, sf_dir)
+    mine = fx.api_keys.join(fx.apps.filter(F.col("user_id") == 3).select(F.col("id").alias("_a")),
+                            F.col("app_id") == F.col("_a"), "left_semi").select("id")
+    return M.revoke_keys(fx.api_keys, mine, AS_OF).select("id", "app_id", "is_active", "revoked_at")
+
+
+@register("m8_touch_keys")
+def m8_touch_keys(spark, sf_dir):
+    """M8: replay last_used_at touches (5-minute guard) of every key over all requests that presented it."""
+    fx = Fixture(spark, sf_dir)
+    keys = fx.api_keys
+    uses = (fx.raw_requests.filter(F.col("api_key").isNotNull())
+            .join(keys.select(F.col("id").alias("key_id"), "key_hash"),
+                  F.sha2(F.col("api_key"), 256) == F.col("key_hash"))
+            .select("key_id", F.col("received_at").alias("used_at")))
+    return M.touch_keys(keys, uses).select("id", "last_used_at", "touch_writes")
