@@ -73,7 +73,8 @@ def _first_reason(*steps: tuple[Column, str]) -> Column:
 
 def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, months=None,
               key_hour_ttl: int = L.KEY_HOUR_TTL, collect_limit: int = L.COLLECT_LIMIT,
-              collect_ttl: int = L.COLLECT_TTL) -> DataFrame:
+              collect_ttl: int = L.COLLECT_TTL, seeds: dict | None = None,
+              keep_counters: bool = False) -> DataFrame:
     """Annotate every raw request with ``reject_reason`` (NULL = accepted),
     ``validation_errors`` and the enriched event columns.
 
@@ -82,7 +83,12 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     app is gone is unknown, as the key lookup joins apps). ``months`` is the list
     of provisioned 'YYYY-MM' months (default: from ``as_of``, else from each
     request's arrival).
+
+    ``seeds`` carries open counters from earlier batches ({'key_hour': frame,
+    'collect': frame}, see ``counter_state``); ``keep_counters`` keeps each
+    request's counter key, window start and count (exact, for the next seed).
     """
+    seeds = seeds or {}
     d = _with_body(raw)
     # Stable per-request tie-break for equal arrival times.
     d = d.withColumn("_rid", F.xxhash64(*[F.col(c) for c in ("received_at",) + HEADER_FIELDS + BODY_FIELDS]))
@@ -138,10 +144,11 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
                              .otherwise(private))
     d = L.anchored_counter(d, ["_k1"], "received_at", key_hour_ttl,
                            F.coalesce(F.nullif(F.col("_key_limit"), F.lit(0)), F.lit(L.KEY_HOUR_DEFAULT)),
-                           tiebreak=["_rid"], breach_only=True)
+                           tiebreak=["_rid"], breach_only=not keep_counters, seed=seeds.get("key_hour"))
     d = (d.withColumn("_reason", F.when(F.col("_reason").isNull() & F.col("limit_exceeded"),
                                         F.lit("api_key_rate_limit")).otherwise(F.col("_reason")))
-          .drop("window_start", "window_count", "limit_exceeded", "_k1"))
+          .withColumnRenamed("window_start", "_c1_start").withColumnRenamed("window_count", "_c1_count")
+          .drop("limit_exceeded"))
     # I8 write permission
     d = d.withColumn("_reason", F.when(F.col("_reason").isNull() & ~K.has_permission(F.col("_key_perms"), "write"),
                                        F.lit("no_permission")).otherwise(F.col("_reason")))
@@ -150,10 +157,11 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
                                    F.concat(F.lit("k"), F.coalesce(F.col("api_key"), F.col("client_ip"))))
                              .otherwise(private))
     d = L.anchored_counter(d, ["_k2"], "received_at", collect_ttl, collect_limit, tiebreak=["_rid"],
-                           breach_only=True)
+                           breach_only=not keep_counters, seed=seeds.get("collect"))
     d = (d.withColumn("_reason", F.when(F.col("_reason").isNull() & F.col("limit_exceeded"),
                                         F.lit("collect_rate_limit")).otherwise(F.col("_reason")))
-          .drop("window_start", "window_count", "limit_exceeded", "_k2"))
+          .withColumnRenamed("window_start", "_c2_start").withColumnRenamed("window_count", "_c2_count")
+          .drop("limit_exceeded"))
 
     # I10 validators (all run; errors listed).
     ev = F.col("event")
@@ -205,10 +213,37 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     constraint_steps.append((~month_ok, "no_partition"))
     later = _first_reason((F.size("validation_errors") > 0, "validation"), *constraint_steps)
     d = d.withColumn("reject_reason", F.coalesce(F.col("_reason"), later))
+    if not keep_counters:
+        d = d.drop("_k1", "_k2", "_c1_start", "_c1_count", "_c2_start", "_c2_count")
     return d.drop("_reason", "_walk", "_meta_ok", "_meta_inj", "_hash", "_key_hash", "_key_active",
                   "_key_expires", "_key_perms", "_key_limit", "_app_id")
 
 
+def counter_state(adm: DataFrame, previous: dict | None, key_hour_ttl: int = L.KEY_HOUR_TTL,
+                  collect_ttl: int = L.COLLECT_TTL) -> dict:
+    """Open counters after a batch (from ``admission(..., keep_counters=True)``): the batch's
+    last window per real counter key, plus earlier seeds of keys the batch did not touch,
+    minus windows already expired at the batch's last arrival."""
+    previous = previous or {}
+    out = {}
+    # One scalar per batch: the last arrival time.
+    last_seen = adm.agg(F.max("received_at")).first()[0]
+    for name, key, start, count, ttl in (("key_hour", "_k1", "_c1_start", "_c1_count", key_hour_ttl),
+                                         ("collect", "_k2", "_c2_start", "_c2_count", collect_ttl)):
+        real = adm.filter(F.col(key).startswith("k")).select(
+            key, F.col(start).alias("window_start"), F.col(count).alias("window_count"))
+        now = L.open_counters(real, [key], "window_start", ttl)
+        prev = previous.get(name)
+        if prev is not None:
+            now = now.unionByName(prev.join(now.select(key), key, "left_anti"))
+        if last_seen is not None:
+            ts_type = adm.schema["received_at"].dataType
+            now = now.filter(F.col("window_start") + F.expr(f"INTERVAL {int(ttl)} SECONDS")
+                             >= F.lit(last_seen).cast(ts_type))
+        out[name] = now
+    return out
+
+
 def accepted_events(adm: DataFrame, with_ids: bool = True) -> DataFrame:
     """Accepted rows in the event-table layout, plus the ``event_date`` partition column.
 

@@ -61,7 +61,7 @@ def _islands(df: DataFrame, keys: list[str], ts: str, gap_us: int, tiebreak: lis
     d = (df.withColumn("_us", _micros(F.col(ts)))
            .withColumn("_island", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     wi = Window.partitionBy(*keys, "_island")
-    return (d.withColumn("_isl_n", F.count(F.lit(1)).over(wi))
+    return (d.withColumn("_isl_n", F.sum("_w").over(wi))
              .withColumn("_isl_span", F.max("_us").over(wi) - F.min("_us").over(wi)))
 
 
@@ -69,6 +69,7 @@ def _fold_anchored(ttl_us: int, tiebreak: list[str]):
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_us", *tiebreak], kind="stable")
         t = pdf["_us"].to_numpy(dtype=np.int64)
+        w = pdf["_w"].to_numpy(dtype=np.int64)
         n = len(t)
         starts = np.empty(n, dtype=np.int64)
         counts = np.empty(n, dtype=np.int64)
@@ -76,43 +77,68 @@ def _fold_anchored(ttl_us: int, tiebreak: list[str]):
         while i < n:  # one iteration per counter window
             j = int(np.searchsorted(t, t[i] + ttl_us, side="right"))
             starts[i:j] = t[i]
-            counts[i:j] = np.arange(1, j - i + 1)
+            counts[i:j] = np.cumsum(w[i:j])
             i = j
         return pdf.assign(_wstart=starts, _wcount=counts)
     return fold
 
 
 def anchored_counter(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int, limit,
-                     tiebreak: list[str] | None = None, breach_only: bool = False) -> DataFrame:
+                     tiebreak: list[str] | None = None, breach_only: bool = False,
+                     seed: DataFrame | None = None) -> DataFrame:
     """L1-L4: add ``window_start``, ``window_count`` and ``limit_exceeded`` to every row.
 
     ``limit`` is an int or a Column (e.g. a per-key limit). With ``breach_only``
     islands that cannot exceed the limit are not folded and their
     ``window_count`` is left NULL (``limit_exceeded`` stays exact).
+    ``seed`` carries open counters in from earlier data (keys, ``window_start``,
+    ``seed_count``): each becomes a weighted row at its window start, ordered
+    before real rows of the same instant, and is dropped from the output.
     """
-    tiebreak = list(tiebreak or [])
+    tiebreak = ["_seedlast", *(tiebreak or [])]
     ttl_us = int(ttl_seconds) * _US
     lim = _limit_col(limit)
+    base = df.withColumn("_w", F.lit(1).cast("long")).withColumn("_seedlast", F.lit(1))
+    if seed is not None:
+        s = seed.select(*keys, F.col("window_start").cast(df.schema[ts].dataType).alias(ts),
+                        F.col("seed_count").cast("long").alias("_w"), F.lit(0).alias("_seedlast"))
+        base = base.unionByName(s, allowMissingColumns=True)
     # Both branches below read the island frame: keep it so the input is computed once.
-    d = _islands(df, keys, ts, ttl_us, tiebreak, strict_gap=True).persist(StorageLevel.MEMORY_AND_DISK)
+    d = _islands(base, keys, ts, ttl_us, tiebreak, strict_gap=True).persist(StorageLevel.MEMORY_AND_DISK)
     multi = F.col("_isl_span") > ttl_us
-    needs_fold = multi & (F.col("_isl_n") > lim) if breach_only else multi
-    rank = F.row_number().over(Window.partitionBy(*keys, "_island").orderBy("_us", *tiebreak))
-    island_start = F.min("_us").over(Window.partitionBy(*keys, "_island"))
+    wi = Window.partitionBy(*keys, "_island")
+    # Decided per island (every row of an island, seed included, takes the same branch).
+    over_limit = F.max(((F.col("_isl_n") > lim) & (F.col("_seedlast") == 1)).cast("int")).over(wi) == 1
+    needs_fold = multi & over_limit if breach_only else multi
+    running = F.sum("_w").over(wi.orderBy("_us", *tiebreak).rowsBetween(Window.unboundedPreceding, 0))
     simple = (d.filter(~needs_fold)
-               .withColumn("_wstart", F.when(~multi, island_start))
-               .withColumn("_wcount", F.when(~multi, rank.cast("long"))))
+               .withColumn("_wstart", F.when(~multi, F.min("_us").over(wi)))
+               .withColumn("_wcount", F.when(~multi, running)))
     to_fold = d.filter(needs_fold)
     schema = T.StructType(to_fold.schema.fields + [T.StructField("_wstart", T.LongType()),
                                                    T.StructField("_wcount", T.LongType())])
     folded = to_fold.groupBy(*keys, "_island").applyInPandas(_fold_anchored(ttl_us, tiebreak), schema)
-    out = simple.unionByName(folded)
+    out = simple.unionByName(folded).filter(F.col("_seedlast") == 1)
     ts_type = df.schema[ts].dataType.simpleString()
     exceeded = F.when(F.col("_wcount").isNotNull(), F.col("_wcount") > lim).otherwise(F.lit(False))
     return (out.withColumn("window_start", F.timestamp_micros("_wstart").cast(ts_type))
                .withColumn("window_count", F.col("_wcount"))
                .withColumn("limit_exceeded", exceeded)
-               .drop("_us", "_island", "_isl_n", "_isl_span", "_wstart", "_wcount"))
+               .drop("_us", "_island", "_isl_n", "_isl_span", "_wstart", "_wcount", "_w", "_seedlast"))
+
+
+def open_counters(counted: DataFrame, keys: list[str], ts: str, ttl_seconds: int, as_of=None) -> DataFrame:
+    """The counters still open after ``counted`` (output of ``anchored_counter``): per key
+    the last window and its count, as a ``seed`` for the next batch. With ``as_of``,
+    windows already expired at that instant are dropped."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("window_start"), F.desc("window_count"))
+    last = (counted.filter(F.col("window_count").isNotNull())
+                   .withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+                   .select(*keys, "window_start", F.col("window_count").alias("seed_count")))
+    if as_of is not None:
+        last = last.filter(F.col("window_start") + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
+                           >= F.lit(as_of).cast(counted.schema["window_start"].dataType))
+    return last
 
 
 def limit_headers(df: DataFrame, ts: str, limit, window_seconds: int) -> DataFrame:
@@ -192,11 +218,12 @@ def sliding_log_limit(df: DataFrame, keys: list[str], ts: str, window_seconds: i
     ``limit`` requests are folded, all others are admitted in full."""
     tiebreak = list(tiebreak or [])
     w_us = int(window_seconds) * _US
-    d = _islands(df, keys, ts, w_us, tiebreak, strict_gap=False).persist(StorageLevel.MEMORY_AND_DISK)
+    base = df.withColumn("_w", F.lit(1).cast("long"))
+    d = _islands(base, keys, ts, w_us, tiebreak, strict_gap=False).persist(StorageLevel.MEMORY_AND_DISK)
     needs_fold = F.col("_isl_n") > F.lit(int(limit))
     simple = d.filter(~needs_fold).withColumn("_admitted", F.lit(True))
     to_fold = d.filter(needs_fold)
     schema = T.StructType(to_fold.schema.fields + [T.StructField("_admitted", T.BooleanType())])
     folded = to_fold.groupBy(*keys, "_island").applyInPandas(_fold_sliding(w_us, int(limit), tiebreak), schema)
     return (simple.unionByName(folded).withColumnRenamed("_admitted", "admitted")
-                  .drop("_us", "_island", "_isl_n", "_isl_span"))
+                  .drop("_us", "_island", "_isl_n", "_isl_span", "_w"))

@@ -709,3 +709,85 @@ def m8_touch_keys(spark, sf_dir):
                   F.sha2(F.col("api_key"), 256) == F.col("key_hash"))
             .select("key_id", F.col("received_at").alias("used_at")))
     return M.touch_keys(keys, uses).select("id", "last_used_at", "touch_writes")
+
+
+# --- T1 - T4: streaming ---------------------------------------------------------
+
+from ..streaming import collect as SC  # noqa: E402
+from ..streaming import live as SL  # noqa: E402
+
+_RAW_JSON: dict = {}
+
+
+def _raw_json(spark, sf_dir):
+    """The fixture requests as JSON request lines in three files (one per third of the
+    arrival span), in the shared checkpoint folder."""
+    key = (id(spark), sf_dir)
+    if key not in _RAW_JSON:
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-stream/{uuid.uuid4().hex}"
+        raw = Fixture(spark, sf_dir).raw_requests
+        part = F.when(F.col("received_at") < F.lit("2024-01-11").cast("timestamp_ntz"), 0) \
+                .when(F.col("received_at") < F.lit("2024-01-21").cast("timestamp_ntz"), 1).otherwise(2)
+        staged = raw.withColumn("_part", part)
+        for p in (0, 1, 2):
+            TB.write_raw(staged.filter(F.col("_part") == p).drop("_part").coalesce(1), f"{base}/raw/part{p}")
+        _RAW_JSON[key] = base
+    return _RAW_JSON[key]
+
+
+def _stream_admission(spark, sf_dir):
+    base = _raw_json(spark, sf_dir)
+    out = f"{base}/out"
+    fx = Fixture(spark, sf_dir)
+    import os
+    if not os.path.exists(f"{out}/_done"):
+        q = SC.start_collect_stream(spark, f"{base}/raw/*", fx.api_keys, fx.apps, out, f"{base}/ckpt",
+                                    as_of=AS_OF, max_files_per_trigger=1, key_hour_ttl=ADM_KEY_TTL)
+        q.awaitTermination()
+        os.makedirs(f"{out}/_done", exist_ok=True)
+    return out
+
+
+@register("t1_stream_admission_counts")
+def t1_stream_admission_counts(spark, sf_dir):
+    """Streaming admission (three micro-batches, counters carried across them):
+    outcome counts; equals the batch admission (see tests)."""
+    out = _stream_admission(spark, sf_dir)
+    acc = spark.read.parquet(f"{out}/events").groupBy().count().select(
+        F.lit("accepted").alias("outcome"), F.col("count").alias("requests"))
+    rej = spark.read.parquet(f"{out}/quarantine").groupBy(F.col("reject_reason").alias("outcome")) \
+        .agg(F.count(F.lit(1)).alias("requests"))
+    return acc.unionByName(rej)
+
+
+@register("t2_stream_rollup")
+def t2_stream_rollup(spark, sf_dir):
+    """Rollup maintained batch by batch by the streaming collection."""
+    out = _stream_admission(spark, sf_dir)
+    return spark.read.parquet(f"{out}/daily_summary").select(*R.ROLLUP_COLUMNS)
+
+
+@register("t3_live_event_counts")
+def t3_live_event_counts(spark, sf_dir):
+    """Watermarked hourly counts per event name over the stored event table as a stream
+    (windows still open at the end of the input are not emitted)."""
+    ev_path, _ = _stored_tables(spark, sf_dir)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-live/{uuid.uuid4().hex}"
+    src = spark.readStream.schema(spark.read.parquet(ev_path).schema).parquet(ev_path)
+    q = (SL.live_event_counts(src).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start(f"{base}/out"))
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("t4_stream_key_counter")
+def t4_stream_key_counter(spark, sf_dir):
+    """T4: stateful streaming per-key counter (limit 3, one-day lifetime) over the raw request files."""
+    base = _raw_json(spark, sf_dir)
+    out = f"{base}/t4-{uuid.uuid4().hex}"
+    src = TB.read_raw(spark, f"{base}/raw/*", streaming=True, maxFilesPerTrigger=1)
+    q = (SL.streaming_key_counter(src, ttl_seconds=ADM_KEY_TTL, limit=3, watermark="2 days")
+         .writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start(f"{out}/data"))
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/data")

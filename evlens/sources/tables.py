@@ -95,33 +95,52 @@ def read_log(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def read_raw(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+# Arrival times keep microseconds in the JSON text.
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def read_raw(spark: SparkSession, path: str, streaming: bool = False, **options) -> DataFrame:
     """Raw collect requests as JSON lines; bad lines kept in ``_corrupt_record``.
 
     A ``metadata`` object is read as its JSON text (the schema declares a string).
     """
     reader = spark.readStream if streaming else spark.read
-    return (reader.schema(RAW_REQUEST).option("mode", "PERMISSIVE")
-                  .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    reader = (reader.schema(RAW_REQUEST).option("mode", "PERMISSIVE")
+                    .option("columnNameOfCorruptRecord", "_corrupt_record")
+                    .option("timestampNTZFormat", TS_FORMAT))
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.json(path)
+
+
+def write_raw(df: DataFrame, path: str) -> None:
+    """Write raw requests as JSON lines (the format ``read_raw`` reads)."""
+    df.write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT).json(path)
 
 
 def append_events(events: DataFrame, path: str) -> int:
     """Append a batch of accepted events; returns the number of rows written.
 
     One write job: the commit protocol makes the batch all-or-nothing. Rows are
-    clustered by day and sorted by tenant inside each file.
+    range-partitioned on (event_date, app_id, timestamp), so a busy day or a hot
+    app is split over many tasks while each file still holds one day and a narrow
+    tenant range; inside a file rows are sorted for row-group pruning.
     """
     obs = Observation("append_events")
     df = events.observe(obs, F.count(F.lit(1)).alias("rows"))
-    (df.repartition("event_date")
-       .sortWithinPartitions("event_date", "app_id", "event_name", "timestamp")
-       .write.mode("append").partitionBy("event_date").parquet(path))
+    (cluster_events(df).write.mode("append").partitionBy("event_date").parquet(path))
     return int(obs.get["rows"])
 
 
+def cluster_events(df: DataFrame) -> DataFrame:
+    """Layout of event files: range partitions over (day, tenant, time), sorted inside."""
+    return (df.repartitionByRange("event_date", "app_id", "timestamp")
+              .sortWithinPartitions("event_date", "app_id", "event_name", "timestamp"))
+
+
 def write_rollup(rollup: DataFrame, path: str) -> None:
     """Replace exactly the ``date`` partitions present in ``rollup`` (dynamic overwrite)."""
-    (rollup.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (rollup.repartitionByRange("date", "app_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("date").parquet(path))
 
 
