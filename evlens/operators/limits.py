@@ -103,13 +103,15 @@ def anchored_counter(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int,
         s = seed.select(*keys, F.col("window_start").cast(df.schema[ts].dataType).alias(ts),
                         F.col("seed_count").cast("long").alias("_w"), F.lit(0).alias("_seedlast"))
         base = base.unionByName(s, allowMissingColumns=True)
-    # Both branches below read the island frame: keep it so the input is computed once.
-    d = _islands(base, keys, ts, ttl_us, tiebreak, strict_gap=True).persist(StorageLevel.MEMORY_AND_DISK)
+    d = _islands(base, keys, ts, ttl_us, tiebreak, strict_gap=True)
     multi = F.col("_isl_span") > ttl_us
     wi = Window.partitionBy(*keys, "_island")
     # Decided per island (every row of an island, seed included, takes the same branch).
     over_limit = F.max(((F.col("_isl_n") > lim) & (F.col("_seedlast") == 1)).cast("int")).over(wi) == 1
-    needs_fold = multi & over_limit if breach_only else multi
+    d = d.withColumn("_fold", multi & over_limit if breach_only else multi)
+    # Both branches below read the island frame: keep it so the input is computed once.
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    needs_fold = F.col("_fold")
     running = F.sum("_w").over(wi.orderBy("_us", *tiebreak).rowsBetween(Window.unboundedPreceding, 0))
     simple = (d.filter(~needs_fold)
                .withColumn("_wstart", F.when(~multi, F.min("_us").over(wi)))
@@ -124,7 +126,7 @@ def anchored_counter(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int,
     return (out.withColumn("window_start", F.timestamp_micros("_wstart").cast(ts_type))
                .withColumn("window_count", F.col("_wcount"))
                .withColumn("limit_exceeded", exceeded)
-               .drop("_us", "_island", "_isl_n", "_isl_span", "_wstart", "_wcount", "_w", "_seedlast"))
+               .drop("_us", "_island", "_isl_n", "_isl_span", "_wstart", "_wcount", "_w", "_seedlast", "_fold"))
 
 
 def open_counters(counted: DataFrame, keys: list[str], ts: str, ttl_seconds: int, as_of=None) -> DataFrame:
