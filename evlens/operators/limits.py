@@ -18,8 +18,11 @@ window (a new island always starts a fresh counter, so islands are independent
 and run in parallel). Islands that fit in one window, or cannot exceed the
 limit, are ranked with a window function inside the JVM. Only islands that span
 several windows (anchored) or hold more than ``limit`` requests (sliding) are
-folded sequentially, with an Arrow-batched ``applyInPandas`` whose loop runs
-once per counter window (``searchsorted``), not once per row.
+folded sequentially by ``mapInPandas`` over partitions hash-partitioned by key
+and sorted by (key, island, time): every Arrow batch folds all of its groups in
+one vectorised pass (one Python step per counter window, ``searchsorted`` for
+the rest), and only the open counter crosses from one batch to the next, so a
+long island never has to fit in memory.
 """
 
 from __future__ import annotations
@@ -65,21 +68,65 @@ def _islands(df: DataFrame, keys: list[str], ts: str, gap_us: int, tiebreak: lis
              .withColumn("_isl_span", F.max("_us").over(wi) - F.min("_us").over(wi)))
 
 
-def _fold_anchored(ttl_us: int, tiebreak: list[str]):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", *tiebreak], kind="stable")
-        t = pdf["_us"].to_numpy(dtype=np.int64)
-        w = pdf["_w"].to_numpy(dtype=np.int64)
-        n = len(t)
-        starts = np.empty(n, dtype=np.int64)
-        counts = np.empty(n, dtype=np.int64)
-        i = 0
-        while i < n:  # one iteration per counter window
-            j = int(np.searchsorted(t, t[i] + ttl_us, side="right"))
-            starts[i:j] = t[i]
-            counts[i:j] = np.cumsum(w[i:j])
-            i = j
-        return pdf.assign(_wstart=starts, _wcount=counts)
+def anchored_windows(t: np.ndarray, w: np.ndarray, ttl_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window start and running count of each sorted arrival time (weights ``w``).
+
+    ``nxt[j]`` is the first row after ``t[j] + ttl``; the window starts are the
+    chain 0, nxt[0], nxt[nxt[0]], ... (one step per window), everything else
+    is vectorised.
+    """
+    n = len(t)
+    nxt = np.searchsorted(t, t + ttl_us, side="right").tolist()
+    is_start = np.zeros(n, dtype=bool)
+    j = 0
+    while j < n:
+        is_start[j] = True
+        j = nxt[j]
+    win = np.cumsum(is_start) - 1
+    first = np.flatnonzero(is_start)
+    csum = np.cumsum(w)
+    before = np.concatenate(([0], csum))[first]   # weight before each window's first row
+    return t[first][win], csum - before[win]
+
+
+def _group_ids(pdf: pd.DataFrame, cols: list[str]) -> np.ndarray:
+    """Ids of contiguous runs of equal ``cols`` values (rows arrive sorted by them)."""
+    change = np.zeros(len(pdf), dtype=bool)
+    if len(pdf):
+        change[0] = True
+    for c in cols:
+        v = pdf[c].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.cumsum(change) - 1
+
+
+def _fold_anchored(ttl_us: int, group_cols: list[str]):
+    """mapInPandas body: rows sorted by (group, time); only (group, start, count) is
+    carried from one Arrow batch to the next, so memory is bounded by the batch."""
+    def fold(batches):
+        carry = None  # (group key tuple, window start, count)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            t = pdf["_us"].to_numpy(dtype=np.int64)
+            w = pdf["_w"].to_numpy(dtype=np.int64)
+            g = _group_ids(pdf, group_cols)
+            first_key = tuple(pdf[c].iat[0] for c in group_cols)
+            seeded = carry is not None and carry[0] == first_key
+            if seeded:  # continue the open window of the previous batch
+                t = np.concatenate(([carry[1]], t))
+                w = np.concatenate(([carry[2]], w))
+                g = np.concatenate(([0], g))
+            # Lay the groups out on one axis, each after the previous one's end + ttl.
+            tmin = np.minimum.reduceat(t, np.flatnonzero(np.r_[True, g[1:] != g[:-1]]))[g]
+            rel = t - tmin
+            gap = int(rel.max()) + ttl_us + 1
+            starts_rel, counts = anchored_windows(g.astype(np.int64) * gap + rel, w, ttl_us)
+            starts = starts_rel - g.astype(np.int64) * gap + tmin
+            if seeded:
+                starts, counts = starts[1:], counts[1:]
+            carry = (tuple(pdf[c].iat[-1] for c in group_cols), int(starts[-1]), int(counts[-1]))
+            yield pdf.assign(_wstart=starts, _wcount=counts)
     return fold
 
 
@@ -119,7 +166,8 @@ def anchored_counter(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int,
     to_fold = d.filter(needs_fold)
     schema = T.StructType(to_fold.schema.fields + [T.StructField("_wstart", T.LongType()),
                                                    T.StructField("_wcount", T.LongType())])
-    folded = to_fold.groupBy(*keys, "_island").applyInPandas(_fold_anchored(ttl_us, tiebreak), schema)
+    folded = (to_fold.repartition(*keys).sortWithinPartitions(*keys, "_island", "_us", *tiebreak)
+                     .mapInPandas(_fold_anchored(ttl_us, [*keys, "_island"]), schema))
     out = simple.unionByName(folded).filter(F.col("_seedlast") == 1)
     ts_type = df.schema[ts].dataType.simpleString()
     exceeded = F.when(F.col("_wcount").isNotNull(), F.col("_wcount") > lim).otherwise(F.lit(False))
@@ -197,20 +245,27 @@ def auth_limit(df: DataFrame, ts: str = "received_at", limit: int = AUTH_LIMIT,
 
 # --- L5 sliding log ---------------------------------------------------------------
 
-def _fold_sliding(window_us: int, limit: int, tiebreak: list[str]):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", *tiebreak], kind="stable")
-        log: deque = deque()
-        admitted = np.empty(len(pdf), dtype=bool)
-        for i, t in enumerate(pdf["_us"].to_numpy(dtype=np.int64)):
-            while log and t - log[0] >= window_us:
-                log.popleft()
-            if len(log) >= limit:
-                admitted[i] = False
-            else:
-                admitted[i] = True
-                log.append(t)
-        return pdf.assign(_admitted=admitted)
+def _fold_sliding(window_us: int, limit: int, group_cols: list[str]):
+    """mapInPandas body for the sliding log; the carried state is the group key and
+    the admitted times still inside the window (at most ``limit`` of them)."""
+    def fold(batches):
+        key, log = None, deque()
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys = list(zip(*[pdf[c].tolist() for c in group_cols]))
+            admitted = np.empty(len(pdf), dtype=bool)
+            for i, (k, t) in enumerate(zip(keys, pdf["_us"].tolist())):
+                if k != key:
+                    key, log = k, deque()
+                while log and t - log[0] >= window_us:
+                    log.popleft()
+                if len(log) >= limit:
+                    admitted[i] = False
+                else:
+                    admitted[i] = True
+                    log.append(t)
+            yield pdf.assign(_admitted=admitted)
     return fold
 
 
@@ -226,6 +281,7 @@ def sliding_log_limit(df: DataFrame, keys: list[str], ts: str, window_seconds: i
     simple = d.filter(~needs_fold).withColumn("_admitted", F.lit(True))
     to_fold = d.filter(needs_fold)
     schema = T.StructType(to_fold.schema.fields + [T.StructField("_admitted", T.BooleanType())])
-    folded = to_fold.groupBy(*keys, "_island").applyInPandas(_fold_sliding(w_us, int(limit), tiebreak), schema)
+    folded = (to_fold.repartition(*keys).sortWithinPartitions(*keys, "_island", "_us", *tiebreak)
+                     .mapInPandas(_fold_sliding(w_us, int(limit), [*keys, "_island"]), schema))
     return (simple.unionByName(folded).withColumnRenamed("_admitted", "admitted")
                   .drop("_us", "_island", "_isl_n", "_isl_span", "_w"))

@@ -100,3 +100,13 @@ def test_aligned_counter_and_headers(spark):
     h = L.limit_headers(L.anchored_counter(frame(spark, rows), ["k"], "ts", 900, 2), "ts", 2, 900)
     assert [r["remaining"] for r in h.orderBy("seq").collect()] == [1, 0, 0, 1]
     assert h.filter(F.col("reset_at") != F.col("ts") + F.expr("INTERVAL 900 SECONDS")).count() == 0
+
+
+def test_folds_carry_state_across_arrow_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_anchored_counter_matches_loop(spark)
+        test_sliding_log_matches_loop(spark)
+        test_seeded_batches_equal_one_batch(spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
