@@ -11,12 +11,16 @@ Everything is Column expressions plus one left join to the key dimension, except
 the two counters (I7, I9), which use the exact counter replay of
 ``operators.limits``. A counter only counts the requests that reached it: rows
 already rejected get a private key, so they never share a counter with anyone.
+The annotated rows are persisted once (the caller unpersists or clears the
+cache after writing); the counters shuffle only a narrow projection, and their
+verdicts are joined back by row id.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,24 +94,26 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     """
     seeds = seeds or {}
     d = _with_body(raw)
-    # Stable per-request tie-break for equal arrival times.
-    d = d.withColumn("_rid", F.xxhash64(*[F.col(c) for c in ("received_at",) + HEADER_FIELDS + BODY_FIELDS]))
-
-    # I1 body size (bytes of the JSON body).
+    # I1 body size (bytes of the JSON body), measured before sanitising.
     scalar_body = F.to_json(F.struct(*[F.col(c) for c in BODY_FIELDS if c != "metadata"]))
     size = (F.col("body_bytes") if "body_bytes" in d.columns
             else F.octet_length(scalar_body) + F.coalesce(F.octet_length("metadata"), F.lit(0)))
     # I2 sanitise (top-level strings with Column regexes; nested metadata by the walk,
-    # fed only to rows whose raw text needs it).
-    for c in BODY_FIELDS:
-        if c != "metadata":
-            d = d.withColumn(c, X.sanitize(F.col(c)))
+    # fed only to rows whose raw text needs it). Each step is one projection.
     needs_walk = F.col("metadata").rlike(X.NEEDS_WALK_PATTERN)
-    d = d.withColumn("_walk", X.metadata_walk(F.when(needs_walk, F.col("metadata"))))
-    parses = F.col("metadata").isNull() | F.try_parse_json(F.col("metadata")).isNotNull()
-    d = (d.withColumn("_meta_ok", parses)
-          .withColumn("metadata", F.when(needs_walk, F.col("_walk.text")).otherwise(F.col("metadata")))
-          .withColumn("_meta_inj", F.coalesce(F.when(needs_walk, F.col("_walk.injection")), F.lit(False))))
+    d = d.withColumns({
+        # Stable per-request tie-break for equal arrival times.
+        "_rid": F.xxhash64(*[F.col(c) for c in ("received_at",) + HEADER_FIELDS + BODY_FIELDS]),
+        "_size": size,
+        "_needs_walk": F.coalesce(needs_walk, F.lit(False)),
+        "_meta_ok": F.col("metadata").isNull() | F.try_parse_json(F.col("metadata")).isNotNull(),
+        **{c: X.sanitize(F.col(c)) for c in BODY_FIELDS if c != "metadata"},
+    })
+    d = d.withColumn("_walk", X.metadata_walk(F.when(F.col("_needs_walk"), F.col("metadata"))))
+    d = d.withColumns({
+        "metadata": F.when(F.col("_needs_walk"), F.col("_walk.text")).otherwise(F.col("metadata")),
+        "_meta_inj": F.coalesce(F.when(F.col("_needs_walk"), F.col("_walk.injection")), F.lit(False)),
+    })
     # I3 screen
     inj = F.lit(False)
     for c in BODY_FIELDS:
@@ -124,11 +130,11 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
                       F.col("rate_limit_per_hour").alias("_key_limit")))
     d = d.withColumn("_hash", F.when(F.col("api_key").isNotNull() & (F.col("api_key") != ""),
                                      K.key_hash(F.col("api_key"))))
-    d = d.join(kd, d["_hash"] == kd["_key_hash"], "left")
+    d = d.join(kd, F.col("_hash") == F.col("_key_hash"), "left")
     now = F.col("received_at").cast(keys.schema["expires_at"].dataType) if "expires_at" in keys.columns \
         else F.col("received_at")
     stateless = _first_reason(
-        (size > X.BODY_MAX_BYTES, "too_large"),
+        (F.col("_size") > X.BODY_MAX_BYTES, "too_large"),
         (~F.col("_meta_ok"), "malformed_body"),
         (inj, "sql_pattern"),
         (F.col("_hash").isNull(), "api_key_missing"),
@@ -136,32 +142,39 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
          "api_key_invalid"),
         (~K.ip_allowed(F.col("_key_ips"), F.col("client_ip")), "api_key_ip_blocked"),
     )
-    d = d.withColumn("_reason", stateless)
+    # The wide annotated rows are kept once; the two counters run on a narrow
+    # projection and their verdicts are joined back by row id.
+    d = (d.withColumns({"_reason": stateless, "_rowid": F.monotonically_increasing_id()})
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    n = d.select("_rowid", "_rid", "received_at", "_reason", "key_id", "_key_limit", "_key_perms", "api_key",
+                 "client_ip")
 
     # I7 per-key hourly counter over the requests that reached it.
-    private = F.concat(F.lit("x"), F.col("_rid").cast("string"))
-    d = d.withColumn("_k1", F.when(F.col("_reason").isNull(), F.concat(F.lit("k"), F.col("key_id").cast("string")))
+    private = F.concat(F.lit("x"), F.col("_rowid").cast("string"))
+    n = n.withColumn("_k1", F.when(F.col("_reason").isNull(), F.concat(F.lit("k"), F.col("key_id").cast("string")))
                              .otherwise(private))
-    d = L.anchored_counter(d, ["_k1"], "received_at", key_hour_ttl,
+    n = L.anchored_counter(n, ["_k1"], "received_at", key_hour_ttl,
                            F.coalesce(F.nullif(F.col("_key_limit"), F.lit(0)), F.lit(L.KEY_HOUR_DEFAULT)),
                            tiebreak=["_rid"], breach_only=not keep_counters, seed=seeds.get("key_hour"))
-    d = (d.withColumn("_reason", F.when(F.col("_reason").isNull() & F.col("limit_exceeded"),
-                                        F.lit("api_key_rate_limit")).otherwise(F.col("_reason")))
-          .withColumnRenamed("window_start", "_c1_start").withColumnRenamed("window_count", "_c1_count")
-          .drop("limit_exceeded"))
-    # I8 write permission
-    d = d.withColumn("_reason", F.when(F.col("_reason").isNull() & ~K.has_permission(F.col("_key_perms"), "write"),
-                                       F.lit("no_permission")).otherwise(F.col("_reason")))
+    # I8 write permission.
+    n = n.withColumns({
+        "_reason": F.when(F.col("_reason").isNull() & F.col("limit_exceeded"), F.lit("api_key_rate_limit"))
+                    .when(F.col("_reason").isNull() & ~K.has_permission(F.col("_key_perms"), "write"),
+                          F.lit("no_permission"))
+                    .otherwise(F.col("_reason")),
+        "_c1_start": F.col("window_start"), "_c1_count": F.col("window_count"),
+    }).drop("window_start", "window_count", "limit_exceeded")
     # I9 per key-header (else IP) minute counter over the requests that reached it.
-    d = d.withColumn("_k2", F.when(F.col("_reason").isNull(),
+    n = n.withColumn("_k2", F.when(F.col("_reason").isNull(),
                                    F.concat(F.lit("k"), F.coalesce(F.col("api_key"), F.col("client_ip"))))
                              .otherwise(private))
-    d = L.anchored_counter(d, ["_k2"], "received_at", collect_ttl, collect_limit, tiebreak=["_rid"],
+    n = L.anchored_counter(n, ["_k2"], "received_at", collect_ttl, collect_limit, tiebreak=["_rid"],
                            breach_only=not keep_counters, seed=seeds.get("collect"))
-    d = (d.withColumn("_reason", F.when(F.col("_reason").isNull() & F.col("limit_exceeded"),
-                                        F.lit("collect_rate_limit")).otherwise(F.col("_reason")))
-          .withColumnRenamed("window_start", "_c2_start").withColumnRenamed("window_count", "_c2_count")
-          .drop("limit_exceeded"))
+    n = n.select("_rowid", "_k1", "_c1_start", "_c1_count", "_k2",
+                 F.col("window_start").alias("_c2_start"), F.col("window_count").alias("_c2_count"),
+                 F.when(F.col("_reason").isNull() & F.col("limit_exceeded"), F.lit("collect_rate_limit"))
+                  .otherwise(F.col("_reason")).alias("_reason"))
+    d = d.drop("_reason").join(n, "_rowid")
 
     # I10 validators (all run; errors listed).
     ev = F.col("event")
@@ -189,19 +202,22 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     ts_text = F.nullif(F.col("timestamp_text"), F.lit(""))
     parsed = F.try_to_timestamp(ts_text).cast("timestamp_ntz")
     arrival = F.col("received_at").cast("timestamp_ntz")
-    d = (d.withColumn("app_id", F.col("_key_app"))
-          .withColumn("event_name", F.col("event"))
-          .withColumn("device", X.js_or(device_type, F.col("device")))
-          .withColumn("ip_address", X.js_or(F.col("ipAddress"), F.col("client_ip")))
-          .withColumn("user_id", F.col("userId"))
-          .withColumn("session_id", F.col("sessionId"))
-          .withColumn("timestamp", F.when(ts_text.isNull(), arrival).otherwise(parsed))
-          .withColumn("browser", X.js_or(browser, m_browser))
-          .withColumn("os", X.js_or(os_, m_os))
-          .withColumn("screen_size", X.json_field(meta, "screenSize"))
-          .withColumn("country", X.json_field(meta, "country"))
-          .withColumn("city", X.json_field(meta, "city"))
-          .withColumn("created_at", arrival))
+    # One projection; every expression reads the columns as they were before it.
+    d = d.withColumns({
+        "app_id": F.col("_key_app"),
+        "event_name": F.col("event"),
+        "device": X.js_or(device_type, F.col("device")),
+        "ip_address": X.js_or(F.col("ipAddress"), F.col("client_ip")),
+        "user_id": F.col("userId"),
+        "session_id": F.col("sessionId"),
+        "timestamp": F.when(ts_text.isNull(), arrival).otherwise(parsed),
+        "browser": X.js_or(browser, m_browser),
+        "os": X.js_or(os_, m_os),
+        "screen_size": X.json_field(meta, "screenSize"),
+        "country": X.json_field(meta, "country"),
+        "city": X.json_field(meta, "city"),
+        "created_at": arrival,
+    })
 
     # I13 storage constraints.
     if months is None:
@@ -215,7 +231,7 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     d = d.withColumn("reject_reason", F.coalesce(F.col("_reason"), later))
     if not keep_counters:
         d = d.drop("_k1", "_k2", "_c1_start", "_c1_count", "_c2_start", "_c2_count")
-    return d.drop("_reason", "_walk", "_meta_ok", "_meta_inj", "_hash", "_key_hash", "_key_active",
+    return d.drop("_reason", "_rowid", "_walk", "_meta_ok", "_meta_inj", "_needs_walk", "_size", "_hash", "_key_hash", "_key_active",
                   "_key_expires", "_key_perms", "_key_limit", "_app_id")
 
 

@@ -64,8 +64,8 @@ def _islands(df: DataFrame, keys: list[str], ts: str, gap_us: int, tiebreak: lis
     d = (df.withColumn("_us", _micros(F.col(ts)))
            .withColumn("_island", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     wi = Window.partitionBy(*keys, "_island")
-    return (d.withColumn("_isl_n", F.sum("_w").over(wi))
-             .withColumn("_isl_span", F.max("_us").over(wi) - F.min("_us").over(wi)))
+    return d.withColumns({"_isl_n": F.sum("_w").over(wi), "_isl_span": F.max("_us").over(wi) - F.min("_us").over(wi),
+                          "_isl_start": F.min("_us").over(wi)})
 
 
 def anchored_windows(t: np.ndarray, w: np.ndarray, ttl_us: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def anchored_counter(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int,
     tiebreak = ["_seedlast", *(tiebreak or [])]
     ttl_us = int(ttl_seconds) * _US
     lim = _limit_col(limit)
-    base = df.withColumn("_w", F.lit(1).cast("long")).withColumn("_seedlast", F.lit(1))
+    base = df.withColumns({"_w": F.lit(1).cast("long"), "_seedlast": F.lit(1)})
     if seed is not None:
         s = seed.select(*keys, F.col("window_start").cast(df.schema[ts].dataType).alias(ts),
                         F.col("seed_count").cast("long").alias("_w"), F.lit(0).alias("_seedlast"))
@@ -160,9 +160,8 @@ def anchored_counter(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int,
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     needs_fold = F.col("_fold")
     running = F.sum("_w").over(wi.orderBy("_us", *tiebreak).rowsBetween(Window.unboundedPreceding, 0))
-    simple = (d.filter(~needs_fold)
-               .withColumn("_wstart", F.when(~multi, F.min("_us").over(wi)))
-               .withColumn("_wcount", F.when(~multi, running)))
+    simple = d.filter(~needs_fold).withColumns({"_wstart": F.when(~multi, F.col("_isl_start")),
+                                                 "_wcount": F.when(~multi, running)})
     to_fold = d.filter(needs_fold)
     schema = T.StructType(to_fold.schema.fields + [T.StructField("_wstart", T.LongType()),
                                                    T.StructField("_wcount", T.LongType())])
@@ -171,10 +170,10 @@ def anchored_counter(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int,
     out = simple.unionByName(folded).filter(F.col("_seedlast") == 1)
     ts_type = df.schema[ts].dataType.simpleString()
     exceeded = F.when(F.col("_wcount").isNotNull(), F.col("_wcount") > lim).otherwise(F.lit(False))
-    return (out.withColumn("window_start", F.timestamp_micros("_wstart").cast(ts_type))
-               .withColumn("window_count", F.col("_wcount"))
-               .withColumn("limit_exceeded", exceeded)
-               .drop("_us", "_island", "_isl_n", "_isl_span", "_wstart", "_wcount", "_w", "_seedlast", "_fold"))
+    return (out.withColumns({"window_start": F.timestamp_micros("_wstart").cast(ts_type),
+                             "window_count": F.col("_wcount"), "limit_exceeded": exceeded})
+               .drop("_us", "_island", "_isl_n", "_isl_span", "_isl_start", "_wstart", "_wcount", "_w", "_seedlast",
+                     "_fold"))
 
 
 def open_counters(counted: DataFrame, keys: list[str], ts: str, ttl_seconds: int, as_of=None) -> DataFrame:
@@ -284,4 +283,4 @@ def sliding_log_limit(df: DataFrame, keys: list[str], ts: str, window_seconds: i
     folded = (to_fold.repartition(*keys).sortWithinPartitions(*keys, "_island", "_us", *tiebreak)
                      .mapInPandas(_fold_sliding(w_us, int(limit), [*keys, "_island"]), schema))
     return (simple.unionByName(folded).withColumnRenamed("_admitted", "admitted")
-                  .drop("_us", "_island", "_isl_n", "_isl_span", "_w"))
+                  .drop("_us", "_island", "_isl_n", "_isl_span", "_isl_start", "_w"))
