@@ -524,7 +524,29 @@ def i_key_check(spark, sf_dir):
 
 # --- L1 - L6: rate-limit replay ----------------------------------------------------
 
-@register("l1_key_counter")
+# Step-by-step replay of an anchored counter in SQL: each key's requests in
+# arrival order, the counter restarting after its lifetime (independent of the
+# island/fold plan used by the Spark operator).
+def _anchored_replay_cte(src: str, key: str, ttl: int) -> str:
+    return f"""ordered AS (
+  SELECT {key} AS k, received_at, row_number() OVER (PARTITION BY {key} ORDER BY received_at) AS rn
+  FROM {src}),
+walk AS (
+  SELECT k, rn, received_at, received_at AS window_start, CAST(1 AS BIGINT) AS window_count
+  FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.k, o.rn, o.received_at,
+         CASE WHEN o.received_at > w.window_start + INTERVAL {ttl} SECOND THEN o.received_at ELSE w.window_start END,
+         CASE WHEN o.received_at > w.window_start + INTERVAL {ttl} SECOND THEN 1 ELSE w.window_count + 1 END
+  FROM walk w JOIN ordered o ON o.k = w.k AND o.rn = w.rn + 1)"""
+
+
+@register("l1_key_counter", oracle_with(f"""
+SELECT k AS api_key, received_at, window_start, window_count, window_count > 3 AS limit_exceeded,
+       CAST(greatest(0, 3 - window_count) AS BIGINT) AS remaining,
+       received_at + INTERVAL {ADM_KEY_TTL} SECOND AS reset_at
+FROM walk""", "raw_requests", recursive=True,
+    more=_anchored_replay_cte("(SELECT * FROM raw_requests WHERE api_key IS NOT NULL) r", "api_key", ADM_KEY_TTL)))
 def l1_key_counter(spark, sf_dir):
     """Anchored per-key counter replayed over all requests carrying a key
     (limit 3, one-day lifetime: scaled to the fixture), with remaining/reset columns."""
@@ -536,7 +558,10 @@ def l1_key_counter(spark, sf_dir):
                       "remaining", "reset_at")
 
 
-@register("l2_collect_counter")
+@register("l2_collect_counter", oracle_with("""
+SELECT r.api_key, r.client_ip, w.received_at, w.window_start, w.window_count, w.window_count > 2 AS limit_exceeded
+FROM walk w JOIN raw_requests r ON coalesce(r.api_key, r.client_ip) = w.k AND r.received_at = w.received_at""",
+    "raw_requests", recursive=True, more=_anchored_replay_cte("raw_requests", "coalesce(api_key, client_ip)", 3600)))
 def l2_collect_counter(spark, sf_dir):
     """L2: per key header (else IP) counter, 2 per hour (scaled to the fixture)."""
     raw = Fixture(spark, sf_dir).raw_requests
@@ -545,7 +570,13 @@ def l2_collect_counter(spark, sf_dir):
     return out.select("api_key", "client_ip", "received_at", "window_start", "window_count", "limit_exceeded")
 
 
-@register("l4_auth_counter_aligned")
+@register("l4_auth_counter_aligned", oracle_with("""
+SELECT client_ip, received_at, window_start, window_count, window_count > 10 AS limit_exceeded FROM (
+  SELECT client_ip, received_at,
+         to_timestamp(floor(epoch_us(received_at) / 900000000) * 900) :: TIMESTAMP AS window_start,
+         row_number() OVER (PARTITION BY client_ip, floor(epoch_us(received_at) / 900000000)
+                            ORDER BY received_at) AS window_count
+  FROM raw_requests) t""", "raw_requests"))
 def l4_auth_counter_aligned(spark, sf_dir):
     """L4 option: clock-aligned 15-minute windows per client IP, limit 10."""
     raw = Fixture(spark, sf_dir).raw_requests
@@ -567,7 +598,20 @@ def l4_auth_counter_aligned_sql(spark, sf_dir):
     return out.select("client_ip", "received_at", "window_start", "window_count")
 
 
-@register("l5_sliding_log")
+@register("l5_sliding_log", oracle_with("""
+SELECT k AS userId, received_at, admitted FROM walk""", "raw_requests", recursive=True, more="""
+ordered AS (
+  SELECT userId AS k, received_at, row_number() OVER (PARTITION BY userId ORDER BY received_at) AS rn
+  FROM raw_requests),
+walk AS (
+  SELECT k, rn, received_at, true AS admitted, [received_at] AS log FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.k, o.rn, o.received_at,
+         len(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 3600 SECOND)) < 3,
+         CASE WHEN len(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 3600 SECOND)) < 3
+              THEN list_append(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 3600 SECOND), o.received_at)
+              ELSE list_filter(w.log, lambda x: o.received_at - x < INTERVAL 3600 SECOND) END
+  FROM walk w JOIN ordered o ON o.k = w.k AND o.rn = w.rn + 1)"""))
 def l5_sliding_log(spark, sf_dir):
     """Per-user sliding log admitting 3 per hour (scaled to the fixture); rejected requests not logged."""
     raw = Fixture(spark, sf_dir).raw_requests
@@ -699,7 +743,11 @@ def m6_revoke_keys(spark, sf_dir):
     return M.revoke_keys(fx.api_keys, mine, AS_OF).select("id", "app_id", "is_active", "revoked_at")
 
 
-@register("m8_touch_keys")
+@register("m8_touch_keys", oracle_with("""
+SELECT k.id, max(w.window_start) AS last_used_at, CAST(count(DISTINCT w.window_start) AS BIGINT) AS touch_writes
+FROM api_keys k LEFT JOIN walk w ON w.k = k.id GROUP BY k.id""", "raw_requests", "api_keys", recursive=True,
+    more=_anchored_replay_cte("(SELECT k.id, r.received_at FROM raw_requests r JOIN api_keys k "
+                              "ON k.key_hash = sha256(r.api_key)) u", "id", 300)))
 def m8_touch_keys(spark, sf_dir):
     """M8: replay last_used_at touches (5-minute guard) of every key over all requests that presented it."""
     fx = Fixture(spark, sf_dir)

@@ -98,15 +98,17 @@ def duckdb_view_sql(name: str) -> str:
     return _render(name, lambda t: t, "sha256(", ")")
 
 
-def oracle_with(sql: str, *views: str, more: str = "") -> str:
+def oracle_with(sql: str, *views: str, more: str = "", recursive: bool = False) -> str:
     """Prefix an oracle query with the fixture views it reads, inlined as CTEs.
 
-    ``more`` holds further CTE definitions (``name AS (...)``) placed after the views.
+    ``more`` holds further CTE definitions (``name AS (...)``) placed after the views;
+    ``recursive`` marks the list WITH RECURSIVE (for step-by-step replays).
     """
     parts = [f"{v} AS (\n{duckdb_view_sql(v)}\n)" for v in views]
     if more.strip():
         parts.append(more.strip())
-    return f"WITH {',\n'.join(parts)}\n{sql.strip()}"
+    head = "WITH RECURSIVE" if recursive else "WITH"
+    return f"{head} {',\n'.join(parts)}\n{sql.strip()}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
