@@ -466,7 +466,14 @@ def _admission(spark, sf_dir):
     return I.admission(fx.raw_requests, fx.api_keys, fx.apps, as_of=AS_OF, key_hour_ttl=ADM_KEY_TTL)
 
 
-@register("i_admission_outcome")
+from .admission_sql import admission_oracle  # noqa: E402
+
+_SEVERITY_SQL = "CASE reject_reason " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in I.SECURITY_SEVERITY.items()) + " END"
+
+
+@register("i_admission_outcome", admission_oracle("""
+SELECT received_at, api_key, client_ip, event, reject_reason, validation_errors FROM outcome""", AS_OF, ADM_KEY_TTL))
 def i_admission_outcome(spark, sf_dir):
     """Every raw request with its first failing step (NULL = accepted) and validation errors."""
     adm = _admission(spark, sf_dir)
@@ -474,7 +481,9 @@ def i_admission_outcome(spark, sf_dir):
                       F.array_join("validation_errors", ",").alias("validation_errors"))
 
 
-@register("i_admission_reason_counts")
+@register("i_admission_reason_counts", admission_oracle("""
+SELECT coalesce(reject_reason, 'accepted') AS outcome, count(*) AS requests FROM outcome GROUP BY 1""",
+    AS_OF, ADM_KEY_TTL))
 def i_admission_reason_counts(spark, sf_dir):
     """Outcome counts per reject reason ('accepted' for admitted requests)."""
     adm = _admission(spark, sf_dir)
@@ -482,13 +491,23 @@ def i_admission_reason_counts(spark, sf_dir):
                .agg(F.count(F.lit(1)).alias("requests")))
 
 
-@register("i14_accepted_events")
+@register("i14_accepted_events", admission_oracle("""
+SELECT app_id, event_name, url, referrer, device_out AS device, ip_address, user_id, session_id, ts AS "timestamp",
+       metadata, browser, os, screen_size, country, city, received_at AS created_at, CAST(ts AS DATE) AS event_date
+FROM outcome WHERE reject_reason IS NULL""", AS_OF, ADM_KEY_TTL))
 def i14_accepted_events(spark, sf_dir):
     """Accepted requests enriched into the event-table layout (ids left out: they are UUIDs)."""
     return I.accepted_events(_admission(spark, sf_dir), with_ids=False)
 
 
-@register("i15_security_events")
+@register("i15_security_events", admission_oracle(f"""
+SELECT reject_reason AS event_type, {_SEVERITY_SQL} AS severity, client_ip AS ip_address,
+       CAST(NULL AS VARCHAR) AS user_id, 'Security event: ' || reject_reason AS description,
+       CAST(CASE reject_reason WHEN 'api_key_ip_blocked' THEN to_json({{'apiKeyId': key_id, 'allowedIPs': [key_ip]}})
+                               WHEN 'api_key_rate_limit' THEN to_json({{'apiKeyId': key_id}})
+                               ELSE '{{}}' END AS VARCHAR) AS metadata,
+       false AS resolved, received_at AS created_at
+FROM outcome WHERE reject_reason IN ({", ".join(repr(k) for k in I.SECURITY_SEVERITY)})""", AS_OF, ADM_KEY_TTL))
 def i15_security_events(spark, sf_dir):
     """Security events emitted by the key checks."""
     return I.security_events(_admission(spark, sf_dir))
