@@ -815,7 +815,9 @@ def _stream_admission(spark, sf_dir):
     return out
 
 
-@register("t1_stream_admission_counts")
+@register("t1_stream_admission_counts", admission_oracle("""
+SELECT coalesce(reject_reason, 'accepted') AS outcome, count(*) AS requests FROM outcome GROUP BY 1""",
+    AS_OF, ADM_KEY_TTL))
 def t1_stream_admission_counts(spark, sf_dir):
     """Streaming admission (three micro-batches, counters carried across them):
     outcome counts; equals the batch admission (see tests)."""
@@ -827,27 +829,41 @@ def t1_stream_admission_counts(spark, sf_dir):
     return acc.unionByName(rej)
 
 
-@register("t2_stream_rollup")
+@register("t2_stream_rollup", admission_oracle("""
+SELECT app_id, CAST(ts AS DATE) AS date, event_name, count(*) AS event_count,
+       count(DISTINCT session_id) AS unique_sessions, count(DISTINCT user_id) AS unique_users,
+       count(DISTINCT device_out) AS unique_devices, count(DISTINCT country) AS unique_countries
+FROM outcome WHERE reject_reason IS NULL GROUP BY 1, 2, 3""", AS_OF, ADM_KEY_TTL))
 def t2_stream_rollup(spark, sf_dir):
     """Rollup maintained batch by batch by the streaming collection."""
     out = _stream_admission(spark, sf_dir)
     return spark.read.parquet(f"{out}/daily_summary").select(*R.ROLLUP_COLUMNS)
 
 
-@register("t3_live_event_counts")
+@register("t3_live_event_counts", oracle_with("""
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_name, count(*) AS count FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS window_start, event_name FROM analytics_events) t
+GROUP BY 1, 3
+HAVING window_start + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM analytics_events) - INTERVAL 1 HOUR""", EV))
 def t3_live_event_counts(spark, sf_dir):
-    """Watermarked hourly counts per event name over the stored event table as a stream
-    (windows still open at the end of the input are not emitted)."""
+    """Watermarked hourly counts per event name over the stored event table as a stream;
+    only windows closed by the final watermark are emitted (approximate users are computed
+    by the operator but not compared: a sketch has no exact oracle)."""
     ev_path, _ = _stored_tables(spark, sf_dir)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-live/{uuid.uuid4().hex}"
     src = spark.readStream.schema(spark.read.parquet(ev_path).schema).parquet(ev_path)
     q = (SL.live_event_counts(src).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start(f"{base}/out"))
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_name", "count")
 
 
-@register("t4_stream_key_counter")
+@register("t4_stream_key_counter", oracle_with(f"""
+SELECT k AS api_key, received_at, window_start, window_count, window_count > 3 AS limit_exceeded FROM walk""",
+    "raw_requests", recursive=True,
+    more=_anchored_replay_cte("(SELECT * FROM raw_requests WHERE api_key IS NOT NULL) r", "api_key", ADM_KEY_TTL)))
 def t4_stream_key_counter(spark, sf_dir):
     """T4: stateful streaming per-key counter (limit 3, one-day lifetime) over the raw request files."""
     base = _raw_json(spark, sf_dir)
@@ -857,4 +873,7 @@ def t4_stream_key_counter(spark, sf_dir):
          .writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start(f"{out}/data"))
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    res = spark.read.parquet(f"{out}/data")
+    return res.select(F.col("key").alias("api_key"), F.col("received_at").cast("timestamp_ntz").alias("received_at"),
+                      F.col("window_start").cast("timestamp_ntz").alias("window_start"), "window_count",
+                      "limit_exceeded")
