@@ -877,3 +877,136 @@ def t4_stream_key_counter(spark, sf_dir):
     return res.select(F.col("key").alias("api_key"), F.col("received_at").cast("timestamp_ntz").alias("received_at"),
                       F.col("window_start").cast("timestamp_ntz").alias("window_start"), "window_count",
                       "limit_exceeded")
+
+
+# --- more upkeep and lookups ----------------------------------------------------
+
+@register("m2_insert_apps", oracle_with(f"""
+SELECT id, user_id, app_name, created_at FROM apps
+UNION ALL
+SELECT 100000 + n_nationkey, n_nationkey, 'console ' || n_name, {_AS_OF_TS} FROM nation""", "apps"))
+def m2_insert_apps(spark, sf_dir):
+    """M2: every user registers one more app (ids above the existing ones)."""
+    fx = Fixture(spark, sf_dir)
+    nat = fx.raw("nation")
+    new = nat.select((F.lit(100000) + F.col("n_nationkey")).cast("long").alias("id"),
+                     F.col("n_nationkey").alias("user_id"), F.concat(F.lit("console "), F.col("n_name")).alias("app_name"))
+    return M.insert_apps(fx.apps, new, AS_OF).select("id", "user_id", "app_name", "created_at")
+
+
+@register("m3_update_apps", oracle_with(f"""
+SELECT a.id, coalesce(c.app_name, a.app_name) AS app_name, coalesce(c.description, a.description) AS description,
+       CASE WHEN c.id IS NOT NULL THEN {_AS_OF_TS} END AS updated_at
+FROM apps a LEFT JOIN (
+  SELECT s_suppkey AS id, upper(s_name) AS app_name,
+         CASE WHEN s_acctbal > 0 THEN 'balance ' || CAST(CAST(trunc(s_acctbal) AS BIGINT) AS VARCHAR) END AS description
+  FROM supplier) c ON c.id = a.id""", "apps"))
+def m3_update_apps(spark, sf_dir):
+    """M3: COALESCE update of every app from its supplier row (NULL descriptions keep the old value)."""
+    fx = Fixture(spark, sf_dir)
+    sup = fx.raw("supplier")
+    changes = sup.select(F.col("s_suppkey").alias("id"), F.upper("s_name").alias("app_name"),
+                         F.when(F.col("s_acctbal") > 0, F.concat(F.lit("balance "),
+                                F.col("s_acctbal").cast("long").cast("string"))).alias("description"))
+    apps = fx.apps.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    return M.update_apps(apps, changes, AS_OF).select("id", "app_name", "description", "updated_at")
+
+
+@register("m4_cascade_event_counts", oracle_with("""
+SELECT e.app_id, count(*) AS events FROM analytics_events e
+WHERE e.app_id NOT IN (SELECT id FROM apps WHERE user_id = 3)
+GROUP BY e.app_id""", EV, "apps"))
+def m4_cascade_event_counts(spark, sf_dir):
+    """M4: delete owner 3 with cascade; events left per app."""
+    fx = Fixture(spark, sf_dir)
+    users = fx.users.filter(F.col("id") == 3).select("id")
+    _, _, _, events, _ = M.delete_users_cascade(fx.users, fx.apps, fx.api_keys, fx.analytics_events, [], users)
+    return events.groupBy("app_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("m4_cascade_keys", oracle_with("""
+SELECT id, app_id FROM api_keys WHERE app_id NOT IN (SELECT id FROM apps WHERE user_id = 3)""", "api_keys", "apps"))
+def m4_cascade_keys(spark, sf_dir):
+    """M4: keys left after deleting owner 3 with cascade."""
+    fx = Fixture(spark, sf_dir)
+    users = fx.users.filter(F.col("id") == 3).select("id")
+    _, _, keys, _, _ = M.delete_users_cascade(fx.users, fx.apps, fx.api_keys, fx.analytics_events, [], users)
+    return keys.select("id", "app_id")
+
+
+@register("m5_insert_keys", oracle_with(f"""
+SELECT id, app_id, key_hash, key_prefix, expires_at FROM api_keys
+UNION ALL
+SELECT 1000000 + p_partkey, p_partkey % 8, sha256('new-' || CAST(p_partkey AS VARCHAR)),
+       substring('new-' || CAST(p_partkey AS VARCHAR), 1, 8), {_AS_OF_TS} + INTERVAL 365 DAY FROM part""",
+    "api_keys"))
+def m5_insert_keys(spark, sf_dir):
+    """M5: one new key per part row: hash and prefix stored, expiry one year after as_of."""
+    fx = Fixture(spark, sf_dir)
+    part = fx.raw("part")
+    new = part.select((F.lit(1000000) + F.col("p_partkey")).alias("id"), (F.col("p_partkey") % 8).alias("app_id"),
+                      F.concat(F.lit("new-"), F.col("p_partkey").cast("string")).alias("api_key"),
+                      F.col("p_name").alias("name"))
+    keys = fx.api_keys.select(*[c for c in TB.API_KEYS.fieldNames()])
+    return M.insert_keys(keys, new, AS_OF).select("id", "app_id", "key_hash", "key_prefix", "expires_at")
+
+
+@register("m7_delete_keys", oracle_with("""
+SELECT id, app_id FROM api_keys WHERE is_active""", "api_keys"))
+def m7_delete_keys(spark, sf_dir):
+    """M7: delete every inactive key."""
+    keys = Fixture(spark, sf_dir).api_keys
+    return M.delete_keys(keys, keys.filter(~F.col("is_active")).select("id")).select("id", "app_id")
+
+
+@register("m9_touch_logins", oracle_with("""
+SELECT u.id, s.last AS last_login_at FROM users u
+LEFT JOIN (SELECT user_id, max(created_at) AS last FROM security_events GROUP BY user_id) s ON s.user_id = u.id""",
+    "users", "security_events"))
+def m9_touch_logins(spark, sf_dir):
+    """M9: last_login_at from the latest security-log activity of each user."""
+    fx = Fixture(spark, sf_dir)
+    users = fx.users.withColumn("last_login_at", F.lit(None).cast("timestamp_ntz"))
+    reqs = fx.security_events.select("user_id", F.col("created_at").alias("received_at"))
+    return M.touch_logins(users, reqs).select("id", "last_login_at")
+
+
+@register("m10_audit_entries", oracle_with("""
+SELECT CAST(NULL AS VARCHAR) AS user_id, split_part(endpoint, ' ', 1) AS action,
+       split_part(endpoint, ' ', 2) AS resource, CAST(NULL AS VARCHAR) AS ip_address,
+       CAST(NULL AS VARCHAR) AS user_agent, received_at AS created_at
+FROM request_log WHERE contains(split_part(endpoint, ' ', 2), '/error')""", "request_log"))
+def m10_audit_entries(spark, sf_dir):
+    """Audit rows for requests whose path contains a watched route ('/error' here)."""
+    log = Fixture(spark, sf_dir).request_log
+    parts = F.split("endpoint", " ")
+    reqs = log.select("received_at", parts[0].alias("method"), parts[1].alias("path"),
+                      F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("client_ip"),
+                      F.lit(None).cast("string").alias("user_agent"))
+    return M.audit_entries(reqs, paths=("/error",))
+
+
+@register("m11_expired_dates", oracle_with("""
+SELECT DISTINCT CAST("timestamp" AS DATE) AS event_date FROM analytics_events
+WHERE CAST("timestamp" AS DATE) < DATE '2024-02-01'""", EV))
+def m11_expired_dates(spark, sf_dir):
+    """M11 dry run on the stored event table: partitions older than one month before 2024-03-15."""
+    ev_path, _ = _stored_tables(spark, sf_dir)
+    return M.expired_dates(spark.read.parquet(ev_path), "2024-03-15 00:00:00", months_to_keep=1)
+
+
+@register("q28_table_rows", oracle_with(f"""
+SELECT 'events' AS table_name, count(*) AS rows FROM analytics_events
+UNION ALL SELECT 'daily_summary', count(*) FROM daily""", EV, more=_ROLLUP_SQL))
+def q28_table_rows(spark, sf_dir):
+    """Q28 over the stored tables (rows per table; byte sizes depend on the writer)."""
+    ev_path, roll_path = _stored_tables(spark, sf_dir)
+    return M.table_stats(spark, {"events": ev_path, "daily_summary": roll_path}).select("table_name", "rows")
+
+
+@register("q17_bulk_lookup_apps", oracle_with("""
+SELECT * FROM apps WHERE id IN (SELECT app_id FROM api_keys)""", "apps", "api_keys"))
+def q17_bulk_lookup_apps(spark, sf_dir):
+    """Q17: apps looked up by id for every key's app (semi join)."""
+    fx = Fixture(spark, sf_dir)
+    return T.bulk_lookup(fx.apps, "id", fx.api_keys.select("app_id"))
