@@ -64,3 +64,13 @@ def rolling_after(df: DataFrame, column: str, as_of, days: int) -> DataFrame:
     """strict rolling window ``column > as_of - days``."""
     bound = typed_lit(df, column, as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     return df.filter(F.col(column) > bound)
+
+
+def filter_url_prefix(df: DataFrame, prefix: str, column: str = "url") -> DataFrame:
+    """rows whose URL starts with ``prefix`` (pushed to the Parquet scan as StringStartsWith)."""
+    return df.filter(F.col(column).startswith(prefix))
+
+
+def filter_metadata(df: DataFrame, key: str, value, column: str = "metadata") -> DataFrame:
+    """rows whose JSON metadata has ``key`` equal to ``value`` (compared as text)."""
+    return df.filter(F.get_json_object(F.col(column), f"$.{key}") == F.lit(str(value)))

@@ -181,7 +181,7 @@ def apps_with_keys(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, user_
 # Q13 - Q17 -------------------------------------------------------------------
 
 def apps_of_owner(apps: DataFrame, user_id) -> DataFrame:
-    """Q13: the owner's apps, newest first (NULL created_at first, as PostgreSQL's DESC)."""
+    """Q13: the owner's apps, newest first (NULL created_at first)."""
     return (apps.filter(F.col("user_id") == F.lit(user_id))
                 .orderBy(F.desc_nulls_first("created_at"), F.asc("id")))
 

@@ -1010,3 +1010,28 @@ def q17_bulk_lookup_apps(spark, sf_dir):
     """Q17: apps looked up by id for every key's app (semi join)."""
     fx = Fixture(spark, sf_dir)
     return T.bulk_lookup(fx.apps, "id", fx.api_keys.select("app_id"))
+
+
+@register("l3_analytics_counter", oracle_with("""
+SELECT r.userId, r.client_ip, w.received_at, w.window_start, w.window_count, w.window_count > 2 AS limit_exceeded
+FROM walk w JOIN raw_requests r
+  ON w.k = CASE WHEN r.userId IS NOT NULL THEN 'user:' || r.userId ELSE 'ip:' || r.client_ip END
+ AND w.received_at = r.received_at""", "raw_requests", recursive=True, more=_anchored_replay_cte(
+    "raw_requests", "CASE WHEN userId IS NOT NULL THEN 'user:' || userId ELSE 'ip:' || client_ip END", 3600)))
+def l3_analytics_counter(spark, sf_dir):
+    """L3: report-read counter per signed-in user, else per IP; 2 per hour (scaled to the fixture)."""
+    raw = Fixture(spark, sf_dir).raw_requests.withColumn("user_id", F.col("userId"))
+    raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
+    out = L.analytics_limit(raw, limit=2, ttl_seconds=3600, tiebreak=["_rid"])
+    return out.select("userId", "client_ip", "received_at", "window_start", "window_count", "limit_exceeded")
+
+
+@register("f13_url_prefix_metadata", oracle_with("""
+SELECT event_name, count(*) AS count FROM analytics_events
+WHERE starts_with(url, 'https://site3.') AND json_extract_string(metadata, '$.k') = '42'
+GROUP BY event_name""", EV))
+def f13_url_prefix_metadata(spark, sf_dir):
+    """events of one site (URL prefix) carrying metadata k = 42, counted per event name."""
+    from ..operators.filters import filter_metadata, filter_url_prefix
+    ev = filter_metadata(filter_url_prefix(Fixture(spark, sf_dir).analytics_events, "https://site3."), "k", 42)
+    return ev.groupBy("event_name").agg(F.count(F.lit(1)).alias("count"))
