@@ -11,8 +11,8 @@ Everything is Column expressions plus one left join to the key dimension, except
 the two counters (I7, I9), which use the exact counter replay of
 ``operators.limits``. A counter only counts the requests that reached it: rows
 already rejected get a private key, so they never share a counter with anyone.
-The annotated rows are persisted once (the caller unpersists or clears the
-cache after writing); the counters shuffle only a narrow projection, and their
+The annotated rows are persisted once (released by ``persist_scope`` around
+the caller's writes); the counters shuffle only a narrow projection, and their
 verdicts are joined back by row id.
 """
 
@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions import text as X
 from ..functions import useragent as UA
+from ..session import keep
 from . import limits as L
 
 # Body fields of a collect request (all strings; metadata is JSON text).
@@ -144,8 +144,7 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     )
     # The wide annotated rows are kept once; the two counters run on a narrow
     # projection and their verdicts are joined back by row id.
-    d = (d.withColumns({"_reason": stateless, "_rowid": F.monotonically_increasing_id()})
-          .persist(StorageLevel.MEMORY_AND_DISK))
+    d = keep(d.withColumns({"_reason": stateless, "_rowid": F.monotonically_increasing_id()}))
     n = d.select("_rowid", "_rid", "received_at", "_reason", "key_id", "_key_limit", "_key_perms", "api_key",
                  "client_ip")
 

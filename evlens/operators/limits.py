@@ -31,11 +31,12 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import keep
+
 # The reference's limits (requests, window seconds).
 KEY_HOUR_DEFAULT = 10000          # L1 per API key per hour when the key sets none
 KEY_HOUR_TTL = 3600
@@ -157,7 +158,7 @@ def anchored_counter(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int,
     over_limit = F.max(((F.col("_isl_n") > lim) & (F.col("_seedlast") == 1)).cast("int")).over(wi) == 1
     d = d.withColumn("_fold", multi & over_limit if breach_only else multi)
     # Both branches below read the island frame: keep it so the input is computed once.
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    d = keep(d)
     needs_fold = F.col("_fold")
     running = F.sum("_w").over(wi.orderBy("_us", *tiebreak).rowsBetween(Window.unboundedPreceding, 0))
     simple = d.filter(~needs_fold).withColumns({"_wstart": F.when(~multi, F.col("_isl_start")),
@@ -275,7 +276,7 @@ def sliding_log_limit(df: DataFrame, keys: list[str], ts: str, window_seconds: i
     tiebreak = list(tiebreak or [])
     w_us = int(window_seconds) * _US
     base = df.withColumn("_w", F.lit(1).cast("long"))
-    d = _islands(base, keys, ts, w_us, tiebreak, strict_gap=False).persist(StorageLevel.MEMORY_AND_DISK)
+    d = keep(_islands(base, keys, ts, w_us, tiebreak, strict_gap=False))
     needs_fold = F.col("_isl_n") > F.lit(int(limit))
     simple = d.filter(~needs_fold).withColumn("_admitted", F.lit(True))
     to_fold = d.filter(needs_fold)

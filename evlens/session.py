@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +57,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="evlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+# Frames persisted by operators inside an open ``persist_scope`` are released when it closes.
+_SCOPES: list[list] = []
+
+
+def keep(df, level=None):
+    """Persist a frame that an operator reads more than once (memory, then disk).
+
+    A lost executor recomputes the blocks from lineage. Inside ``persist_scope``
+    the frame is unpersisted when the scope closes.
+    """
+    from pyspark import StorageLevel
+    df = df.persist(level or StorageLevel.MEMORY_AND_DISK)
+    if _SCOPES:
+        _SCOPES[-1].append(df)
+    return df
+
+
+@contextmanager
+def persist_scope():
+    """Release every frame ``keep`` persisted while the scope was open (e.g. one micro-batch)."""
+    frames: list = []
+    _SCOPES.append(frames)
+    try:
+        yield frames
+    finally:
+        _SCOPES.pop()
+        for f in frames:
+            f.unpersist()

@@ -14,13 +14,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
 from ..operators import limits as L
 from ..operators import upkeep as M
+from ..session import keep, persist_scope
 from ..sources import tables as TB
 
 
@@ -45,33 +45,35 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, keys: Da
                   out_dir: str, as_of=None, months=None, key_hour_ttl: int = L.KEY_HOUR_TTL,
                   collect_limit: int = L.COLLECT_LIMIT, collect_ttl: int = L.COLLECT_TTL) -> dict:
     """Admit one micro-batch and write every output of it; safe to re-run for the same id."""
-    out = out_dir.rstrip("/")
+    with persist_scope():
+        return _process(spark, batch, batch_id, keys, apps, out_dir.rstrip("/"), as_of, months, key_hour_ttl,
+                        collect_limit, collect_ttl)
+
+
+def _process(spark, batch, batch_id, keys, apps, out, as_of, months, key_hour_ttl, collect_limit, collect_ttl):
     seeds = _read_state(spark, out, batch_id)
     adm = I.admission(batch, keys, apps, as_of=as_of, months=months, key_hour_ttl=key_hour_ttl,
                       collect_limit=collect_limit, collect_ttl=collect_ttl, seeds=seeds, keep_counters=True)
-    adm = adm.withColumn("ingest_batch", F.lit(batch_id)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        events = I.accepted_events(adm).withColumn("ingest_batch", F.lit(batch_id))
-        (TB.cluster_events(events)
-               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("event_date", "ingest_batch").parquet(f"{out}/events"))
-        (I.quarantine(adm).withColumn("ingest_batch", F.lit(batch_id))
-          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-          .partitionBy("ingest_batch").parquet(f"{out}/quarantine"))
-        (I.security_events(adm).withColumn("ingest_batch", F.lit(batch_id))
-          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-          .partitionBy("ingest_batch").parquet(f"{out}/security_events"))
-        state = I.counter_state(adm, seeds, key_hour_ttl, collect_ttl)
-        for name, frame in state.items():
-            frame.write.mode("overwrite").parquet(_state_path(out, name, batch_id))
-        # Exact refresh of the touched rollup dates.
-        stored = spark.read.parquet(f"{out}/events")
-        dates = M.touched_dates(spark.read.parquet(f"{out}/events").filter(F.col("ingest_batch") == batch_id))
-        if dates:
-            TB.write_rollup(M.refresh_rollup(stored, dates), f"{out}/daily_summary")
-        return {"batch_id": batch_id, "dates": [str(d) for d in dates]}
-    finally:
-        adm.unpersist()
+    adm = keep(adm.withColumn("ingest_batch", F.lit(batch_id)))
+    events = I.accepted_events(adm).withColumn("ingest_batch", F.lit(batch_id))
+    (TB.cluster_events(events)
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("event_date", "ingest_batch").parquet(f"{out}/events"))
+    (I.quarantine(adm).withColumn("ingest_batch", F.lit(batch_id))
+      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+      .partitionBy("ingest_batch").parquet(f"{out}/quarantine"))
+    (I.security_events(adm).withColumn("ingest_batch", F.lit(batch_id))
+      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+      .partitionBy("ingest_batch").parquet(f"{out}/security_events"))
+    state = I.counter_state(adm, seeds, key_hour_ttl, collect_ttl)
+    for name, frame in state.items():
+        frame.write.mode("overwrite").parquet(_state_path(out, name, batch_id))
+    # Exact refresh of the touched rollup dates.
+    stored = spark.read.parquet(f"{out}/events")
+    dates = M.touched_dates(stored.filter(F.col("ingest_batch") == batch_id))
+    if dates:
+        TB.write_rollup(M.refresh_rollup(stored, dates), f"{out}/daily_summary")
+    return {"batch_id": batch_id, "dates": [str(d) for d in dates]}
 
 
 def start_collect_stream(spark: SparkSession, raw_dir: str, keys: DataFrame, apps: DataFrame, out_dir: str,
