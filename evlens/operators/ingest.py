@@ -83,7 +83,7 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     ``validation_errors`` and the enriched event columns.
 
     ``raw`` needs ``received_at`` plus any of the header/body columns (missing ones
-    are NULL). ``keys`` is the api_keys table, ``apps`` the apps table (a key whose
+    are NULL); it should be a file scan (row ids are assigned on its order). ``keys`` is the api_keys table, ``apps`` the apps table (a key whose
     app is gone is unknown, as the key lookup joins apps). ``months`` is the list
     of provisioned 'YYYY-MM' months (default: from ``as_of``, else from each
     request's arrival).
@@ -93,7 +93,9 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     request's counter key, window start and count (exact, for the next seed).
     """
     seeds = seeds or {}
-    d = _with_body(raw)
+    # Row ids are taken straight off the input scan, before any shuffle, so a
+    # recomputed partition (lost executor) gets the same ids again.
+    d = _with_body(raw).withColumn("_rowid", F.monotonically_increasing_id())
     # I1 body size (bytes of the JSON body), measured before sanitising.
     scalar_body = F.to_json(F.struct(*[F.col(c) for c in BODY_FIELDS if c != "metadata"]))
     size = (F.col("body_bytes") if "body_bytes" in d.columns
@@ -144,7 +146,7 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     )
     # The wide annotated rows are kept once; the two counters run on a narrow
     # projection and their verdicts are joined back by row id.
-    d = keep(d.withColumns({"_reason": stateless, "_rowid": F.monotonically_increasing_id()}))
+    d = keep(d.withColumn("_reason", stateless))
     n = d.select("_rowid", "_rid", "received_at", "_reason", "key_id", "_key_limit", "_key_perms", "api_key",
                  "client_ip")
 
