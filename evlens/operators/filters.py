@@ -22,12 +22,27 @@ def typed_lit(df: DataFrame, column: str, value) -> Column:
     return F.lit(value).cast(df.schema[column].dataType)
 
 
+# Id lists up to this size are inlined as a pushed-down IN filter (Parquet row-group
+# pruning on the tenant-sorted files); larger ones stay a semi join.
+MAX_INLINE_IDS = 10_000
+
+
+def inline_ids(ids: DataFrame, limit: int = MAX_INLINE_IDS):
+    """The distinct values of a one-column frame as a list when there are at most ``limit``
+    of them (a bounded driver read), else None."""
+    rows = ids.distinct().limit(limit + 1).collect()
+    return None if len(rows) > limit else [r[0] for r in rows]
+
+
 def filter_apps(df: DataFrame, app_ids, column: str = "app_id") -> DataFrame:
     if app_ids is None:
         return df
     if isinstance(app_ids, DataFrame):
-        ids = app_ids.select(F.col(column).alias("__app")).distinct()
-        return df.join(ids, df[column] == ids["__app"], "left_semi")
+        first = app_ids.select(F.col(app_ids.columns[0] if column not in app_ids.columns else column).alias("__app"))
+        small = inline_ids(first)
+        if small is None:
+            return df.join(first.distinct(), df[column] == F.col("__app"), "left_semi")
+        app_ids = small
     ids = list(app_ids)
     if not ids:
         return df.filter(F.lit(False))
@@ -61,9 +76,14 @@ def event_filter(df: DataFrame, app_ids=None, event_name=None, start=None, end=N
 
 
 def rolling_after(df: DataFrame, column: str, as_of, days: int) -> DataFrame:
-    """strict rolling window ``column > as_of - days``."""
+    """strict rolling window ``column > as_of - days`` (plus the derived ``event_date``
+    bound on the event table, so old day partitions are never read)."""
     bound = typed_lit(df, column, as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
-    return df.filter(F.col(column) > bound)
+    out = df.filter(F.col(column) > bound)
+    if column == "timestamp" and "event_date" in df.columns:
+        out = out.filter(F.col("event_date") >= F.to_date(F.lit(as_of).cast("timestamp_ntz")
+                                                         - F.expr(f"INTERVAL {int(days)} DAYS")))
+    return out
 
 
 def filter_url_prefix(df: DataFrame, prefix: str, column: str = "url") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import typed_lit
+from .filters import filter_apps, rolling_after, typed_lit
 
 # Role names and their security levels (guest, user, admin,
 # super_admin) and the levels of API-key callers and anonymous callers.
@@ -47,7 +47,7 @@ def app_with_stats(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, app_i
     on (app, id) before the shuffle), then left-joined: no fan-out.
     """
     a = _apps_subset(apps, app_id=app_id)
-    e = ev.filter(_after(ev, "timestamp", as_of, days))
+    e = rolling_after(ev, "timestamp", as_of, days)
     if app_id is not None:
         e = e.filter(F.col("app_id") == F.lit(app_id))
     per_app = e.groupBy("app_id").agg(F.count_distinct("id").alias("_e"))
@@ -73,8 +73,8 @@ def owner_apps(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, user_id=N
     """
     a = _apps_subset(apps, user_id=user_id)
     e = ev
-    if user_id is not None:
-        e = e.join(a.select(F.col("id").alias("app_id")), "app_id", "left_semi")
+    if user_id is not None:  # one owner: only that owner's apps are read (pushed IN list when small)
+        e = filter_apps(e, a.select(F.col("id").alias("app_id")))
     recent = _after(e, "timestamp", as_of, days)
     per_app = (e.groupBy("app_id")
                 .agg(F.count(F.lit(1)).alias("_rows"),
@@ -111,7 +111,10 @@ def dashboard_stats(users: DataFrame, apps: DataFrame, keys: DataFrame, ev: Data
     n_apps = a.groupBy("owner").agg(F.count_distinct("app_id").alias("total_apps"))
     k = (keys.filter(F.col("is_active") == F.lit(True)).select("app_id", F.col("id").alias("key_id"))
              .join(a, "app_id").groupBy("owner").agg(F.count_distinct("key_id").alias("total_active_keys")))
-    e30 = ev.filter(_after(ev, "timestamp", as_of, 30)).select("app_id", "id", "timestamp")
+    e30 = rolling_after(ev, "timestamp", as_of, 30)
+    if user_id is not None:  # one owner: only that owner's apps are read (pushed IN list when small)
+        e30 = filter_apps(e30, a.select("app_id"))
+    e30 = e30.select("app_id", "id", "timestamp")
     per_id = e30.join(a, "app_id").groupBy("owner", "id").agg(F.max("timestamp").alias("_ts"))
     seven = _after(per_id, "_ts", as_of, 7)
     e = per_id.groupBy("owner").agg(F.count_if(seven).alias("events_last_7_days"),

@@ -50,3 +50,15 @@ def test_recent_events_limit_below_shuffle(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "WindowGroupLimit" in p
+
+
+def test_single_owner_dashboard_prunes_scan(spark, tmp_path):
+    from evlens.operators import tenants as T
+    ev = spark.read.parquet(stored(spark, tmp_path))
+    apps = spark.createDataFrame([(1, 7, "a", None), (2, 8, "b", None)],
+                                 "id long, user_id long, app_name string, created_at timestamp_ntz")
+    keys = spark.createDataFrame([(1, 1, True)], "id long, app_id long, is_active boolean")
+    users = spark.createDataFrame([(7, "user")], "id long, role string")
+    p = plan_of(T.dashboard_stats(users, apps, keys, ev, "2024-01-10 00:00:00", user_id=7))
+    assert "In(app_id, [1])" in p or "EqualTo(app_id,1)" in p
+    assert "PartitionFilters: [isnotnull(event_date" in p
