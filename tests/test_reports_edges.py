@@ -103,3 +103,13 @@ def test_owner_apps_fan_out_factor(spark):
     assert out[1]["active_api_keys"] == 0
     exact = T.owner_apps(apps, keys, ev(spark, rows), "2024-01-31 00:00:00", 7, exact_keys=True).first()
     assert exact["active_api_keys"] == 2
+
+
+def test_rollup_sums_equal_raw_counts(spark):
+    rows = [row(i, i % 4, ["click", "view", "buy"][i % 3], dt.datetime(2024, 1, 1 + i % 7, i % 24), user=str(i % 9))
+            for i in range(300)]
+    df = ev(spark, rows)
+    q8 = {r["event_name"]: r["n"] for r in R.daily_summary(df).groupBy("event_name")
+          .agg(F.sum("event_count").alias("n")).collect()}
+    q3 = {r["event_name"]: r["count"] for r in R.top_events_raw(df, limit=10).collect()}
+    assert q8 == q3
