@@ -57,11 +57,18 @@ ISO8601_PATTERN = (r"^\d{4}-?\d{2}-?\d{2}"
 _INJECTION_ANY = "(?i)" + "|".join(INJECTION_PATTERNS)
 
 
+_SANITIZE_ANY = "|".join(f"(?:{p})" for p, _ in SANITIZE_STEPS)
+
+
 def sanitize(c: Column) -> Column:
-    """C14: strip angle brackets, ``javascript:`` and inline ``on...=`` handlers."""
+    """C14: strip angle brackets, ``javascript:`` and inline ``on...=`` handlers.
+
+    One regex test decides whether the three replacements run at all.
+    """
+    out = c
     for pattern, repl in SANITIZE_STEPS:
-        c = F.regexp_replace(c, pattern, repl)
-    return c
+        out = F.regexp_replace(out, pattern, repl)
+    return F.when(c.rlike(_SANITIZE_ANY), out).otherwise(c)
 
 
 def injection_hit(c: Column) -> Column:

@@ -96,10 +96,18 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     # Row ids are taken straight off the input scan, before any shuffle, so a
     # recomputed partition (lost executor) gets the same ids again.
     d = _with_body(raw).withColumn("_rowid", F.monotonically_increasing_id())
-    # I1 body size (bytes of the JSON body), measured before sanitising.
+    # I1 body size (bytes of the JSON body), measured before sanitising. The raw value
+    # bytes bound it from below, six times that (worst-case escaping) plus the field
+    # names from above; the body is serialised only when the bounds cannot decide.
     scalar_body = F.to_json(F.struct(*[F.col(c) for c in BODY_FIELDS if c != "metadata"]))
+    exact = F.octet_length(scalar_body) + F.coalesce(F.octet_length("metadata"), F.lit(0))
+    lower = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in BODY_FIELDS)
+    # Per field at most: quoted name, colon, quoted value, comma; escaping at most 6x.
+    upper = lower * 6 + sum(len(c) + 6 for c in BODY_FIELDS) + 2
     size = (F.col("body_bytes") if "body_bytes" in d.columns
-            else F.octet_length(scalar_body) + F.coalesce(F.octet_length("metadata"), F.lit(0)))
+            else F.when(lower > X.BODY_MAX_BYTES, lower)
+                  .when(upper <= X.BODY_MAX_BYTES, lower)
+                  .otherwise(exact))
     # I2 sanitise (top-level strings with Column regexes; nested metadata by the walk,
     # fed only to rows whose raw text needs it). Each step is one projection.
     needs_walk = F.col("metadata").rlike(X.NEEDS_WALK_PATTERN)
