@@ -164,7 +164,8 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
                              .otherwise(private))
     n = L.anchored_counter(n, ["_k1"], "received_at", key_hour_ttl,
                            F.coalesce(F.nullif(F.col("_key_limit"), F.lit(0)), F.lit(L.KEY_HOUR_DEFAULT)),
-                           tiebreak=["_rid"], breach_only=not keep_counters, seed=seeds.get("key_hour"))
+                           tiebreak=["_rid"], breach_only=not keep_counters, seed=seeds.get("key_hour"),
+                           hot_where=F.col("_k1").startswith("k"))
     # I8 write permission.
     n = n.withColumns({
         "_reason": F.when(F.col("_reason").isNull() & F.col("limit_exceeded"), F.lit("api_key_rate_limit"))
@@ -178,7 +179,8 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
                                    F.concat(F.lit("k"), F.coalesce(F.col("api_key"), F.col("client_ip"))))
                              .otherwise(private))
     n = L.anchored_counter(n, ["_k2"], "received_at", collect_ttl, collect_limit, tiebreak=["_rid"],
-                           breach_only=not keep_counters, seed=seeds.get("collect"))
+                           breach_only=not keep_counters, seed=seeds.get("collect"),
+                           hot_where=F.col("_k2").startswith("k"))
     n = n.select("_rowid", "_k1", "_c1_start", "_c1_count", "_k2",
                  F.col("window_start").alias("_c2_start"), F.col("window_count").alias("_c2_count"),
                  F.when(F.col("_reason").isNull() & F.col("limit_exceeded"), F.lit("collect_rate_limit"))

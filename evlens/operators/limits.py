@@ -131,10 +131,43 @@ def _fold_anchored(ttl_us: int, group_cols: list[str]):
     return fold
 
 
+# Keys with more requests than this are counted without any per-key task.
+HOT_KEY_ROWS = 5_000_000
+# At most this many hot keys are read back to the driver (a bounded list).
+MAX_HOT_KEYS = 100_000
+
+
 def anchored_counter(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int, limit,
                      tiebreak: list[str] | None = None, breach_only: bool = False,
-                     seed: DataFrame | None = None) -> DataFrame:
-    """L1-L4: add ``window_start``, ``window_count`` and ``limit_exceeded`` to every row.
+                     seed: DataFrame | None = None, hot_rows: int | None = HOT_KEY_ROWS,
+                     hot_where: Column | None = None) -> DataFrame:
+    """L1-L4, see ``_anchored_fold``. Keys with more than ``hot_rows`` requests
+    go to ``anchored_counter_parallel`` (no step that puts one key in one task);
+    the rest are folded per island. ``hot_rows=None`` folds every key;
+    ``hot_where`` limits the hot-key count to rows that can share a key."""
+    if hot_rows is not None:
+        cand = df if hot_where is None else df.filter(hot_where)
+        counts = cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        hot = counts.select(*keys).limit(MAX_HOT_KEYS + 1).collect()
+        if len(hot) > MAX_HOT_KEYS:
+            raise ValueError("too many hot keys for the split; raise hot_rows")
+        if hot:
+            hot_df = df.sparkSession.createDataFrame(hot, df.select(*keys).schema)
+            hot_part = df.join(F.broadcast(hot_df), keys, "left_semi")
+            cold_part = df.join(F.broadcast(hot_df), keys, "left_anti")
+            hot_seed = seed.join(F.broadcast(hot_df), keys, "left_semi") if seed is not None else None
+            cold_seed = seed.join(F.broadcast(hot_df), keys, "left_anti") if seed is not None else None
+            a = anchored_counter_parallel(hot_part, keys, ts, ttl_seconds, limit, tiebreak, hot_seed)
+            b = _anchored_fold(cold_part, keys, ts, ttl_seconds, limit, tiebreak, breach_only, cold_seed)
+            return b.unionByName(a.select(*b.columns))
+    return _anchored_fold(df, keys, ts, ttl_seconds, limit, tiebreak, breach_only, seed)
+
+
+def _anchored_fold(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int, limit,
+                   tiebreak: list[str] | None = None, breach_only: bool = False,
+                   seed: DataFrame | None = None) -> DataFrame:
+    """L1-L4 by islands and folds: add ``window_start``, ``window_count`` and
+    ``limit_exceeded`` to every row.
 
     ``limit`` is an int or a Column (e.g. a per-key limit). With ``breach_only``
     islands that cannot exceed the limit are not folded and their
@@ -285,3 +318,103 @@ def sliding_log_limit(df: DataFrame, keys: list[str], ts: str, window_seconds: i
                      .mapInPandas(_fold_sliding(w_us, int(limit), [*keys, "_island"]), schema))
     return (simple.unionByName(folded).withColumnRenamed("_admitted", "admitted")
                   .drop("_us", "_island", "_isl_n", "_isl_span", "_isl_start", "_w"))
+
+
+# --- anchored counter without a per-key sequential step ---------------------------
+#
+# The windows are a greedy cover of each key's arrival times: a window starts at
+# the first time not covered by the previous one. With nxt(u) = first arrival
+# strictly after u + ttl, the window starts of a key are the chain
+# first -> nxt(first) -> nxt(nxt(first)) -> ... Every step below is grouped by
+# (key, ttl-bucket) or by (key, window), never by the key alone:
+#   1. nxt for every distinct arrival time: an as-of lookup inside the bucket the
+#      probe u + ttl falls in, else the first arrival of the next non-empty bucket
+#      (a per-key table of bucket minima, one row per bucket).
+#   2. the chain by pointer doubling: each round doubles the known prefix of every
+#      key's chain and squares the pointer table (O(log #windows) rounds).
+#   3. each row's window: at most one window starts per bucket, so a row belongs
+#      to its own bucket's start (when at or after it) or else to the previous
+#      bucket's; the count is a running sum inside (key, window start).
+
+def _next_arrival(times: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
+    """(keys, _us, _nxt): the first distinct arrival strictly after _us + ttl (NULL if none)."""
+    d = times.withColumn("_b", F.floor(F.col("_us") / ttl_us))
+    probes = d.select(*keys, (F.col("_us") + ttl_us).alias("_t"), F.col("_us").alias("_src"),
+                      F.floor((F.col("_us") + ttl_us) / ttl_us).alias("_b"), F.lit(1).alias("_kind"))
+    points = d.select(*keys, F.col("_us").alias("_t"), F.lit(None).cast("long").alias("_src"), "_b",
+                      F.lit(0).alias("_kind"))
+    # Points sort before probes at equal time, so a probe only sees strictly later points.
+    w = (Window.partitionBy(*keys, "_b").orderBy("_t", "_kind")
+               .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    found = (points.unionByName(probes)
+                   .withColumn("_hit", F.first(F.when(F.col("_kind") == 0, F.col("_t")), ignorenulls=True).over(w))
+                   .filter(F.col("_kind") == 1))
+    # Probes with nothing later in their bucket: first arrival of a later bucket.
+    mins = d.groupBy(*keys, "_b").agg(F.min("_us").alias("_m")).withColumn("_kind", F.lit(0))
+    miss = found.filter(F.col("_hit").isNull()).select(*keys, "_b").distinct().withColumn("_kind", F.lit(1))
+    wb = (Window.partitionBy(*keys).orderBy("_b", "_kind")
+                .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    later = (mins.unionByName(miss, allowMissingColumns=True)
+                 .withColumn("_later", F.first(F.when(F.col("_kind") == 0, F.col("_m")), ignorenulls=True).over(wb))
+                 .filter(F.col("_kind") == 1).select(*keys, "_b", "_later"))
+    return (found.join(later, [*keys, "_b"], "left")
+                 .select(*keys, F.col("_src").alias("_us"), F.coalesce("_hit", "_later").alias("_nxt")))
+
+
+def _chain(nxt: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _us) of every window start: the nxt-chain from each key's first arrival.
+
+    Round k holds the first 2^k chain nodes of every key and the 2^k-step
+    pointers; following those pointers from the known nodes yields the next 2^k
+    nodes, and composing the pointers with themselves gives the 2^(k+1)-step
+    ones. The pointer table joins itself every round, so each round's tables are
+    checkpointed to the shared checkpoint folder (lineage cut, survives executor
+    loss); there are O(log #windows) rounds.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(nxt.sparkSession)
+    pointer = nxt.select(*keys, F.col("_us").alias("_u"), F.col("_nxt").alias("_v")).checkpoint(eager=True)
+    known = nxt.groupBy(*keys).agg(F.min("_us").alias("_u")).checkpoint(eager=True)
+    while True:
+        ahead = (known.join(pointer, [*keys, "_u"]).filter(F.col("_v").isNotNull())
+                      .select(*keys, F.col("_v").alias("_u")).checkpoint(eager=True))
+        if ahead.isEmpty():
+            return known.withColumnRenamed("_u", "_us")
+        known = known.unionByName(ahead).checkpoint(eager=True)
+        a, b = pointer.alias("a"), pointer.alias("b")
+        cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._v") == F.col("b._u")]
+        pointer = (a.join(b, cond, "left")
+                    .select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a._u").alias("_u"),
+                            F.col("b._v").alias("_v"))
+                    .checkpoint(eager=True))
+
+
+def anchored_counter_parallel(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int, limit,
+                              tiebreak: list[str] | None = None, seed: DataFrame | None = None) -> DataFrame:
+    """L1-L4 like ``anchored_counter`` (same columns, same values) with no step that
+    groups by the key alone: for keys too hot for one task."""
+    tiebreak = ["_seedlast", *(tiebreak or [])]
+    ttl_us = int(ttl_seconds) * _US
+    lim = _limit_col(limit)
+    base = df.withColumns({"_w": F.lit(1).cast("long"), "_seedlast": F.lit(1)})
+    if seed is not None:
+        s = seed.select(*keys, F.col("window_start").cast(df.schema[ts].dataType).alias(ts),
+                        F.col("seed_count").cast("long").alias("_w"), F.lit(0).alias("_seedlast"))
+        base = base.unionByName(s, allowMissingColumns=True)
+    d = base.withColumn("_us", _micros(F.col(ts)))
+    starts = _chain(_next_arrival(d.select(*keys, "_us").distinct(), keys, ttl_us), keys)
+    starts = starts.select(*keys, F.col("_us").alias("_s"), F.floor(F.col("_us") / ttl_us).alias("_sb"))
+    rows = d.withColumn("_rb", F.floor(F.col("_us") / ttl_us))
+    own = starts.select(*keys, F.col("_sb").alias("_rb"), F.col("_s").alias("_own"))
+    prev = starts.select(*keys, (F.col("_sb") + 1).alias("_rb"), F.col("_s").alias("_prev"))
+    rows = rows.join(own, [*keys, "_rb"], "left").join(prev, [*keys, "_rb"], "left")
+    rows = rows.withColumn("_wstart", F.when(F.col("_own").isNotNull() & (F.col("_own") <= F.col("_us")),
+                                             F.col("_own")).otherwise(F.col("_prev")))
+    w = (Window.partitionBy(*keys, "_wstart").orderBy("_us", *tiebreak)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ts_type = df.schema[ts].dataType.simpleString()
+    return (rows.withColumn("window_count", F.sum("_w").over(w))
+                .filter(F.col("_seedlast") == 1)
+                .withColumns({"window_start": F.timestamp_micros("_wstart").cast(ts_type),
+                              "limit_exceeded": F.col("window_count") > lim})
+                .drop("_us", "_rb", "_own", "_prev", "_wstart", "_w", "_seedlast"))

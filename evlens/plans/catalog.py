@@ -577,6 +577,19 @@ def l1_key_counter(spark, sf_dir):
                       "remaining", "reset_at")
 
 
+@register("l1_key_counter_parallel", oracle_with(f"""
+SELECT k AS api_key, received_at, window_start, window_count, window_count > 3 AS limit_exceeded FROM walk""",
+    "raw_requests", recursive=True,
+    more=_anchored_replay_cte("(SELECT * FROM raw_requests WHERE api_key IS NOT NULL) r", "api_key", ADM_KEY_TTL)))
+def l1_key_counter_parallel(spark, sf_dir):
+    """L1 through the hot-key path (every key treated as hot): next-window pointers per
+    (key, day) and pointer doubling, no step grouped by the key alone."""
+    raw = Fixture(spark, sf_dir).raw_requests.filter(F.col("api_key").isNotNull())
+    raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
+    out = L.anchored_counter(raw, ["api_key"], "received_at", ADM_KEY_TTL, 3, tiebreak=["_rid"], hot_rows=0)
+    return out.select("api_key", "received_at", "window_start", "window_count", "limit_exceeded")
+
+
 @register("l2_collect_counter", oracle_with("""
 SELECT r.api_key, r.client_ip, w.received_at, w.window_start, w.window_count, w.window_count > 2 AS limit_exceeded
 FROM walk w JOIN raw_requests r ON coalesce(r.api_key, r.client_ip) = w.k AND r.received_at = w.received_at""",

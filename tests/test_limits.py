@@ -110,3 +110,35 @@ def test_folds_carry_state_across_arrow_batches(spark):
         test_seeded_batches_equal_one_batch(spark)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_hot_keys_take_the_parallel_path(spark):
+    rows = gen(6, 300)
+    rows += [(k, t, 10000 + i) for i, (k, t, _) in enumerate(rows[::5])]   # tied arrival times
+    cold = L.anchored_counter(frame(spark, rows), ["k"], "ts", 3600, 4, tiebreak=["seq"], hot_rows=None)
+    mixed = L.anchored_counter(frame(spark, rows), ["k"], "ts", 3600, 4, tiebreak=["seq"], hot_rows=50)
+    par = L.anchored_counter_parallel(frame(spark, rows), ["k"], "ts", 3600, 4, tiebreak=["seq"])
+    cols = ["k", "seq", "window_start", "window_count", "limit_exceeded"]
+    a = sorted(tuple(r) for r in cold.select(*cols).collect())
+    assert a == sorted(tuple(r) for r in mixed.select(*cols).collect())
+    assert a == sorted(tuple(r) for r in par.select(*cols).collect())
+    for key in ("a", "b", "c"):
+        ts = sorted(((t, s) for k, t, s in rows if k == key))
+        exp = naive_anchored([t for t, _ in ts], dt.timedelta(seconds=3600), 4)
+        got = {(r[0], r[1]): r for r in a}
+        assert [(got[(key, s)][2], got[(key, s)][3]) for _, s in ts] == [e[:2] for e in exp]
+
+
+def test_parallel_path_with_seed(spark):
+    rows = gen(7, 150)
+    cut = sorted(t for _, t, _ in rows)[len(rows) // 2]
+    whole = L.anchored_counter(frame(spark, rows), ["k"], "ts", 3600, 4, tiebreak=["seq"], hot_rows=None)
+    first = L.anchored_counter(frame(spark, [r for r in rows if r[1] < cut]), ["k"], "ts", 3600, 4,
+                               tiebreak=["seq"], hot_rows=None)
+    seed = L.open_counters(first, ["k"], "ts", 3600)
+    second = L.anchored_counter_parallel(frame(spark, [r for r in rows if r[1] >= cut]), ["k"], "ts", 3600, 4,
+                                         tiebreak=["seq"], seed=seed)
+    cols = ["k", "seq", "window_start", "window_count", "limit_exceeded"]
+    a = sorted(tuple(r) for r in whole.select(*cols).collect())
+    b = sorted(tuple(r) for r in first.select(*cols).unionByName(second.select(*cols)).collect())
+    assert a == b
