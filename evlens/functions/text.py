@@ -48,6 +48,9 @@ EVENT_NAME_MAX = 255
 URL_MAX = 2048
 BODY_MAX_BYTES = 1024 * 1024
 
+# UUID version 4, case-insensitive, whole string.
+UUID_V4_PATTERN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
+
 # ISO-8601 date or date-time as accepted at the API boundary (our own pattern):
 # calendar date (YYYY-MM-DD or YYYYMMDD), optional time hh:mm[:ss[.fraction]]
 # after 'T' or a space, optional Z or +/-hh[:mm] offset.
@@ -99,6 +102,11 @@ def is_iso8601(c: Column) -> Column:
     return c.rlike(ISO8601_PATTERN)
 
 
+def is_uuid_v4(c: Column) -> Column:
+    """A version-4 UUID (NULL stays NULL; an absent id is not checked)."""
+    return c.rlike(UUID_V4_PATTERN)
+
+
 # --- nested metadata walk ---------------------------------------------------
 
 # Python mirrors of the same patterns (ASCII classes, as in JavaScript).

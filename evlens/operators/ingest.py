@@ -145,7 +145,9 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
         else F.col("received_at")
     stateless = _first_reason(
         (F.col("_size") > X.BODY_MAX_BYTES, "too_large"),
-        (~F.col("_meta_ok"), "malformed_body"),
+        (~F.col("_meta_ok")
+         | (F.col("_corrupt_record").isNotNull() if "_corrupt_record" in raw.columns else F.lit(False)),
+         "malformed_body"),
         (inj, "sql_pattern"),
         (F.col("_hash").isNull(), "api_key_missing"),
         (F.col("key_id").isNull() | ~K.key_usable(F.col("_key_active"), F.col("_key_expires"), now),

@@ -68,8 +68,14 @@ def upsert_users(users: DataFrame, changes: DataFrame, as_of, order_col: str | N
 # M2 / M3 / M4 ------------------------------------------------------------------
 
 def insert_apps(apps: DataFrame, new_apps: DataFrame, as_of) -> DataFrame:
-    """M2: append apps (created_at = updated_at = as_of)."""
+    """M2: append apps (created_at = updated_at = as_of).
+
+    C19: name, URL and description are trimmed; a registration whose name is
+    missing or blank is refused (not inserted).
+    """
     now = _now(apps, "created_at", as_of)
+    trimmed = {c: F.trim(F.col(c)) for c in ("app_name", "app_url", "description") if c in new_apps.columns}
+    new_apps = new_apps.withColumns(trimmed).filter(F.coalesce(F.col("app_name") != "", F.lit(False)))
     add = new_apps.select(*[(F.col(f.name) if f.name in new_apps.columns else
                              (now if f.name in ("created_at", "updated_at") else F.lit(None))).cast(f.dataType)
                             .alias(f.name) for f in apps.schema])

@@ -79,3 +79,11 @@ def test_key_helpers(spark):
                     K.ip_allowed(F.col("ips"), F.lit("10.0.0.2")).alias("ip"),
                     K.has_permission(F.col("p"), "write").alias("w")).collect()
     assert [tuple(r) for r in out] == [("key-1", 64, False, True), ("k", 64, True, False)]
+
+
+@pytest.mark.parametrize("value,ok", [
+    ("123e4567-e89b-42d3-a456-426614174000", True), ("123E4567-E89B-42D3-A456-426614174000", True),
+    ("123e4567-e89b-12d3-a456-426614174000", False), ("not-a-uuid", False),
+])
+def test_uuid_v4(spark, value, ok):
+    assert bool(one(spark, X.is_uuid_v4, value)) == ok

@@ -74,3 +74,26 @@ def test_api_shapes(spark):
     users = spark.createDataFrame([(7, "user")], "id long, role string")
     dash = T.dashboard(users, apps, keys, ev, "2024-01-31 00:00:00", user_id=7, nested=True).first()
     assert dash["total_apps"] == 1 and [a["app_id"] for a in dash["apps"]] == [1]
+
+
+def test_register_trims_and_refuses_blank_names(spark):
+    apps = spark.createDataFrame([], "id long, user_id long, app_name string, app_url string, description string, "
+                                     "created_at timestamp_ntz, updated_at timestamp_ntz")
+    new = spark.createDataFrame([(1, 7, "  Shop  ", " https://x ", None), (2, 7, "   ", None, None), (3, 7, None, None, None)],
+                                "id long, user_id long, app_name string, app_url string, description string")
+    out = M.insert_apps(apps, new, "2024-01-31 00:00:00").collect()
+    assert [(r["id"], r["app_name"], r["app_url"]) for r in out] == [(1, "Shop", "https://x")]
+
+
+def test_corrupt_json_line_is_malformed(spark, tmp_path):
+    from evlens.operators import ingest as I
+    p = tmp_path / "raw"
+    p.mkdir()
+    (p / "a.json").write_text('{"received_at": "2024-01-15T12:00:00.000000", "api_key": "k", "event": "click"}\n{oops\n')
+    raw = TB.read_raw(spark, str(p))
+    keys = spark.createDataFrame([], "id long, app_id long, key_hash string, is_active boolean, expires_at timestamp_ntz, "
+                                     "allowed_ips array<string>, permissions struct<read:boolean,write:boolean>, "
+                                     "rate_limit_per_hour int")
+    apps = spark.createDataFrame([], "id long")
+    got = sorted(r["reject_reason"] for r in I.admission(raw, keys, apps).collect())
+    assert got == ["api_key_invalid", "malformed_body"]
