@@ -6,10 +6,23 @@ Spark from the test tables), so its work grows with the data.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import ingest as I
+from ..operators import limits as L
 from ..operators import reports as R
+from ..operators import reqlog as RL
+from ..operators import security as S
+from ..operators import tenants as T
+from ..operators import upkeep as M
+from ..session import ensure_checkpoint_dir
+from ..sources import tables as TB
 from ..sources.fixtures import AS_OF, Fixture, oracle_with
+from ..streaming import collect as SC
+from ..streaming import live as SL
+from .admission_sql import admission_oracle
 from .registry import register
 
 EV = "analytics_events"
@@ -178,7 +191,6 @@ def q8_daily_summary(spark, sf_dir):
 
 # --- Q9 - Q19: tenants, keys, users ----------------------------------------
 
-from ..operators import tenants as T  # noqa: E402
 
 _AS_OF_TS = f"TIMESTAMP '{AS_OF}'"
 _APPS_JOIN = """FROM apps a LEFT JOIN api_keys ak ON a.id = ak.app_id
@@ -375,9 +387,6 @@ def q19_user_security_level(spark, sf_dir):
 
 # --- Q20 - Q23: security log ---------------------------------------------------
 
-from ..operators import reqlog as RL  # noqa: E402
-from ..operators import security as S  # noqa: E402
-
 
 @register("q20_security_recent", oracle_with(f"""
 SELECT * FROM security_events WHERE created_at > {_AS_OF_TS} - INTERVAL 24 HOUR""", "security_events"))
@@ -452,8 +461,6 @@ def q29_slow_requests(spark, sf_dir):
 
 # --- I1 - I15: admission ---------------------------------------------------------
 
-from ..operators import ingest as I  # noqa: E402
-from ..operators import limits as L  # noqa: E402
 
 # The fixture's keys allow 3 requests per counter window and see ~7 requests per
 # key and day, so the hourly counter is replayed with a one-day lifetime to make
@@ -466,8 +473,6 @@ def _admission(spark, sf_dir):
     return I.admission(fx.raw_requests, fx.api_keys, fx.apps, as_of=AS_OF, key_hour_ttl=ADM_KEY_TTL)
 
 
-from .admission_sql import admission_oracle  # noqa: E402
-
 _SEVERITY_SQL = "CASE reject_reason " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in I.SECURITY_SEVERITY.items()) + " END"
 
@@ -654,11 +659,6 @@ def l5_sliding_log(spark, sf_dir):
 
 # --- M1 - M15, Q27: table upkeep ---------------------------------------------------
 
-import uuid  # noqa: E402
-
-from ..operators import upkeep as M  # noqa: E402
-from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..sources import tables as TB  # noqa: E402
 
 _SCRATCH: dict = {}
 
@@ -793,8 +793,6 @@ def m8_touch_keys(spark, sf_dir):
 
 # --- T1 - T4: streaming ---------------------------------------------------------
 
-from ..streaming import collect as SC  # noqa: E402
-from ..streaming import live as SL  # noqa: E402
 
 _RAW_JSON: dict = {}
 
