@@ -97,3 +97,15 @@ def test_corrupt_json_line_is_malformed(spark, tmp_path):
     apps = spark.createDataFrame([], "id long")
     got = sorted(r["reject_reason"] for r in I.admission(raw, keys, apps).collect())
     assert got == ["api_key_invalid", "malformed_body"]
+
+
+def test_live_counts_have_sketch_users(spark, tmp_path):
+    from evlens.streaming import live as SL
+    path = str(tmp_path / "ev")
+    TB.append_events(events(spark, [1, 1, 2, 3]), path)
+    src = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    q = (SL.live_event_counts(src).writeStream.format("memory").queryName("live_t3").outputMode("append")
+         .trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.awaitTermination()
+    rows = spark.sql("SELECT * FROM live_t3").collect()
+    assert rows and all(1 <= r["approx_users"] <= r["count"] for r in rows)
