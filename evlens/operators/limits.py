@@ -52,6 +52,12 @@ def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def _bucket(c: Column, width_us: int) -> Column:
+    """Exact floor(c / width) for microsecond longs (integer arithmetic, negatives included)."""
+    w = F.lit(int(width_us))
+    return ((c - F.pmod(c, w)) / w).cast("long")
+
+
 def _limit_col(limit) -> Column:
     return limit if isinstance(limit, Column) else F.lit(int(limit))
 
@@ -234,7 +240,7 @@ def aligned_counter(df: DataFrame, keys: list[str], ts: str, window_seconds: int
                     tiebreak: list[str] | None = None) -> DataFrame:
     """Clock-aligned fixed windows (L4 option): rank within (key, floor(t / window))."""
     w_us = int(window_seconds) * _US
-    bucket = F.floor(_micros(F.col(ts)) / w_us)
+    bucket = _bucket(_micros(F.col(ts)), w_us)
     d = df.withColumn("_b", bucket)
     rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.col(ts), *(tiebreak or [])))
     ts_type = df.schema[ts].dataType.simpleString()
@@ -338,9 +344,9 @@ def sliding_log_limit(df: DataFrame, keys: list[str], ts: str, window_seconds: i
 
 def _next_arrival(times: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
     """(keys, _us, _nxt): the first distinct arrival strictly after _us + ttl (NULL if none)."""
-    d = times.withColumn("_b", F.floor(F.col("_us") / ttl_us))
+    d = times.withColumn("_b", _bucket(F.col("_us"), ttl_us))
     probes = d.select(*keys, (F.col("_us") + ttl_us).alias("_t"), F.col("_us").alias("_src"),
-                      F.floor((F.col("_us") + ttl_us) / ttl_us).alias("_b"), F.lit(1).alias("_kind"))
+                      _bucket(F.col("_us") + ttl_us, ttl_us).alias("_b"), F.lit(1).alias("_kind"))
     points = d.select(*keys, F.col("_us").alias("_t"), F.lit(None).cast("long").alias("_src"), "_b",
                       F.lit(0).alias("_kind"))
     # Points sort before probes at equal time, so a probe only sees strictly later points.
@@ -403,8 +409,8 @@ def anchored_counter_parallel(df: DataFrame, keys: list[str], ts: str, ttl_secon
         base = base.unionByName(s, allowMissingColumns=True)
     d = base.withColumn("_us", _micros(F.col(ts)))
     starts = _chain(_next_arrival(d.select(*keys, "_us").distinct(), keys, ttl_us), keys)
-    starts = starts.select(*keys, F.col("_us").alias("_s"), F.floor(F.col("_us") / ttl_us).alias("_sb"))
-    rows = d.withColumn("_rb", F.floor(F.col("_us") / ttl_us))
+    starts = starts.select(*keys, F.col("_us").alias("_s"), _bucket(F.col("_us"), ttl_us).alias("_sb"))
+    rows = d.withColumn("_rb", _bucket(F.col("_us"), ttl_us))
     own = starts.select(*keys, F.col("_sb").alias("_rb"), F.col("_s").alias("_own"))
     prev = starts.select(*keys, (F.col("_sb") + 1).alias("_rb"), F.col("_s").alias("_prev"))
     rows = rows.join(own, [*keys, "_rb"], "left").join(prev, [*keys, "_rb"], "left")
