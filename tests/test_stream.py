@@ -40,3 +40,21 @@ def test_stream_equals_batch(spark):
     a = sorted(tuple(r) for r in R.daily_summary(stored).collect())
     b = sorted(tuple(r) for r in spark.read.parquet(f"{base}/out/daily_summary").select(*R.ROLLUP_COLUMNS).collect())
     assert a == b
+
+
+def test_batch_job_equals_admission(spark):
+    from evlens import jobs
+    fx = Fixture(spark, SF_SMALL)
+    base = f"{ensure_checkpoint_dir(spark)}/test-batchjob-{uuid.uuid4().hex}"
+    TB.write_raw(fx.raw_requests, f"{base}/raw")
+    keys = fx.api_keys.select(*TB.API_KEYS.fieldNames())
+    apps = fx.apps.withColumn("updated_at", F.lit(None).cast("timestamp_ntz")).select(*TB.APPS.fieldNames())
+    keys.write.parquet(f"{base}/keys")
+    apps.write.parquet(f"{base}/apps")
+    jobs.run_admission_batch(spark, f"{base}/raw", f"{base}/keys", f"{base}/apps", f"{base}/out", 0,
+                             as_of=AS_OF, key_hour_ttl=7 * 86400)
+    batch = I.admission(fx.raw_requests, keys, apps, as_of=AS_OF, key_hour_ttl=7 * 86400)
+    exp = {r[0]: r[1] for r in batch.groupBy(F.coalesce("reject_reason", F.lit("ok"))).count().collect()}
+    got = {r[0]: r[1] for r in spark.read.parquet(f"{base}/out/quarantine").groupBy("reject_reason").count().collect()}
+    got["ok"] = spark.read.parquet(f"{base}/out/events").count()
+    assert got == exp
