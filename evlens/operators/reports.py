@@ -144,19 +144,24 @@ def top_events_raw(ev: DataFrame, app_ids=None, start=None, end=None, limit=10,
               .limit(limit))
 
 
-def top_events_rollup(rollup: DataFrame, app_ids=None, as_of=None, limit=10, days: int = 30) -> DataFrame:
+def top_events_rollup(rollup: DataFrame, app_ids=None, as_of=None, limit=10, days: int = 30,
+                      users_estimate: bool = False) -> DataFrame:
     """Q4: the same from the daily rollup over ``date >= as_of_date - days``.
 
     ``unique_users`` is the sum of per-(app, day) distinct users, i.e. user-days,
     exactly as the rollup-backed report defines it; it is not a distinct count.
+    With ``users_estimate`` (rollup built with ``with_sketch=True``) the per-day
+    HLL sketches are merged into ``users_estimate``, an estimate of the distinct
+    users over the whole range.
     """
     limit = _check_limit(limit)
     df = filter_apps(rollup, app_ids)
     if as_of is not None:
         df = df.filter(F.col("date") >= F.date_sub(F.to_date(F.lit(as_of).cast("timestamp_ntz")), days))
-    return (df.groupBy("event_name")
-              .agg(F.sum("event_count").cast("long").alias("count"),
-                   F.sum("unique_users").cast("long").alias("unique_users"))
+    aggs = [F.sum("event_count").cast("long").alias("count"), F.sum("unique_users").cast("long").alias("unique_users")]
+    if users_estimate:
+        aggs.append(F.hll_sketch_estimate(F.hll_union_agg("users_sketch")).alias("users_estimate"))
+    return (df.groupBy("event_name").agg(*aggs)
               .orderBy(F.desc("count"), F.asc("event_name"))
               .limit(limit))
 
@@ -180,7 +185,7 @@ def top_events(ev: DataFrame, rollup: DataFrame | None = None, app_ids=None, sta
 # Q6 / Q7 -------------------------------------------------------------------
 
 def events_over_time(ev: DataFrame, app_ids=None, event_name=None, start=None, end=None,
-                     interval: str = "day") -> DataFrame:
+                     interval: str = "day", approx: bool = False) -> DataFrame:
     """Q6: count and distinct users per period string, ascending.
 
     Only ``interval == 'hour'`` is hourly; every other value is daily. Rows are
@@ -193,16 +198,16 @@ def events_over_time(ev: DataFrame, app_ids=None, event_name=None, start=None, e
     else:
         bucket, fmt = F.to_date("timestamp"), "yyyy-MM-dd"
     return (df.groupBy(bucket.alias("_bucket"))
-              .agg(F.count(F.lit(1)).alias("count"), F.count_distinct("user_id").alias("unique_users"))
+              .agg(F.count(F.lit(1)).alias("count"), _distinct("user_id", approx).alias("unique_users"))
               .select(F.date_format("_bucket", fmt).alias("period"), "count", "unique_users")
               .orderBy("period"))
 
 
-def device_distribution(ev: DataFrame, app_ids=None, start=None, end=None) -> DataFrame:
+def device_distribution(ev: DataFrame, app_ids=None, start=None, end=None, approx: bool = False) -> DataFrame:
     """Q7: count and distinct users per non-NULL device, count descending."""
     df = event_filter(ev, app_ids, None, start, end).filter(F.col("device").isNotNull())
     return (df.groupBy("device")
-              .agg(F.count(F.lit(1)).alias("count"), F.count_distinct("user_id").alias("unique_users"))
+              .agg(F.count(F.lit(1)).alias("count"), _distinct("user_id", approx).alias("unique_users"))
               .orderBy(F.desc("count"), F.asc("device")))
 
 
@@ -212,13 +217,19 @@ ROLLUP_COLUMNS = ("app_id", "date", "event_name", "event_count", "unique_session
                   "unique_devices", "unique_countries")
 
 
-def daily_summary(ev: DataFrame) -> DataFrame:
-    """Q8: per (app, day, event name) the event count and four exact distinct counts."""
+def daily_summary(ev: DataFrame, with_sketch: bool = False) -> DataFrame:
+    """Q8: per (app, day, event name) the event count and four exact distinct counts.
+
+    ``with_sketch`` adds ``users_sketch``, an HLL sketch of the day's users, so
+    distinct users over several days can be estimated from the rollup alone.
+    """
     day = F.col("event_date") if "event_date" in ev.columns else F.to_date("timestamp")
-    return (ev.groupBy("app_id", day.alias("date"), "event_name")
-              .agg(F.count(F.lit(1)).alias("event_count"),
-                   F.count_distinct("session_id").alias("unique_sessions"),
-                   F.count_distinct("user_id").alias("unique_users"),
-                   F.count_distinct("device").alias("unique_devices"),
-                   F.count_distinct("country").alias("unique_countries"))
-              .select(*ROLLUP_COLUMNS))
+    aggs = [F.count(F.lit(1)).alias("event_count"),
+            F.count_distinct("session_id").alias("unique_sessions"),
+            F.count_distinct("user_id").alias("unique_users"),
+            F.count_distinct("device").alias("unique_devices"),
+            F.count_distinct("country").alias("unique_countries")]
+    if with_sketch:
+        aggs.append(F.hll_sketch_agg("user_id").alias("users_sketch"))
+    out = ev.groupBy("app_id", day.alias("date"), "event_name").agg(*aggs)
+    return out.select(*ROLLUP_COLUMNS, *(["users_sketch"] if with_sketch else []))

@@ -113,3 +113,14 @@ def test_rollup_sums_equal_raw_counts(spark):
           .agg(F.sum("event_count").alias("n")).collect()}
     q3 = {r["event_name"]: r["count"] for r in R.top_events_raw(df, limit=10).collect()}
     assert q8 == q3
+
+
+def test_rollup_sketch_estimates_distinct_users(spark):
+    rows = [row(i, 1, "click", dt.datetime(2024, 1, 1 + i % 10, 12), user=str(i % 8)) for i in range(400)]
+    df = ev(spark, rows)
+    roll = R.daily_summary(df, with_sketch=True)
+    out = R.top_events_rollup(roll, [1], "2024-01-31 00:00:00", users_estimate=True).first()
+    assert out["unique_users"] == 40                  # user-days: 4 users (same parity) on each of 10 days
+    assert abs(out["users_estimate"] - 8) <= 1        # distinct users, from the merged sketches
+    approx = R.events_over_time(df, interval="day", approx=True).collect()
+    assert len(approx) == 10
