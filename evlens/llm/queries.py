@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, prefix_counts, token_files
+from . import byte_bpe, exact_dedup, prefix_counts, token_files
 from .common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,23 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(index).withColumnRenamed("doc", "doc_id")
 
 
+@query
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper half of the id range as a new batch against the lower half as the snapshot."""
+    docs = read_table(spark, sf_dir, "documents")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    late = F.coalesce(F.col("doc_id") > F.lit(((low or 0) + (high or 0)) // 2), F.lit(False))
+    found = exact_dedup.exact_dedup(docs.filter(~late), docs.filter(late))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op9_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 @query
 def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text from its prefix table, and whether they pass 2048."""
