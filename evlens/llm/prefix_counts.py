@@ -35,13 +35,13 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .byte_bpe import byte_to_char
-from .chunked import MEMO_CHARS, MEMO_ENTRIES, Memo
+from .chunked import MEMO_CHARS, Memo
 from .common import pieces
 
 # Unicode's White_Space characters, which the tokeniser's \s means.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _SPLIT = regex.compile(f"([{WHITE}])")
-PAIRS_KEPT = 1_000_000
+PAIRS_KEPT, WORDS_KEPT = 400_000, 200_000
 
 
 class WordCounter:
@@ -61,7 +61,7 @@ class WordCounter:
         self.special = regex.compile("|".join(map(regex.escape, self.specials)) or r"(?!)")
         self.chars = byte_to_char()
         self.pairs: dict[int, bool] = {}
-        self.memo = Memo()
+        self.memo = Memo(300_000)
         self.words: dict[str, list[int]] = {}
         self.previous: tuple = ("", [-1], [0], [0])
 
@@ -151,7 +151,7 @@ class WordCounter:
         self.previous = s, last, count, ended
         ends = range(1, n + 1) if n == len(piece) else np.cumsum([len(c.encode()) for c in piece])
         out = [ended[i] for i in ends]
-        if len(self.words) >= MEMO_ENTRIES:
+        if len(self.words) >= WORDS_KEPT:
             self.words.clear()
         if len(piece) <= MEMO_CHARS:
             self.words[piece] = out

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, prefix_counts, token_files
-from .common import read_table, scratch_path
+from . import byte_bpe, exact_dedup, line_dedup, prefix_counts, resampling, token_files
+from .common import read_table, scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,30 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that more than a tenth of its source's documents contain."""
+    return line_dedup.drop_boilerplate(read_table(spark, sf_dir, "documents"), ratio=0.1).select(
+        "doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+ORACLES["op1_line_dedup"] = """
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+each AS (SELECT DISTINCT r, source, line FROM (SELECT r, source, trim(unnest(lines)) AS line FROM split) WHERE line <> ''),
+totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source HAVING count(*) >= 3),
+bad AS (
+  SELECT e.source, list(line) AS lines FROM (SELECT source, line, count(*) AS n FROM each GROUP BY ALL) e
+  JOIN totals t ON e.source IS NOT DISTINCT FROM t.source WHERE n > 1 AND n > total * 0.1 GROUP BY e.source),
+kept AS (
+  SELECT s.*, CASE WHEN b.lines IS NULL THEN s.lines
+    ELSE list_filter(s.lines, lambda x: NOT list_contains(b.lines, trim(x))) END AS left_lines
+  FROM split s LEFT JOIN bad b ON s.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, source, array_to_string(left_lines, chr(10)) AS text, coalesce(len(lines), 0) AS n_lines,
+       coalesce(len(lines) - len(left_lines), 0) AS n_dropped FROM kept
+"""
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text by the ranks of byte_bpe_multi_50k, decode the ids again; digests of both."""
@@ -41,6 +65,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(index).withColumnRenamed("doc", "doc_id")
 
 
+@query
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log weight, noisy key and decision under the model of the good labels."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    ratio = resampling.fit(docs, labels)
+    scores = stored(resampling.with_scores(docs, ratio).select("doc_id", "log_weight", "gumbel_key"), "weights")
+    return resampling.decide(scores)
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upper half of the id range as a new batch against the lower half as the snapshot."""
