@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, prefix_counts, resampling, token_files
+from . import byte_bpe, decontaminate, exact_dedup, jaccard_forest, line_dedup, prefix_counts, resampling, token_files
 from .common import read_table, scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ SELECT doc_id, source, array_to_string(left_lines, chr(10)) AS text, coalesce(le
 """
 
 
+@query
+def op2_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class (least id) and its number of links at 0.8 on five words."""
+    return jaccard_forest.near_duplicates(read_table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text by the ranks of byte_bpe_multi_50k, decode the ids again; digests of both."""
@@ -74,6 +80,12 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.decide(scores)
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item whose alignment reaches half of the item's own score."""
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upper half of the id range as a new batch against the lower half as the snapshot."""
