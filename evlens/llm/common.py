@@ -39,9 +39,9 @@ def null_safe_hash(*cols: Column, seed: int = 0) -> Column:
     return F.xxhash64(*parts)
 
 
-def row_key(*cols: Column) -> Column:
-    """128-bit content key of a row: rows that agree in these columns share it, nulls included."""
-    return F.struct(null_safe_hash(*cols, seed=1).alias("a"), null_safe_hash(*cols, seed=2).alias("b"))
+def row_key(*cols: Column) -> list[Column]:
+    """128-bit content key of a row, as columns a and b: rows that agree in ``cols`` share it, nulls included."""
+    return [null_safe_hash(*cols, seed=1).alias("a"), null_safe_hash(*cols, seed=2).alias("b")]
 
 
 def pieces(batch: pa.RecordBatch, text: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -151,3 +151,35 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's signed long."""
     return x.view(np.int64)
+
+
+#: Bits of the fixed-size key filter (8 MB), whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, column: str):
+    """A fixed-size filter over 64-bit keys: the returned function tells of a long column whether
+    its value may be among them. It only spares a join's other side needless shuffling; with
+    very many keys it lets everything pass, and the exact join decides either way."""
+    from pyspark.sql import types as T
+    from pyspark.sql.functions import arrow_udf
+
+    def pack(pdf):
+        import pandas as pd
+        part = np.zeros(1 << 16, dtype=np.uint8)
+        part[pdf["bit"].to_numpy() & 0xFFFF] = 1
+        return pd.DataFrame({"part": pdf["part"][:1], "bits": [np.packbits(part).tobytes()]})
+
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bits = keys.select(bit.alias("bit")).distinct().withColumn("part", F.shiftright("bit", 16))
+    table = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
+    for row in bits.groupBy("part").applyInPandas(pack, "part long, bits binary").collect():  # 8 MB at most
+        table[row["part"] << 13:(row["part"] + 1) << 13] = np.frombuffer(row["bits"], dtype=np.uint8)
+    held = keys.sparkSession.sparkContext.broadcast(table)
+
+    @arrow_udf(T.BooleanType())
+    def may_hold(values: pa.Array) -> pa.Array:
+        at = values.to_numpy(zero_copy_only=False) % FILTER_BITS
+        return pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return may_hold
