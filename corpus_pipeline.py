@@ -1,17 +1,64 @@
-"""The corpus pipeline: the training-data operators as stages over ``documents``."""
+"""The corpus pipeline: five training-data operators as stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept.
+All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evlens.llm import byte_bpe, decontaminate, jaccard_forest, line_dedup, resampling
+from evlens.llm.common import read_table, stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps; the good labels are the target."""
+    ratio = resampling.fit(docs, read_table(spark, sf_dir, "labels"))
+    return resampling.resample(docs, ratio).filter("kept").select(COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their source's boilerplate lines."""
+    cleaned = line_dedup.drop_boilerplate(docs, ratio=0.1)
+    return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(
+        F.col("n_chars"))).select(COLUMNS)
+
 
-STAGES: list = []
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the least id."""
+    classes = stored(jaccard_forest.near_duplicates(docs, words=5, threshold=0.8), "classes")
+    later = classes.filter("class_id <> doc_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = stored(decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")), "leaks")
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every text that is left, and the digest of the bytes they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, with_offsets=False)
+    return byte_bpe.decode_documents(encoded, path).select(
+        "doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),
+          ("benchmark decontamination", decontamination), ("byte-level BPE", encoding)]
+
+#: Sampling, min-hashing, alignment and byte-pair merges have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply every stage to ``documents``, each on the stored result of the one before."""
-    from evlens.llm.common import read_table, stored
-
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))

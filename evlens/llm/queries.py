@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, jaccard_forest, line_dedup, prefix_counts, recompression, resampling, token_files
+from . import byte_bpe, decontaminate, exact_dedup, jaccard_forest, line_dedup, prefix_counts, recompression, resampling, suffix_dedup, token_files
 from .common import read_table, scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that also start earlier."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 35-word windows that also start anywhere else."""
