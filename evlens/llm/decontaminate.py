@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The document frequency of every benchmark n-gram is counted over all documents; the rarer
-half of an item's n-grams are its seeds, whatever the corpus size, so no item is without
-seeds however often its passage was copied. A seed in a document opens a window around the
+The document frequency of every benchmark n-gram is counted over all documents; an item's
+seeds are its n-grams that are at most ``RARE`` times as frequent as its median one. So common
+phrases are no seeds, and no item is without seeds however often its passage was copied, whole
+or in parts. A seed in a document opens a window around the
 place where the item would lie; windows that overlap are joined, and the local alignment of
 window and item (linear gaps) gives the score: 1 for a whole exact copy, less for edited,
 paraphrased or partial ones.
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import byte_values, prefix_sums, range_hash, window_hashes
 
-WIDTH, BLOCK_WORDS = 3, 500_000
+WIDTH, BLOCK_WORDS, RARE = 3, 500_000, 8
 #: Scores of the alignment: equal words, different words, a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -74,13 +75,14 @@ class Items:
         self.distinct = np.unique(self.gram)
 
     def only_rare(self, frequency: np.ndarray) -> "Items":
-        """Keep, for each item, the n-grams whose frequency is at most the item's median."""
+        """Keep, for each item, the n-grams at most RARE times as frequent as its median one that occurs."""
         own = frequency[np.searchsorted(self.distinct, self.gram)]
         keep = np.zeros(len(own), dtype=bool)
         for i in range(len(self.ids)):
             mine = np.flatnonzero(self.item == i)
-            if len(mine):
-                keep[mine] = own[mine] <= np.sort(own[mine])[(len(mine) - 1) // 2]
+            held = np.sort(own[mine][own[mine] > 0])
+            if len(held):
+                keep[mine] = own[mine] <= RARE * held[len(held) // 2]
         order = np.argsort(self.gram[keep], kind="stable")
         self.gram, self.item, self.at = (x[keep][order] for x in (self.gram, self.item, self.at))
         return self
