@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .common import byte_values, key_filter, mix, pieces, prefix_sums, range_hash, row_key, stored
 
-WIDTH, GRAM = 100, 24
+WIDTH, GRAM = 100, 48
 # A perfect difference set modulo 57.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -78,12 +78,18 @@ def anchors(raw: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, width: int,
     return doc[head], names[least[head]], start[head] - base, start[tail[:len(head)]] - base
 
 
+def _places(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct names and where each stands, -1 if in several places."""
+    distinct, at, count = np.unique(names, return_index=True, return_counts=True)
+    return distinct, np.where(count > 1, -1, at).astype(np.int32)
+
+
 def parse(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> DataFrame:
     """One row a document: text key, bytes, digest, and its windows' names."""
     schema = T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
         T.StructField("n", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("names", T.ArrayType(T.LongType())),
-        T.StructField("lo", T.BinaryType()), T.StructField("span", T.BinaryType())])
+        T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("lo", T.BinaryType()), T.StructField("span", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +101,11 @@ def parse(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) ->
                 doc, name, lo, hi = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), firsts, sizes, width, gram)
                 cut = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
                 spans = [slice(x, y) for x, y in zip(cut, cut[1:])]
+                once = [_places(name[s]) for s in spans]
                 yield pa.RecordBatch.from_arrays([
                     *(part.column(i) for i in range(3)), pa.array(sizes), pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(name.view(np.int64))),
+                    pa.array([n.view(np.int64) for n, _ in once], pa.list_(pa.int64())),
+                    pa.array([at for _, at in once], pa.list_(pa.int32())),
                     pa.array([lo[s].astype("<i4").tobytes() for s in spans], pa.binary()),
                     pa.array([(hi[s] - lo[s]).astype("u1").tobytes() for s in spans], pa.binary())], names=schema.names)
 
@@ -125,9 +133,9 @@ def _spread(at: np.ndarray, reach: np.ndarray | int, n: int) -> np.ndarray:
 
 def open_windows(parsed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(first_id, a, b, n, open): packed flags of the windows whose name stands in several places."""
-    places = parsed.select("a", F.posexplode("names").alias("pos", "name"))
-    once = places.groupBy("name").agg(F.min("a").alias("a"), F.max("a").alias("z"), F.min("pos").alias("pos"), F.max("pos").alias("last"))
-    single = once.filter("a = z and pos = last").groupBy("a").agg(F.collect_list("pos").alias("single"))
+    places = parsed.select("a", F.explode(F.arrays_zip("names", "places")).alias("x")).select("a", "x.names", "x.places")
+    once = places.groupBy("names").agg(F.min("a").alias("a"), F.max("a").alias("z"), F.min("places").alias("pos"))
+    single = once.filter("a = z and pos >= 0").groupBy("a").agg(F.collect_list("pos").alias("single"))
     schema = T.StructType([*texts.select("first_id", "a", "b", "n").schema.fields, T.StructField("open", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,61 +166,57 @@ def samples(flags: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.flatnonzero(reach & on)
 
 
-def _hashes(parts: list[tuple], to_rows) -> Iterator[tuple]:
-    """Two independent running sums of each text."""
-    for row in parts:
-        raw = np.frombuffer(row[-1].as_buffer(), dtype=np.uint8)
-        values = byte_values(raw)
-        yield to_rows(row, len(raw), prefix_sums(values), prefix_sums(mix(values)))
+def _rows_of(texts: DataFrame, flags: str, rows, hashes: list[str]) -> DataFrame:
+    """What ``rows`` makes of each text: hashes and positions, with the text's id and key."""
+    schema = T.StructType([*(T.StructField(h, T.LongType()) for h in hashes), T.StructField("first_id", texts.schema["first_id"].dataType),
+                           T.StructField("a", T.LongType()), T.StructField("pos", T.LongType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 3, _SLICE):
+                found = []
+                for packed, text in zip(part.column(2).to_pylist(), part.column(3)):
+                    values = byte_values(np.frombuffer(text.as_buffer(), dtype=np.uint8))
+                    found.append(rows(_flags(packed), len(values), prefix_sums(values), prefix_sums(mix(values))))
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f[-1]) for f in found]))
+                cols = [np.concatenate(c) for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c.view(np.int64)) for c in cols[:-1]), part.column(0).take(row), part.column(1).take(row), pa.array(cols[-1])],
+                    names=schema.names)
 
-def _table(rows: Iterator[tuple], names: list[str], ids: pa.DataType) -> pa.RecordBatch:
-    cols = [np.concatenate(c) if len(c) else np.empty(0, np.int64) for c in zip(*rows)]
-    arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols] or [pa.array([], pa.int64()) for _ in names]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+    return texts.select("first_id", "a", flags, "body").mapInArrow(run, schema)
 
 
 def sampled_suffixes(open_texts: DataFrame, width: int) -> DataFrame:
-    """(name, g, h, a, pos): bucket, surroundings and place of each sampled suffix."""
-    names = ["name", "g", "h", "a", "pos"]
-
-    def rows(row: tuple, n: int, one: np.ndarray, two: np.ndarray) -> tuple:
-        key, flags = row[0], _flags(row[1])[:n - width + 1]
-        p = samples(flags, n, width)
+    """(name, g, h, first_id, a, pos): bucket, surroundings and place of each sampled suffix, of
+    those that a text repeats itself the first."""
+    def rows(flags: np.ndarray, n: int, one: np.ndarray, two: np.ndarray) -> tuple:
+        p = samples(flags[:n - width + 1], n, width)
         low, high = np.maximum(p - PERIOD + 1, 0), np.minimum(p + width, n)
         with np.errstate(over="ignore"):  # where the text ends inside the reach, its ends are part of the surroundings
             shape = mix(((p - low) * 256 + (high - p)).astype(np.uint64))
-            return (range_hash(one, p, p + width - PERIOD + 1), range_hash(one, low, high) ^ shape,
-                    range_hash(two, low, high) + shape, np.full(len(p), key), p)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, 2, _SLICE):
-                yield _table(_hashes(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2))), rows), names, None)
+            g, h = range_hash(one, low, high) ^ shape, range_hash(two, low, high) + shape
+        order = np.lexsort((p, h, g))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(g[order].view(np.int64)) != 0) | (np.diff(h[order].view(np.int64)) != 0)
+        keep = order[new]
+        return range_hash(one, p, p + width - PERIOD + 1)[keep], g[keep], h[keep], p[keep]
 
-    return open_texts.select("a", "open", "body").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return _rows_of(open_texts, "open", rows, ["name", "g", "h"])
 
 
 def whole_windows(texts: DataFrame, width: int) -> DataFrame:
-    """(g, h, a, pos): 128-bit hash and place of each undecided window."""
-    names = ["g", "h", "a", "pos"]
+    """(g, h, first_id, a, pos): 128-bit hash and place of each undecided window."""
+    def rows(flags: np.ndarray, n: int, one: np.ndarray, two: np.ndarray) -> tuple:
+        at = np.flatnonzero(flags[:n - width + 1])
+        return range_hash(one, at, at + width), range_hash(two, at, at + width), at
 
-    def rows(row: tuple, n: int, one: np.ndarray, two: np.ndarray) -> tuple:
-        at = np.flatnonzero(_flags(row[1])[:n - width + 1])
-        return range_hash(one, at, at + width), range_hash(two, at, at + width), np.full(len(at), row[0]), at
+    return _rows_of(texts, "undecided", rows, ["g", "h"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, 2, _SLICE):
-                yield _table(_hashes(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2))), rows), names, None)
 
-    return texts.select("a", "undecided", "body").mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def _first(rows: DataFrame, order: DataFrame, *key: str) -> DataFrame:
-    """The least place (by id, then text key, then position) of each key, and how many there are."""
-    place = F.struct("first_id", "a", "pos")
-    return rows.join(order, "a").groupBy(*key).agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("m"))
+def _first(rows: DataFrame, *key: str) -> DataFrame:
+    """The least place (by id, then text key, then position) of each key."""
+    return rows.groupBy(*key).agg(F.min(F.struct("first_id", "a", "pos")).alias("place"))
 
 
 def decide(found: DataFrame, firsts: DataFrame, calm: DataFrame, width: int) -> DataFrame:
@@ -254,16 +258,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = parsed.groupBy("a", "b").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("lo").alias("lo"),
                                          F.first("span").alias("span"))
     found = stored(open_windows(parsed, texts, width), "open")
-    order = found.select("a", "first_id")
-
     suffixes = sampled_suffixes(_with_text(docs, found, id_col, text_col), width)
-    kinds = stored(_first(suffixes, order, "name", "g", "h").select("name", "place.a", "place.pos"), "kinds")
+    kinds = stored(_first(suffixes, "name", "g", "h").select("name", "place.a", "place.pos"), "kinds")
     alone = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.min("a").alias("a"), F.min("pos").alias("pos")).filter("m = 1")
     state = stored(decide(found, kinds.select("a", "pos"), alone.select("a", "pos"), width), "state")
 
     left = state.filter("undecided is not null")
-    windows = whole_windows(_with_text(docs, left.select("a", "b", "undecided"), id_col, text_col), width)
-    kept = _first(windows, order, "g", "h").select("place.a", "place.pos").groupBy("a").agg(F.collect_list("pos").alias("kept"))
+    windows = whole_windows(_with_text(docs, left.select("first_id", "a", "b", "undecided"), id_col, text_col), width)
+    kept = _first(windows, "g", "h").select("place.a", "place.pos").groupBy("a").agg(F.collect_list("pos").alias("kept"))
     settled = state.join(kept, "a", "left").select("a", "b", "first_id", "n", "removed", "undecided", "kept")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
