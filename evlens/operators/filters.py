@@ -1,8 +1,8 @@
 """The filter contract shared by the event reports.
 
 * ``app_ids``: ``None`` = no tenant filter, a list = membership (empty list =
-  empty result), a DataFrame with an ``app_id`` column = semi join (for id lists
-  too large to inline; AQE broadcasts it when its measured size allows).
+  empty result), a DataFrame with an ``app_id`` column = semi join (AQE
+  broadcasts it when its measured size allows).
 * ``event_name``: falsy (``None`` or ``''``) means no filter.
 * ``start`` / ``end``: inclusive instants on ``timestamp``; a date-only ``end``
   keeps only midnight of that day.
@@ -22,27 +22,12 @@ def typed_lit(df: DataFrame, column: str, value) -> Column:
     return F.lit(value).cast(df.schema[column].dataType)
 
 
-# Id lists up to this size are inlined as a pushed-down IN filter (Parquet row-group
-# pruning on the tenant-sorted files); larger ones stay a semi join.
-MAX_INLINE_IDS = 10_000
-
-
-def inline_ids(ids: DataFrame, limit: int = MAX_INLINE_IDS):
-    """The distinct values of a one-column frame as a list when there are at most ``limit``
-    of them (a bounded driver read), else None."""
-    rows = ids.distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else [r[0] for r in rows]
-
-
 def filter_apps(df: DataFrame, app_ids, column: str = "app_id") -> DataFrame:
     if app_ids is None:
         return df
     if isinstance(app_ids, DataFrame):
         first = app_ids.select(F.col(app_ids.columns[0] if column not in app_ids.columns else column).alias("__app"))
-        small = inline_ids(first)
-        if small is None:
-            return df.join(first.distinct(), df[column] == F.col("__app"), "left_semi")
-        app_ids = small
+        return df.join(first.distinct(), df[column] == F.col("__app"), "left_semi")
     ids = list(app_ids)
     if not ids:
         return df.filter(F.lit(False))

@@ -42,6 +42,7 @@ VARCHAR_LIMITS = (("event_name", 255), ("device", 50), ("ip_address", 45), ("use
 STATIC_MONTHS = ("2024-02", "2024-03", "2024-11", "2024-12", "2025-01", "2025-02")
 MONTHS_AHEAD = 11
 
+# The severity of each key-check event.
 SECURITY_SEVERITY = {"api_key_missing": "low", "api_key_invalid": "medium",
                      "api_key_ip_blocked": "high", "api_key_rate_limit": "medium"}
 
@@ -104,10 +105,11 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     lower = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in BODY_FIELDS)
     # Per field at most: quoted name, colon, quoted value, comma; escaping at most 6x.
     upper = lower * 6 + sum(len(c) + 6 for c in BODY_FIELDS) + 2
-    size = (F.col("body_bytes") if "body_bytes" in d.columns
-            else F.when(lower > X.BODY_MAX_BYTES, lower)
-                  .when(upper <= X.BODY_MAX_BYTES, lower)
-                  .otherwise(exact))
+    size = (F.when(lower > X.BODY_MAX_BYTES, lower)
+             .when(upper <= X.BODY_MAX_BYTES, lower)
+             .otherwise(exact))
+    if "body_bytes" in d.columns:
+        size = F.coalesce("body_bytes", size)
     # I2 sanitise (top-level strings with Column regexes; nested metadata by the walk,
     # fed only to rows whose raw text needs it). Each step is one projection.
     needs_walk = F.col("metadata").rlike(X.NEEDS_WALK_PATTERN)
@@ -154,40 +156,34 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
          "api_key_invalid"),
         (~K.ip_allowed(F.col("_key_ips"), F.col("client_ip")), "api_key_ip_blocked"),
     )
-    # The wide annotated rows are kept once; the two counters run on a narrow
-    # projection and their verdicts are joined back by row id.
+    # The wide annotated rows are kept once; each counter sees a narrow projection of only
+    # the requests that reach it, and only the rows over a limit are joined back.
     d = keep(d.withColumn("_reason", stateless))
-    n = d.select("_rowid", "_rid", "received_at", "_reason", "key_id", "_key_limit", "_key_perms", "api_key",
-                 "client_ip")
+    n = d.filter(F.col("_reason").isNull()).select(
+        "_rowid", "_rid", "received_at", "_key_limit", "_key_perms", "api_key", "client_ip",
+        F.concat(F.lit("k"), F.col("key_id").cast("string")).alias("_k1"))
 
     # I7 per-key hourly counter over the requests that reached it.
-    private = F.concat(F.lit("x"), F.col("_rowid").cast("string"))
-    n = n.withColumn("_k1", F.when(F.col("_reason").isNull(), F.concat(F.lit("k"), F.col("key_id").cast("string")))
-                             .otherwise(private))
-    n = L.anchored_counter(n, ["_k1"], "received_at", key_hour_ttl,
-                           F.coalesce(F.nullif(F.col("_key_limit"), F.lit(0)), F.lit(L.KEY_HOUR_DEFAULT)),
-                           tiebreak=["_rid"], breach_only=not keep_counters, seed=seeds.get("key_hour"),
-                           hot_where=F.col("_k1").startswith("k"))
-    # I8 write permission.
-    n = n.withColumns({
-        "_reason": F.when(F.col("_reason").isNull() & F.col("limit_exceeded"), F.lit("api_key_rate_limit"))
-                    .when(F.col("_reason").isNull() & ~K.has_permission(F.col("_key_perms"), "write"),
-                          F.lit("no_permission"))
-                    .otherwise(F.col("_reason")),
-        "_c1_start": F.col("window_start"), "_c1_count": F.col("window_count"),
-    }).drop("window_start", "window_count", "limit_exceeded")
-    # I9 per key-header (else IP) minute counter over the requests that reached it.
-    n = n.withColumn("_k2", F.when(F.col("_reason").isNull(),
-                                   F.concat(F.lit("k"), F.coalesce(F.col("api_key"), F.col("client_ip"))))
-                             .otherwise(private))
-    n = L.anchored_counter(n, ["_k2"], "received_at", collect_ttl, collect_limit, tiebreak=["_rid"],
-                           breach_only=not keep_counters, seed=seeds.get("collect"),
-                           hot_where=F.col("_k2").startswith("k"))
-    n = n.select("_rowid", "_k1", "_c1_start", "_c1_count", "_k2",
-                 F.col("window_start").alias("_c2_start"), F.col("window_count").alias("_c2_count"),
-                 F.when(F.col("_reason").isNull() & F.col("limit_exceeded"), F.lit("collect_rate_limit"))
-                  .otherwise(F.col("_reason")).alias("_reason"))
-    d = d.drop("_reason").join(n, "_rowid")
+    c1 = keep(L.anchored_counter(n, ["_k1"], "received_at", key_hour_ttl,
+                                 F.coalesce(F.nullif(F.col("_key_limit"), F.lit(0)), F.lit(L.KEY_HOUR_DEFAULT)),
+                                 tiebreak=["_rid"], breach_only=not keep_counters, seed=seeds.get("key_hour")))
+    # I8 write permission, then I9 per key-header (else IP) minute counter.
+    may_write = K.has_permission(F.col("_key_perms"), "write")
+    n = c1.filter(~F.col("limit_exceeded") & may_write).select(
+        "_rowid", "_rid", "received_at",
+        F.concat(F.lit("k"), F.coalesce(F.nullif(F.col("api_key"), F.lit("")), F.col("client_ip"))).alias("_k2"))
+    c2 = keep(L.anchored_counter(n, ["_k2"], "received_at", collect_ttl, collect_limit, tiebreak=["_rid"],
+                                 breach_only=not keep_counters, seed=seeds.get("collect")))
+    late = c1.filter("limit_exceeded").select("_rowid", F.lit("api_key_rate_limit").alias("_late")).unionByName(
+        c2.filter("limit_exceeded").select("_rowid", F.lit("collect_rate_limit").alias("_late")))
+    d = d.join(late, "_rowid", "left")
+    if keep_counters:
+        d = (d.join(c1.select("_rowid", "_k1", F.col("window_start").alias("_c1_start"),
+                              F.col("window_count").alias("_c1_count")), "_rowid", "left")
+              .join(c2.select("_rowid", "_k2", F.col("window_start").alias("_c2_start"),
+                              F.col("window_count").alias("_c2_count")), "_rowid", "left"))
+    first = F.when(F.col("_late") == "api_key_rate_limit", F.col("_late"))
+    d = d.withColumn("_reason", F.coalesce("_reason", first, F.when(~may_write, F.lit("no_permission")), "_late")).drop("_late")
 
     # I10 validators (all run; errors listed).
     ev = F.col("event")
@@ -242,8 +238,6 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     constraint_steps.append((~month_ok, "no_partition"))
     later = _first_reason((F.size("validation_errors") > 0, "validation"), *constraint_steps)
     d = d.withColumn("reject_reason", F.coalesce(F.col("_reason"), later))
-    if not keep_counters:
-        d = d.drop("_k1", "_k2", "_c1_start", "_c1_count", "_c2_start", "_c2_count")
     return d.drop("_reason", "_rowid", "_walk", "_meta_ok", "_meta_inj", "_needs_walk", "_size", "_hash", "_key_hash", "_key_active",
                   "_key_expires", "_key_perms", "_key_limit", "_app_id")
 

@@ -137,36 +137,35 @@ def _fold_anchored(ttl_us: int, group_cols: list[str]):
     return fold
 
 
-# Keys with more requests than this are counted without any per-key task.
+# Keys with more requests than this are counted without any per-key task; the result is the same.
 HOT_KEY_ROWS = 5_000_000
-# At most this many hot keys are read back to the driver (a bounded list).
-MAX_HOT_KEYS = 100_000
 
 
 def anchored_counter(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int, limit,
                      tiebreak: list[str] | None = None, breach_only: bool = False,
                      seed: DataFrame | None = None, hot_rows: int | None = HOT_KEY_ROWS,
                      hot_where: Column | None = None) -> DataFrame:
-    """L1-L4, see ``_anchored_fold``. Keys with more than ``hot_rows`` requests
-    go to ``anchored_counter_parallel`` (no step that puts one key in one task);
-    the rest are folded per island. ``hot_rows=None`` folds every key;
-    ``hot_where`` limits the hot-key count to rows that can share a key."""
+    """L1-L4: add ``window_start``, ``window_count`` and ``limit_exceeded`` to every row;
+    with ``breach_only`` only ``limit_exceeded``, which needs fewer folds.
+
+    Keys with more than ``hot_rows`` requests go to ``anchored_counter_parallel`` (no step
+    that puts one key in one task), the rest are folded per island; both give the same rows
+    and columns. The hot keys stay a frame: nothing of them is read back but whether there
+    are any. ``hot_rows=None`` folds every key; ``hot_where`` limits the hot-key count to
+    rows that can share a key.
+    """
+    def narrow(out: DataFrame) -> DataFrame:
+        return out.drop("window_start", "window_count") if breach_only else out
+
     if hot_rows is not None:
         cand = df if hot_where is None else df.filter(hot_where)
-        counts = cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        hot = counts.select(*keys).limit(MAX_HOT_KEYS + 1).collect()
-        if len(hot) > MAX_HOT_KEYS:
-            raise ValueError("too many hot keys for the split; raise hot_rows")
-        if hot:
-            hot_df = df.sparkSession.createDataFrame(hot, df.select(*keys).schema)
-            hot_part = df.join(F.broadcast(hot_df), keys, "left_semi")
-            cold_part = df.join(F.broadcast(hot_df), keys, "left_anti")
-            hot_seed = seed.join(F.broadcast(hot_df), keys, "left_semi") if seed is not None else None
-            cold_seed = seed.join(F.broadcast(hot_df), keys, "left_anti") if seed is not None else None
-            a = anchored_counter_parallel(hot_part, keys, ts, ttl_seconds, limit, tiebreak, hot_seed)
-            b = _anchored_fold(cold_part, keys, ts, ttl_seconds, limit, tiebreak, breach_only, cold_seed)
-            return b.unionByName(a.select(*b.columns))
-    return _anchored_fold(df, keys, ts, ttl_seconds, limit, tiebreak, breach_only, seed)
+        hot = keep(cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys))
+        if not hot.isEmpty():
+            hot_seed, cold_seed = (None if seed is None else seed.join(hot, keys, how) for how in ("left_semi", "left_anti"))
+            a = anchored_counter_parallel(df.join(hot, keys, "left_semi"), keys, ts, ttl_seconds, limit, tiebreak, hot_seed)
+            b = _anchored_fold(df.join(hot, keys, "left_anti"), keys, ts, ttl_seconds, limit, tiebreak, breach_only, cold_seed)
+            return narrow(b.unionByName(a.select(*b.columns)))
+    return narrow(_anchored_fold(df, keys, ts, ttl_seconds, limit, tiebreak, breach_only, seed))
 
 
 def _anchored_fold(df: DataFrame, keys: list[str], ts: str, ttl_seconds: int, limit,
@@ -262,8 +261,8 @@ def key_hour_limit(df: DataFrame, key: str = "key_id", ts: str = "received_at",
 
 def collect_limit(df: DataFrame, ts: str = "received_at", limit: int = COLLECT_LIMIT,
                   ttl_seconds: int = COLLECT_TTL, tiebreak=None) -> DataFrame:
-    """L2: per API-key header, else client IP."""
-    d = df.withColumn("_limit_key", F.coalesce(F.col("api_key"), F.col("client_ip")))
+    """L2: per API-key header, else (no or an empty header) client IP."""
+    d = df.withColumn("_limit_key", F.coalesce(F.nullif(F.col("api_key"), F.lit("")), F.col("client_ip")))
     return anchored_counter(d, ["_limit_key"], ts, ttl_seconds, limit, tiebreak).drop("_limit_key")
 
 

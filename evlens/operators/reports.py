@@ -144,6 +144,13 @@ def top_events_raw(ev: DataFrame, app_ids=None, start=None, end=None, limit=10,
               .limit(limit))
 
 
+def _since(rollup: DataFrame, as_of, days: int = 30):
+    """The rollup days that the rolling report covers (all without ``as_of``)."""
+    if as_of is None:
+        return F.lit(True)
+    return F.col("date") >= F.date_sub(F.to_date(F.lit(as_of).cast("timestamp_ntz")), days)
+
+
 def top_events_rollup(rollup: DataFrame, app_ids=None, as_of=None, limit=10, days: int = 30,
                       users_estimate: bool = False) -> DataFrame:
     """Q4: the same from the daily rollup over ``date >= as_of_date - days``.
@@ -156,8 +163,7 @@ def top_events_rollup(rollup: DataFrame, app_ids=None, as_of=None, limit=10, day
     """
     limit = _check_limit(limit)
     df = filter_apps(rollup, app_ids)
-    if as_of is not None:
-        df = df.filter(F.col("date") >= F.date_sub(F.to_date(F.lit(as_of).cast("timestamp_ntz")), days))
+    df = df.filter(_since(rollup, as_of, days))
     aggs = [F.sum("event_count").cast("long").alias("count"), F.sum("unique_users").cast("long").alias("unique_users")]
     if users_estimate:
         aggs.append(F.hll_sketch_estimate(F.hll_union_agg("users_sketch")).alias("users_estimate"))
@@ -170,15 +176,12 @@ def top_events(ev: DataFrame, rollup: DataFrame | None = None, app_ids=None, sta
                as_of=None, limit=10) -> DataFrame:
     """Q5: rollup answer when no dates are given and the rollup has rows, else the base table.
 
-    The only driver-side action is ``isEmpty()`` on the small rollup answer.
+    The only driver-side action is ``isEmpty()`` on the filtered rollup rows. A caller without
+    a rollup passes None; a rollup that can't be read is an error.
     """
     if start is None and end is None and rollup is not None:
-        try:
-            ans = top_events_rollup(rollup, app_ids, as_of, limit)
-            if not ans.isEmpty():
-                return ans
-        except Exception:  # a missing or unreadable rollup falls back to the base table
-            pass
+        if not filter_apps(rollup, app_ids).filter(_since(rollup, as_of)).isEmpty():
+            return top_events_rollup(rollup, app_ids, as_of, limit)
     return top_events_raw(ev, app_ids, start, end, limit)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import filter_apps, inline_ids, rolling_after, typed_lit
+from .filters import filter_apps, rolling_after, typed_lit
 
 # Role names and their security levels (guest, user, admin,
 # super_admin) and the levels of API-key callers and anonymous callers.
@@ -62,7 +62,7 @@ def app_with_stats(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, app_i
 # Q10 -----------------------------------------------------------------------
 
 def owner_apps(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, user_id=None,
-               exact_keys: bool = False, days: int = 7, owner_app_ids=None) -> DataFrame:
+               exact_keys: bool = False, days: int = 7) -> DataFrame:
     """Q10: each app of an owner with active keys, events in the last ``days`` and last event time.
 
     The reference counts active keys over the join apps x keys x events, so its
@@ -73,8 +73,8 @@ def owner_apps(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, user_id=N
     """
     a = _apps_subset(apps, user_id=user_id)
     e = ev
-    if user_id is not None:  # one owner: only that owner's apps are read (pushed IN list when small)
-        e = filter_apps(e, owner_app_ids if owner_app_ids is not None else a.select(F.col("id").alias("app_id")))
+    if user_id is not None:  # one owner: only that owner's apps are aggregated
+        e = filter_apps(e, a.select(F.col("id").alias("app_id")))
     recent = _after(e, "timestamp", as_of, days)
     per_app = (e.groupBy("app_id")
                 .agg(F.count(F.lit(1)).alias("_rows"),
@@ -94,7 +94,7 @@ def owner_apps(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, user_id=N
 # Q11 / Q11b ------------------------------------------------------------------
 
 def dashboard_stats(users: DataFrame, apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of,
-                    user_id=None, owner_app_ids=None) -> DataFrame:
+                    user_id=None) -> DataFrame:
     """Q11: per user total apps, distinct active keys, distinct events in 7 and 30 days.
 
     With ``user_id`` given: always exactly one row (zeros for an unknown user).
@@ -112,8 +112,8 @@ def dashboard_stats(users: DataFrame, apps: DataFrame, keys: DataFrame, ev: Data
     k = (keys.filter(F.col("is_active") == F.lit(True)).select("app_id", F.col("id").alias("key_id"))
              .join(a, "app_id").groupBy("owner").agg(F.count_distinct("key_id").alias("total_active_keys")))
     e30 = rolling_after(ev, "timestamp", as_of, 30)
-    if user_id is not None:  # one owner: only that owner's apps are read (pushed IN list when small)
-        e30 = filter_apps(e30, owner_app_ids if owner_app_ids is not None else a.select("app_id"))
+    if user_id is not None:  # one owner: only that owner's apps are aggregated
+        e30 = filter_apps(e30, a.select("app_id"))
     e30 = e30.select("app_id", "id", "timestamp")
     per_id = e30.join(a, "app_id").groupBy("owner", "id").agg(F.max("timestamp").alias("_ts"))
     seven = _after(per_id, "_ts", as_of, 7)
@@ -139,13 +139,10 @@ def dashboard(users: DataFrame, apps: DataFrame, keys: DataFrame, ev: DataFrame,
     the apps as an array (newest first, NULL creation time first); that collects
     each owner's app list into one row, so use it for bounded app lists only.
     """
-    ids = None
-    if user_id is not None:  # the owner's app ids, read once for both parts (None when too many)
-        ids = inline_ids(apps.filter(F.col("user_id") == F.lit(user_id)).select("id"))
-    stats = dashboard_stats(users, apps, keys, ev, as_of, user_id, owner_app_ids=ids)
+    stats = dashboard_stats(users, apps, keys, ev, as_of, user_id)
     if user_id is not None:
         stats = stats.withColumn("user_id", F.lit(user_id))
-    rows = (owner_apps(apps, keys, ev, as_of, user_id, owner_app_ids=ids).withColumnRenamed("id", "app_id")
+    rows = (owner_apps(apps, keys, ev, as_of, user_id).withColumnRenamed("id", "app_id")
             .withColumnRenamed("events_last_7_days", "app_events_last_7_days"))
     if not nested:
         return stats.join(rows, "user_id", "left")

@@ -9,6 +9,7 @@ Snapshots are written to a new folder by the caller (``write_snapshot``).
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,10 +26,10 @@ def _now(df: DataFrame, column: str, as_of):
 
 
 def _latest(changes: DataFrame, key: str, order_col: str | None) -> DataFrame:
-    """Keep one change per key: the last by ``order_col`` (the last write wins)."""
-    if order_col is None:
-        return changes.dropDuplicates([key])
-    w = Window.partitionBy(key).orderBy(F.desc(order_col))
+    """Keep one change per key: the last by ``order_col`` (the last write wins); what is then
+    still equal is settled by the changes' content, so a re-run keeps the same one."""
+    order = [order_col] if order_col else []
+    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order], F.xxhash64(*changes.columns), *changes.columns)
     return changes.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
@@ -131,15 +132,15 @@ def delete_users_cascade(users, apps, keys, events, logs: list[DataFrame], user_
 
 # M5 - M9 -----------------------------------------------------------------------
 
-def insert_keys(keys: DataFrame, new_keys: DataFrame, as_of) -> DataFrame:
+def insert_keys(keys: DataFrame, new_keys: DataFrame, as_of, default_name: str = "Default Key") -> DataFrame:
     """M5: store hash and prefix of each plain key (never the key), expiry = as_of + 365 days.
 
-    ``new_keys``: id, app_id, api_key (plain), name. Defaults: active, read+write,
-    no IP list, 10000/h.
+    ``new_keys``: id, app_id, api_key (plain), name. The name is trimmed; without one it is
+    ``default_name``. Defaults: active, read+write, no IP list, 10000/h.
     """
     now = _now(keys, "created_at", as_of)
     vals = {"id": F.col("id"), "app_id": F.col("app_id"), "key_hash": K.key_hash(F.col("api_key")),
-            "key_prefix": K.key_prefix(F.col("api_key")), "name": F.col("name"), "is_active": F.lit(True),
+            "key_prefix": K.key_prefix(F.col("api_key")), "name": F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit(default_name)), "is_active": F.lit(True),
             "permissions": F.struct(F.lit(True).alias("read"), F.lit(True).alias("write")),
             "allowed_ips": F.lit(None), "rate_limit_per_hour": F.lit(L.KEY_HOUR_DEFAULT),
             "expires_at": K.key_expiry(now), "last_used_at": F.lit(None), "created_at": now,
@@ -226,11 +227,19 @@ def add_months(d: dt.date, n: int) -> dt.date:
 def expired_dates(events: DataFrame, as_of, months_to_keep: int = 12) -> DataFrame:
     """M11 (dry run): event_date partitions older than trunc(as_of, month) - n months.
 
-    Reads only the partition column, i.e. the directory listing.
+    From the names of the partition folders alone; ``events`` is a stored, partitioned table.
     """
     cutoff = add_months(month_floor(as_of), -int(months_to_keep))
-    return (events.select("event_date").distinct()
-                  .filter(F.col("event_date") < F.lit(cutoff)).orderBy("event_date"))
+    return partition_values(events).filter(F.col("event_date") < F.lit(cutoff)).orderBy("event_date")
+
+
+def partition_values(table: DataFrame, column: str = "event_date") -> DataFrame:
+    """The distinct values of a stored table's partition column, read off its file names
+    (a driver-side listing with one row a partition, no file opened)."""
+    spark, kind = table.sparkSession, table.schema[column].dataType
+    found = {m[1] for f in table.inputFiles() if (m := re.search(rf"/{re.escape(column)}=([^/]+)/", f))}
+    rows = spark.createDataFrame([(None if v == "__HIVE_DEFAULT_PARTITION__" else v,) for v in sorted(found)], "v string")
+    return rows.select(F.col("v").cast(kind).alias(column))
 
 
 def drop_partitions(spark: SparkSession, path: str, column: str, values: list, dry_run: bool = True) -> list[str]:
@@ -282,7 +291,8 @@ def refresh_rollup(events: DataFrame, dates: list | None = None) -> DataFrame:
 def vanished_dates(rollup: DataFrame, events: DataFrame) -> DataFrame:
     """Rollup dates whose base rows are gone (e.g. dropped by retention)."""
     day = F.col("event_date") if "event_date" in events.columns else F.to_date("timestamp")
-    base = events.select(day.alias("date")).distinct()
+    base = (partition_values(events).select(F.col("event_date").alias("date")) if events.inputFiles() and "event_date" in events.columns
+            else events.select(day.alias("date")).distinct())
     return rollup.select("date").distinct().join(base, "date", "left_anti")
 
 
@@ -317,10 +327,11 @@ def table_stats(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
 # M15 -------------------------------------------------------------------------
 
 def upkeep(spark: SparkSession, events_path: str, rollup_path: str, as_of, months_to_keep: int = 12,
-           drop: bool = False) -> dict:
+           drop: bool = False, touched: list | None = None) -> dict:
     """Provision frame, retention, rollup refresh, partition stats; reports what ran.
 
-    Each task is attempted; failures are listed, not raised.
+    The rollup is refreshed for the ``touched`` days (all when None), then its days without
+    any event left are dropped. Each task is attempted; failures are listed, not raised.
     """
     from ..sources.tables import write_rollup
     report = {"success": [], "failed": []}
@@ -331,7 +342,7 @@ def upkeep(spark: SparkSession, events_path: str, rollup_path: str, as_of, month
             report["success"].append(name)
             return out
         except Exception as e:  # report and continue, as the reference's job does
-            report["failed"].append({"task": name, "error": str(e)[:200]})
+            report["failed"].append({"task": name, "error": str(e)})
             return None
 
     events = spark.read.parquet(events_path)
@@ -341,6 +352,8 @@ def upkeep(spark: SparkSession, events_path: str, rollup_path: str, as_of, month
         report["dropped"] = step("drop", lambda: drop_partitions(spark, events_path, "event_date",
                                                                  [str(d) for d in expired], dry_run=not drop))
     events = spark.read.parquet(events_path)
-    step("refresh", lambda: write_rollup(refresh_rollup(events), rollup_path))
+    step("refresh", lambda: write_rollup(refresh_rollup(events, touched), rollup_path))
+    report["vanished"] = step("vanished", lambda: drop_partitions(spark, rollup_path, "date", [
+        str(r[0]) for r in vanished_dates(spark.read.parquet(rollup_path), events).collect()], dry_run=False))
     report["partitions"] = step("stats", lambda: partition_stats(spark, events_path).count())
     return report

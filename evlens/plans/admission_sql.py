@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from ..functions import text as X
 from ..functions import useragent as UA
-from ..operators import ingest as I
-from ..operators import limits as L
 from ..sources.fixtures import oracle_with
 
 
@@ -72,8 +70,17 @@ def _replay(name: str, src: str, key: str, ttl: int, limit_col: str) -> str:
   FROM {name}_w w JOIN {name}_o o ON o.k = w.k AND o.rn = w.rn + 1)"""
 
 
+# Fixed values, written out so that a wrong constant in the operator shows: storage limits, the
+# months provisioned as of 2024-01-31, and the collect limit that the fixture is scaled to.
+VARCHAR_LIMITS = (("event_name", 255), ("device", 50), ("ip_address", 45), ("user_id", 255), ("session_id", 255),
+                  ("browser", 100), ("os", 100), ("screen_size", 50), ("country", 2), ("city", 100))
+MONTHS = ("2024-01", "2024-02", "2024-03", "2024-04", "2024-05", "2024-06", "2024-07", "2024-08", "2024-09", "2024-10",
+          "2024-11", "2024-12", "2025-01", "2025-02")
+COLLECT_LIMIT, COLLECT_TTL = 2, 86400
+
+
 def admission_ctes(as_of: str, key_hour_ttl: int) -> str:
-    months = ", ".join(f"'{m}'" for m in I.provisioned_months(as_of))
+    months = ", ".join(f"'{m}'" for m in MONTHS)
     uaq = "nullif(q.user_agent, '')"
     body_scalar = ["event", "url", "referrer", "device", "ipAddress", "userId", "sessionId", "timestamp_text"]
     san = ",\n         ".join(f"{_sanitize('r.' + c)} AS {c}" for c in body_scalar)
@@ -93,6 +100,7 @@ def admission_ctes(as_of: str, key_hour_ttl: int) -> str:
     return f"""
 req AS (
   SELECT r.received_at, r.api_key, r.client_ip, r.user_agent, r.metadata,
+         CASE WHEN json_valid(r.metadata) THEN r.metadata END AS meta,
          {size} AS body_bytes,
          {san}
   FROM (SELECT *, CAST(NULL AS VARCHAR) AS referrer, CAST(NULL AS VARCHAR) AS device,
@@ -100,7 +108,7 @@ req AS (
 keyed AS (
   SELECT q.*, k.id AS key_id, k.app_id AS key_app, k.is_active AS key_active, k.expires_at AS key_expires,
          k.allowed_ip AS key_ip, k.can_write AS key_write, k.rate_limit_per_hour AS key_limit,
-         CASE WHEN q.body_bytes > {X.BODY_MAX_BYTES} THEN 'too_large'
+         CASE WHEN q.body_bytes > 1048576 THEN 'too_large'
               WHEN q.metadata IS NOT NULL AND NOT json_valid(q.metadata) THEN 'malformed_body'
               WHEN {inj} THEN 'sql_pattern'
               WHEN q.api_key IS NULL OR q.api_key = '' THEN 'api_key_missing'
@@ -112,24 +120,24 @@ keyed AS (
   LEFT JOIN (SELECT ak.* FROM api_keys ak JOIN apps a ON ak.app_id = a.id) k
     ON q.api_key IS NOT NULL AND q.api_key <> '' AND k.key_hash = sha256(q.api_key)),
 {_replay("c1", "(SELECT * FROM keyed WHERE reason6 IS NULL) x", "key_id", key_hour_ttl,
-         f"coalesce(nullif(key_limit, 0), {L.KEY_HOUR_DEFAULT})")},
+         f"coalesce(nullif(key_limit, 0), 10000)")},
 step8 AS (
   SELECT q.*, coalesce(q.reason6,
            CASE WHEN w.c > w.lim THEN 'api_key_rate_limit' END,
            CASE WHEN NOT q.key_write THEN 'no_permission' END) AS reason8
   FROM keyed q LEFT JOIN c1_w w ON w.k = q.key_id AND w.received_at = q.received_at),
-{_replay("c2", "(SELECT * FROM step8 WHERE reason8 IS NULL) x", "coalesce(api_key, client_ip)", L.COLLECT_TTL,
-         str(L.COLLECT_LIMIT))},
+{_replay("c2", "(SELECT * FROM step8 WHERE reason8 IS NULL) x", "coalesce(nullif(api_key, ''), client_ip)", COLLECT_TTL,
+         str(COLLECT_LIMIT))},
 enriched AS (
   SELECT q.*, coalesce(q.reason8, CASE WHEN w.c > w.lim THEN 'collect_rate_limit' END) AS reason9,
          concat_ws(',',
            CASE WHEN q.event IS NULL OR q.event = '' THEN 'event_required' END,
-           CASE WHEN length(q.event) > {X.EVENT_NAME_MAX} THEN 'event_too_long' END,
+           CASE WHEN length(q.event) > 255 THEN 'event_too_long' END,
            CASE WHEN NOT coalesce(regexp_matches(q.event, {name_ok}), false) THEN 'event_invalid_chars' END,
-           CASE WHEN q.url IS NOT NULL AND length(q.url) > {X.URL_MAX} THEN 'url_too_long' END,
+           CASE WHEN q.url IS NOT NULL AND length(q.url) > 2048 THEN 'url_too_long' END,
            CASE WHEN q.timestamp_text IS NOT NULL AND NOT coalesce(regexp_matches(q.timestamp_text, {iso}), false)
                 THEN 'timestamp_invalid' END,
-           CASE WHEN q.metadata IS NOT NULL AND NOT (json_valid(q.metadata) AND json_type(q.metadata) = 'OBJECT')
+           CASE WHEN q.metadata IS NOT NULL AND coalesce(json_type(q.meta), '') <> 'OBJECT'
                 THEN 'metadata_not_object' END) AS validation_errors,
          q.key_app AS app_id, q.event AS event_name,
          {device_out} AS device_out,
@@ -139,17 +147,17 @@ enriched AS (
               ELSE TRY_CAST(q.timestamp_text AS TIMESTAMP) END AS ts,
          {browser_out} AS browser,
          {os_out} AS os,
-         json_extract_string(q.metadata, '$.screenSize') AS screen_size,
-         json_extract_string(q.metadata, '$.country') AS country,
-         json_extract_string(q.metadata, '$.city') AS city
-  FROM (SELECT *, json_extract_string(metadata, '$.browser') AS mb, json_extract_string(metadata, '$.os') AS mo
+         json_extract_string(q.meta, '$.screenSize') AS screen_size,
+         json_extract_string(q.meta, '$.country') AS country,
+         json_extract_string(q.meta, '$.city') AS city
+  FROM (SELECT *, json_extract_string(meta, '$.browser') AS mb, json_extract_string(meta, '$.os') AS mo
         FROM step8) q
-  LEFT JOIN c2_w w ON w.k = coalesce(q.api_key, q.client_ip) AND w.received_at = q.received_at),
+  LEFT JOIN c2_w w ON w.k = coalesce(nullif(q.api_key, ''), q.client_ip) AND w.received_at = q.received_at),
 outcome AS (
   SELECT e.*, CASE WHEN e.reason9 IS NOT NULL THEN e.reason9
       WHEN e.validation_errors <> '' THEN 'validation'
       WHEN nullif(e.timestamp_text, '') IS NOT NULL AND e.ts IS NULL THEN 'constraint:timestamp'
-      {" ".join(f"WHEN length({'e.device_out' if c == 'device' else 'e.ts' if c == 'timestamp' else 'e.' + c}) > {n} THEN 'constraint:{c}'" for c, n in I.VARCHAR_LIMITS)}
+      {" ".join(f"WHEN length({'e.device_out' if c == 'device' else 'e.ts' if c == 'timestamp' else 'e.' + c}) > {n} THEN 'constraint:{c}'" for c, n in VARCHAR_LIMITS)}
       WHEN strftime(e.ts, '%Y-%m') NOT IN ({months}) THEN 'no_partition' END AS reject_reason
   FROM enriched e)"""
 

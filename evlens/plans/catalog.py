@@ -193,15 +193,21 @@ def q8_daily_summary(spark, sf_dir):
 
 
 _AS_OF_TS = f"TIMESTAMP '{AS_OF}'"
-_APPS_JOIN = """FROM apps a LEFT JOIN api_keys ak ON a.id = ak.app_id
-LEFT JOIN analytics_events ae ON a.id = ae.app_id"""
+# One scalar subquery for each figure of an app.
+def _events_since(days: int, app: str = "= a.id") -> str:
+    return (f"(SELECT count(*) FROM analytics_events e WHERE e.app_id {app} "
+            f"AND e.\"timestamp\" > {_AS_OF_TS} - INTERVAL {days} DAY)")
+
+
+_ACTIVE_KEYS = "(SELECT count(*) FROM api_keys k WHERE k.app_id = a.id AND k.is_active)"
+# The reference counts a key once for each event row that it is joined to (once without events).
+_ACTIVE_KEY_ROWS = ("(SELECT count(*) FROM api_keys k LEFT JOIN analytics_events e ON e.app_id = k.app_id "
+                    "WHERE k.app_id = a.id AND k.is_active)")
 
 
 @register("q9_app_with_stats", oracle_with(f"""
-SELECT a.*, count(DISTINCT ak.id) FILTER (WHERE ak.is_active = true) AS active_api_keys,
-       count(DISTINCT ae.id) FILTER (WHERE ae."timestamp" > {_AS_OF_TS} - INTERVAL 30 DAY) AS events_last_30_days
-{_APPS_JOIN}
-GROUP BY ALL""", "apps", "api_keys", EV))
+SELECT a.*, {_ACTIVE_KEYS} AS active_api_keys, {_events_since(30)} AS events_last_30_days FROM apps a""",
+    "apps", "api_keys", EV))
 def q9_app_with_stats(spark, sf_dir):
     """Q9 for every app: distinct active keys and distinct events of the last 30 days."""
     fx = Fixture(spark, sf_dir)
@@ -209,38 +215,32 @@ def q9_app_with_stats(spark, sf_dir):
 
 
 _Q10_SQL = f"""
-SELECT a.*, count({{keys}}ak.id) FILTER (WHERE ak.is_active = true) AS active_api_keys,
-       count(DISTINCT ae.id) FILTER (WHERE ae."timestamp" > {_AS_OF_TS} - INTERVAL 7 DAY) AS events_last_7_days,
-       max(ae."timestamp") AS last_event_at
-{_APPS_JOIN}
-GROUP BY ALL"""
+SELECT a.*, {{keys}} AS active_api_keys, {_events_since(7)} AS events_last_7_days,
+       (SELECT max(e."timestamp") FROM analytics_events e WHERE e.app_id = a.id) AS last_event_at FROM apps a"""
 
 
-@register("q10_owner_apps", oracle_with(_Q10_SQL.format(keys=""), "apps", "api_keys", EV))
+@register("q10_owner_apps", oracle_with(_Q10_SQL.format(keys=_ACTIVE_KEY_ROWS), "apps", "api_keys", EV))
 def q10_owner_apps(spark, sf_dir):
     """Q10 for every owner, faithful fan-out key count (active keys x max(event rows, 1))."""
     fx = Fixture(spark, sf_dir)
     return T.owner_apps(fx.apps, fx.api_keys, fx.analytics_events, AS_OF)
 
 
-@register("q10_owner_apps_exact", oracle_with(_Q10_SQL.format(keys="DISTINCT "), "apps", "api_keys", EV))
+@register("q10_owner_apps_exact", oracle_with(_Q10_SQL.format(keys=_ACTIVE_KEYS), "apps", "api_keys", EV))
 def q10_owner_apps_exact(spark, sf_dir):
     """Q10 for every owner with the exact distinct active-key count."""
     fx = Fixture(spark, sf_dir)
     return T.owner_apps(fx.apps, fx.api_keys, fx.analytics_events, AS_OF, exact_keys=True)
 
 
-_Q11_AGGS = f"""count(DISTINCT a.id) AS total_apps,
-       count(DISTINCT ak.id) FILTER (WHERE ak.is_active = true) AS total_active_keys,
-       count(DISTINCT ae.id) FILTER (WHERE ae."timestamp" > {_AS_OF_TS} - INTERVAL 7 DAY) AS events_last_7_days,
-       count(DISTINCT ae.id) FILTER (WHERE ae."timestamp" > {_AS_OF_TS} - INTERVAL 30 DAY) AS events_last_30_days
-FROM users u LEFT JOIN apps a ON u.id = a.user_id LEFT JOIN api_keys ak ON a.id = ak.app_id
-LEFT JOIN analytics_events ae ON a.id = ae.app_id"""
+_OWN = "IN (SELECT id FROM apps WHERE user_id = u.id)"
+_Q11_FIGURES = f"""(SELECT count(*) FROM apps a WHERE a.user_id = u.id) AS total_apps,
+       (SELECT count(*) FROM api_keys k WHERE k.app_id {_OWN} AND k.is_active) AS total_active_keys,
+       {_events_since(7, _OWN)} AS events_last_7_days, {_events_since(30, _OWN)} AS events_last_30_days"""
 
 
 @register("q11_dashboard_stats", oracle_with(f"""
-SELECT u.id AS user_id, {_Q11_AGGS}
-GROUP BY u.id""", "users", "apps", "api_keys", EV))
+SELECT u.id AS user_id, {_Q11_FIGURES} FROM users u""", "users", "apps", "api_keys", EV))
 def q11_dashboard_stats(spark, sf_dir):
     """Q11 for every user: apps, distinct active keys, distinct events in 7 and 30 days."""
     fx = Fixture(spark, sf_dir)
@@ -248,8 +248,7 @@ def q11_dashboard_stats(spark, sf_dir):
 
 
 @register("q11_dashboard_stats_one_user", oracle_with(f"""
-SELECT {_Q11_AGGS}
-WHERE u.id = 3""", "users", "apps", "api_keys", EV))
+SELECT {_Q11_FIGURES} FROM (SELECT 3 AS id) u""", "users", "apps", "api_keys", EV))
 def q11_dashboard_stats_one_user(spark, sf_dir):
     """Q11 for one user: always exactly one row."""
     fx = Fixture(spark, sf_dir)
@@ -257,8 +256,7 @@ def q11_dashboard_stats_one_user(spark, sf_dir):
 
 
 @register("q11_dashboard_stats_unknown_user", oracle_with(f"""
-SELECT {_Q11_AGGS}
-WHERE u.id = 100000""", "users", "apps", "api_keys", EV))
+SELECT {_Q11_FIGURES} FROM (SELECT 100000 AS id) u""", "users", "apps", "api_keys", EV))
 def q11_dashboard_stats_unknown_user(spark, sf_dir):
     """Q11 for an id with no user row: one row of zeros."""
     fx = Fixture(spark, sf_dir)
@@ -269,7 +267,7 @@ def q11_dashboard_stats_unknown_user(spark, sf_dir):
 SELECT s.*, q10.id AS app_id, q10.app_name, q10.app_url, q10.description, q10.created_at,
        q10.active_api_keys, q10.events_last_7_days AS app_events_last_7_days, q10.last_event_at
 FROM s LEFT JOIN q10 ON q10.user_id = s.user_id""", "users", "apps", "api_keys", EV,
-    more=f"s AS (SELECT u.id AS user_id, {_Q11_AGGS} GROUP BY u.id),\nq10 AS ({_Q10_SQL.format(keys='')})"))
+    more=f"s AS (SELECT u.id AS user_id, {_Q11_FIGURES} FROM users u),\nq10 AS ({_Q10_SQL.format(keys=_ACTIVE_KEY_ROWS)})"))
 def q11b_dashboard(spark, sf_dir):
     """Q11b for every user, flat: dashboard numbers joined to each of the user's Q10 rows."""
     fx = Fixture(spark, sf_dir)
@@ -282,7 +280,7 @@ SELECT q10.*, ak.id AS key_id, ak.key_prefix AS key_key_prefix, ak.name AS key_n
        CAST(NULL AS TIMESTAMP) AS key_last_used_at, ak.created_at AS key_created_at,
        ak.can_write AS key_can_write, ak.rate_limit_per_hour AS key_rate_limit_per_hour
 FROM q10 LEFT JOIN api_keys ak ON ak.app_id = q10.id""", "apps", "api_keys", EV,
-    more=f"q10 AS ({_Q10_SQL.format(keys='')})"))
+    more=f"q10 AS ({_Q10_SQL.format(keys=_ACTIVE_KEY_ROWS)})"))
 def q12_apps_with_keys(spark, sf_dir):
     """Q12 for every owner, flat: each Q10 row with each of its keys (no hash, no IP list)."""
     fx = Fixture(spark, sf_dir)
@@ -466,11 +464,24 @@ def q29_slow_requests(spark, sf_dir):
 # key and day, so the hourly counter is replayed with a one-day lifetime to make
 # it bite (thresholds scaled to the data).
 ADM_KEY_TTL = 86400
+ADM_COLLECT = {"collect_limit": 2, "collect_ttl": 86400}
+
+
+_REQUESTS: dict = {}
+
+
+def _requests(spark, sf_dir):
+    """The fixture requests as a stored table: admission numbers its rows on a file scan."""
+    key = (id(spark), sf_dir)
+    if key not in _REQUESTS:
+        _REQUESTS[key] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-requests/{uuid.uuid4().hex}"
+        Fixture(spark, sf_dir).raw_requests.write.parquet(_REQUESTS[key])
+    return spark.read.parquet(_REQUESTS[key])
 
 
 def _admission(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
-    return I.admission(fx.raw_requests, fx.api_keys, fx.apps, as_of=AS_OF, key_hour_ttl=ADM_KEY_TTL)
+    return I.admission(_requests(spark, sf_dir), fx.api_keys, fx.apps, as_of=AS_OF, key_hour_ttl=ADM_KEY_TTL, **ADM_COLLECT)
 
 
 _SEVERITY_SQL = "CASE reject_reason " + " ".join(
@@ -597,13 +608,13 @@ def l1_key_counter_parallel(spark, sf_dir):
 
 @register("l2_collect_counter", oracle_with("""
 SELECT r.api_key, r.client_ip, w.received_at, w.window_start, w.window_count, w.window_count > 2 AS limit_exceeded
-FROM walk w JOIN raw_requests r ON coalesce(r.api_key, r.client_ip) = w.k AND r.received_at = w.received_at""",
-    "raw_requests", recursive=True, more=_anchored_replay_cte("raw_requests", "coalesce(api_key, client_ip)", 3600)))
+FROM walk w JOIN raw_requests r ON coalesce(nullif(r.api_key, ''), r.client_ip) = w.k AND r.received_at = w.received_at""",
+    "raw_requests", recursive=True, more=_anchored_replay_cte("raw_requests", "coalesce(nullif(api_key, ''), client_ip)", 86400)))
 def l2_collect_counter(spark, sf_dir):
-    """L2: per key header (else IP) counter, 2 per hour (scaled to the fixture)."""
+    """L2: per key header (else, also for an empty one, IP) counter, 2 per day (scaled to the fixture)."""
     raw = Fixture(spark, sf_dir).raw_requests
     raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
-    out = L.collect_limit(raw, limit=2, ttl_seconds=3600, tiebreak=["_rid"])
+    out = L.collect_limit(raw, limit=2, ttl_seconds=86400, tiebreak=["_rid"])
     return out.select("api_key", "client_ip", "received_at", "window_start", "window_count", "limit_exceeded")
 
 
@@ -622,17 +633,15 @@ def l4_auth_counter_aligned(spark, sf_dir):
     return out.select("client_ip", "received_at", "window_start", "window_count", "limit_exceeded")
 
 
-@register("l4_auth_counter_aligned_sql", oracle_with("""
-SELECT client_ip, received_at,
-       to_timestamp(floor(epoch_us(received_at) / 900000000) * 900) :: TIMESTAMP AS window_start,
-       row_number() OVER (PARTITION BY client_ip, floor(epoch_us(received_at) / 900000000)
-                          ORDER BY received_at, rid) AS window_count
-FROM (SELECT *, hash(received_at) AS rid FROM raw_requests) r""", "raw_requests"))
-def l4_auth_counter_aligned_sql(spark, sf_dir):
-    """L4 aligned windows, positions only (ties in arrival time do not occur in the fixture)."""
+@register("l4_auth_counter", oracle_with("""
+SELECT k AS client_ip, received_at, window_start, window_count, window_count > 10 AS limit_exceeded FROM walk""",
+    "raw_requests", recursive=True, more=_anchored_replay_cte("raw_requests", "client_ip", 43200)))
+def l4_auth_counter(spark, sf_dir):
+    """L4: anchored counter per client IP, limit 10 (lifetime of half a day: scaled to the fixture)."""
     raw = Fixture(spark, sf_dir).raw_requests
-    out = L.aligned_counter(raw, ["client_ip"], "received_at", L.AUTH_TTL, L.AUTH_LIMIT)
-    return out.select("client_ip", "received_at", "window_start", "window_count")
+    raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
+    out = L.auth_limit(raw, ttl_seconds=43200, tiebreak=["_rid"])
+    return out.select("client_ip", "received_at", "window_start", "window_count", "limit_exceeded")
 
 
 @register("l5_sliding_log", oracle_with("""
@@ -644,16 +653,16 @@ walk AS (
   SELECT k, rn, received_at, true AS admitted, [received_at] AS log FROM ordered WHERE rn = 1
   UNION ALL
   SELECT o.k, o.rn, o.received_at,
-         len(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 3600 SECOND)) < 3,
-         CASE WHEN len(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 3600 SECOND)) < 3
-              THEN list_append(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 3600 SECOND), o.received_at)
-              ELSE list_filter(w.log, lambda x: o.received_at - x < INTERVAL 3600 SECOND) END
+         len(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 86400 SECOND)) < 3,
+         CASE WHEN len(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 86400 SECOND)) < 3
+              THEN list_append(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 86400 SECOND), o.received_at)
+              ELSE list_filter(w.log, lambda x: o.received_at - x < INTERVAL 86400 SECOND) END
   FROM walk w JOIN ordered o ON o.k = w.k AND o.rn = w.rn + 1)"""))
 def l5_sliding_log(spark, sf_dir):
-    """Per-user sliding log admitting 3 per hour (scaled to the fixture); rejected requests not logged."""
+    """Per-user sliding log admitting 3 per day (scaled to the fixture); rejected requests not logged."""
     raw = Fixture(spark, sf_dir).raw_requests
     raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
-    out = L.sliding_log_limit(raw, ["userId"], "received_at", 3600, 3, tiebreak=["_rid"])
+    out = L.sliding_log_limit(raw, ["userId"], "received_at", 86400, 3, tiebreak=["_rid"])
     return out.select("userId", "received_at", "admitted")
 
 
@@ -794,36 +803,32 @@ def m8_touch_keys(spark, sf_dir):
 # --- T1 - T4: streaming ---------------------------------------------------------
 
 
-_RAW_JSON: dict = {}
+def _in_thirds(spark, sf_dir, folder, run):
+    """Append the fixture requests to ``folder`` as JSON lines, one third of the arrival span
+    after the other, and drain the stream over it after each."""
+    raw = Fixture(spark, sf_dir).raw_requests
+    part = F.when(F.col("received_at") < F.lit("2024-01-11").cast("timestamp_ntz"), 0) \
+            .when(F.col("received_at") < F.lit("2024-01-21").cast("timestamp_ntz"), 1).otherwise(2)
+    staged = raw.withColumn("_part", part)
+    for p in (0, 1, 2):
+        TB.write_raw(staged.filter(F.col("_part") == p).drop("_part"), folder, mode="append")
+        run().awaitTermination()
 
 
-def _raw_json(spark, sf_dir):
-    """The fixture requests as JSON request lines in three files (one per third of the
-    arrival span), in the shared checkpoint folder."""
-    key = (id(spark), sf_dir)
-    if key not in _RAW_JSON:
-        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-stream/{uuid.uuid4().hex}"
-        raw = Fixture(spark, sf_dir).raw_requests
-        part = F.when(F.col("received_at") < F.lit("2024-01-11").cast("timestamp_ntz"), 0) \
-                .when(F.col("received_at") < F.lit("2024-01-21").cast("timestamp_ntz"), 1).otherwise(2)
-        staged = raw.withColumn("_part", part)
-        for p in (0, 1, 2):
-            TB.write_raw(staged.filter(F.col("_part") == p).drop("_part").coalesce(1), f"{base}/raw/part{p}")
-        _RAW_JSON[key] = base
-    return _RAW_JSON[key]
+_STREAMED: dict = {}
 
 
 def _stream_admission(spark, sf_dir):
-    base = _raw_json(spark, sf_dir)
-    out = f"{base}/out"
-    fx = Fixture(spark, sf_dir)
-    import os
-    if not os.path.exists(f"{out}/_done"):
-        q = SC.start_collect_stream(spark, f"{base}/raw/*", fx.api_keys, fx.apps, out, f"{base}/ckpt",
-                                    as_of=AS_OF, max_files_per_trigger=1, key_hour_ttl=ADM_KEY_TTL)
-        q.awaitTermination()
-        os.makedirs(f"{out}/_done", exist_ok=True)
-    return out
+    """The streaming collection over three appended thirds (once per session and folder)."""
+    key = (id(spark), sf_dir)
+    if key not in _STREAMED:
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-stream/{uuid.uuid4().hex}"
+        fx = Fixture(spark, sf_dir)
+        _in_thirds(spark, sf_dir, f"{base}/raw", lambda: SC.start_collect_stream(
+            spark, f"{base}/raw", fx.api_keys, fx.apps, f"{base}/out", f"{base}/ckpt", as_of=AS_OF,
+            key_hour_ttl=ADM_KEY_TTL, **ADM_COLLECT))
+        _STREAMED[key] = f"{base}/out"
+    return _STREAMED[key]
 
 
 @register("t1_stream_admission_counts", admission_oracle("""
@@ -877,13 +882,15 @@ SELECT k AS api_key, received_at, window_start, window_count, window_count > 3 A
     more=_anchored_replay_cte("(SELECT * FROM raw_requests WHERE api_key IS NOT NULL) r", "api_key", ADM_KEY_TTL)))
 def t4_stream_key_counter(spark, sf_dir):
     """T4: stateful streaming per-key counter (limit 3, one-day lifetime) over the raw request files."""
-    base = _raw_json(spark, sf_dir)
-    out = f"{base}/t4-{uuid.uuid4().hex}"
-    src = TB.read_raw(spark, f"{base}/raw/*", streaming=True, maxFilesPerTrigger=1)
-    q = (SL.streaming_key_counter(src, ttl_seconds=ADM_KEY_TTL, limit=3, watermark="2 days")
-         .writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start(f"{out}/data"))
-    q.awaitTermination()
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-stream/{uuid.uuid4().hex}"
+
+    def run():
+        src = TB.read_raw(spark, f"{out}/raw", streaming=True)
+        return (SL.streaming_key_counter(src, ttl_seconds=ADM_KEY_TTL, limit=3, watermark="2 days")
+                .writeStream.format("parquet").outputMode("append")
+                .option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start(f"{out}/data"))
+
+    _in_thirds(spark, sf_dir, f"{out}/raw", run)
     res = spark.read.parquet(f"{out}/data")
     return res.select(F.col("key").alias("api_key"), F.col("received_at").cast("timestamp_ntz").alias("received_at"),
                       F.col("window_start").cast("timestamp_ntz").alias("window_start"), "window_count",
@@ -948,14 +955,14 @@ def m4_cascade_keys(spark, sf_dir):
 @register("m5_insert_keys", oracle_with(f"""
 SELECT id, app_id, key_hash, key_prefix, expires_at FROM api_keys
 UNION ALL
-SELECT 1000000 + p_partkey, p_partkey % 8, sha256('new-' || CAST(p_partkey AS VARCHAR)),
+SELECT 1000000 + p_partkey, p_partkey % (SELECT count(*) FROM supplier), sha256('new-' || CAST(p_partkey AS VARCHAR)),
        substring('new-' || CAST(p_partkey AS VARCHAR), 1, 8), {_AS_OF_TS} + INTERVAL 365 DAY FROM part""",
     "api_keys"))
 def m5_insert_keys(spark, sf_dir):
     """M5: one new key per part row: hash and prefix stored, expiry one year after as_of."""
     fx = Fixture(spark, sf_dir)
     part = fx.raw("part")
-    new = part.select((F.lit(1000000) + F.col("p_partkey")).alias("id"), (F.col("p_partkey") % 8).alias("app_id"),
+    new = part.select((F.lit(1000000) + F.col("p_partkey")).alias("id"), (F.col("p_partkey") % fx.raw("supplier").count()).alias("app_id"),
                       F.concat(F.lit("new-"), F.col("p_partkey").cast("string")).alias("api_key"),
                       F.col("p_name").alias("name"))
     keys = fx.api_keys.select(*[c for c in TB.API_KEYS.fieldNames()])

@@ -19,13 +19,21 @@ AS_OF = "2024-01-31 00:00:00"
 
 _K = "(SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) e"
 
+# Tenants, keys, pages and addresses grow with their tables; ten busy tenants and forty
+# busy keys take a fixed share of the traffic, so that limits are reached at every scale.
+_APP = """CASE WHEN event_id % 3 = 0 THEN CAST(floor(event_id / 3) AS BIGINT) % 10
+            ELSE event_id % (SELECT count(*) FROM {supplier}) END"""
+_KEY = """CASE WHEN event_id % 5 = 0 THEN CAST(floor(event_id / 5) AS BIGINT) % 40
+            ELSE event_id % CAST(floor((SELECT count(*) FROM {part}) * 1.25) AS BIGINT) END"""
+_IP = "concat('10.', CAST(user_id % 4 AS STRING), '.', CAST(CAST(floor(user_id / 250) AS BIGINT) % 250 AS STRING), '.', CAST(user_id % 250 AS STRING))"
+
 VIEWS: dict[str, str] = {
     "analytics_events": """
-SELECT event_id AS id, event_id % 10 AS app_id, event_type AS event_name,
-       concat('https://site', CAST(event_id % 10 AS STRING), '.example.com/p/', CAST(k AS STRING)) AS url,
+SELECT event_id AS id, """ + _APP + """ AS app_id, event_type AS event_name,
+       concat('https://site', CAST(""" + _APP + """ AS STRING), '.example.com/p/', CAST(k AS STRING)) AS url,
        CASE WHEN k % 2 = 0 THEN 'https://ref.example.org/' END AS referrer,
        CASE k % 5 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' WHEN 2 THEN 'tablet' WHEN 3 THEN 'tv' END AS device,
-       concat('10.0.0.', CAST(user_id % 256 AS STRING)) AS ip_address,
+       """ + _IP + """ AS ip_address,
        CASE WHEN k % 10 <> 9 THEN CAST(user_id AS STRING) END AS user_id,
        CASE WHEN k % 7 <> 6 THEN concat(CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING)) END AS session_id,
        ts AS timestamp, props AS metadata,
@@ -48,7 +56,7 @@ SELECT s_suppkey AS id, s_nationkey AS user_id, s_name AS app_name,
        CASE WHEN s_suppkey % 9 <> 8 THEN o_orderdate END AS created_at
 FROM {supplier} LEFT JOIN {orders} ON o_orderkey = s_suppkey""",
     "api_keys": """
-SELECT p_partkey AS id, p_partkey % 8 AS app_id,
+SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM {supplier}) AS app_id,
        {sha_open}concat('key-', CAST(p_partkey AS STRING)){sha_close} AS key_hash,
        substring(concat('key-', CAST(p_partkey AS STRING)), 1, 8) AS key_prefix,
        p_name AS name, p_partkey % 3 <> 0 AS is_active,
@@ -57,15 +65,14 @@ SELECT p_partkey AS id, p_partkey % 8 AS app_id,
        CASE WHEN p_partkey % 4 <> 0 THEN CAST(3 AS INT) END AS rate_limit_per_hour,
        CASE p_partkey % 5 WHEN 0 THEN o_orderdate WHEN 1 THEN (SELECT max(ts) FROM {events}) END AS expires_at,
        o_orderdate AS created_at
-FROM {part} LEFT JOIN {orders} ON o_orderkey = p_partkey WHERE p_partkey < 40""",
+FROM {part} LEFT JOIN {orders} ON o_orderkey = p_partkey""",
     "security_events": """
 SELECT event_id AS id,
        CASE k % 4 WHEN 0 THEN 'api_key_missing' WHEN 1 THEN 'api_key_invalid' WHEN 2 THEN 'api_key_ip_blocked' ELSE 'api_key_rate_limit' END AS event_type,
        CASE k % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'critical' ELSE 'low' END AS severity,
-       concat('10.0.0.', CAST(user_id % 8 AS STRING)) AS ip_address,
-       user_id % 25 AS user_id, k % 2 = 0 AS resolved, ts AS created_at
-FROM """ + _K + """
-WHERE event_type = 'error'""",
+       """ + _IP + """ AS ip_address,
+       user_id % 30 AS user_id, k % 2 = 0 AS resolved, ts AS created_at
+FROM """ + _K,
     "request_log": """
 SELECT ts AS received_at, concat('GET /', event_type) AS endpoint,
        CASE WHEN event_type = 'error' THEN 500 WHEN user_id % 10 = 0 THEN 404 ELSE 200 END AS status,
@@ -73,15 +80,17 @@ SELECT ts AS received_at, concat('GET /', event_type) AS endpoint,
 FROM {events}""",
     "raw_requests": """
 SELECT ts AS received_at,
-       CASE WHEN k <> 99 THEN concat('key-', CAST(event_id % 50 AS STRING)) END AS api_key,
-       concat('10.0.0.', CAST(user_id % 4 AS STRING)) AS client_ip,
+       CASE WHEN k = 98 THEN '' WHEN k <> 99 THEN concat('key-', CAST(""" + _KEY + """ AS STRING)) END AS api_key,
+       CASE WHEN k % 4 = 1 THEN '10.0.0.1' ELSE """ + _IP + """ END AS client_ip,
        CASE k % 4 WHEN 0 THEN 'Mozilla/5.0 (iPhone) Safari/604.1' WHEN 1 THEN 'Mozilla/5.0 (Windows NT 10.0) Chrome/120.0' WHEN 2 THEN 'curl/8.0' END AS user_agent,
        CASE k WHEN 1 THEN 'delete-item' WHEN 2 THEN 'bad name!' WHEN 3 THEN '' WHEN 4 THEN 'wasp_click' ELSE event_type END AS event,
-       p.url AS url, CAST(user_id AS STRING) AS userId,
-       CASE k WHEN 5 THEN 'invalid-date' WHEN 6 THEN NULL ELSE CAST(CAST(ts AS DATE) AS STRING) END AS timestamp_text,
-       CASE WHEN k = 7 THEN '[1]' ELSE props END AS metadata
-FROM """ + _K + """
-JOIN {pages} p ON p.page_id = e.event_id % 50""",
+       CASE WHEN event_id % 5000 = 17 THEN repeat('x', 1100000) ELSE p.url END AS url, CAST(user_id AS STRING) AS userId,
+       CASE k WHEN 5 THEN 'invalid-date' WHEN 6 THEN NULL WHEN 10 THEN '2019-05-05' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS timestamp_text,
+       CASE k WHEN 7 THEN '[1]' WHEN 8 THEN '{{"country": "USA"}}' WHEN 9 THEN '{{"screenSize": "12345678901234567890123456789012345678901234567890x"}}'
+              WHEN 11 THEN '{{"a":' WHEN 12 THEN '{{"note": {{"q": "drop table x"}}}}' ELSE props END AS metadata
+FROM (SELECT *, event_id % (SELECT count(*) FROM {pages}) AS page_no,
+             CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) e
+JOIN {pages} p ON p.page_id = e.page_no""",
 }
 
 

@@ -113,9 +113,9 @@ def read_raw(spark: SparkSession, path: str, streaming: bool = False, **options)
     return reader.json(path)
 
 
-def write_raw(df: DataFrame, path: str) -> None:
+def write_raw(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write raw requests as JSON lines (the format ``read_raw`` reads)."""
-    df.write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT).json(path)
+    df.write.mode(mode).option("timestampNTZFormat", TS_FORMAT).json(path)
 
 
 def append_events(events: DataFrame, path: str) -> int:

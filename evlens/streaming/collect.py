@@ -33,11 +33,8 @@ def _read_state(spark: SparkSession, out_dir: str, batch_id: int) -> dict:
     if batch_id == 0:
         return seeds
     for name in ("key_hour", "collect"):
-        path = _state_path(out_dir, name, batch_id - 1)
-        try:
-            seeds[name] = spark.read.parquet(path)
-        except Exception:  # no open counters were left
-            pass
+        # Every batch writes both frames, empty ones too: a missing folder is an error.
+        seeds[name] = spark.read.parquet(_state_path(out_dir, name, batch_id - 1))
     return seeds
 
 

@@ -52,7 +52,9 @@ def test_anchored_counter_matches_loop(spark):
     for breach_only in (False, True):
         out = L.anchored_counter(frame(spark, rows), ["k"], "ts", 3600, 5, tiebreak=["seq"],
                                  breach_only=breach_only).collect()
-        got = {(r["k"], r["seq"]): (r["window_start"], r["window_count"], r["limit_exceeded"]) for r in out}
+        assert breach_only == ("window_count" not in out[0].asDict())
+        got = {(r["k"], r["seq"]): (None, None, r["limit_exceeded"]) if breach_only
+               else (r["window_start"], r["window_count"], r["limit_exceeded"]) for r in out}
         for key in ("a", "b", "c"):
             ts = [t for k, t, _ in rows if k == key]
             for i, exp in enumerate(naive_anchored(ts, dt.timedelta(seconds=3600), 5)):
@@ -142,3 +144,18 @@ def test_parallel_path_with_seed(spark):
     a = sorted(tuple(r) for r in whole.select(*cols).collect())
     b = sorted(tuple(r) for r in first.select(*cols).unionByName(second.select(*cols)).collect())
     assert a == b
+
+
+def test_breach_only_is_the_same_for_hot_and_cold_keys(spark):
+    rows = gen(5, 120)
+    cold, hot = (L.anchored_counter(frame(spark, rows), ["k"], "ts", 3600, 4, tiebreak=["seq"], breach_only=True, hot_rows=n)
+                 for n in (None, 0))
+    assert sorted(cold.columns) == sorted(hot.columns)
+    assert sorted(map(tuple, cold.collect())) == sorted(map(tuple, hot.select(*cold.columns).collect()))
+
+
+def test_collect_limit_takes_the_address_for_an_empty_header(spark):
+    rows = [("", f"10.0.0.{k % 3}", T0 + dt.timedelta(seconds=k)) for k in range(6)]
+    df = spark.createDataFrame(rows, "api_key string, client_ip string, received_at timestamp_ntz")
+    out = L.collect_limit(df, limit=10).collect()
+    assert sorted(r["window_count"] for r in out) == [1, 1, 1, 2, 2, 2]

@@ -58,3 +58,37 @@ def test_batch_job_equals_admission(spark):
     got = {r[0]: r[1] for r in spark.read.parquet(f"{base}/out/quarantine").groupBy("reject_reason").count().collect()}
     got["ok"] = spark.read.parquet(f"{base}/out/events").count()
     assert got == exp
+
+
+def test_streaming_counter_over_many_arrow_batches(spark, tmp_path):
+    """More rows of one key than an Arrow batch holds, in no order, and late rows in a second batch."""
+    import datetime as dt
+    import random
+
+    from evlens.operators import limits as L
+    from evlens.streaming import live as SL
+    rnd, start = random.Random(3), dt.datetime(2024, 1, 1)
+    first = [("k", start + dt.timedelta(milliseconds=1400 * k)) for k in range(25_000)]
+    second = [("k", start + dt.timedelta(milliseconds=1400 * k)) for k in range(25_000, 26_000)]
+    rnd.shuffle(first)
+    rnd.shuffle(second)
+    schema = "api_key string, received_at timestamp"
+    late = ("k", start + dt.timedelta(milliseconds=1400 * 24_999 - 60_000))  # within the watermark
+    for rows in (first, [*second, late]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        src = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = (SL.streaming_key_counter(src, ttl_seconds=3600, limit=100).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start(f"{tmp_path}/out"))
+        q.awaitTermination()
+    got = {r["received_at"]: (r["window_start"], r["window_count"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    batch = spark.createDataFrame(first, schema)
+    want = {r["received_at"]: (r["window_start"], r["window_count"])
+            for r in L.anchored_counter(batch, ["api_key"], "received_at", 3600, 100).collect()}
+    assert {t: got[t] for t in want} == want
+    assert len(got) == 26_001 and got[late[1]][1] > 100  # the late row counts in the window that is open
+
+
+def test_missing_counter_state_is_an_error(spark, tmp_path):
+    import pytest
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        SC._read_state(spark, str(tmp_path), 3)

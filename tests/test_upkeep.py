@@ -109,3 +109,22 @@ def test_live_counts_have_sketch_users(spark, tmp_path):
     q.awaitTermination()
     rows = spark.sql("SELECT * FROM live_t3").collect()
     assert rows and all(1 <= r["approx_users"] <= r["count"] for r in rows)
+
+
+def test_upkeep_drops_rollup_days_without_events(spark, tmp_path):
+    ev_path, roll = str(tmp_path / "e"), str(tmp_path / "r")
+    rows = [(f"{k}", 1, "click", dt.datetime(2023 + k % 2, 1, 5), "u", "mobile", "s", "US") for k in range(6)]
+    df = spark.createDataFrame(rows, "id string, app_id long, event_name string, timestamp timestamp_ntz, user_id string, "
+                                     "device string, session_id string, country string")
+    TB.append_events(df.withColumn("event_date", F.to_date("timestamp")), ev_path)
+    TB.write_rollup(M.refresh_rollup(spark.read.parquet(ev_path)), roll)
+    rep = M.upkeep(spark, ev_path, roll, "2024-03-31 00:00:00", drop=True)
+    assert not rep["failed"], rep
+    assert [str(r[0]) for r in spark.read.parquet(roll).select("date").distinct().collect()] == ["2024-01-05"]
+
+
+def test_latest_change_is_settled_by_content(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("b", 2, "z")]
+    got = {tuple(M._latest(spark.createDataFrame(rows, "k string, o int, v string").repartition(n), "k", "o")
+                 .filter("k = 'a'").first()) for n in (1, 2, 5)}
+    assert len(got) == 1
