@@ -41,7 +41,7 @@ from .common import pieces
 # Unicode's White_Space characters, which the tokeniser's \s means.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _SPLIT = regex.compile(f"([{WHITE}])")
-PAIRS_KEPT, WORDS_KEPT = 400_000, 200_000
+PAIRS_KEPT, WORDS_KEPT = 500_000, 400_000
 
 
 class WordCounter:
@@ -55,13 +55,12 @@ class WordCounter:
         self.library = Tokenizer.from_file(path)
         self.end = model["end_of_word_suffix"]
         self._number([tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]])
-        self.longest = max(map(len, [*self.open, *self.closed]))
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, self.specials)) or r"(?!)")
         self.chars = byte_to_char()
         self.pairs: dict[int, bool] = {}
-        self.memo = Memo(300_000)
+        self.memo = Memo(400_000)
         self.words: dict[str, list[int]] = {}
         self.previous: tuple = ("", [-1], [0], [0])
 
@@ -78,15 +77,18 @@ class WordCounter:
         self.joined: dict[int, int] = {}
         for left, right in merges:
             pair = number[left], number[right]
-            self.joined[pair[0] << 32 | pair[1]] = number.setdefault(left + right, len(self.parts))
+            self.joined[pair[0] << 24 | pair[1]] = number.setdefault(left + right, len(self.parts))
             self.parts.append(pair)
-        self.open, self.closed = {}, {}
+        # Every end of a token: the numbers of the open and of the closed token it is, -1 for none.
+        self.ends: dict[str, tuple[int, int]] = {}
         for name, i in number.items():
             if self.alone(i):
-                if name.endswith(self.end) and name != self.end:
-                    self.closed[name[:-len(self.end)]] = i
-                else:
-                    self.open[name] = i
+                closed = name.endswith(self.end) and name != self.end
+                text = name[:-len(self.end)] if closed else name
+                for k in range(len(text) - 1, 0, -1):
+                    self.ends.setdefault(text[k:], (-1, -1))
+                known = self.ends.get(text, (-1, -1))
+                self.ends[text] = (known[0], i) if closed else (i, known[1])
 
     def alone(self, token: int) -> bool:
         """Whether the token's own characters encode to just this token: at every merge that
@@ -102,7 +104,7 @@ class WordCounter:
         """
         joined, parts = self.joined, self.parts
         while True:
-            if joined.get(left << 32 | right, 1 << 60) < limit:
+            if joined.get(left << 24 | right, 1 << 60) < limit:
                 return False
             inner_left, inner_right = parts[left][1], parts[right][0]
             if left > right and inner_left != left:
@@ -114,43 +116,40 @@ class WordCounter:
             else:
                 return True
 
-    def fits(self, before: int, token: int) -> bool:
-        """Whether the two tokens stay as they are when encoded side by side (-1: at the start)."""
-        if before < 0:
-            return True
-        key = before << 32 | token
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            known = self.pairs[key] = self._stable(before, token)
-        return known
-
     def word(self, piece: str) -> list[int]:
         """Token count of each prefix (by character) of one pre-token, each ended by the word end."""
         known = self.words.get(piece)
         if known is not None:
             return known
         s = "".join(map(self.chars.__getitem__, piece.encode()))
-        n, fits, longest = len(s), self.fits, self.longest
-        open_of, closed_of = self.open.get, self.closed.get
+        n, ends, pairs, stable = len(s), self.ends.get, self.pairs, self._stable
+        if len(pairs) >= PAIRS_KEPT:
+            pairs.clear()
         before, last, count, ended = self.previous  # what the last word has in common with this one is known
         same = len(os.path.commonprefix([before, s]))
         last, count, ended = (x[:same + 1] + [v] * (n - same) for x, v in ((last, -1), (count, 0), (ended, 0)))
         for i in range(same + 1, n + 1):
-            for j in range(i - 1, max(-1, i - 1 - longest), -1):
-                t = s[j:i]
-                if last[i] < 0 and (k := open_of(t, -1)) >= 0 and fits(last[j], k):
-                    last[i], count[i] = k, count[j] + 1
-                    if ended[i]:
-                        break
-                if not ended[i] and (k := closed_of(t, -1)) >= 0 and fits(last[j], k):
-                    ended[i] = count[j] + 1
-                    if last[i] >= 0:
-                        break
+            j = i - 1
+            while j >= 0 and (found := ends(s[j:i])) is not None:
+                for kind, token in enumerate(found):
+                    if token < 0 or (ended[i] if kind else last[i] >= 0):
+                        continue
+                    left = last[j]
+                    if left >= 0:
+                        fits = pairs.get(key := left << 24 | token)
+                        if fits is None:
+                            fits = pairs[key] = stable(left, token)
+                        if not fits:
+                            continue
+                    if kind:
+                        ended[i] = count[j] + 1
+                    else:
+                        last[i], count[i] = token, count[j] + 1
+                if ended[i] and last[i] >= 0:
+                    break
+                j -= 1
         self.previous = s, last, count, ended
-        ends = range(1, n + 1) if n == len(piece) else np.cumsum([len(c.encode()) for c in piece])
-        out = [ended[i] for i in ends]
+        out = ended[1:] if n == len(piece) else [ended[i] for i in np.cumsum([len(c.encode()) for c in piece])]
         if len(self.words) >= WORDS_KEPT:
             self.words.clear()
         if len(piece) <= MEMO_CHARS:
@@ -162,6 +161,8 @@ class WordCounter:
         lower = chunk.lower() if chunk.isascii() else "".join(map(str.lower, chunk))  # by character: no final sigma
         if len(lower) != len(chunk) or not unicodedata.is_normalized("NFC", chunk):
             return [len(x.ids) for x in self.library.encode_batch([chunk[:k] for k in range(1, len(chunk) + 1)], add_special_tokens=False)]
+        if lower.isascii() and lower.isalpha():
+            return self.word(lower)
         out: list[int] = []
         base = 0
         for m in self.pattern.finditer(lower):
