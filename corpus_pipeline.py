@@ -18,8 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps; the good labels are the target."""
-    ratio = resampling.fit(docs, read_table(spark, sf_dir, "labels"))
-    return resampling.resample(docs, ratio).filter("kept").select(COLUMNS)
+    model = resampling.fit(docs, read_table(spark, sf_dir, "labels"))
+    return resampling.resample(docs, model).filter("kept").select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

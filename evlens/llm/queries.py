@@ -89,9 +89,9 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log weight, noisy key and decision under the model of the good labels."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    ratio = resampling.fit(docs, labels)
-    scores = stored(resampling.with_scores(docs, ratio).select("doc_id", "log_weight", "gumbel_key"), "weights")
-    return resampling.decide(scores)
+    model = resampling.fit(docs, labels)
+    scores = stored(resampling.with_scores(docs, model).select("doc_id", "log_weight", "gumbel_key"), "weights")
+    return resampling.decide(scores, model)
 
 
 @query

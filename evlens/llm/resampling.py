@@ -6,7 +6,8 @@ log p_target(text) - log p_raw(text) over all its n-grams, scaled to ``PASSAGE``
 has more, so that length alone neither saves nor sinks a document. Gumbel top-k then samples
 without replacement in proportion to the weights: the k documents with the largest log
 weight + Gumbel noise are kept. By default k is the number of documents whose log weight is
-above -``MARGIN``: all but those that the target model clearly explains worse.
+above the model's margin: all but those that the target model clearly explains worse. The
+margin widens with the sampling error of a target of few documents.
 
 Tokens are runs of letters and digits (all non-ASCII bytes count as letters) and runs of
 other visible characters; n-grams are single tokens and pairs of neighbours. The raw model
@@ -22,6 +23,7 @@ kept; null ids share their noise and have no label; without any good label all w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,15 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import byte_values, mix, null_safe_hash, pieces, prefix_sums, range_hash, stored
 
-BUCKETS, PASSAGE, MARGIN = 1 << 16, 100, 4.0
+BUCKETS, PASSAGE, MARGIN, SMOOTH = 1 << 16, 100, 4.0, 10.0
+
+
+@dataclass(frozen=True)
+class Model:
+    """Log ratio of each bucket, and the log weight below which a document is rejected."""
+
+    ratio: np.ndarray
+    margin: float
 
 # 0: separators (blanks and control characters), 1: letters and digits, 2: other characters.
 _KIND = np.full(256, 2, dtype=np.int8)
@@ -71,8 +81,9 @@ def ngram_buckets(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: Column | None = None,
-        fit_rows: int = 20_000, buckets: int = BUCKETS) -> np.ndarray:
-    """The log ratio of each bucket: target over raw, both smoothed by one count a bucket."""
+        fit_rows: int = 20_000, buckets: int = BUCKETS) -> Model:
+    """The log ratio of each bucket, target over raw. Both models are smoothed by ``SMOOTH`` counts
+    on the target's scale, so a bucket of which the target could hardly have an n-gram says nothing."""
     good = F.col("quality") == 1 if good is None else good
     chosen = labels.filter(good & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_ev_id")).distinct().orderBy(
         F.xxhash64("_ev_id"), "_ev_id").limit(fit_rows).withColumn("_ev_target", F.lit(True))
@@ -80,27 +91,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.broadcast(chosen), "_ev_id", "left").select("_ev_text", F.coalesce("_ev_target", F.lit(False)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+        raw, target = np.zeros(buckets + 1, dtype=np.int64), np.zeros(buckets + 1, dtype=np.int64)
         for batch in batches:
             for part in pieces(batch, 0, 1 << 20):
                 row, bucket = ngram_buckets(part.column(0), buckets)
-                raw += np.bincount(bucket, minlength=buckets)
-                mine = part.column(1).to_numpy(zero_copy_only=False)[row]
-                target += np.bincount(bucket[mine], minlength=buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(raw), pa.array(target)],
+                raw += np.bincount(bucket, minlength=buckets + 1)
+                good_rows = part.column(1).to_numpy(zero_copy_only=False)
+                target += np.bincount(bucket[good_rows[row]], minlength=buckets + 1)
+                target[buckets] += np.count_nonzero(good_rows)  # the last place counts documents
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets + 1)), pa.array(raw), pa.array(target)],
                                          names=["bucket", "raw", "target"])
 
     sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # one row a bucket
-    raw, target = np.zeros(buckets), np.zeros(buckets)
+    raw, target = np.zeros(buckets + 1), np.zeros(buckets + 1)
     raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
+    texts, raw, target = target[buckets], raw[:buckets], target[:buckets]
     if not target.sum():
-        return np.zeros(buckets)
-    return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+        return Model(np.zeros(buckets), MARGIN)
+    ratio = np.log(target + SMOOTH) - np.log(raw * (target.sum() / raw.sum()) + SMOOTH)
+    return Model(ratio, MARGIN + 2 * PASSAGE / np.sqrt(texts))
+
 
+def log_weight(text: Column, model: Model) -> Column:
+    """The weight of each text under a fitted model."""
+    ratio = model.ratio
 
-def log_weight(text: Column, ratio: np.ndarray) -> Column:
-    """The weight of each text under a fitted ratio."""
     @arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         out = [np.empty(0)]
@@ -143,30 +159,30 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     return float((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)[0])
 
 
-def with_scores(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+def with_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """``docs`` with log_weight and gumbel_key."""
-    return docs.withColumn("log_weight", log_weight(F.col(text_col), ratio)).withColumn(
+    return docs.withColumn("log_weight", log_weight(F.col(text_col), model)).withColumn(
         "gumbel_key", F.col("log_weight") + gumbel(F.col(id_col), seed))
 
 
-def decide(rows: DataFrame, keep: int | None = None, scores: DataFrame | None = None) -> DataFrame:
+def decide(rows: DataFrame, model: Model, keep: int | None = None, scores: DataFrame | None = None) -> DataFrame:
     """``rows`` (with log_weight and gumbel_key) and kept: whether the key is among the k largest.
 
     ``scores`` are the stored scores of the same rows, by default ``rows`` itself.
     """
     scores = rows if scores is None else scores
-    keep = scores.filter(F.col("log_weight") > -MARGIN).count() if keep is None else keep
+    keep = scores.filter(F.col("log_weight") > -model.margin).count() if keep is None else keep
     least = kth_largest(scores, "gumbel_key", keep) if keep > 0 else None
     kept = F.lit(keep > 0) if least is None else F.col("gumbel_key") >= F.lit(least)
     return rows.withColumn("kept", kept)
 
 
-def resample(docs: DataFrame, ratio: np.ndarray, keep: int | None = None, id_col: str = "doc_id", text_col: str = "text",
+def resample(docs: DataFrame, model: Model, keep: int | None = None, id_col: str = "doc_id", text_col: str = "text",
              seed: int = 0) -> DataFrame:
     """All rows and columns of ``docs`` with log_weight, gumbel_key and kept.
 
     Scores are stored once to find the threshold; the rows themselves are scored again as
     they pass, so no text is shuffled.
     """
-    scored = with_scores(docs, ratio, id_col, text_col, seed)
-    return decide(scored, keep, stored(scored.select("log_weight", "gumbel_key"), "weights"))
+    scored = with_scores(docs, model, id_col, text_col, seed)
+    return decide(scored, model, keep, stored(scored.select("log_weight", "gumbel_key"), "weights"))

@@ -347,15 +347,15 @@ def test_resampling_weights_are_the_models_ratio(docs, spark):
         if r[0] is not None and r[0] < 40 and r[0] % 2:
             target += np.bincount(b, minlength=512)
         per_doc.append(b)
-    want = np.log((target + 1) / (target.sum() + 512)) - np.log((raw + 1) / (raw.sum() + 512))
-    assert np.allclose(ratio, want)
+    want = np.log(target + 10) - np.log(raw * target.sum() / raw.sum() + 10)
+    assert np.allclose(ratio.ratio, want)
     got = sorted(r.w for r in docs.select(resampling.log_weight(F.col("text"), ratio).alias("w")).collect())
     assert np.allclose(got, sorted(want[b].sum() / max(1, len(b) / resampling.PASSAGE) for b in per_doc))
 
 
 def test_resampling_edges(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
-    assert not resampling.fit(docs, none).any()
+    assert not resampling.fit(docs, none).ratio.any()
     ratio = resampling.fit(empty, none)
     assert resampling.resample(empty, ratio).count() == 0
     out = resampling.resample(docs, ratio)
