@@ -516,6 +516,13 @@ def i14_accepted_events(spark, sf_dir):
     return I.accepted_events(_admission(spark, sf_dir), with_ids=False)
 
 
+@register("s5_receipts", admission_oracle("""
+SELECT event_name AS event, ts AS "timestamp" FROM outcome WHERE reject_reason IS NULL""", AS_OF, ADM_KEY_TTL))
+def s5_receipts(spark, sf_dir):
+    """The receipt of every accepted request (its id is a fresh UUID and left out)."""
+    return I.receipts(I.accepted_events(_admission(spark, sf_dir))).drop("id")
+
+
 @register("i15_security_events", admission_oracle(f"""
 SELECT reject_reason AS event_type, {_SEVERITY_SQL} AS severity, client_ip AS ip_address,
        CAST(NULL AS VARCHAR) AS user_id, 'Security event: ' || reject_reason AS description,
@@ -700,6 +707,27 @@ def m13_rollup_incremental(spark, sf_dir):
     return spark.read.parquet(roll_path).select(*R.ROLLUP_COLUMNS)
 
 
+_SHIFTED = "CASE WHEN app_id % 2 = 0 THEN \"timestamp\" - INTERVAL 60 DAY ELSE \"timestamp\" END"
+
+
+@register("m15_upkeep_rollup", oracle_with("SELECT * FROM daily WHERE date >= DATE '2024-01-01'", EV, more=f"""
+shifted AS (SELECT * EXCLUDE ("timestamp"), {_SHIFTED} AS "timestamp" FROM analytics_events),
+""" + _ROLLUP_SQL.replace("analytics_events", "shifted").strip()))
+def m15_upkeep_rollup(spark, sf_dir):
+    """The upkeep job really drops the expired months of a stored event table (the even
+    apps' events moved 60 days back); their days leave the rollup with them."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-upkeep/{uuid.uuid4().hex}"
+    ev = Fixture(spark, sf_dir).analytics_events
+    back = F.when(F.col("app_id") % 2 == 0, F.col("timestamp") - F.expr("INTERVAL 60 DAYS")).otherwise(F.col("timestamp"))
+    ev = ev.withColumn("timestamp", back).withColumn("event_date", F.to_date("timestamp"))
+    TB.append_events(ev, f"{base}/events")
+    TB.write_rollup(M.refresh_rollup(spark.read.parquet(f"{base}/events")), f"{base}/daily_summary")
+    report = M.upkeep(spark, f"{base}/events", f"{base}/daily_summary", "2024-03-15 00:00:00", months_to_keep=2, drop=True)
+    if report["failed"]:
+        raise RuntimeError(report["failed"])
+    return spark.read.parquet(f"{base}/daily_summary").select(*R.ROLLUP_COLUMNS)
+
+
 @register("q27_partition_rows", oracle_with("""
 SELECT CAST("timestamp" AS DATE) AS event_date, count(*) AS rows FROM analytics_events GROUP BY 1""", EV))
 def q27_partition_rows(spark, sf_dir):
