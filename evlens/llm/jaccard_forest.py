@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,13 +154,13 @@ def _blocks(members: DataFrame, sets: DataFrame, group: str) -> DataFrame:
         "other", "blocks").join(sets, "vertex")
 
 
-def _read(pdf: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=np.uint64) for x in pdf["sets"]]
-
-
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-    return pdf[pdf["own"] == p].reset_index(drop=True), pdf[pdf["own"] == q].reset_index(drop=True)
+def _sides(group: pa.Table) -> tuple[list[np.ndarray], pa.Table, list[np.ndarray], pa.Table, bool]:
+    """Sets and rows of the group's block p and of its block q, and whether they are the same."""
+    p, q = group["p"][0].as_py(), group["q"][0].as_py()
+    own = group["own"].to_numpy()
+    sides = [group.filter(pa.array(own == k)) for k in (p, q)]
+    a, b = ([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in side["sets"]] for side in sides)
+    return a, sides[0], b, sides[1], p == q
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -210,16 +209,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_nodes = placed.join(mixed, ["tree", "label"]).select(
         F.xxhash64("tree", "label").alias("node"), "vertex", "n", "cell").distinct()
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(pdf)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"u": [], "v": []})
-        i, j = np.nonzero(linked(_read(a), _read(b), threshold))
-        found = pd.DataFrame({"u": a["vertex"].values[i], "v": b["vertex"].values[j],
-                              "cu": a["cell"].values[i], "cv": b["cell"].values[j]})
-        return found[found["cu"] != found["cv"]].drop_duplicates(["cu", "cv"])[["u", "v"]]
+    def across(group: pa.Table) -> pa.Table:
+        a, left, b, right, _ = _sides(group)
+        i, j = np.nonzero(linked(a, b, threshold)) if a and b else ([], [])
+        cu, cv = left["cell"].to_pylist(), right["cell"].to_pylist()
+        found = {(cu[x], cv[y]): (x, y) for x, y in zip(i, j) if cu[x] != cv[y]}  # one link for each two components
+        return pa.table({"u": left["vertex"].take(pa.array([x for x, _ in found.values()], pa.int64())),
+                         "v": right["vertex"].take(pa.array([y for _, y in found.values()], pa.int64()))})
 
-    more = _blocks(open_nodes, sets, "node").groupBy("node", "p", "q").applyInPandas(across, "u binary, v binary")
+    more = _blocks(open_nodes, sets, "node").groupBy("node", "p", "q").applyInArrow(across, "u binary, v binary")
     more = stored(more, "across")
     if not more.isEmpty():
         cells = components(edges.unionByName(more))
@@ -228,20 +226,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = cells.join(vertices.select(F.col("vertex").alias("v"), "n", "copies"), "v").select(
         F.col("label").alias("cell"), F.col("v").alias("vertex"), "n", "copies")
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(pdf)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"vertex": [], "links": []})
-        hit = linked(_read(a), _read(b), threshold)
-        same = int(pdf["p"].iloc[0]) == int(pdf["q"].iloc[0])
+    def count(group: pa.Table) -> pa.Table:
+        a, left, b, right, same = _sides(group)
+        hit = linked(a, b, threshold) if a and b else np.zeros((len(a), len(b)), dtype=bool)
         if same:
             np.fill_diagonal(hit, False)
-        out = [pd.DataFrame({"vertex": a["vertex"], "links": hit @ b["copies"].values.astype(np.int64)})]
+        parts = [(left, hit @ right["copies"].to_numpy())]
         if not same:
-            out.append(pd.DataFrame({"vertex": b["vertex"], "links": hit.T @ a["copies"].values.astype(np.int64)}))
-        return pd.concat(out)
+            parts.append((right, hit.T @ left["copies"].to_numpy()))
+        return pa.concat_tables([pa.table({"vertex": side["vertex"], "links": pa.array(n.astype(np.int64))}) for side, n in parts])
 
-    links = _blocks(inside, sets, "cell").groupBy("cell", "p", "q").applyInPandas(
+    links = _blocks(inside, sets, "cell").groupBy("cell", "p", "q").applyInArrow(
         count, "vertex binary, links long").groupBy("vertex").agg(F.sum("links").alias("links"))
     classes = inside.join(vertices.select("vertex", "first_id"), "vertex").groupBy("cell").agg(
         F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
