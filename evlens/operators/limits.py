@@ -281,6 +281,12 @@ def auth_limit(df: DataFrame, ts: str = "received_at", limit: int = AUTH_LIMIT,
     return anchored_counter(df, ["client_ip"], ts, ttl_seconds, limit, tiebreak)
 
 
+def general_limit(df: DataFrame, ts: str = "received_at", limit: int = GENERAL_LIMIT,
+                  ttl_seconds: int = AUTH_TTL, tiebreak=None) -> DataFrame:
+    """L4: per client IP on all other endpoints (100 per 15 minutes)."""
+    return auth_limit(df, ts, limit, ttl_seconds, tiebreak)
+
+
 # --- L5 sliding log ---------------------------------------------------------------
 
 def _fold_sliding(window_us: int, limit: int, group_cols: list[str]):
@@ -325,6 +331,20 @@ def sliding_log_limit(df: DataFrame, keys: list[str], ts: str, window_seconds: i
                   .drop("_us", "_island", "_isl_n", "_isl_span", "_isl_start", "_w"))
 
 
+def report_limit(df: DataFrame, ts: str = "received_at", limit: int = SLIDING_LIMIT,
+                 window_seconds: int = SLIDING_WINDOW, tiebreak=None) -> DataFrame:
+    """L5 on the reports: the sliding log of the signed-in user, else of the client IP (100 a minute)."""
+    user = F.nullif(F.col("user_id").cast("string"), F.lit(""))
+    d = df.withColumn("_limit_key", F.coalesce(F.concat(F.lit("user:"), user), F.concat(F.lit("ip:"), F.col("client_ip"))))
+    return sliding_log_limit(d, ["_limit_key"], ts, window_seconds, limit, tiebreak).drop("_limit_key")
+
+
+def stats_report_limit(df: DataFrame, ts: str = "received_at", limit: int = SLIDING_STATS_LIMIT,
+                       window_seconds: int = SLIDING_WINDOW, tiebreak=None) -> DataFrame:
+    """L5 on the user statistics: as ``report_limit``, 50 a minute."""
+    return report_limit(df, ts, limit, window_seconds, tiebreak)
+
+
 # --- anchored counter without a per-key sequential step ---------------------------
 #
 # The windows are a greedy cover of each key's arrival times: a window starts at

@@ -673,6 +673,33 @@ def l5_sliding_log(spark, sf_dir):
     return out.select("userId", "received_at", "admitted")
 
 
+@register("l5_report_limit", oracle_with("""
+SELECT userId, client_ip, r.received_at, admitted FROM walk w
+JOIN calls r ON r.k = w.k AND r.received_at = w.received_at""", "raw_requests", recursive=True, more="""
+calls AS (
+  SELECT received_at, userId, client_ip,
+         CASE WHEN CAST(userId AS BIGINT) % 5 = 0 THEN 'ip:' || client_ip ELSE 'user:' || userId END AS k
+  FROM raw_requests),
+ordered AS (SELECT k, received_at, row_number() OVER (PARTITION BY k ORDER BY received_at) AS rn FROM calls),
+walk AS (
+  SELECT k, rn, received_at, true AS admitted, [received_at] AS log FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.k, o.rn, o.received_at,
+         len(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 86400 SECOND)) < 3,
+         CASE WHEN len(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 86400 SECOND)) < 3
+              THEN list_append(list_filter(w.log, lambda x: o.received_at - x < INTERVAL 86400 SECOND), o.received_at)
+              ELSE list_filter(w.log, lambda x: o.received_at - x < INTERVAL 86400 SECOND) END
+  FROM walk w JOIN ordered o ON o.k = w.k AND o.rn = w.rn + 1)"""))
+def l5_report_limit(spark, sf_dir):
+    """L5 preset of the reports: per signed-in user, else (every fifth user here) per client IP;
+    3 per day (scaled to the fixture)."""
+    raw = Fixture(spark, sf_dir).raw_requests
+    raw = raw.withColumn("_rid", F.xxhash64("received_at", "api_key", "client_ip", "event", "url", "userId"))
+    raw = raw.withColumn("user_id", F.when(F.col("userId").cast("long") % 5 != 0, F.col("userId")))
+    out = L.report_limit(raw, limit=3, window_seconds=86400, tiebreak=["_rid"])
+    return out.select("userId", "client_ip", "received_at", "admitted")
+
+
 # --- M1 - M15, Q27: table upkeep ---------------------------------------------------
 
 
