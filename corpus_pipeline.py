@@ -45,8 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text that is left, and the digest of the bytes they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, with_offsets=False)
-    return byte_bpe.decode_documents(encoded, path).select(
+    coded = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, with_offsets=False, with_decoded=True)
+    return coded.select(
         "doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -58,7 +58,7 @@ def bpe_tokenizer(path: str, pattern: str) -> Tokenizer:
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> ChunkEncoder:
     """One per Python worker, so that its memo serves all tasks of that worker."""
-    return ChunkEncoder(bpe_tokenizer(path, pattern), "<i4")
+    return ChunkEncoder(bpe_tokenizer(path, pattern), "<i4", memo_entries=150_000)
 
 
 @functools.lru_cache(maxsize=2)
@@ -89,29 +89,41 @@ def _int_lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
-                     text_col: str = "text", with_offsets: bool = True) -> DataFrame:
-    """``id_col``, n_tokens, ids and (with_offsets) each token's char_start and char_end."""
+                     text_col: str = "text", with_offsets: bool = True, with_decoded: bool = False) -> DataFrame:
+    """``id_col``, n_tokens, ids and, as asked for, each token's char_start and char_end, and
+    ``decoded``: the bytes that the ids give again, as ``decode_documents`` has them."""
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
               T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
     if with_offsets:
         fields += [T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in ("char_start", "char_end")]
+    if with_decoded:
+        fields += [T.StructField("decoded", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
         sizes = np.array([len(b) for b in token_bytes(path)], dtype=np.int64)
         for batch in batches:
-            for part in pieces(batch, 1, 2 << 20):
+            for part in pieces(batch, 1, 1 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = [np.frombuffer(x, dtype="<i4") for x in encoder.encode(texts)]
                 cols = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), _int_lists(ids)]
                 if with_offsets:
                     spans = [char_offsets(t, sizes[x]) for t, x in zip(texts, ids)]
                     cols += [_int_lists([s[k] for s in spans]) for k in (0, 1)]
+                if with_decoded:
+                    cols.append(pa.array([decode(x, token_bytes(path)) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
+def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
+    """The bytes of a sequence of ids; joined before any character is read, so split ones are whole."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(table)):
+        raise ValueError("an id outside the vocabulary")
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
 def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """All columns of ``encoded`` and ``decoded``: the bytes that the ids stand for.
 
@@ -125,10 +137,7 @@ def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> Dat
         for batch in batches:
             out = []
             for ids in batch.column(at):
-                values = ids.values.to_numpy() if ids.is_valid else np.empty(0, dtype=np.int32)
-                if len(values) and (values.min() < 0 or values.max() >= len(table)):
-                    raise ValueError("an id outside the vocabulary")
-                out.append(b"".join(map(table.__getitem__, values.tolist())))
+                out.append(decode(ids.values.to_numpy() if ids.is_valid else np.empty(0, dtype=np.int32), table))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -46,9 +46,9 @@ class Memo:
 
 
 class ChunkEncoder:
-    def __init__(self, tokenizer, dtype: str) -> None:
+    def __init__(self, tokenizer, dtype: str, memo_entries: int = MEMO_ENTRIES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        self.tokenizer, self.dtype, self.memo = tokenizer, np.dtype(dtype), Memo()
+        self.tokenizer, self.dtype, self.memo = tokenizer, np.dtype(dtype), Memo(memo_entries)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)

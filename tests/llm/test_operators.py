@@ -176,6 +176,8 @@ def test_byte_bpe(docs, empty):
         ids = lib.encode_ordinary(r[1] or "")
         want[r[0], len(ids), tuple(ids), (r[1] or "").encode()] += 1
     assert got == want
+    both = byte_bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, with_offsets=False, with_decoded=True).collect()
+    assert Counter((r.doc_id, r.n_tokens, tuple(r.ids), bytes(r.decoded)) for r in both) == want
     for r in rows:  # offsets cover the text in order and meet at whole characters
         text = bytes(r.decoded).decode()
         assert all(0 <= s < e <= len(text) for s, e in zip(r.char_start, r.char_end))
