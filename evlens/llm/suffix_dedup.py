@@ -10,8 +10,8 @@ beforehand. All of it runs on what is left after two exact screens:
 2. Each 100-byte window's least hashed ``GRAM``-gram is named over the corpus; a window whose
    name stands in one place only can't repeat.
 3. Of the windows left, the suffixes on the cover are bucketed by their first
-   width - PERIOD + 1 bytes and, within a bucket, by the bytes around them that any window
-   over them can reach. A suffix that isn't the first with its surroundings repeats them:
+   width - PERIOD + 1 bytes. Buckets with a single suffix are done; within the others the
+   suffixes are told apart by the bytes around them that any window over them can reach. A suffix that isn't the first with its surroundings repeats them:
    all its windows go. If a bucket has one kind of surroundings only, its first suffix's
    windows have no partner there.
 4. What is then undecided, windows at the edges of repeats, is settled by their whole
@@ -166,8 +166,9 @@ def samples(flags: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.flatnonzero(reach & on)
 
 
-def _rows_of(texts: DataFrame, flags: str, rows, hashes: list[str]) -> DataFrame:
-    """What ``rows`` makes of each text: hashes and positions, with the text's id and key."""
+def _rows_of(texts: DataFrame, flags: str, rows, hashes: list[str], *more: str) -> DataFrame:
+    """What ``rows`` makes of each text: hashes and positions, with the text's id and key. ``more``
+    are columns of position lists that ``rows`` takes besides (null: none)."""
     schema = T.StructType([*(T.StructField(h, T.LongType()) for h in hashes), T.StructField("first_id", texts.schema["first_id"].dataType),
                            T.StructField("a", T.LongType()), T.StructField("pos", T.LongType())])
 
@@ -175,23 +176,37 @@ def _rows_of(texts: DataFrame, flags: str, rows, hashes: list[str]) -> DataFrame
         for batch in batches:
             for part in pieces(batch, 3, _SLICE):
                 found = []
-                for packed, text in zip(part.column(2).to_pylist(), part.column(3)):
+                lists = [part.column(4 + k).to_pylist() for k in range(len(more))]
+                for packed, text, *places in zip(part.column(2).to_pylist(), part.column(3), *lists):
                     values = byte_values(np.frombuffer(text.as_buffer(), dtype=np.uint8))
-                    found.append(rows(_flags(packed), len(values), prefix_sums(values), prefix_sums(mix(values))))
+                    given = [np.array(x or [], dtype=np.int64) for x in places]
+                    found.append(rows(_flags(packed), len(values), prefix_sums(values), prefix_sums(mix(values)), *given))
                 row = pa.array(np.repeat(np.arange(len(found)), [len(f[-1]) for f in found]))
                 cols = [np.concatenate(c) for c in zip(*found)]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(c.view(np.int64)) for c in cols[:-1]), part.column(0).take(row), part.column(1).take(row), pa.array(cols[-1])],
                     names=schema.names)
 
-    return texts.select("first_id", "a", flags, "body").mapInArrow(run, schema)
+    return texts.select("first_id", "a", flags, "body", *more).mapInArrow(run, schema)
 
 
-def sampled_suffixes(open_texts: DataFrame, width: int) -> DataFrame:
-    """(name, g, h, first_id, a, pos): bucket, surroundings and place of each sampled suffix, of
-    those that a text repeats itself the first."""
+def lonely(open_texts: DataFrame, width: int) -> DataFrame:
+    """(a, lone): the places of each text's sampled suffixes that are alone in their bucket."""
     def rows(flags: np.ndarray, n: int, one: np.ndarray, two: np.ndarray) -> tuple:
         p = samples(flags[:n - width + 1], n, width)
+        names, at = _places(range_hash(one, p, p + width - PERIOD + 1))
+        return names, np.where(at < 0, -1, p[at]).astype(np.int64)
+
+    once = _rows_of(open_texts, "open", rows, ["name"]).groupBy("name").agg(
+        F.count(F.lit(1)).alias("m"), F.min("a").alias("a"), F.min("pos").alias("pos")).filter("m = 1 and pos >= 0")
+    return once.groupBy("a").agg(F.collect_list("pos").alias("lone"))
+
+
+def sampled_suffixes(open_texts: DataFrame, width: int) -> DataFrame:
+    """(name, g, h, first_id, a, pos): bucket, surroundings and place of each sampled suffix whose
+    bucket has others, of those that a text repeats itself the first."""
+    def rows(flags: np.ndarray, n: int, one: np.ndarray, two: np.ndarray, lone: list) -> tuple:
+        p = np.setdiff1d(samples(flags[:n - width + 1], n, width), lone, assume_unique=True)
         low, high = np.maximum(p - PERIOD + 1, 0), np.minimum(p + width, n)
         with np.errstate(over="ignore"):  # where the text ends inside the reach, its ends are part of the surroundings
             shape = mix(((p - low) * 256 + (high - p)).astype(np.uint64))
@@ -202,7 +217,7 @@ def sampled_suffixes(open_texts: DataFrame, width: int) -> DataFrame:
         keep = order[new]
         return range_hash(one, p, p + width - PERIOD + 1)[keep], g[keep], h[keep], p[keep]
 
-    return _rows_of(open_texts, "open", rows, ["name", "g", "h"])
+    return _rows_of(open_texts, "open", rows, ["name", "g", "h"], "lone")
 
 
 def whole_windows(texts: DataFrame, width: int) -> DataFrame:
@@ -220,7 +235,7 @@ def _first(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def decide(found: DataFrame, firsts: DataFrame, calm: DataFrame, width: int) -> DataFrame:
-    """``found`` with removed and undecided: packed flags of windows."""
+    """``found`` (its last column the lone places) with removed and undecided: packed flags of windows."""
     schema = T.StructType([*found.schema.fields, T.StructField("removed", T.BinaryType()), T.StructField("undecided", T.BinaryType())])
     at = [found.columns.index(c) for c in ("n", "open")]
     k = len(found.columns)
@@ -228,9 +243,9 @@ def decide(found: DataFrame, firsts: DataFrame, calm: DataFrame, width: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, left = [], []
-            for n, flags, first, quiet in zip(*(batch.column(i).to_pylist() for i in (*at, k, k + 1))):
+            for n, flags, lone, first, quiet in zip(*(batch.column(i).to_pylist() for i in (*at, k - 1, k, k + 1))):
                 flags = _flags(flags)[:n - width + 1].astype(bool)
-                p = samples(flags, n, width)
+                p = np.setdiff1d(samples(flags, n, width), np.array(lone or [], dtype=np.int64), assume_unique=True)
                 again = p[~np.isin(p, first or [])]
                 loud = p[np.isin(p, first or []) & ~np.isin(p, quiet or [])]
                 m = len(flags)
@@ -258,6 +273,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = parsed.groupBy("a", "b").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("lo").alias("lo"),
                                          F.first("span").alias("span"))
     found = stored(open_windows(parsed, texts, width), "open")
+    found = stored(found.join(lonely(_with_text(docs, found, id_col, text_col), width), "a", "left").select(*found.columns, "lone"), "lone")
     suffixes = sampled_suffixes(_with_text(docs, found, id_col, text_col), width)
     kinds = stored(_first(suffixes, "name", "g", "h").select("name", "place.a", "place.pos"), "kinds")
     alone = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.min("a").alias("a"), F.min("pos").alias("pos")).filter("m = 1")
