@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, the rarest first, then Smith-Waterman alignment.
 
-The document frequency of every benchmark n-gram is counted over all documents; an item's
-seeds are its n-grams that are at most ``RARE`` times as frequent as its median one. So common
-phrases are no seeds, and no item is without seeds however often its passage was copied, whole
-or in parts. A seed in a document opens a window around the
-place where the item would lie; windows that overlap are joined, and the local alignment of
-window and item (linear gaps) gives the score: 1 for a whole exact copy, less for edited,
-paraphrased or partial ones.
+Every n-gram of an item is a seed, however often it stands in the documents: no result depends
+on frequencies. A seed in a document opens a window around the place where the item would lie;
+windows that overlap are joined, and the local alignment of window and item (linear gaps) gives
+the score: 1 for a whole exact copy, less for edited, paraphrased or partial ones.
+
+The document frequency of every benchmark n-gram, counted over all documents, only orders the
+work: windows with the rarest seed are aligned first, and one is left out where even all words
+that it shares with the item would score below ``least`` or below the best alignment so far.
 
 Words are runs of letters and digits, ASCII letters lowered, so punctuation and case don't
 hide a copy. The benchmark is handled in blocks of at most ``BLOCK_WORDS`` words, each sent
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import byte_values, prefix_sums, range_hash, window_hashes
 
-WIDTH, BLOCK_WORDS, RARE = 3, 500_000, 8
+WIDTH, BLOCK_WORDS = 3, 500_000
 #: Scores of the alignment: equal words, different words, a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -72,20 +73,30 @@ class Items:
         # Only items that are shorter than the width have n-grams of another width.
         self.widths = sorted({min(width, len(w)) for w in self.words if len(w)})
         self.distinct = np.unique(self.gram)
-
-    def only_rare(self, frequency: np.ndarray) -> "Items":
-        """Keep, for each item, the n-grams at most RARE times as frequent as its median one that occurs."""
-        own = frequency[np.searchsorted(self.distinct, self.gram)]
-        keep = np.zeros(len(own), dtype=bool)
-        for i in range(len(self.ids)):
-            mine = np.flatnonzero(self.item == i)
-            held = np.sort(own[mine][own[mine] > 0])
-            if len(held):
-                keep[mine] = own[mine] <= RARE * held[len(held) // 2]
-        order = np.argsort(self.gram[keep], kind="stable")
-        self.gram, self.item, self.at = (x[keep][order] for x in (self.gram, self.item, self.at))
+        order = np.argsort(self.gram, kind="stable")
+        self.gram, self.item, self.at = (x[order] for x in (self.gram, self.item, self.at))
+        self.frequency = np.zeros(len(self.gram), dtype=np.int64)
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.end = np.cumsum(self.size)
+        self.vocabulary, self.code = np.unique(np.concatenate([np.empty(0, np.uint64), *self.words]), return_inverse=True)
+
+    def rank(self, frequency: np.ndarray) -> "Items":
+        """Note how frequent each seed is, for the order of work."""
+        self.frequency = frequency[np.searchsorted(self.distinct, self.gram)]
         return self
 
+    def shared(self, which: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """For each item of ``which``, how large a part of its words stands anywhere in the document."""
+        there = np.isin(self.vocabulary, doc)
+        size, end = self.size[which], self.end[which]
+        return np.add.reduceat(there[self.code[spread(end - size, end)]].astype(np.int64), np.cumsum(size) - size) / size
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [low, high), one range after the other."""
+    n = high - low
+    return np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())
+
 
 def document_frequency(docs: DataFrame, text_col: str, items: Items) -> np.ndarray:
     """In how many documents each of the items' distinct n-grams stands."""
@@ -131,36 +142,54 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return score / (MATCH * len(item)), end - back, end
 
 
+def common_words(item: np.ndarray, part: np.ndarray) -> float:
+    """Words that item and part have in common, repeats counted, as a share of the item: no alignment scores more."""
+    known, count = np.unique(item, return_counts=True)
+    at = np.searchsorted(known, part)
+    at[at == len(known)] = 0
+    return np.minimum(count, np.bincount(at[known[at] == part], minlength=len(known))).sum() / len(item)
+
+
 def find(doc: np.ndarray, items: Items, least: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, start, end) of the best alignment of each item that reaches ``least``."""
+    """(item, score, start, end) of the best alignment of each item that reaches ``least``, the first of equal ones."""
     hits = []
     for width in items.widths:
         grams = window_hashes(doc, width)
         low, high = np.searchsorted(items.gram, grams, "left"), np.searchsorted(items.gram, grams, "right")
-        for d in np.flatnonzero(high > low):
-            for k in range(low[d], high[d]):
-                if min(items.width, len(items.words[items.item[k]])) == width:
-                    hits.append((int(items.item[k]), int(d), int(items.at[k])))
-    best: dict[int, tuple[float, int, int]] = {}
+        k = spread(low, high)
+        hits.append(np.stack([items.item[k], np.repeat(np.arange(len(grams)), high - low), items.at[k], items.frequency[k]])[
+            :, np.minimum(items.width, items.size[items.item[k]]) == width])
+    hits = np.concatenate(hits, axis=1) if hits else np.empty((4, 0), dtype=np.int64)
+    found = np.unique(hits[0])
+    if not len(found):
+        return []
+    hits = hits[:, np.isin(hits[0], found[items.shared(found, doc) >= least])]
     windows: dict[int, list[list[int]]] = {}
-    for item, d, at in sorted(hits):
+    for item, d, at, often in hits[:, np.lexsort(hits[2::-1])].T.tolist():
         size = len(items.words[item])
         start, end = max(0, d - at - size // 2), min(len(doc), d - at + size + size // 2 + 1)
         spans = windows.setdefault(item, [])
         if spans and start <= spans[-1][1]:
-            spans[-1][1] = max(end, spans[-1][1])
+            spans[-1][0], spans[-1][1], spans[-1][2] = min(start, spans[-1][0]), max(end, spans[-1][1]), min(often, spans[-1][2])
         else:
-            spans.append([start, end])
+            spans.append([start, end, often])
+    out = []
     for item, spans in windows.items():
-        for start, end in spans:
+        best = (0.0, 0, 0)
+        for start, end, _ in sorted(spans, key=lambda x: x[2]):
             # A joined span may be long (an item copied over and over): aligned in overlapping parts.
             size = len(items.words[item])
             for cut in range(start, end, 16 * size):
                 part = doc[cut:min(end, cut + 18 * size)]
+                most = common_words(items.words[item], part)
+                if most < least or most < best[0] or most == best[0] and cut >= best[1]:
+                    continue
                 score, a, b = align(items.words[item], part)
-                if score >= least and score > best.get(item, (0.0,))[0]:
-                    best[item] = (score, cut + a, cut + b)
-    return [(item, *found) for item, found in best.items()]
+                if score >= least and (score > best[0] or score == best[0] and cut + a < best[1]):
+                    best = (score, cut + a, cut + b)
+        if best[2]:
+            out.append((item, *best))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
@@ -193,6 +222,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_c
         pdf = bodies.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
         items = Items([(r["i"], r["t"]) for r in pdf], width)
         if len(items.distinct):
-            items.only_rare(document_frequency(rows, text_col, items))
+            items.rank(document_frequency(rows, text_col, items))
             out = out.unionByName(rows.mapInArrow(run_with(items), schema))
     return out.withColumnsRenamed(names)

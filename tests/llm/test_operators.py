@@ -426,6 +426,38 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == {(k, k) for k in range(12)}
 
 
+def test_edited_copies_that_are_more_frequent_than_the_exact_one(spark):
+    """However often an item's n-grams stand in the documents, each of them is a seed."""
+    rnd = random.Random(6)
+    item = ["q%d" % k for k in range(21)]
+    edited = ["other%d" % k if k % 5 == 4 else w for k, w in enumerate(item)]
+    around = lambda: ["s%d" % rnd.randrange(5000) for _ in range(rnd.randint(5, 60))]
+    rows = [(k, " ".join(around() + (edited if k else item) + around())) for k in range(21)]
+    rows.append((21, " ".join(around() + item[:3] + around())))  # three of its words alone are no copy
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contaminated(df, bench).collect()}
+    assert sorted(got) == list(range(21)) and got[0] == 1
+    assert all(abs(got[k] - 15 / 21) < 1e-9 for k in range(1, 21))
+
+
+def test_bounds_and_order_of_work_change_no_result():
+    """Few words, so that windows are many and joined: all windows aligned in order give the same."""
+    rnd = random.Random(12)
+    for _ in range(60):
+        vocab = ["w%d" % k for k in range(rnd.choice([4, 12, 60]))]
+        prose = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+        rows = [(k, prose(rnd.randint(0, 14))) for k in range(8)]
+        doc = decontaminate.words(" ".join([prose(rnd.randint(0, 80)), *(r[1] for r in rows if rnd.random() < 0.4), prose(30)]))
+        items = decontaminate.Items(rows)
+        plain = decontaminate.find(doc, items, 0.5)
+        ranked = items.rank(np.array([rnd.randint(1, 99) for _ in items.distinct], dtype=np.int64))
+        assert decontaminate.find(doc, ranked, 0.5) == plain
+        whole = {k: decontaminate.align(w, doc)[0] for k, w in enumerate(items.words) if len(w)}
+        assert all(score <= whole[k] for k, score, _, _ in plain)
+        assert {k for k, score in whole.items() if score == 1} <= {k for k, score, _, _ in plain if score == 1}
+
+
 # 9. Exact dedup
 
 def copies_brute(rows):
