@@ -13,11 +13,15 @@ special strings included where they are complete.
 
 Defined results: null or empty text -> 0 tokens and an empty table; rows are handled one by
 one, so repeated rows, null keys and other columns don't matter; an empty table gives an
-empty table. Texts are counted whole; memory is a few bytes a character of the text in hand.
+empty table. Texts are counted whole, whatever their length and normal form: the library only
+normalises clusters (a character and those that may compose with it), and where the start of a
+cluster normalises otherwise than the whole one, the programme goes on from the cluster's start
+and back again. Memory is proportional to the text in hand.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import os
@@ -41,7 +45,21 @@ from .common import pieces
 # Unicode's White_Space characters, which the tokeniser's \s means.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _SPLIT = regex.compile(f"([{WHITE}])")
+_LETTER = regex.compile(r"\p{L}")
 PAIRS_KEPT, WORDS_KEPT = 500_000, 400_000
+#: From so many characters on, a piece is not counted anew for each start of a cluster.
+LONG = 64
+
+
+@functools.lru_cache(maxsize=1)
+def _clusters() -> regex.Pattern:
+    """Matches a character and all that may compose or change places with it: NFC never reaches beyond."""
+    chars = [chr(k) for k in range(0x300, 0x20000)]  # the planes above have only starters that stand alone
+    after = {chr(k) for k in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))} | {c for c in chars if unicodedata.combining(c)}
+    pairs = [unicodedata.decomposition(c).split() for c in chars + [chr(k) for k in range(0x80, 0x300)]]
+    after |= {chr(int(x[1], 16)) for x in pairs if len(x) == 2 and x[0][0] != "<"}
+    after |= {c for c in chars if unicodedata.normalize("NFD", c)[0] in after}
+    return regex.compile(f".[{''.join(sorted(after))}]*", regex.DOTALL)
 
 
 class WordCounter:
@@ -116,18 +134,11 @@ class WordCounter:
             else:
                 return True
 
-    def word(self, piece: str) -> list[int]:
-        """Token count of each prefix (by character) of one pre-token, each ended by the word end."""
-        known = self.words.get(piece)
-        if known is not None:
-            return known
-        s = "".join(map(self.chars.__getitem__, piece.encode()))
+    def _fill(self, s: str, same: int, last: list[int], count: list[int], ended: list[int]) -> None:
+        """The programme's entries after ``same`` for the symbols of one pre-token."""
         n, ends, pairs, stable = len(s), self.ends.get, self.pairs, self._stable
         if len(pairs) >= PAIRS_KEPT:
             pairs.clear()
-        before, last, count, ended = self.previous  # what the last word has in common with this one is known
-        same = len(os.path.commonprefix([before, s]))
-        last, count, ended = (x[:same + 1] + [v] * (n - same) for x, v in ((last, -1), (count, 0), (ended, 0)))
         for i in range(same + 1, n + 1):
             j = i - 1
             while j >= 0 and (found := ends(s[j:i])) is not None:
@@ -148,6 +159,18 @@ class WordCounter:
                 if ended[i] and last[i] >= 0:
                     break
                 j -= 1
+
+    def word(self, piece: str) -> list[int]:
+        """Token count of each prefix (by character) of one pre-token, each ended by the word end."""
+        known = self.words.get(piece)
+        if known is not None:
+            return known
+        s = "".join(map(self.chars.__getitem__, piece.encode()))
+        n = len(s)
+        before, last, count, ended = self.previous  # what the last word has in common with this one is known
+        same = len(os.path.commonprefix([before, s]))
+        last, count, ended = (x[:same + 1] + [v] * (n - same) for x, v in ((last, -1), (count, 0), (ended, 0)))
+        self._fill(s, same, last, count, ended)
         self.previous = s, last, count, ended
         out = ended[1:] if n == len(piece) else [ended[i] for i in np.cumsum([len(c.encode()) for c in piece])]
         if len(self.words) >= WORDS_KEPT:
@@ -160,7 +183,11 @@ class WordCounter:
         """Counts of each prefix of a run of non-space characters without special strings."""
         lower = chunk.lower() if chunk.isascii() else "".join(map(str.lower, chunk))  # by character: no final sigma
         if len(lower) != len(chunk) or not unicodedata.is_normalized("NFC", chunk):
-            return [len(x.ids) for x in self.library.encode_batch([chunk[:k] for k in range(1, len(chunk) + 1)], add_special_tokens=False)]
+            return self.aligned(chunk)
+        return self.normal(lower)
+
+    def normal(self, lower: str) -> list[int]:
+        """Counts of each prefix of a normalised run of non-space characters."""
         if lower.isascii() and lower.isalpha():
             return self.word(lower)
         out: list[int] = []
@@ -174,6 +201,27 @@ class WordCounter:
             base += counts[-1]
         return out
 
+    def aligned(self, chunk: str) -> list[int]:
+        """Counts of each prefix of a run whose characters don't normalise one by one."""
+        normalise = self.library.normalizer.normalize_str
+        clusters = _clusters().findall(chunk)
+        parts = [c.lower() if c.isascii() else normalise(c) for c in clusters]
+        text = "".join(parts)
+        counts, tails = self.normal(text), None
+        out: list[int] = []
+        at = 0
+        for cluster, part in zip(clusters, parts):
+            for k in range(1, len(cluster)):
+                start = normalise(cluster[:k])
+                if part.startswith(start):
+                    out.append(counts[at + len(start) - 1])
+                else:
+                    tails = tails or Tails(self, text, counts)
+                    out.append(tails.count(at, start))
+            at += len(part)
+            out.append(counts[at - 1])
+        return out
+
     def run(self, chunk: str) -> list[int]:
         """Counts of each prefix of a run of non-space characters."""
         if not any(x in chunk for x in self.specials):
@@ -220,6 +268,49 @@ class WordCounter:
         return out
 
 
+class Tails:
+    """Token counts of a normalised run up to some place, followed by other characters."""
+
+    def __init__(self, counter: WordCounter, text: str, counts: list[int]) -> None:
+        self.counter, self.text, self.counts = counter, text, counts
+        self.starts = [m.start() for m in counter.pattern.finditer(text)]
+        self.longest = max(map(len, counter.ends))
+        self.piece = -1  # the long piece whose programme is at hand
+
+    def whole(self, text: str) -> int:
+        return sum(self.counter.word(m[0])[-1] for m in self.counter.pattern.finditer(text))
+
+    def count(self, at: int, tail: str) -> int:
+        """Tokens of the first ``at`` characters and ``tail``."""
+        if not at:
+            return self.whole(tail)
+        k = bisect.bisect_left(self.starts, at) - 1  # the piece of the last character
+        first = self.starts[k]
+        if at - first <= LONG:
+            if k and self.text[self.starts[k - 1]:first] == "'":  # a quote may be a part of 're with what follows
+                first = self.starts[k - 1]
+            return (self.counts[first - 1] if first else 0) + self.whole(self.text[first:at] + tail)
+        # A long piece is a run of letters or of other characters: any of its kind stands for it.
+        more = self.counter.pattern.match(("a" if _LETTER.match(self.text[at - 1]) else "!") + tail)[0][1:]
+        if not more:
+            return self.counts[at - 1] + self.whole(tail)
+        return (self.counts[first - 1] if first else 0) + self._grown(k, at, more) + self.whole(tail[len(more):])
+
+    def _grown(self, k: int, at: int, more: str) -> int:
+        """Tokens of the k-th piece up to ``at`` and the characters ``more``, as one piece."""
+        symbols = lambda x: "".join(map(self.counter.chars.__getitem__, x.encode()))
+        first = self.starts[k]
+        if self.piece != k:
+            s = symbols(self.text[first:self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)])
+            self.piece, self.symbols, self.table = k, s, ([-1] * (len(s) + 1), [0] * (len(s) + 1), [0] * (len(s) + 1))
+            self.counter._fill(s, 0, *self.table)
+        there, new = len(self.text[first:at].encode()), symbols(more)
+        low = max(0, there - self.longest)  # no token reaches further back
+        last, count, ended = (x[low:there + 1] + [v] * len(new) for x, v in zip(self.table, (-1, 0, 0)))
+        self.counter._fill(self.symbols[low:there] + new, there - low, last, count, ended)
+        return ended[-1]
+
+
 @functools.lru_cache(maxsize=2)
 def _counter(path: str) -> WordCounter:
     return WordCounter(path)

@@ -532,6 +532,41 @@ def test_every_prefix_is_exact():
             assert prefix_counts.longest_within(unit, table, budget) == (fit[-1] if fit else 0)
 
 
+def test_every_prefix_of_long_runs_out_of_normal_form_is_exact(monkeypatch):
+    rnd, counter = random.Random(18), prefix_counts.WordCounter(WORDS)
+    marks = ["e\u0301", "\u0301", "\u0323\u0301", "a\u0301\u0323", "\u1112\u1161\u11ab", "\u1161", "\ud55c\u11a8", "\uf900",
+             "\u0130", "I\u0307", "\u212b", "\u0344", "\u0f73", "'\u0301", "=\u0338", "1\u0301", "'re\u0301", "'r", "'", "s\u0323\u0307", "\u09c7\u09be"]
+    for k in range(500):
+        monkeypatch.setattr(prefix_counts, "LONG", rnd.choice([2, 5, 64]))
+        runs = ["the", "xyzzy", "!!", "?", "12", "漢字", "'", "été", "q" * 70, "=" * 70, "漢" * 70]
+        text = "".join(rnd.choice(marks if rnd.random() < 0.5 else runs) for _ in range(rnd.randint(1, 9)))
+        want = [len(counter.library.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
+        unit, table = counter.tables([text])[0]
+        assert np.cumsum(prefix_counts.changes(unit, table)).tolist() == want, ascii(text)
+
+
+@pytest.mark.parametrize("odd", ["e\u0301", "\uf900", "\u0130", "\u1112\u1161\u11ab"])
+def test_a_long_run_is_never_sent_as_all_its_prefixes(odd):
+    counter, rnd, sent = prefix_counts.WordCounter(WORDS), random.Random(4), []
+
+    class Library:
+        normalizer = counter.library.normalizer
+
+        def encode_batch(self, texts, **_):
+            sent.append(sum(map(len, texts)))
+            assert sent[-1] < 1_000_000, "quadratic memory"
+            return library.encode_batch(texts, **_)
+
+    library, counter.library = counter.library, Library()
+    text = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(10_000)) + odd
+    text += "".join(rnd.choice("abcdefghij0123456789+/ABCXYZ") for _ in range(10_000)) + odd * 500
+    unit, table = counter.tables([text])[0]
+    counts = np.cumsum(prefix_counts.changes(unit, table))
+    assert len(counts) == len(text)
+    for k in [1, 9_999, 10_000, 10_001, 10_002, 10_003, 15_000, len(text) - 2, len(text) - 1, len(text)]:
+        assert counts[k - 1] == len(library.encode(text[:k], add_special_tokens=False).ids)
+
+
 def test_wide_tables(monkeypatch):
     counter = prefix_counts.WordCounter(WORDS)
     monkeypatch.setattr(counter, "deltas", lambda chunk: [0, 300, -300][:len(chunk)])
