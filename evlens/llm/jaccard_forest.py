@@ -1,10 +1,10 @@
 """Near-duplicate join of documents on the Jaccard similarity of word n-grams.
 
-Documents with the same shingle set are one vertex. A MinHash forest of ``TREES`` tries
-proposes pairs: in each tree a vertex's label is a sequence of min-hashes, and vertices that
-share a prefix of it meet in a trie node. The prefix is shortened, from ``DEPTH`` on, until
-the expected recall of pairs at the threshold reaches ``RECALL``. All pairs are verified by
-their exact shingle sets:
+Documents with the same shingle set are one vertex. ``TREES`` trees propose pairs: in each
+a vertex's label is a sequence of min-hashes, hashed into one key, and vertices with the same
+key meet in a node. This is fixed banding in place of a forest of tries: one length for all
+labels, the longest up to ``DEPTH`` at which the expected recall of pairs at the threshold
+reaches ``RECALL``. All pairs are verified by their exact shingle sets:
 
 1. every vertex of a node against the node's least vertex (a star, not all pairs); links
    found so give components;
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
         F.first("labels").alias("labels")), "vertices")
 
-    # Trie nodes with two vertices or more.
+    # Nodes with two vertices or more.
     meets = vertices.select("vertex", "n", F.posexplode("labels").alias("tree", "label"))
     nodes = meets.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("m"), F.min("vertex").alias("hub")).filter("m > 1")
     members = stored(meets.join(nodes, ["tree", "label"]), "nodes")
