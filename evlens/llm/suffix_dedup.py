@@ -267,10 +267,15 @@ def _spread_back(p: np.ndarray, m: int) -> np.ndarray:
     return np.cumsum(np.bincount(lo[good], minlength=m + 1)[:m + 1] - np.bincount(hi[good] + 1, minlength=m + 1)[:m + 1])[:m] > 0
 
 
+def _least_id() -> Column:
+    """The first id in the order of results: null if any is."""
+    return F.when(~F.max(F.col("id").isNull()), F.min("id"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (the bytes left; null if all are) and kept_sha256."""
     parsed = stored(parse(docs, id_col, text_col, width, gram), "parsed")
-    texts = parsed.groupBy("a", "b").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("lo").alias("lo"),
+    texts = parsed.groupBy("a", "b").agg(_least_id().alias("first_id"), F.first("n").alias("n"), F.first("lo").alias("lo"),
                                          F.first("span").alias("span"))
     found = stored(open_windows(parsed, texts, width), "open")
     found = stored(found.join(lonely(_with_text(docs, found, id_col, text_col), width), "a", "left").select(*found.columns, "lone"), "lone")
@@ -317,7 +322,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     changed = _with_text(docs, repeats.select("a", "b", "starts"), id_col, text_col).select("a", "b", "starts", "body").mapInArrow(
         cut, "a long, b long, removed long, spans long, kept binary, kept_sha string")
-    first = parsed.groupBy("a", "b").agg(F.min("id").alias("first_id"))
+    first = parsed.groupBy("a", "b").agg(_least_id().alias("first_id"))
     rows = parsed.select("id", "a", "b", "n", "sha").join(first, ["a", "b"]).join(changed, ["a", "b"], "left")
     copy = ~F.col("id").eqNullSafe(F.col("first_id")) & (F.col("n") >= width)
 

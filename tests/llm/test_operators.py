@@ -238,6 +238,18 @@ def test_suffix_dedup_nulls_and_repeats(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_null_ids_come_first(spark):
+    rnd = random.Random(21)
+    t, u = (" ".join("w%d" % rnd.randrange(5000) for _ in range(60)) for _ in range(2))
+    rows = [(5, t), (-7, u[:30] + t[20:220] + u), (None, t), (None, t), (9, u)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()]
+    brute = suffix_brute([(-100 if i is None else i, text) for i, text in [*rows[:3], rows[4]]], 100)
+    want = [(None if i == -100 else i, *v) for i, v in brute.items()]
+    assert Counter(got) == Counter([*want, *(w for w in want if w[0] is None)])
+    assert {x[0]: x[2] for x in got}[None] == 0 and {x[0]: x[2] for x in got}[5] == len(t)
+
+
 def test_cover_meets_every_shift():
     p, cover = suffix_dedup.PERIOD, suffix_dedup.COVER
     assert {(x - y) % p for x in cover for y in cover} == set(range(p))
