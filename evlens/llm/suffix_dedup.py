@@ -2,9 +2,9 @@
 
 The suffixes that start at a cover position (position in the text modulo ``PERIOD`` in
 ``COVER``, a perfect difference set) are enough to compare any two: whatever two places i and
-j, some shift below PERIOD brings both onto the cover. So only sampled suffixes are ranked,
-one bucket (equal first bytes) at a time, and long ties are settled by names computed
-beforehand. All of it runs on what is left after two exact screens:
+j, some shift below PERIOD brings both onto the cover. So only sampled suffixes are grouped, by
+hashes of their first bytes and of their surroundings; equality is all that is asked, so nothing
+is sorted or ranked. All of it runs on what is left after two exact screens:
 
 1. Equal texts count once; a later copy of 100 bytes or more loses every byte.
 2. Each 100-byte window's least hashed ``GRAM``-gram is named over the corpus; a window whose
