@@ -52,14 +52,15 @@ def op2_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode every text by the ranks of byte_bpe_multi_50k, decode the ids again; digests of both."""
+    """Encode every text by the ranks of byte_bpe_multi_50k, decode the ids again; digests of both and
+    of the tokens' character offsets."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN,
-                                      with_offsets=False, with_decoded=True)
+                                      with_decoded=True)
     return coded.select(
         "doc_id", "n_tokens",
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("char_start", "char_end").alias("offsets_hash"))
 
 
 @query

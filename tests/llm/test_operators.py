@@ -188,6 +188,23 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.encode_documents(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_query_covers_the_offsets(spark, tmp_path):
+    from evlens.llm.queries import op3_byte_bpe
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    spark.createDataFrame(UNIQUE, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = []
+    for r in UNIQUE:
+        raw, at, start, end = (r[1] or "").encode(), 0, [], []
+        heads = np.cumsum([0, *[b & 0xC0 != 0x80 for b in raw]]).tolist()
+        for piece in lib.decode_tokens_bytes(lib.encode_ordinary(r[1] or "")):
+            start.append(heads[at + 1] - 1)
+            end.append(heads[at := at + len(piece)])
+        rows.append((r[0], start, end))
+    want = spark.createDataFrame(rows, "doc_id long, s array<int>, e array<int>").select("doc_id", F.xxhash64("s", "e").alias("h"))
+    got = op3_byte_bpe(spark, str(tmp_path)).select("doc_id", "offsets_hash")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_byte_bpe_random_text():
     rnd, enc = random.Random(2), byte_bpe._encoder(RANKS, public_tokenizers.PATTERN)
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
