@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, jaccard_forest, line_dedup, prefix_counts, recompression, resampling, suffix_dedup, token_files
+from . import (byte_bpe, decontaminate, exact_dedup, filter_audit, hard_negatives, jaccard_forest, license_scan, line_dedup,
+               prefix_counts, recompression, resampling, suffix_dedup, token_files)
 from .common import read_table, scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +124,84 @@ def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = prefix_counts.prefix_tables(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return prefix_counts.answer(tables, 2048).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "chars_within")
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every 100th vector and its five best rows of the same label: the ten best of other labels
+    between 0.3 and 0.9 of that score; every seventh label is shifted by one first."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), hard_negatives.quantise(F.col("embedding"), 256.0).alias("q"))
+    return hard_negatives.hard_negatives(rows, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)), positives=5,
+                                         negatives=10, low=30, high=90)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_dot_product(a.q, c.q)::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM e WHERE vec_id % 100 = 0) a JOIN e c ON c.vec_id <> a.vec_id),
+p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the five filters removes in every source, order of the filters and step."""
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT doc_id, part,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS failed
+  FROM d),
+c AS (
+  SELECT part, failed, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS f,
+         list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS before
+  FROM o, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+r AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN failed & (f | coalesce(before, 0)::INT) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN failed & f <> 0 AND failed & coalesce(before, 0)::INT = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN failed & f <> 0 AND failed & coalesce(before, 0)::INT <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN failed = f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN good AND failed & f <> 0 AND failed & coalesce(before, 0)::INT = 0 THEN n ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN toxic AND failed & f <> 0 AND failed & coalesce(before, 0)::INT = 0 THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license notices, exact and with a few edits: base places, labels, score, spans."""
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
