@@ -1,20 +1,14 @@
 """String functions of the admission pipeline.
 
-All are Column expressions (JVM-side, codegen). The only Python in this module
-is ``metadata_walk``, an Arrow-batched helper that walks nested JSON metadata;
-the admission pipeline feeds it only the rows whose metadata text could change
-or trip the screen, every other row passes NULL and costs nothing.
+All are Column expressions (JVM-side). ``metadata_walk`` reaches the values of nested
+JSON; the admission pipeline feeds it only the rows whose text could change or
+trip the screen.
 """
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's behaviour.
@@ -107,65 +101,52 @@ def is_uuid_v4(c: Column) -> Column:
     return c.rlike(UUID_V4_PATTERN)
 
 
-# --- nested metadata walk ---------------------------------------------------
-
-# Python mirrors of the same patterns (ASCII classes, as in JavaScript).
-_SAN_RE = [(re.compile(p.replace("(?i)", ""), re.A | (re.I if p.startswith("(?i)") else 0)), r)
-           for p, r in SANITIZE_STEPS]
-_INJ_RE = [re.compile(p, re.A | re.I) for p in INJECTION_PATTERNS]
+# --- nested values --------------------------------------------------------------
 
-# Raw-text test for rows that need the walk: anything that sanitising could
+# Raw-text test for JSON that needs the walk: anything that sanitising could
 # change, anything the screen could match, or any escape sequence (an escaped
 # character is only visible after decoding).
 NEEDS_WALK_PATTERN = ("(?i)[<>\\\\]|javascript:|on\\w+" + JS_SPACE + "*=|" + "|".join(INJECTION_PATTERNS))
 
-WALK_SCHEMA = T.StructType([
-    T.StructField("text", T.StringType()),
-    T.StructField("injection", T.BooleanType()),
-])
-
-
-def _san(s: str) -> str:
-    for rx, repl in _SAN_RE:
-        s = rx.sub(repl, s)
-    return s
-
-
-def _walk(v):
-    """Sanitise every string value (keys kept) and report whether any value trips the screen."""
-    if isinstance(v, str):
-        s = _san(v)
-        return s, any(rx.search(s) for rx in _INJ_RE)
-    if isinstance(v, list):
-        out, hit = [], False
-        for x in v:
-            y, h = _walk(x)
-            out.append(y)
-            hit = hit or h
-        return out, hit
-    if isinstance(v, dict):
-        out, hit = {}, False
-        for k, x in v.items():
-            y, h = _walk(x)
-            out[k] = y
-            hit = hit or h
-        return out, hit
-    return v, False
-
-
-def _walk_text(text):
-    if text is None:
-        return None, None
-    try:
-        value = json.loads(text)
-    except (ValueError, TypeError):
-        return None, None
-    out, hit = _walk(value)
-    return json.dumps(out, ensure_ascii=False, separators=(",", ":")), hit
-
-
-@F.pandas_udf(WALK_SCHEMA)
-def metadata_walk(texts: pd.Series) -> pd.DataFrame:
-    """Sanitised JSON text and screen result for the non-NULL entries of a batch."""
-    res = [(None, None) if t is None else _walk_text(t) for t in texts]
-    return pd.DataFrame(res, columns=["text", "injection"])
+# One string of a valid JSON text and, if it is a key, the colon behind it. The quantifiers are
+# possessive, so the match is linear and needs no stack however long the string.
+_JSON_STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(\s*+:)?+'
+
+
+def metadata_walk(text: Column) -> Column:
+    """C14 and C15 over all string values of a JSON text, at any depth: a struct of the sanitised
+    ``text`` and ``injection``, whether any sanitised value trips the screen. Keys stay as they are.
+
+    The text is cut at its strings (a valid JSON text has quotes nowhere else); values are
+    decoded one by one, and only those that change are encoded anew; spaces between values
+    go. NULL for texts that are no valid JSON.
+    """
+    body, colon = (F.regexp_extract_all(text, F.lit(_JSON_STRING), F.lit(k)) for k in (1, 2))
+    # Between n strings there are n + 1 stretches of other characters.
+    between = F.split(text, _JSON_STRING, -1)
+
+    def decode(t: Column) -> Column:
+        quoted = F.concat(F.lit('"'), t["body"], F.lit('"'))
+        plain = F.when(t["body"].contains("\\"), F.get_json_object(F.concat(F.lit("["), quoted, F.lit("]")), "$[0]"))
+        return F.struct(quoted.alias("quoted"), (t["colon"] != "").alias("key"), plain.otherwise(t["body"]).alias("plain"))
+
+    def clean(t: Column) -> Column:
+        return F.struct(t["quoted"].alias("quoted"), t["key"].alias("key"), t["plain"].alias("plain"), sanitize(t["plain"]).alias("clean"))
+
+    def encode(t: Column) -> Column:
+        anew = F.regexp_extract(F.to_json(F.array(t["clean"])), r"(?s)^\[(.*)\]$", 1)
+        return F.struct(F.when(t["key"], F.concat(t["quoted"], F.lit(":"))).when(t["clean"] == t["plain"], t["quoted"]).otherwise(anew).alias("text"),
+                        (~t["key"] & injection_hit(t["clean"])).alias("hit"))
+
+    # One step a lambda, so that no expression repeats another.
+    tokens = F.arrays_zip(body.alias("body"), colon.alias("colon"))
+    for step in (decode, clean, encode):
+        tokens = F.transform(tokens, step)
+    both = F.struct(between.alias("gaps"), tokens.alias("tokens"))
+
+    def join(x: Column) -> Column:
+        pieces = F.zip_with(x["gaps"], x["tokens"], lambda gap, t: F.concat(F.regexp_replace(gap, r"\s+", ""), F.coalesce(t["text"], F.lit(""))))
+        return F.struct(F.array_join(pieces, "").alias("text"), F.exists(x["tokens"], lambda t: t["hit"]).alias("injection"))
+
+    walked = F.element_at(F.transform(F.array(both), join), 1)
+    return F.when(F.try_parse_json(text).isNotNull(), walked)

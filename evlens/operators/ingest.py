@@ -12,8 +12,9 @@ the two counters (I7, I9), which use the exact counter replay of
 ``operators.limits``. A counter only counts the requests that reached it: rows
 already rejected get a private key, so they never share a counter with anyone.
 The annotated rows are persisted once (released by ``persist_scope`` around
-the caller's writes); the counters shuffle only a narrow projection, and their
-verdicts are joined back by row id.
+the caller's writes); the counters shuffle only narrow frames, which are stored in
+the shared folder (their lineage ends there), and the rows over a limit are joined
+back by row id.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import text as X
 from ..functions import useragent as UA
-from ..session import keep
+from ..session import keep, stored
 from . import limits as L
 
 # Body fields of a collect request (all strings; metadata is JSON text).
 BODY_FIELDS = ("event", "url", "referrer", "device", "ipAddress", "userId", "sessionId", "timestamp_text",
                "metadata")
+# JSON texts whose string values are screened one by one; ``extra`` holds all other fields of the body.
+NESTED_FIELDS = ("metadata", "extra")
 HEADER_FIELDS = ("api_key", "client_ip", "user_agent")
 
 # Storage limits of the event table, in column order (characters).
@@ -63,7 +66,7 @@ def provisioned_months(as_of, ahead: int = MONTHS_AHEAD, static=STATIC_MONTHS) -
 
 
 def _with_body(raw: DataFrame) -> DataFrame:
-    for c in BODY_FIELDS + HEADER_FIELDS:
+    for c in BODY_FIELDS + HEADER_FIELDS + ("extra",):
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))
     return raw
@@ -79,7 +82,7 @@ def _first_reason(*steps: tuple[Column, str]) -> Column:
 def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, months=None,
               key_hour_ttl: int = L.KEY_HOUR_TTL, collect_limit: int = L.COLLECT_LIMIT,
               collect_ttl: int = L.COLLECT_TTL, seeds: dict | None = None,
-              keep_counters: bool = False) -> DataFrame:
+              counters: dict | None = None) -> DataFrame:
     """Annotate every raw request with ``reject_reason`` (NULL = accepted),
     ``validation_errors`` and the enriched event columns.
 
@@ -90,8 +93,8 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     request's arrival).
 
     ``seeds`` carries open counters from earlier batches ({'key_hour': frame,
-    'collect': frame}, see ``counter_state``); ``keep_counters`` keeps each
-    request's counter key, window start and count (exact, for the next seed).
+    'collect': frame}, see ``counter_state``); a dict given as ``counters`` receives the
+    stored counter frames with exact windows and counts, for the next seed.
     """
     seeds = seeds or {}
     # Row ids are taken straight off the input scan, before any shuffle, so a
@@ -101,8 +104,9 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     # bytes bound it from below, six times that (worst-case escaping) plus the field
     # names from above; the body is serialised only when the bounds cannot decide.
     scalar_body = F.to_json(F.struct(*[F.col(c) for c in BODY_FIELDS if c != "metadata"]))
-    exact = F.octet_length(scalar_body) + F.coalesce(F.octet_length("metadata"), F.lit(0))
-    lower = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in BODY_FIELDS)
+    nested = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in NESTED_FIELDS)
+    exact = F.octet_length(scalar_body) + nested
+    lower = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in BODY_FIELDS) + F.coalesce(F.octet_length("extra"), F.lit(0))
     # Per field at most: quoted name, colon, quoted value, comma; escaping at most 6x.
     upper = lower * 6 + sum(len(c) + 6 for c in BODY_FIELDS) + 2
     size = (F.when(lower > X.BODY_MAX_BYTES, lower)
@@ -110,28 +114,25 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
              .otherwise(exact))
     if "body_bytes" in d.columns:
         size = F.coalesce("body_bytes", size)
-    # I2 sanitise (top-level strings with Column regexes; nested metadata by the walk,
-    # fed only to rows whose raw text needs it). Each step is one projection.
-    needs_walk = F.col("metadata").rlike(X.NEEDS_WALK_PATTERN)
+    # I2 sanitise: top-level strings by Column regexes, the values of nested JSON by the walk
+    # (only where the raw text needs it). Each step is one projection.
+    needs = {c: F.coalesce(F.col(c).rlike(X.NEEDS_WALK_PATTERN), F.lit(False)) for c in NESTED_FIELDS}
     d = d.withColumns({
         # Stable per-request tie-break for equal arrival times.
-        "_rid": F.xxhash64(*[F.col(c) for c in ("received_at",) + HEADER_FIELDS + BODY_FIELDS]),
+        "_rid": F.xxhash64(*[F.col(c) for c in ("received_at",) + HEADER_FIELDS + BODY_FIELDS + ("extra",)]),
         "_size": size,
-        "_needs_walk": F.coalesce(needs_walk, F.lit(False)),
         "_meta_ok": F.col("metadata").isNull() | F.try_parse_json(F.col("metadata")).isNotNull(),
-        **{c: X.sanitize(F.col(c)) for c in BODY_FIELDS if c != "metadata"},
-    })
-    d = d.withColumn("_walk", X.metadata_walk(F.when(F.col("_needs_walk"), F.col("metadata"))))
-    d = d.withColumns({
-        "metadata": F.when(F.col("_needs_walk"), F.col("_walk.text")).otherwise(F.col("metadata")),
-        "_meta_inj": F.coalesce(F.when(F.col("_needs_walk"), F.col("_walk.injection")), F.lit(False)),
+        **{c: X.sanitize(F.col(c)) for c in BODY_FIELDS if c not in NESTED_FIELDS},
+        **{f"_walk_{c}": F.when(needs[c], X.metadata_walk(F.col(c))) for c in NESTED_FIELDS},
     })
+    d = d.withColumns({c: F.coalesce(F.col(f"_walk_{c}.text"), F.col(c)) for c in NESTED_FIELDS})
     # I3 screen
     inj = F.lit(False)
     for c in BODY_FIELDS:
-        if c != "metadata":
+        if c not in NESTED_FIELDS:
             inj = inj | X.injection_hit(F.col(c))
-    inj = inj | F.col("_meta_inj")
+    for c in NESTED_FIELDS:
+        inj = inj | F.coalesce(F.col(f"_walk_{c}.injection"), F.lit(False))
 
     # I5 key lookup: keys joined to their app (inner), matched on the hash.
     kd = (keys.join(apps.select(F.col("id").alias("_app_id")), keys["app_id"] == F.col("_app_id"), "inner")
@@ -156,32 +157,29 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
          "api_key_invalid"),
         (~K.ip_allowed(F.col("_key_ips"), F.col("client_ip")), "api_key_ip_blocked"),
     )
-    # The wide annotated rows are kept once; each counter sees a narrow projection of only
-    # the requests that reach it, and only the rows over a limit are joined back.
-    d = keep(d.withColumn("_reason", stateless))
-    n = d.filter(F.col("_reason").isNull()).select(
-        "_rowid", "_rid", "received_at", "_key_limit", "_key_perms", "api_key", "client_ip",
-        F.concat(F.lit("k"), F.col("key_id").cast("string")).alias("_k1"))
+    # The wide annotated rows are kept once; the counters see a narrow stored frame of only the
+    # requests that reach them, and only the rows over a limit are joined back.
+    may_write = K.has_permission(F.col("_key_perms"), "write")
+    d = keep(d.withColumn("_reason", stateless).drop("_walk_metadata", "_walk_extra"))
+    reach = stored(d.filter(F.col("_reason").isNull()).select(
+        "_rowid", "_rid", "received_at", "_key_limit", F.coalesce(may_write, F.lit(False)).alias("_may_write"),
+        F.concat(F.lit("k"), F.col("key_id").cast("string")).alias("_k1"),
+        F.concat(F.lit("k"), F.coalesce(F.nullif(F.col("api_key"), F.lit("")), F.col("client_ip"))).alias("_k2")), "reach")
 
     # I7 per-key hourly counter over the requests that reached it.
-    c1 = keep(L.anchored_counter(n, ["_k1"], "received_at", key_hour_ttl,
-                                 F.coalesce(F.nullif(F.col("_key_limit"), F.lit(0)), F.lit(L.KEY_HOUR_DEFAULT)),
-                                 tiebreak=["_rid"], breach_only=not keep_counters, seed=seeds.get("key_hour")))
+    breach_only = counters is None
+    c1 = stored(L.anchored_counter(reach, ["_k1"], "received_at", key_hour_ttl,
+                                   F.coalesce(F.nullif(F.col("_key_limit"), F.lit(0)), F.lit(L.KEY_HOUR_DEFAULT)),
+                                   tiebreak=["_rid"], breach_only=breach_only, seed=seeds.get("key_hour")), "key-hour")
     # I8 write permission, then I9 per key-header (else IP) minute counter.
-    may_write = K.has_permission(F.col("_key_perms"), "write")
-    n = c1.filter(~F.col("limit_exceeded") & may_write).select(
-        "_rowid", "_rid", "received_at",
-        F.concat(F.lit("k"), F.coalesce(F.nullif(F.col("api_key"), F.lit("")), F.col("client_ip"))).alias("_k2"))
-    c2 = keep(L.anchored_counter(n, ["_k2"], "received_at", collect_ttl, collect_limit, tiebreak=["_rid"],
-                                 breach_only=not keep_counters, seed=seeds.get("collect")))
+    n = c1.filter(~F.col("limit_exceeded") & F.col("_may_write")).select("_rowid", "_rid", "received_at", "_k2")
+    c2 = stored(L.anchored_counter(n, ["_k2"], "received_at", collect_ttl, collect_limit, tiebreak=["_rid"],
+                                   breach_only=breach_only, seed=seeds.get("collect")), "collect")
+    if counters is not None:
+        counters.update(key_hour=c1, collect=c2)
     late = c1.filter("limit_exceeded").select("_rowid", F.lit("api_key_rate_limit").alias("_late")).unionByName(
         c2.filter("limit_exceeded").select("_rowid", F.lit("collect_rate_limit").alias("_late")))
     d = d.join(late, "_rowid", "left")
-    if keep_counters:
-        d = (d.join(c1.select("_rowid", "_k1", F.col("window_start").alias("_c1_start"),
-                              F.col("window_count").alias("_c1_count")), "_rowid", "left")
-              .join(c2.select("_rowid", "_k2", F.col("window_start").alias("_c2_start"),
-                              F.col("window_count").alias("_c2_count")), "_rowid", "left"))
     first = F.when(F.col("_late") == "api_key_rate_limit", F.col("_late"))
     d = d.withColumn("_reason", F.coalesce("_reason", first, F.when(~may_write, F.lit("no_permission")), "_late")).drop("_late")
 
@@ -238,29 +236,24 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     constraint_steps.append((~month_ok, "no_partition"))
     later = _first_reason((F.size("validation_errors") > 0, "validation"), *constraint_steps)
     d = d.withColumn("reject_reason", F.coalesce(F.col("_reason"), later))
-    return d.drop("_reason", "_rowid", "_walk", "_meta_ok", "_meta_inj", "_needs_walk", "_size", "_hash", "_key_hash", "_key_active",
+    return d.drop("_reason", "_rowid", "_meta_ok", "_size", "_hash", "_key_hash", "_key_active",
                   "_key_expires", "_key_perms", "_key_limit", "_app_id")
 
 
-def counter_state(adm: DataFrame, previous: dict | None, key_hour_ttl: int = L.KEY_HOUR_TTL,
+def counter_state(counters: dict, previous: dict | None, last_seen, key_hour_ttl: int = L.KEY_HOUR_TTL,
                   collect_ttl: int = L.COLLECT_TTL) -> dict:
-    """Open counters after a batch (from ``admission(..., keep_counters=True)``): the batch's
-    last window per real counter key, plus earlier seeds of keys the batch did not touch,
-    minus windows already expired at the batch's last arrival."""
+    """Open counters after a batch (``counters`` as ``admission`` filled it): the batch's last
+    window per counter key, plus earlier seeds of keys the batch did not touch, minus windows
+    already expired at the batch's last arrival ``last_seen``."""
     previous = previous or {}
     out = {}
-    # One scalar per batch: the last arrival time.
-    last_seen = adm.agg(F.max("received_at")).first()[0]
-    for name, key, start, count, ttl in (("key_hour", "_k1", "_c1_start", "_c1_count", key_hour_ttl),
-                                         ("collect", "_k2", "_c2_start", "_c2_count", collect_ttl)):
-        real = adm.filter(F.col(key).startswith("k")).select(
-            key, F.col(start).alias("window_start"), F.col(count).alias("window_count"))
-        now = L.open_counters(real, [key], "window_start", ttl)
+    for name, key, ttl in (("key_hour", "_k1", key_hour_ttl), ("collect", "_k2", collect_ttl)):
+        now = L.open_counters(counters[name], [key], "window_start", ttl)
         prev = previous.get(name)
         if prev is not None:
             now = now.unionByName(prev.join(now.select(key), key, "left_anti"))
         if last_seen is not None:
-            ts_type = adm.schema["received_at"].dataType
+            ts_type = counters[name].schema["received_at"].dataType
             now = now.filter(F.col("window_start") + F.expr(f"INTERVAL {int(ttl)} SECONDS")
                              >= F.lit(last_seen).cast(ts_type))
         out[name] = now
@@ -287,7 +280,7 @@ def receipts(events: DataFrame) -> DataFrame:
 def quarantine(adm: DataFrame) -> DataFrame:
     """Rejected requests with their reason and validation errors (headers kept, key hidden)."""
     rej = adm.filter(F.col("reject_reason").isNotNull())
-    return rej.select("received_at", "client_ip", "user_agent", *BODY_FIELDS, "key_id", "reject_reason",
+    return rej.select("received_at", "client_ip", "user_agent", *BODY_FIELDS, "extra", "key_id", "reject_reason",
                       "validation_errors")
 
 

@@ -85,8 +85,11 @@ def admission_ctes(as_of: str, key_hour_ttl: int) -> str:
     body_scalar = ["event", "url", "referrer", "device", "ipAddress", "userId", "sessionId", "timestamp_text"]
     san = ",\n         ".join(f"{_sanitize('r.' + c)} AS {c}" for c in body_scalar)
     size = ("strlen(CAST(to_json({" + ", ".join(f"'{c}': r.{c}" for c in body_scalar) + "}) AS VARCHAR))"
-            " + coalesce(strlen(r.metadata), 0)")
-    inj = " OR ".join(_inj(f"q.{c}") for c in body_scalar + ["metadata"])
+            " + coalesce(strlen(r.metadata), 0) + coalesce(strlen(r.extra), 0)")
+    inj = " OR ".join(_inj(f"q.{c}") for c in body_scalar + ["metadata"]) + " OR q.extra_hit"
+    # Every string value of the further fields, at any depth, sanitised and screened by itself.
+    extra_hit = (f"coalesce((SELECT bool_or({_inj(_sanitize('t.s'))}) FROM (SELECT json_extract_string(j.value, '$') AS s, j.type AS kind"
+                 " FROM json_tree(r.extra) j) t WHERE t.kind = 'VARCHAR'), false)")
     agent_browser = _first_rule(UA.BROWSER_RULES, uaq, lambda r: _browser_value(r, uaq))
     agent_os = _first_rule(UA.OS_RULES, uaq, lambda r: f"'{r[1]}'")
     handheld = f"regexp_matches({uaq}, {_re2(UA.HANDHELD_PATTERN)})"
@@ -101,7 +104,7 @@ def admission_ctes(as_of: str, key_hour_ttl: int) -> str:
 req AS (
   SELECT r.received_at, r.api_key, r.client_ip, r.user_agent, r.metadata,
          CASE WHEN json_valid(r.metadata) THEN r.metadata END AS meta,
-         {size} AS body_bytes,
+         {size} AS body_bytes, {extra_hit} AS extra_hit,
          {san}
   FROM (SELECT *, CAST(NULL AS VARCHAR) AS referrer, CAST(NULL AS VARCHAR) AS device,
                CAST(NULL AS VARCHAR) AS ipAddress, CAST(NULL AS VARCHAR) AS sessionId FROM raw_requests) r),

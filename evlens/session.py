@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -78,14 +79,36 @@ def keep(df, level=None):
     return df
 
 
+def stored(df, name: str):
+    """Write a (narrow) frame to the shared folder and read it back: its lineage and the text of
+    its plan end there, and a lost executor costs a re-read. Inside ``persist_scope`` the
+    folder goes when the scope closes."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark, path: str) -> bool:
+    """Delete a folder through its own file system (shared storage included)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+
+
 @contextmanager
 def persist_scope():
-    """Release every frame ``keep`` persisted while the scope was open (e.g. one micro-batch)."""
-    frames: list = []
-    _SCOPES.append(frames)
+    """Release every frame ``keep`` persisted and every folder ``stored`` wrote while the scope
+    was open (e.g. one micro-batch)."""
+    held: list = []
+    _SCOPES.append(held)
     try:
-        yield frames
+        yield held
     finally:
         _SCOPES.pop()
-        for f in frames:
-            f.unpersist()
+        for x in held:
+            if isinstance(x, str):
+                remove_folder(SparkSession.getActiveSession(), x)
+            else:
+                x.unpersist()

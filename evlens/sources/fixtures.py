@@ -87,7 +87,9 @@ SELECT ts AS received_at,
        CASE WHEN event_id % 5000 = 17 THEN repeat('x', 1100000) ELSE p.url END AS url, CAST(user_id AS STRING) AS userId,
        CASE k WHEN 5 THEN 'invalid-date' WHEN 6 THEN NULL WHEN 10 THEN '2019-05-05' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS timestamp_text,
        CASE k WHEN 7 THEN '[1]' WHEN 8 THEN '{{"country": "USA"}}' WHEN 9 THEN '{{"screenSize": "12345678901234567890123456789012345678901234567890x"}}'
-              WHEN 11 THEN '{{"a":' WHEN 12 THEN '{{"note": {{"q": "drop table x"}}}}' ELSE props END AS metadata
+              WHEN 11 THEN '{{"a":' WHEN 12 THEN '{{"note": {{"q": "drop table x"}}}}' ELSE props END AS metadata,
+       CASE k WHEN 13 THEN '{{"campaign":"drop table users"}}' WHEN 14 THEN '{{"utm":{{"tags":["spring",{{"note":"1; 2"}}]}}}}'
+              WHEN 15 THEN '{{"select":1,"delete":[true,null,"plain"]}}' WHEN 16 THEN '{{"x":"<b>dr<op"}}' WHEN 18 THEN '{{"update":{{"or":"a","b":"c = d"}}}}' END AS extra
 FROM (SELECT *, event_id % (SELECT count(*) FROM {pages}) AS page_no,
              CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) e
 JOIN {pages} p ON p.page_id = e.page_no""",

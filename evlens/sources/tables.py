@@ -65,15 +65,19 @@ REQUEST_LOG = T.StructType([
     T.StructField("endpoint", S), T.StructField("status", T.IntegerType()), T.StructField("duration_ms", T.DoubleType()),
     T.StructField("user_id", S), T.StructField("client_ip", S), T.StructField("user_agent", S),
 ])
-# One JSON line per collect request: headers plus the body (metadata kept as JSON text).
+# One JSON line per collect request: headers plus the body (metadata kept as JSON text; ``extra`` is the
+# JSON text of all further fields of the line and of known ones that hold nested values).
 RAW_REQUEST = T.StructType([
     T.StructField("received_at", TS), T.StructField("api_key", S), T.StructField("client_ip", S),
     T.StructField("user_agent", S), T.StructField("body_bytes", L),
     T.StructField("event", S), T.StructField("url", S), T.StructField("referrer", S), T.StructField("device", S),
     T.StructField("ipAddress", S), T.StructField("userId", S), T.StructField("sessionId", S),
-    T.StructField("timestamp_text", S), T.StructField("metadata", S),
+    T.StructField("timestamp_text", S), T.StructField("metadata", S), T.StructField("extra", S),
     T.StructField("_corrupt_record", S),
 ])
+_LINE_FIELDS = [f.name for f in RAW_REQUEST.fields if f.name not in ("extra", "_corrupt_record")]
+# Known fields of the body whose values are walked as nested ones if they aren't scalars.
+_BODY_SCALARS = ("event", "url", "referrer", "device", "ipAddress", "userId", "sessionId", "timestamp_text")
 
 DIMENSIONS = {"users": USERS, "apps": APPS, "api_keys": API_KEYS}
 LOGS = {"security_events": SECURITY_EVENTS, "audit_logs": AUDIT_LOGS, "request_log": REQUEST_LOG}
@@ -102,20 +106,36 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 def read_raw(spark: SparkSession, path: str, streaming: bool = False, **options) -> DataFrame:
     """Raw collect requests as JSON lines; bad lines kept in ``_corrupt_record``.
 
-    A ``metadata`` object is read as its JSON text (the schema declares a string).
+    A ``metadata`` object is read as its JSON text (the schema declares a string). Fields that
+    the schema doesn't name are kept, as one JSON text in ``extra``: a line's field names are
+    listed first, and only lines that have such fields are parsed in full.
     """
     reader = spark.readStream if streaming else spark.read
-    reader = (reader.schema(RAW_REQUEST).option("mode", "PERMISSIVE")
-                    .option("columnNameOfCorruptRecord", "_corrupt_record")
-                    .option("timestampNTZFormat", TS_FORMAT))
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.json(path)
+    line = F.col("value")
+    known = T.StructType([f for f in RAW_REQUEST.fields if f.name != "extra"])
+    parse = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "timestampNTZFormat": TS_FORMAT}
+    unknown = F.size(F.array_except(F.json_object_keys(line), F.array(*[F.lit(c) for c in _LINE_FIELDS]))) > 0
+    nested = F.lit(False)
+    for c in _BODY_SCALARS:
+        nested = nested | F.coalesce(F.col(f"r.{c}").rlike(r"^[\[{]"), F.lit(False))
+    fields = F.map_filter(F.from_json(line, "map<string,variant>"), lambda k, v: ~k.isin(*_LINE_FIELDS) | (
+        k.isin(*_BODY_SCALARS) & F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)")))
+    rows = reader.text(path).filter(F.trim(line) != "").withColumn("r", F.from_json(line, known, parse))
+    extra = F.when(unknown | nested, F.nullif(F.to_json(fields), F.lit("{}")))
+    return rows.select(*[extra.alias(c) if c == "extra" else F.col(f"r.{c}").alias(c) for c in RAW_REQUEST.fieldNames()])
 
 
 def write_raw(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write raw requests as JSON lines (the format ``read_raw`` reads)."""
-    df.write.mode(mode).option("timestampNTZFormat", TS_FORMAT).json(path)
+    """Write raw requests as JSON lines (the format ``read_raw`` reads); the fields of ``extra``
+    become fields of the line."""
+    if "extra" not in df.columns:
+        df.write.mode(mode).option("timestampNTZFormat", TS_FORMAT).json(path)
+        return
+    line = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != "extra"]), {"timestampNTZFormat": TS_FORMAT})
+    both = F.concat(F.substring(line, F.lit(1), F.length(line) - 1), F.lit(","), F.substring("extra", 2, 1 << 30))
+    df.select(F.when(F.coalesce(F.col("extra") != "{}", F.lit(False)), both).otherwise(line).alias("value")).write.mode(mode).text(path)
 
 
 def append_events(events: DataFrame, path: str) -> int:

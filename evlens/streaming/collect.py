@@ -48,9 +48,9 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, keys: Da
 
 
 def _process(spark, batch, batch_id, keys, apps, out, as_of, months, key_hour_ttl, collect_limit, collect_ttl):
-    seeds = _read_state(spark, out, batch_id)
+    seeds, counters = _read_state(spark, out, batch_id), {}
     adm = I.admission(batch, keys, apps, as_of=as_of, months=months, key_hour_ttl=key_hour_ttl,
-                      collect_limit=collect_limit, collect_ttl=collect_ttl, seeds=seeds, keep_counters=True)
+                      collect_limit=collect_limit, collect_ttl=collect_ttl, seeds=seeds, counters=counters)
     adm = keep(adm.withColumn("ingest_batch", F.lit(batch_id)))
     events = I.accepted_events(adm).withColumn("ingest_batch", F.lit(batch_id))
     (TB.cluster_events(events)
@@ -62,7 +62,8 @@ def _process(spark, batch, batch_id, keys, apps, out, as_of, months, key_hour_tt
     (I.security_events(adm).withColumn("ingest_batch", F.lit(batch_id))
       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
       .partitionBy("ingest_batch").parquet(f"{out}/security_events"))
-    state = I.counter_state(adm, seeds, key_hour_ttl, collect_ttl)
+    last_seen = adm.agg(F.max("received_at")).first()[0]  # one scalar a batch
+    state = I.counter_state(counters, seeds, last_seen, key_hour_ttl, collect_ttl)
     for name, frame in state.items():
         frame.write.mode("overwrite").parquet(_state_path(out, name, batch_id))
     # Exact refresh of the touched rollup dates.

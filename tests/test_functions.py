@@ -63,6 +63,49 @@ def test_metadata_walk_keeps_keys_and_finds_nested_injection(spark):
     assert rows[1]["w"]["injection"] is False
 
 
+def test_metadata_walk_equals_a_parsed_walk(spark):
+    import json
+    import random
+    import re
+    rnd = random.Random(4)
+    words = ["a", "<b>", "x;y", "drop it", "on click =1", "javascript:z", "q\"uote", "back\\slash", "\n\t", "é漢🙂", "", "or x = 1", ":", "{", "]"]
+
+    def value(depth):
+        kind = rnd.randrange(7 if depth else 4)
+        if kind < 4:
+            return rnd.choice([rnd.choice(words), rnd.choice(words) + rnd.choice(words), 1, None, True, 2.5])
+        if kind == 4:
+            return [value(depth - 1) for _ in range(rnd.randrange(4))]
+        return {rnd.choice(words) + str(n): value(depth - 1) for n in range(rnd.randrange(4))}
+
+    def clean(v):
+        for pattern, _ in X.SANITIZE_STEPS:
+            v = re.sub(pattern, "", v, flags=re.A)
+        return v
+
+    def walk(v):
+        if isinstance(v, str):
+            s = clean(v)
+            return s, any(re.search(p, s, re.A | re.I) for p in X.INJECTION_PATTERNS)
+        if isinstance(v, list):
+            parts = [walk(x) for x in v]
+            return [p[0] for p in parts], any(p[1] for p in parts)
+        if isinstance(v, dict):
+            parts = {k: walk(x) for k, x in v.items()}
+            return {k: p[0] for k, p in parts.items()}, any(p[1] for p in parts.values())
+        return v, False
+
+    values = [value(4) for _ in range(300)]
+    texts = [json.dumps(v, ensure_ascii=rnd.random() < .5, indent=rnd.choice([None, 2])) for v in values]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)] + [(300, "{oops"), (301, None)], "n int, t string")
+    got = {r["n"]: r["w"] for r in rows.select("n", X.metadata_walk(F.col("t")).alias("w")).collect()}
+    for n, v in enumerate(values):
+        want, hit = walk(v)
+        assert (json.loads(got[n]["text"]), got[n]["injection"]) == (want, hit), texts[n]
+    assert got[300] is None and got[301] is None
+    assert {walk(v)[1] for v in values} == {True, False}
+
+
 def test_user_agent_rules(spark):
     df = spark.createDataFrame([("Mozilla/5.0 (iPhone) Safari/604.1",), ("Mozilla/5.0 (Windows NT 10.0) Chrome/120.0",),
                                 ("curl/8.0",), ("Googlebot/2.1",)], "ua string")

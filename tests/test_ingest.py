@@ -115,3 +115,43 @@ def test_provisioned_months(spark):
     assert "2024-01" in months and "2024-12" in months and "2025-01" in months and "2023-12" not in months
     frame = {r[0] for r in M.provisioned_months_frame(spark, "2024-01-31 00:00:00").collect()}
     assert frame == set(months)
+
+
+BODIES = {  # request bodies beyond the nine fields, as further fields of a JSON line
+    '"note": "drop table x"': "sql_pattern",
+    '"a": {"b": ["x", {"c": "1; 2"}]}': "sql_pattern",
+    '"a": "\\u0064rop x"': "sql_pattern",           # escaped text is decoded first
+    '"a": "dr<op x"': "sql_pattern",                 # screened after sanitising
+    '"select": 1, "x": {"drop": [null, true, 1.5]}': None,   # keys and other kinds of values aren't screened
+    '"a": "b or c", "d": "e = f"': None,               # each value by itself
+    '"a": {}': None,
+    '"referrer": {"q": "x; y"}': "sql_pattern",      # a known field that holds nested values
+    '"referrer": "[1; 2]"': "sql_pattern",
+    '"deep": ' + '{"k": [' * 60 + '"union all select"' + "]}" * 60: "sql_pattern",
+    '"long": "' + "ok \\\"" * 20000 + '"': None,
+    '"long": "' + "ok \\\"" * 20000 + '--"': "sql_pattern",
+}
+
+
+def test_every_value_of_the_body_is_screened(spark, tmp_path):
+    from evlens.sources import tables as TB
+    keys, apps = dims(spark)
+    line = ('{{"received_at": "2024-01-15T12:00:00.000000", "api_key": "good", "client_ip": "10.0.0.1", '
+            '"event": "click", "userId": "{n}", {more}}}\n')
+    text = "".join(line.format(n=n, more=more) for n, more in enumerate(BODIES)) + "\n   \n{oops\n[1]\n"
+    (tmp_path / "lines.json").write_text(text)
+    raw = TB.read_raw(spark, str(tmp_path))
+    assert raw.count() == len(BODIES) + 2
+    out = {r["userId"]: r for r in I.admission(raw, keys, apps, as_of=NOW).collect()}
+    got = [out[str(n)]["reject_reason"] for n in range(len(BODIES))]
+    assert got == list(BODIES.values())
+    assert out[None]["reject_reason"] == "malformed_body"
+
+
+def test_further_fields_survive_a_round_trip(spark, tmp_path):
+    from evlens.sources import tables as TB
+    rows = [("click", '{"a":{"b":["x",1,null]},"c":"d"}'), ("view", None), ("none", "{}")]
+    df = spark.createDataFrame(rows, "event string, extra string")
+    TB.write_raw(df, f"{tmp_path}/raw")
+    got = {r["event"]: r["extra"] for r in TB.read_raw(spark, f"{tmp_path}/raw").collect()}
+    assert got == {"click": '{"a":{"b":["x",1,null]},"c":"d"}', "view": None, "none": None}

@@ -12,6 +12,10 @@ from evlens.sources.fixtures import AS_OF, Fixture
 from evlens.streaming import collect as SC
 
 
+# A lifetime of the key counters at which the small fixture's keys reach their limits.
+KEY_TTL = 31 * 86400
+
+
 def test_stream_equals_batch(spark):
     fx = Fixture(spark, SF_SMALL)
     base = f"{ensure_checkpoint_dir(spark)}/test-stream-{uuid.uuid4().hex}"
@@ -26,9 +30,9 @@ def test_stream_equals_batch(spark):
             part = part.filter(F.col("received_at") < F.lit(bounds[i + 1]).cast("timestamp_ntz"))
         TB.write_raw(part.coalesce(1), f"{base}/raw/p{i}")
     q = SC.start_collect_stream(spark, f"{base}/raw/*", fx.api_keys, fx.apps, f"{base}/out", f"{base}/ckpt",
-                                as_of=AS_OF, max_files_per_trigger=1, key_hour_ttl=7 * 86400)
+                                as_of=AS_OF, max_files_per_trigger=1, key_hour_ttl=KEY_TTL)
     q.awaitTermination()
-    batch = I.admission(raw, fx.api_keys, fx.apps, as_of=AS_OF, key_hour_ttl=7 * 86400)
+    batch = I.admission(raw, fx.api_keys, fx.apps, as_of=AS_OF, key_hour_ttl=KEY_TTL)
     exp = {r[0]: r[1] for r in batch.groupBy(F.coalesce("reject_reason", F.lit("ok"))).count().collect()}
     got = {r[0]: r[1] for r in spark.read.parquet(f"{base}/out/quarantine").groupBy("reject_reason").count().collect()}
     got["ok"] = spark.read.parquet(f"{base}/out/events").count()
@@ -88,6 +92,41 @@ def test_streaming_counter_over_many_arrow_batches(spark, tmp_path):
     assert len(got) == 26_001 and got[late[1]][1] > 100  # the late row counts in the window that is open
 
 
+def test_plan_of_a_seeded_batch_stays_small(spark, monkeypatch):
+    """The third batch, with counters carried in: Spark writes the text of every plan it caches."""
+    fx = Fixture(spark, SF_SMALL)
+    base = f"{ensure_checkpoint_dir(spark)}/test-plan-{uuid.uuid4().hex}"
+    plans = []
+    admission = I.admission
+
+    def watched(*args, **kw):
+        out = admission(*args, **kw)
+        plans.append((sorted(kw["seeds"]), len(out._jdf.queryExecution().toString()), out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(I, "admission", watched)
+    TB.write_raw(fx.raw_requests, f"{base}/raw")
+    fx.api_keys.write.parquet(f"{base}/keys")
+    fx.apps.write.parquet(f"{base}/apps")
+    raw, keys, apps = TB.read_raw(spark, f"{base}/raw"), spark.read.parquet(f"{base}/keys"), spark.read.parquet(f"{base}/apps")
+    for batch in range(3):
+        third = raw.filter(F.pmod(F.dayofmonth("received_at"), F.lit(3)) == batch)
+        SC.process_batch(spark, third, batch, keys, apps, f"{base}/out", as_of=AS_OF, key_hour_ttl=KEY_TTL)
+    assert [p[0] for p in plans] == [[], ["collect", "key_hour"], ["collect", "key_hour"]]
+    assert all(size < 200_000 for _, size, _ in plans), [p[1] for p in plans]
+    assert not any("Python" in plan or "Arrow" in plan or "Pandas" in plan for _, _, plan in plans)
+
+
+def test_scope_removes_what_it_stored(spark):
+    import os
+
+    from evlens.session import persist_scope, stored
+    with persist_scope() as held:
+        df = stored(spark.range(5), "scope-test")
+        assert df.count() == 5 and os.path.isdir(held[0].removeprefix("file:"))
+    assert not os.path.exists(held[0].removeprefix("file:"))
+
+
 def test_missing_counter_state_is_an_error(spark, tmp_path):
     import pytest
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
