@@ -17,8 +17,8 @@ Plan: each key's requests are split into islands at gaps longer than the
 window (a new island always starts a fresh counter, so islands are independent
 and run in parallel). Islands that fit in one window, or cannot exceed the
 limit, are ranked with a window function inside the JVM. Only islands that span
-several windows (anchored) or hold more than ``limit`` requests (sliding) are
-folded sequentially by ``mapInPandas`` over partitions hash-partitioned by key
+several windows (anchored), or segments between quiet windows that may pass the limit
+(sliding), are folded sequentially by ``mapInPandas`` over partitions hash-partitioned by key
 and sorted by (key, island, time): every Arrow batch folds all of its groups in
 one vectorised pass (one Python step per counter window, ``searchsorted`` for
 the rest), and only the open counter crosses from one batch to the next, so a
@@ -27,15 +27,13 @@ long island never has to fit in memory.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import keep
+from ..session import keep, stored
 
 # The reference's limits (requests, window seconds).
 KEY_HOUR_DEFAULT = 10000          # L1 per API key per hour when the key sets none
@@ -235,15 +233,54 @@ def limit_headers(df: DataFrame, ts: str, limit, window_seconds: int) -> DataFra
               .withColumn("reset_at", F.col(ts) + F.expr(f"INTERVAL {int(window_seconds)} SECONDS")))
 
 
+def running_total(df: DataFrame, group: list[str], order: list[str], weight: str, out: str) -> DataFrame:
+    """Running sum of ``weight`` in each group, by ``order``, in two levels: no group is one task.
+
+    Rows are dealt to ranges of (group, order) and stored with their range's number; sums run
+    inside (group, range), and each range adds the totals of the group's earlier ranges (a
+    row a range). Rows alike in group and order share a range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id())
+    d = stored(d, "ranges")  # the ranges are sampled: they must not be dealt anew
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*group, "_part").agg(F.sum(weight).alias("_t"))
+    offsets = totals.select(*[F.col(c).alias(f"_o{k}") for k, c in enumerate([*group, "_part"])],
+                            F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    d = d.withColumn(out, F.sum(weight).over(inside))
+    on = [F.col(c).eqNullSafe(F.col(f"_o{k}")) for k, c in enumerate([*group, "_part"])]
+    names = [c for c in d.columns if c not in ("_part", out)]
+    return d.join(offsets, on, "left").select(*names, (F.col(out) + F.col("_before")).alias(out))
+
+
 def aligned_counter(df: DataFrame, keys: list[str], ts: str, window_seconds: int, limit,
-                    tiebreak: list[str] | None = None) -> DataFrame:
-    """Clock-aligned fixed windows (L4 option): rank within (key, floor(t / window))."""
+                    tiebreak: list[str] | None = None, hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
+    """Clock-aligned fixed windows (L4 option): rank within (key, floor(t / window)).
+
+    Windows with more than ``hot_rows`` requests of one key are counted in two levels."""
     w_us = int(window_seconds) * _US
     bucket = _bucket(_micros(F.col(ts)), w_us)
     d = df.withColumn("_b", bucket)
-    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.col(ts), *(tiebreak or [])))
+    group, order = [*keys, "_b"], [ts, *(tiebreak or [])]
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")
     ts_type = df.schema[ts].dataType.simpleString()
-    return (d.withColumn("window_count", rank.cast("long"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("window_count", rank)
+
+    if hot_rows is not None:
+        hot = keep(d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(
+            *[F.col(c).alias(f"_h{k}") for k, c in enumerate(group)]))
+        if hot.isEmpty():
+            d = counted(d)
+        else:
+            on = [F.col(c).eqNullSafe(F.col(f"_h{k}")) for k, c in enumerate(group)]
+            busy = running_total(d.join(hot, on, "left_semi").withColumn("_w", F.lit(1).cast("long")), group, order, "_w", "window_count")
+            d = counted(d.join(hot, on, "left_anti")).unionByName(busy.drop("_w"))
+    else:
+        d = counted(d)
+    return (d
              .withColumn("window_start", F.timestamp_micros(F.col("_b") * w_us).cast(ts_type))
              .withColumn("limit_exceeded", F.col("window_count") > _limit_col(limit))
              .drop("_b"))
@@ -288,47 +325,107 @@ def general_limit(df: DataFrame, ts: str = "received_at", limit: int = GENERAL_L
 
 
 # --- L5 sliding log ---------------------------------------------------------------
+#
+# Time is cut into buckets of one window. Where two successive buckets together hold fewer than
+# ``limit`` requests, every request of the second is admitted whatever came before, so the log
+# at its end is known: the requests of that bucket. A key's buckets fall into segments at these
+# places, and every segment is folded by itself, with the bucket before it as its log. Only a
+# key that keeps to its limit without a break has a long segment; its fold reads batch by
+# batch and carries the last ``limit`` admissions.
+
+def admitted_times(t: np.ndarray, log: np.ndarray, window_us: int, limit: int) -> np.ndarray:
+    """Which of the sorted arrival times are admitted after the admissions ``log`` (sorted, the
+    last ``limit`` at most).
+
+    The i-th admission is the first arrival after the one before it that is no less than a
+    window later than admission i - limit; ``limit`` of them are found at a time.
+    """
+    every = np.concatenate((log, t))
+    n, m = len(every), len(log)
+    first_free = np.searchsorted(every, every + window_us, side="left")
+    done = np.arange(m)
+    if m < limit:  # the log isn't full: the next arrivals pass
+        done = np.arange(min(limit, n))
+    parts = [done]
+    while len(done) == limit and done[-1] < n - 1:
+        step = np.arange(limit)
+        after = np.maximum.accumulate(np.maximum(first_free[done] - step, done[-1] + 1)) + step
+        after = after[after < n]
+        if not len(after):
+            break
+        parts.append(after)
+        done = np.concatenate((done, after))[-limit:]
+    out = np.zeros(n, dtype=bool)
+    out[np.concatenate(parts)] = True
+    return out[m:]
+
 
 def _fold_sliding(window_us: int, limit: int, group_cols: list[str]):
-    """mapInPandas body for the sliding log; the carried state is the group key and
-    the admitted times still inside the window (at most ``limit`` of them)."""
+    """mapInPandas body for the sliding log: rows sorted by (group, time), a group's seed rows
+    (known admissions) first; the last ``limit`` admissions are carried between batches."""
     def fold(batches):
-        key, log = None, deque()
+        key, log = None, np.empty(0, dtype=np.int64)
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys = list(zip(*[pdf[c].tolist() for c in group_cols]))
+            t, seed = pdf["_us"].to_numpy(dtype=np.int64), pdf["_seed"].to_numpy(dtype=bool)
+            g = _group_ids(pdf, group_cols)
+            cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
             admitted = np.empty(len(pdf), dtype=bool)
-            for i, (k, t) in enumerate(zip(keys, pdf["_us"].tolist())):
-                if k != key:
-                    key, log = k, deque()
-                while log and t - log[0] >= window_us:
-                    log.popleft()
-                if len(log) >= limit:
-                    admitted[i] = False
-                else:
-                    admitted[i] = True
-                    log.append(t)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own = tuple(pdf[c].iat[lo] for c in group_cols)
+                if own != key:
+                    key, log = own, np.empty(0, dtype=np.int64)
+                known = lo + int(seed[lo:hi].sum())
+                log = np.concatenate((log, t[lo:known]))[-limit:]
+                admitted[lo:known] = True
+                admitted[known:hi] = admitted_times(t[known:hi], log, window_us, limit)
+                log = np.concatenate((log, t[known:hi][admitted[known:hi]]))[-limit:]
             yield pdf.assign(_admitted=admitted)
     return fold
 
 
+def sliding_segments(df: DataFrame, keys: list[str], window_us: int, limit: int) -> DataFrame:
+    """One row a key and non-empty bucket: the segment it belongs to (``_seg``, its first bucket),
+    whether the segment needs a fold, and whether the next segment takes the bucket as its log."""
+    counts = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_b")
+
+    def earlier(buckets: int) -> Column:
+        """Requests in the bucket so many places before this one (0 if there are none)."""
+        return sum((F.when(F.lag("_b", k).over(w) == F.col("_b") - buckets, F.lag("_n", k).over(w)).otherwise(F.lit(0))
+                    for k in range(1, buckets + 1)), F.lit(0))
+
+    d = counts.withColumns({"_n1": F.coalesce(earlier(1), F.lit(0)), "_n2": F.coalesce(earlier(2), F.lit(0))})
+    d = d.withColumn("_start", (F.col("_n1") + F.col("_n2") < limit) | F.lag("_b").over(w).isNull())
+    d = d.withColumn("_seg", F.max(F.when(F.col("_start"), F.col("_b"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ws = Window.partitionBy(*keys, "_seg")
+    d = d.withColumn("_fold", F.max((F.col("_n1") + F.col("_n") > limit).cast("int")).over(ws) == 1)
+    follows = (F.lead("_b").over(w) == F.col("_b") + 1) & F.lead("_start").over(w) & F.lead("_fold").over(w)
+    return d.select(*keys, "_b", "_seg", "_fold", F.coalesce(follows, F.lit(False)).alias("_seeds_next"))
+
+
 def sliding_log_limit(df: DataFrame, keys: list[str], ts: str, window_seconds: int = SLIDING_WINDOW,
                       limit: int = SLIDING_LIMIT, tiebreak: list[str] | None = None) -> DataFrame:
-    """Add ``admitted``. Islands split at gaps >= window; only islands with more than
-    ``limit`` requests are folded, all others are admitted in full."""
-    tiebreak = list(tiebreak or [])
+    """Add ``admitted``. Keys are cut into segments wherever two windows are quiet; only segments
+    that may pass the limit are folded, each in its own group. Rows without a time are admitted."""
+    tiebreak, limit = list(tiebreak or []), int(limit)
     w_us = int(window_seconds) * _US
-    base = df.withColumn("_w", F.lit(1).cast("long"))
-    d = keep(_islands(base, keys, ts, w_us, tiebreak, strict_gap=False))
-    needs_fold = F.col("_isl_n") > F.lit(int(limit))
+    d = df.withColumn("_us", _micros(F.col(ts))).withColumn("_b", _bucket(F.col("_us"), w_us))
+    seg = keep(sliding_segments(d.filter(F.col("_us").isNotNull()), keys, w_us, limit))
+    names, of = d.columns, {c: f"_of{k}" for k, c in enumerate([*keys, "_b"])}
+    d = d.join(seg.withColumnsRenamed(of), [F.col(c).eqNullSafe(F.col(o)) for c, o in of.items()], "left")
+    d = d.select(*names, "_seg", "_fold", "_seeds_next").withColumn("_seed", F.lit(False))
+    needs_fold = F.coalesce("_fold", F.lit(False))
     simple = d.filter(~needs_fold).withColumn("_admitted", F.lit(True))
-    to_fold = d.filter(needs_fold)
+    # The log a segment starts with: the rows of the bucket before it, all admitted and fewer than the limit.
+    logs = d.filter("_seeds_next").withColumns({"_seg": F.col("_b") + 1, "_seed": F.lit(True)})
+    to_fold = d.filter(needs_fold).unionByName(logs)
     schema = T.StructType(to_fold.schema.fields + [T.StructField("_admitted", T.BooleanType())])
-    folded = (to_fold.repartition(*keys).sortWithinPartitions(*keys, "_island", "_us", *tiebreak)
-                     .mapInPandas(_fold_sliding(w_us, int(limit), [*keys, "_island"]), schema))
+    folded = (to_fold.repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", F.desc("_seed"), "_us", *tiebreak)
+                     .mapInPandas(_fold_sliding(w_us, limit, [*keys, "_seg"]), schema)).filter("NOT _seed")
     return (simple.unionByName(folded).withColumnRenamed("_admitted", "admitted")
-                  .drop("_us", "_island", "_isl_n", "_isl_span", "_isl_start", "_w"))
+                  .drop("_us", "_b", "_seg", "_fold", "_seeds_next", "_seed"))
 
 
 def report_limit(df: DataFrame, ts: str = "received_at", limit: int = SLIDING_LIMIT,
@@ -359,7 +456,8 @@ def stats_report_limit(df: DataFrame, ts: str = "received_at", limit: int = SLID
 #      key's chain and squares the pointer table (O(log #windows) rounds).
 #   3. each row's window: at most one window starts per bucket, so a row belongs
 #      to its own bucket's start (when at or after it) or else to the previous
-#      bucket's; the count is a running sum inside (key, window start).
+#      bucket's; the count is a running sum inside (key, window start), in two
+#      levels, so that one busy window isn't one task either.
 
 def _next_arrival(times: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
     """(keys, _us, _nxt): the first distinct arrival strictly after _us + ttl (NULL if none)."""
@@ -435,10 +533,8 @@ def anchored_counter_parallel(df: DataFrame, keys: list[str], ts: str, ttl_secon
     rows = rows.join(own, [*keys, "_rb"], "left").join(prev, [*keys, "_rb"], "left")
     rows = rows.withColumn("_wstart", F.when(F.col("_own").isNotNull() & (F.col("_own") <= F.col("_us")),
                                              F.col("_own")).otherwise(F.col("_prev")))
-    w = (Window.partitionBy(*keys, "_wstart").orderBy("_us", *tiebreak)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ts_type = df.schema[ts].dataType.simpleString()
-    return (rows.withColumn("window_count", F.sum("_w").over(w))
+    return (running_total(rows, [*keys, "_wstart"], ["_us", *tiebreak], "_w", "window_count")
                 .filter(F.col("_seedlast") == 1)
                 .withColumns({"window_start": F.timestamp_micros("_wstart").cast(ts_type),
                               "limit_exceeded": F.col("window_count") > lim})

@@ -159,3 +159,66 @@ def test_collect_limit_takes_the_address_for_an_empty_header(spark):
     df = spark.createDataFrame(rows, "api_key string, client_ip string, received_at timestamp_ntz")
     out = L.collect_limit(df, limit=10).collect()
     assert sorted(r["window_count"] for r in out) == [1, 1, 1, 2, 2, 2]
+
+
+def test_vectorised_admissions_match_loop():
+    import numpy as np
+    rnd = random.Random(8)
+    for case in range(300):
+        limit, window = rnd.randint(1, 6), rnd.randint(1, 40)
+        t, at = [], 0
+        for _ in range(rnd.randint(0, 120)):
+            at += rnd.choice([0, 0, 1, 1, 2, 5, 30])
+            t.append(at)
+        want = naive_sliding(t, window, limit)
+        cut = rnd.randint(0, len(t))
+        first = L.admitted_times(np.array(t[:cut], dtype=np.int64), np.empty(0, dtype=np.int64), window, limit)
+        log = np.array(t[:cut], dtype=np.int64)[first][-limit:]
+        second = L.admitted_times(np.array(t[cut:], dtype=np.int64), log, window, limit)
+        assert first.tolist() + second.tolist() == want, (limit, window, t)
+
+
+def test_sliding_log_of_a_busy_key_runs_in_segments(spark):
+    """One key with most rows, bursts over the limit, ties, a null key and rows without a time."""
+    rnd = random.Random(21)
+    rows, t = [], T0
+    for i in range(3000):
+        t += dt.timedelta(seconds=rnd.choice([0, 0, 1, 2, 3, 40 if i % 90 == 0 else 1]))
+        if i % 300 == 0:
+            t += dt.timedelta(seconds=rnd.choice([61, 119, 120, 121, 500]))
+        rows.append(("busy" if i % 10 else rnd.choice(["rare", None]), t, i))
+    rows += [("busy", None, 5000), (None, None, 5001)]
+    df = frame(spark, rows)
+    for limit in (1, 7, 25):
+        got = {r["seq"]: r["admitted"] for r in L.sliding_log_limit(df, ["k"], "ts", 60, limit, tiebreak=["seq"]).collect()}
+        assert len(got) == len(rows) and got[5000] and got[5001]
+        for key in ("busy", "rare", None):
+            mine = [(t, s) for k, t, s in rows if k == key and t is not None]
+            want = naive_sliding([t for t, _ in mine], dt.timedelta(seconds=60), limit)
+            assert [got[s] for _, s in mine] == want, (key, limit)
+    d = df.filter("ts IS NOT NULL").withColumn("_b", L._bucket(L._micros(F.col("ts")), 60_000_000))
+    seg = L.sliding_segments(d, ["k"], 60_000_000, 25)
+    assert seg.filter("k = 'busy' AND _fold").select("_seg").distinct().count() > 5
+
+
+def test_running_total_spreads_one_group(spark, monkeypatch):
+    seen = []
+    keep = L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    df = spark.range(20_000).select(F.when(F.col("id") % 50 != 0, "hot").alias("k"), (F.col("id") * 7 % 1000).alias("t"), "id",
+                                    F.lit(2).cast("long").alias("w"))
+    out = L.running_total(df, ["k"], ["t", "id"], "w", "total")
+    got = sorted((r["k"] or "", r["t"], r["id"], r["total"]) for r in out.collect())
+    for key in ("", "hot"):
+        mine = [r for r in got if r[0] == key]
+        assert [r[3] for r in mine] == [2 * n for n in range(1, len(mine) + 1)]
+    sizes = [r["count"] for r in seen[0].filter("k = 'hot'").groupBy("_part").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 6000
+
+
+def test_aligned_counter_of_hot_windows_is_the_same(spark):
+    rows = gen(6, 300) + [("a", T0 + dt.timedelta(seconds=k % 50), 1000 + k) for k in range(500)]
+    df = frame(spark, rows)
+    cold = L.aligned_counter(df, ["k"], "ts", 3600, 3, tiebreak=["seq"], hot_rows=None)
+    hot = L.aligned_counter(df, ["k"], "ts", 3600, 3, tiebreak=["seq"], hot_rows=20)
+    assert sorted(map(tuple, cold.collect())) == sorted(map(tuple, hot.select(*cold.columns).collect()))
