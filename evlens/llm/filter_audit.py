@@ -29,18 +29,15 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, stored
+from .common import pieces, stored
+from .spans import LONGEST, holders, text_buffer
 
 #: What a byte emits, by the state before it.
 WORD, END, CAPITAL, POINT, SYMBOL = 1, 2, 4, 8, 16
 SYMBOLS = b"#$%&*|"
-#: Words up to this many bytes go through the vectorised table, longer ones through a set of their bytes.
-LONG_WORD = 64
-
 _IN_WORD = np.ones(256, dtype=np.uint8)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = 0
 
@@ -60,72 +57,10 @@ def _emit_table() -> np.ndarray:
 EMIT = _emit_table()
 
 
-def eight_bytes(raw: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Up to eight bytes from each place as a number; ``raw`` has eight bytes to spare at its end."""
-    view = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
-    cut = (8 * np.clip(8 - left, 0, 7)).astype(np.uint64)
-    return view[at] << cut
-
-
-def span_hash(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    out = mix(eight_bytes(raw, start, size) ^ size.astype(np.uint64))
-    more = np.flatnonzero(size > 8)
-    step = 8
-    while len(more):
-        out[more] = mix(out[more] * np.uint64(0x9E3779B97F4A7C15) + eight_bytes(raw, start[more] + step, size[more] - step))
-        step += 8
-        more = more[size[more] > step]
-    return out
-
-
-def spans_equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the spans of ``size`` bytes at a and b hold the same bytes."""
-    same = eight_bytes(raw, a, size) == eight_bytes(raw, b, size)
-    more = np.flatnonzero(same & (size > 8))
-    step = 8
-    while len(more):
-        left = size[more] - step
-        equal = eight_bytes(raw, a[more] + step, left) == eight_bytes(raw, b[more] + step, left)
-        same[more[~equal]] = False
-        step += 8
-        more = more[equal & (left > 8)]
-    return same
-
-
-def first_of_kind(raw: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether each span is the one of its (document, bytes) that holds the table's place."""
-    first = np.zeros(len(start), dtype=bool)
-    room = 1 << max(4, int(2 * len(start)).bit_length())
-    table = np.full(room, -1, dtype=np.int64)
-    with np.errstate(over="ignore"):
-        place = (mix(span_hash(raw, start, size) + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                 & np.uint64(room - 1)).astype(np.int64)
-    waiting = np.arange(len(start))
-    while len(waiting):
-        at = place[waiting]
-        free = table[at] < 0
-        table[at[free]] = waiting[free]  # of several, the last one written holds the place
-        holder = table[at]
-        own = holder == waiting
-        first[waiting[own]] = True
-        alike = (doc[holder] == doc[waiting]) & (size[holder] == size[waiting])
-        check = np.flatnonzero(alike & ~own)
-        alike[check] = spans_equal(raw, start[holder[check]], start[waiting[check]], size[waiting[check]])
-        waiting = waiting[~alike]  # an own place is alike as well
-        place[waiting] = (place[waiting] + 1) & (room - 1)
-    return first
-
-
 def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     """words, distinct, capitals, points (long) and symbols (bool) of each text."""
-    texts = pc.fill_null(texts, "")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32 if pa.types.is_string(texts.type) else np.int64)
-    offsets = offsets[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-    size = int(offsets[-1] - offsets[0])
-    raw = np.zeros(size + 8, dtype=np.uint8)
-    if size:
-        raw[:size] = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]]
-    offsets = offsets - offsets[0]
+    raw, offsets = text_buffer(texts)
+    size = int(offsets[-1])
     # The state before each byte, and after the last: a text starts outside a word.
     state = np.zeros(size + 1, dtype=np.uint8)
     state[1:] = _IN_WORD[raw[:size]]
@@ -142,10 +77,10 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     # A word ends at the separator after it, or with its text.
     end = np.sort(np.concatenate([np.flatnonzero(out & END), offsets[1:][ends_inside == 1]]))
     length = end - start
-    short = np.flatnonzero(length <= LONG_WORD)
-    first = short[first_of_kind(raw, doc[short], start[short], length[short])]
-    distinct = np.bincount(doc[first], minlength=len(texts))
-    long = np.flatnonzero(length > LONG_WORD)
+    short = np.flatnonzero(length <= LONGEST)
+    first = holders(raw, doc[short], start[short], length[short]) == np.arange(len(short))
+    distinct = np.bincount(doc[short[first]], minlength=len(texts))
+    long = np.flatnonzero(length > LONGEST)  # these few through a set of their bytes
     if len(long):
         data = memoryview(raw)
         kinds = {(d, bytes(data[a:b])) for d, a, b in zip(doc[long].tolist(), start[long].tolist(), end[long].tolist())}

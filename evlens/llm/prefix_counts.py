@@ -32,6 +32,7 @@ from operator import sub
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +42,16 @@ from tokenizers import Tokenizer
 from .byte_bpe import byte_to_char
 from .chunked import MEMO_CHARS, Memo
 from .common import pieces
+from .spans import kinds, put_together, text_buffer
 
 # Unicode's White_Space characters, which the tokeniser's \s means.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _SPLIT = regex.compile(f"([{WHITE}])")
 _LETTER = regex.compile(r"\p{L}")
 PAIRS_KEPT, WORDS_KEPT = 500_000, 400_000
+FIT_BITS = 20
+#: Before entries of four bytes; as an entry of one byte it would be -128, which isn't used.
+WIDE = b"\x80"
 #: From so many characters on, a piece is not counted anew for each start of a cluster.
 LONG = 64
 
@@ -108,6 +113,83 @@ class WordCounter:
                 known = self.ends.get(text, (-1, -1))
                 self.ends[text] = (known[0], i) if closed else (i, known[1])
 
+        self._link()
+
+    def _link(self) -> None:
+        """The ends as a tree that grows to the left: sorted (node, byte) pairs and the nodes they lead to."""
+        byte = {c: b for b, c in byte_to_char().items()}
+        names = sorted((e for e in self.ends if all(c in byte for c in e)), key=len)
+        node = {"": 0} | {name: k for k, name in enumerate(names, 1)}
+        steps = np.array([node[name[1:]] << 8 | byte[name[0]] for name in names], dtype=np.int64)
+        order = np.argsort(steps)
+        self.steps, self.leads = np.append(steps[order], np.int64(1) << 62), np.append(order + 1, 0)
+        self.tokens = np.array([(-1, -1), *(self.ends[name] for name in names)], dtype=np.int64).T.copy()
+        self.fit_key, self.fit = np.full(1 << FIT_BITS, -1, dtype=np.int64), np.zeros(1 << FIT_BITS, dtype=bool)
+
+    def _fits(self, left: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """``_stable`` of many pairs, kept in a table with one place a hash."""
+        key = left << 24 | token
+        with np.errstate(over="ignore"):
+            at = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FIT_BITS)).astype(np.int64)
+        miss = np.flatnonzero(self.fit_key[at] != key)
+        out = self.fit[at]
+        if len(miss):
+            fresh, turn = np.unique(key[miss], return_inverse=True)
+            found = np.array([self._stable(k >> 24, k & 0xFFFFFF) for k in fresh.tolist()], dtype=bool)
+            out[miss] = found[turn]
+            self.fit_key[at[miss]], self.fit[at[miss]] = key[miss], found[turn]  # of several for a place the last stays
+            clash = self.fit_key[at[miss]] != key[miss]
+            self.fit_key[at[miss][clash]] = -1  # two arrays were written: keep no pair that may be mixed
+        return out
+
+    def fill_words(self, words: list[str]) -> None:
+        """The programme for many pre-tokens at once: every step does one place of all words."""
+        words.sort(key=len, reverse=True)
+        data = [w.encode() for w in words]
+        data, words = zip(*sorted(zip(data, words), key=lambda x: -len(x[0])))
+        sizes = np.array([len(d) for d in data])
+        n, longest = len(data), int(sizes[0])
+        text = np.frombuffer(b"".join(d.ljust(longest, b"\0") for d in data), dtype=np.uint8).reshape(n, longest)
+        last, count, ended = (np.full((longest + 1, n), v, dtype=np.int64) for v in (-1, 0, 0))
+        for i in range(1, longest + 1):
+            at = np.arange(np.searchsorted(-sizes, -i, side="right"))
+            node = np.zeros(len(at), dtype=np.int64)
+            for j in range(i - 1, -1, -1):
+                step = node << 8 | text[at, j]
+                k = np.searchsorted(self.steps, step)
+                on = self.steps[k] == step
+                at, node = at[on], self.leads[k[on]]
+                if not len(at):
+                    break
+                left = last[j, at]
+                for kind, have in enumerate((last[i] >= 0, ended[i] > 0)):
+                    token = self.tokens[kind, node]
+                    may = np.flatnonzero((token >= 0) & ~have[at])
+                    bound = may[left[may] >= 0]
+                    good = np.ones(len(at), dtype=bool)
+                    good[bound] = self._fits(left[bound], token[bound])
+                    may = may[good[may]]
+                    if kind:
+                        ended[i, at[may]] = count[j, at[may]] + 1
+                    else:
+                        last[i, at[may]], count[i, at[may]] = token[may], count[j, at[may]] + 1
+                open_ = (last[i, at] < 0) | (ended[i, at] == 0)
+                at, node = at[open_], node[open_]
+        if len(self.words) + n > WORDS_KEPT:
+            self.words.clear()
+        rows = ended[1:].T.tolist()
+        for word, size, row in zip(words, sizes.tolist(), rows):
+            self.words[word] = row[:size] if size == len(word) else [row[i - 1] for i in np.cumsum([len(c.encode()) for c in word])]
+
+    def unknown_words(self, chunks: list[str]) -> list[str]:
+        """The pre-tokens of plain chunks that have no entry yet, long ones left out."""
+        out = set()
+        for chunk in chunks:
+            lower = chunk.lower()
+            if len(lower) == len(chunk):  # else it is taken apart later
+                out.update((lower,) if lower.isascii() and lower.isalpha() else self.pattern.findall(lower))
+        return [w for w in out if w not in self.words and len(w.encode()) <= MEMO_CHARS]
+
     def alone(self, token: int) -> bool:
         """Whether the token's own characters encode to just this token: at every merge that
         built it the two parts meet unmerged, as far as better merges go."""
@@ -165,10 +247,12 @@ class WordCounter:
         known = self.words.get(piece)
         if known is not None:
             return known
-        s = "".join(map(self.chars.__getitem__, piece.encode()))
+        s = piece if piece.isalpha() and piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
         n = len(s)
         before, last, count, ended = self.previous  # what the last word has in common with this one is known
-        same = len(os.path.commonprefix([before, s]))
+        same, most = 0, min(n, len(before))
+        while same < most and before[same] == s[same]:
+            same += 1
         last, count, ended = (x[:same + 1] + [v] * (n - same) for x, v in ((last, -1), (count, 0), (ended, 0)))
         self._fill(s, same, last, count, ended)
         self.previous = s, last, count, ended
@@ -249,25 +333,64 @@ class WordCounter:
                 out += map(sub, counts, [0, *counts[:-1]])
         return out
 
-    def _narrow(self, chunks: list[str]) -> list[bytes | int]:
-        order = sorted(range(len(chunks)), key=lambda i: chunks[i].lower())  # neighbours share prefixes
-        found: list = [None] * len(chunks)
-        for i in order:
-            found[i] = self.deltas(chunks[i])
-        return [array("b", d).tobytes() if not d or -128 <= min(d) and max(d) <= 127 else 4 for d in found]
+    def _narrow(self, chunks: list[bytes]) -> list[bytes]:
+        """The changes of each chunk in a byte each, or, behind a mark, in four."""
+        texts = [c.decode() for c in chunks]
+        if fresh := self.unknown_words(texts):
+            self.fill_words(fresh)
+        found = map(self.deltas, texts)
+        return [WIDE + np.array(d, dtype="<i4").tobytes() if d and (min(d) < -127 or max(d) > 127) else array("b", d).tobytes()
+                for d in found]
 
-    def tables(self, texts: list[str]) -> list[tuple[int, bytes]]:
+    def tables(self, texts: list[str] | pa.Array) -> list[tuple[int, bytes]]:
         """(unit, table) of each text."""
-        rows = [t.split(" ") for t in texts]
-        out = []
-        for row, found in zip(rows, self.memo.look_up(rows, self._narrow)):
-            if 4 in found:
-                out.append((4, b"\0\0\0\0".join(np.array(self.deltas(c), dtype="<i4").tobytes() for c in row)))
-            else:
-                out.append((1, b"\0".join(found)))
+        raw, offsets = text_buffer(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        size, n = int(offsets[-1]), len(offsets) - 1
+        # Runs between spaces; a text's start begins one as well. Spaces themselves change nothing.
+        inside = raw[:size] != 0x20
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        at = offsets[:-1][offsets[:-1] < size]
+        first[at] = inside[at]
+        start = np.flatnonzero(first)
+        stop = np.concatenate((np.flatnonzero(~inside), offsets[1:]))
+        stop.sort()
+        length = stop[np.searchsorted(stop, start, side="right")] - start if len(start) else start
+        of, kind = kinds(raw, start, length)
+        data = raw[:size].tobytes()
+        keys = [data[a:b] for a, b in zip(start[of].tolist(), (start[of] + length[of]).tolist())]
+        found = self.memo.look_up(keys, self._narrow)
+        wide = np.array([x[:1] == WIDE for x in found], dtype=bool)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        sizes[wide] = 0
+        values, _ = put_together(np.frombuffer(b"".join(x for x, w in zip(found, wide.tolist()) if not w), dtype=np.int8), sizes, kind)
+        # A run's entries go where its characters stand among all characters of the slice.
+        starts_char = (raw[:size] & 0xC0) != 0x80
+        chars = np.concatenate(([0], np.cumsum(starts_char)))
+        table = np.zeros(int(chars[-1]), dtype=np.int8)
+        table[_places(chars[start], sizes[kind])] = values
+        ends = chars[offsets]
+        out = [(1, table[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        if wide.any():
+            runs_before = np.searchsorted(start, offsets)
+            for k in np.flatnonzero(np.add.reduceat(np.append(wide[kind], False), np.minimum(runs_before[:-1], len(kind)))
+                                    * (np.diff(runs_before) > 0)).tolist():
+                entries = table[ends[k]:ends[k + 1]].astype("<i4")
+                for r in range(runs_before[k], runs_before[k + 1]):
+                    if wide[kind[r]]:
+                        x = np.frombuffer(found[kind[r]][1:], dtype="<i4")
+                        lo = chars[start[r]] - ends[k]
+                        entries[lo:lo + len(x)] = x
+                out[k] = (4, entries.tobytes())
         return out
 
 
+def _places(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``first``."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Tails:
     """Token counts of a normalised run up to some place, followed by other characters."""
 
@@ -341,10 +464,9 @@ def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         counter = _counter(path)
         for batch in batches:
             for part in pieces(batch, 1, 2 << 20):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                units, tables = zip(*counter.tables(texts))
+                units, tables = zip(*counter.tables(part.column(1)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
+                    [part.column(0), pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64()),
                      pa.array(units, pa.int32()), pa.array(tables, pa.binary())], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

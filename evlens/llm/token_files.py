@@ -55,7 +55,8 @@ class ShardWriter:
     """Appends runs of ids; writes full record batches as they fill."""
 
     def __init__(self, uri: str, shard: int, width: int, dtype: str) -> None:
-        self.width, self.rest, self.total = width, np.empty(0, dtype=dtype), 0
+        self.width, self.total, self.dtype = width, 0, np.dtype(dtype)
+        self.open, self.held = [], 0  # runs of the open batch, and their ids
         system, path = fs.FileSystem.from_uri(uri)
         value = pa.uint16() if np.dtype(dtype).itemsize == 2 else pa.uint32()
         self.schema = pa.schema([pa.field("ids", pa.list_(value, width)), pa.field("mask", pa.list_(pa.bool_(), width))],
@@ -69,17 +70,21 @@ class ShardWriter:
         mask = pa.FixedSizeListArray.from_arrays(pa.array(np.arange(len(values)) < valid), self.width)
         self.writer.write_batch(pa.record_batch([ids, mask], schema=self.schema))
 
-    def append(self, raw: bytes) -> None:
-        self.total += len(raw) // self.rest.itemsize
-        self.rest = np.concatenate([self.rest, np.frombuffer(raw, dtype=self.rest.dtype)])
+    def append(self, ids: np.ndarray) -> None:
+        self.total += len(ids)
+        self.open.append(ids)
+        self.held += len(ids)
         full = self.width * ROWS_PER_BATCH
-        while len(self.rest) >= full:
-            self._emit(self.rest[:full], full)
-            self.rest = self.rest[full:]
+        if self.held >= full:
+            values = np.concatenate(self.open)
+            whole = len(values) - len(values) % full
+            for at in range(0, whole, full):
+                self._emit(values[at:at + full], full)
+            self.open, self.held = [values[whole:].copy()], len(values) - whole
 
     def close(self) -> None:
-        if valid := len(self.rest):
-            self._emit(np.pad(self.rest, (0, -valid % self.width)), valid)
+        if self.held:
+            self._emit(np.pad(np.concatenate(self.open), (0, -self.held % self.width)), self.held)
         self.writer.close()
         self.sink.close()
 
@@ -95,20 +100,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         shard, encoder = TaskContext.get().partitionId(), _encoder(tokenizer_path, dtype)
-        end, item = np.array([end_id], dtype=dtype).tobytes(), np.dtype(dtype).itemsize
         writer, path, seq = None, f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.arrow", 0
         for batch in batches:
             for part in pieces(batch, 1, 2 << 20):
                 writer = writer or ShardWriter(path, shard, width, dtype)
-                rows = []
-                for raw in encoder.encode([t or "" for t in part.column(1).to_pylist()]):
-                    rows.append((seq, writer.total, len(raw) // item + 1))
-                    writer.append(raw + end)
-                    seq += 1
-                n, (seqs, starts, sizes) = len(rows), zip(*rows)
+                ids, ends = encoder.encode_array(part.column(1))
+                n = part.num_rows
+                sizes = np.diff(ends, prepend=0) + 1
+                starts = writer.total + np.cumsum(sizes) - sizes
+                writer.append(np.insert(ids, ends, np.array(end_id, dtype=dtype)))  # an end id behind each text
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * n, pa.int64()), pa.array([path] * n), part.column(0), pa.array(seqs, pa.int64()),
-                     pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=INDEX.names)
+                    [pa.array(np.full(n, shard)), pa.array([path] * n), part.column(0), pa.array(np.arange(seq, seq + n)),
+                     pa.array(starts), pa.array(sizes)], names=INDEX.names)
+                seq += n
         if writer:
             writer.close()
 

@@ -11,7 +11,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from evlens.llm import filter_audit, hard_negatives, license_scan
+from evlens.llm import filter_audit, hard_negatives, license_scan, spans
 
 # --- hard negatives ---------------------------------------------------------------
 
@@ -187,7 +187,7 @@ def test_statistics_in_slices_of_a_buffer():
 
 def test_hash_table_verifies_bytes(monkeypatch):
     """With a hash that gives every word one value, distinct words are still told apart."""
-    monkeypatch.setattr(filter_audit, "span_hash", lambda raw, start, size: np.zeros(len(start), dtype=np.uint64))
+    monkeypatch.setattr(spans, "span_hash", lambda raw, start, size: np.zeros(len(start), dtype=np.uint64))
     data = ["a b a ab ba bé abcdefghij abcdefghik abcdefghij " * 3, "a a", ""]
     assert filter_audit.text_statistics(pa.array(data))["distinct"].tolist() == [7, 1, 0]
 
