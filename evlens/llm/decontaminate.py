@@ -22,6 +22,7 @@ whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,6 +151,11 @@ def common_words(item: np.ndarray, part: np.ndarray) -> float:
     return np.minimum(count, np.bincount(at[known[at] == part], minlength=len(known))).sum() / len(item)
 
 
+def insertions(size: int, least: float) -> int:
+    """The most words that may stand between the words of an item whose alignment reaches ``least``."""
+    return max(0, math.floor(MATCH * size * (1 - least) / -GAP + 1e-9))
+
+
 def find(doc: np.ndarray, items: Items, least: float) -> list[tuple[int, float, int, int]]:
     """(item, score, start, end) of the best alignment of each item that reaches ``least``, the first of equal ones."""
     hits = []
@@ -166,8 +172,8 @@ def find(doc: np.ndarray, items: Items, least: float) -> list[tuple[int, float,
     hits = hits[:, np.isin(hits[0], found[items.shared(found, doc) >= least])]
     windows: dict[int, list[list[int]]] = {}
     for item, d, at, often in hits[:, np.lexsort(hits[2::-1])].T.tolist():
-        size = len(items.words[item])
-        start, end = max(0, d - at - size // 2), min(len(doc), d - at + size + size // 2 + 1)
+        size, more = len(items.words[item]), insertions(len(items.words[item]), least)
+        start, end = max(0, d - at - more), min(len(doc), d - at + size + more + 1)
         spans = windows.setdefault(item, [])
         if spans and start <= spans[-1][1]:
             spans[-1][0], spans[-1][1], spans[-1][2] = min(start, spans[-1][0]), max(end, spans[-1][1]), min(often, spans[-1][2])
@@ -179,8 +185,9 @@ def find(doc: np.ndarray, items: Items, least: float) -> list[tuple[int, float,
         for start, end, _ in sorted(spans, key=lambda x: x[2]):
             # A joined span may be long (an item copied over and over): aligned in overlapping parts.
             size = len(items.words[item])
+            longest = size + insertions(size, least)
             for cut in range(start, end, 16 * size):
-                part = doc[cut:min(end, cut + 18 * size)]
+                part = doc[cut:min(end, cut + 16 * size + longest)]
                 most = common_words(items.words[item], part)
                 if most < least or most < best[0] or most == best[0] and cut >= best[1]:
                     continue

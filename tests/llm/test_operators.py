@@ -394,8 +394,47 @@ def test_resampling_edges(docs, empty, spark):
     assert out.count() == len(ROWS)
 
 
+def test_resampling_decides_alike_at_every_size(spark):
+    """One document to reject and one to keep, in tables of different sizes."""
+    rnd = random.Random(6)
+    vocab = ["".join(rnd.choice("aeiourstln") for _ in range(5)) for _ in range(400)]
+    good = lambda: " ".join(rnd.choice(vocab) for _ in range(120))
+    bad = lambda: " ".join(rnd.choice(vocab[:4]) + "!!$ #win" for _ in range(60))
+    clean, junk = good(), bad()
+    for n in (80, 300, 1200):
+        rows = [(k, good() if k % 4 else bad()) for k in range(n)] + [(n, clean), (n + 1, junk)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(0, n, 2)], "doc_id long, quality int")
+        out = {r.doc_id: r.kept for r in resampling.resample(df, resampling.fit(df, labels)).collect()}
+        assert (out[n], out[n + 1]) == (True, False), n
+
+
 # 8. Decontamination
 
+@pytest.mark.parametrize("least", [0.5, 0.7])
+def test_decontamination_reaches_every_insertion_the_score_allows(least):
+    """Words inserted at one place or all over, up to the most that the score admits, against whole-text alignment."""
+    rnd = random.Random(2)
+    item = " ".join(f"w{k}" for k in range(20))
+    items = decontaminate.Items([("x", item)])
+    noise = lambda n: [f"n{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    seen = set()
+    for more in range(0, decontaminate.insertions(20, least) + 3):
+        for at in (3, 9, 10, 16):
+            for spread in (0, 1, 3):
+                w, left = item.split(), more
+                w[at:at] = noise(max(0, more - spread * 4))
+                for k in range(min(spread * 4, more)):
+                    w.insert(len(w) - 2 * k - 1, *noise(1))
+                text = " ".join(noise(40) + w + noise(40))
+                doc = decontaminate.words(text)
+                score = decontaminate.align(items.words[0], doc)[0]
+                got = decontaminate.find(doc, items, least)
+                assert [round(g[1], 9) for g in got] == ([round(score, 9)] if score >= least else []), (more, at, spread)
+                seen.add(score >= least)
+    assert seen == {True, False}
+
+
 def test_decontamination(spark):
     rnd = random.Random(9)
     vocab = ["w%d" % k for k in range(3000)]
