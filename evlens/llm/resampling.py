@@ -7,7 +7,9 @@ has more, so that length alone neither saves nor sinks a document. Gumbel top-k
 without replacement in proportion to the weights: the k documents with the largest log
 weight + Gumbel noise are kept. By default k is the number of documents whose log weight is
 above the model's margin: all but those that the target model clearly explains worse. The
-margin widens with the sampling error of a target of few documents.
+margin comes from labelled documents that a second model hasn't seen (every fifth): the
+``TAIL`` quantile of their weights under it, less ``SLACK``. That estimates the same number on a
+small and on a large table.
 
 Tokens are runs of letters and digits (all non-ASCII bytes count as letters) and runs of
 other visible characters; n-grams are single tokens and pairs of neighbours. The raw model
@@ -34,7 +36,8 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import byte_values, mix, null_safe_hash, pieces, prefix_sums, range_hash, stored
 
-BUCKETS, PASSAGE, MARGIN, SMOOTH = 1 << 16, 100, 4.0, 10.0
+BUCKETS, PASSAGE, SMOOTH = 1 << 16, 100, 10.0
+HELD_OUT, TAIL, SLACK = 5, 0.01, 5.0
 
 
 @dataclass(frozen=True)
@@ -86,31 +89,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     on the target's scale, so a bucket of which the target could hardly have an n-gram says nothing."""
     good = F.col("quality") == 1 if good is None else good
     chosen = labels.filter(good & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_ev_id")).distinct().orderBy(
-        F.xxhash64("_ev_id"), "_ev_id").limit(fit_rows).withColumn("_ev_target", F.lit(True))
+        F.xxhash64("_ev_id"), "_ev_id").limit(fit_rows)
+    chosen = stored(chosen.withColumn("_ev_fold", F.when(F.pmod(F.xxhash64("_ev_id", F.lit(1)), F.lit(HELD_OUT)) == 0, 2).otherwise(1)), "target")
     rows = docs.select(F.col(id_col).alias("_ev_id"), F.col(text_col).alias("_ev_text")).join(
-        F.broadcast(chosen), "_ev_id", "left").select("_ev_text", F.coalesce("_ev_target", F.lit(False)))
+        F.broadcast(chosen), "_ev_id", "left").select("_ev_text", F.coalesce("_ev_fold", F.lit(0)).alias("_ev_fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets + 1, dtype=np.int64), np.zeros(buckets + 1, dtype=np.int64)
+        raw, target, held = (np.zeros(buckets, dtype=np.int64) for _ in range(3))
         for batch in batches:
             for part in pieces(batch, 0, 1 << 20):
                 row, bucket = ngram_buckets(part.column(0), buckets)
-                raw += np.bincount(bucket, minlength=buckets + 1)
-                good_rows = part.column(1).to_numpy(zero_copy_only=False)
-                target += np.bincount(bucket[good_rows[row]], minlength=buckets + 1)
-                target[buckets] += np.count_nonzero(good_rows)  # the last place counts documents
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets + 1)), pa.array(raw), pa.array(target)],
-                                         names=["bucket", "raw", "target"])
-
-    sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(
-        F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # one row a bucket
-    raw, target = np.zeros(buckets + 1), np.zeros(buckets + 1)
-    raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
-    texts, raw, target = target[buckets], raw[:buckets], target[:buckets]
-    if not target.sum():
-        return Model(np.zeros(buckets), MARGIN)
-    ratio = np.log(target + SMOOTH) - np.log(raw * (target.sum() / raw.sum()) + SMOOTH)
-    return Model(ratio, MARGIN + 2 * PASSAGE / np.sqrt(texts))
+                raw += np.bincount(bucket, minlength=buckets)
+                fold = part.column(1).to_numpy()[row]
+                target += np.bincount(bucket[fold == 1], minlength=buckets)
+                held += np.bincount(bucket[fold == 2], minlength=buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.arange(buckets), raw, target, held)],
+                                         names=["bucket", "raw", "target", "held"])
+
+    sums = rows.mapInArrow(count, "bucket long, raw long, target long, held long").groupBy("bucket").agg(
+        *[F.sum(c).alias(c) for c in ("raw", "target", "held")]).toPandas()  # one row a bucket
+    raw, target, held = (np.zeros(buckets) for _ in range(3))
+    for out, name in ((raw, "raw"), (target, "target"), (held, "held")):
+        out[sums["bucket"]] = sums[name]
+
+    def ratio(counts: np.ndarray) -> np.ndarray:
+        return np.log(counts + SMOOTH) - np.log(raw * (counts.sum() / max(1, raw.sum())) + SMOOTH)
+
+    if not (target + held).sum():
+        return Model(np.zeros(buckets), SLACK)
+    weights = rows.filter("_ev_fold = 2").select(log_weight(F.col("_ev_text"), Model(ratio(target), 0.0)).alias("w"))
+    least = weights.agg(F.percentile("w", F.lit(TAIL))).first()[0]
+    return Model(ratio(target + held), SLACK - min(0.0, least or 0.0))
 
 
 def log_weight(text: Column, model: Model) -> Column:
