@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, stored, window_hashes, word_hashes
+from .common import mix, pieces, stored, window_hashes, word_hashes
 from .components import components
 
 TREES, DEPTH, RECALL = 32, 12, 0.9999
@@ -85,12 +85,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int,
     """id, vertex (128-bit digest of the shingle set; null without words), n and the tree labels of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
-                 pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([labels(s, trees, depth).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                names=["id", "vertex", "n", "labels"])
+            for part in pieces(batch, 1, 1 << 20):
+                sets = [shingles(t.as_py(), words) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
+                     pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([labels(s, trees, depth).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    names=["id", "vertex", "n", "labels"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("vertex", T.BinaryType()),
                            T.StructField("n", T.LongType()), T.StructField("labels", T.ArrayType(T.LongType()))])
