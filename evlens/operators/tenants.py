@@ -36,21 +36,58 @@ def _apps_subset(apps: DataFrame, app_id=None, user_id=None) -> DataFrame:
     return apps
 
 
+# Activity from the app-day rollup ---------------------------------------------
+
+def app_days(ev: DataFrame) -> DataFrame:
+    """Per app and day: events and the last event's time. Dashboards read it instead of the events."""
+    day = F.col("event_date") if "event_date" in ev.columns else F.to_date("timestamp")
+    return ev.groupBy("app_id", day.alias("date")).agg(
+        F.count(F.lit(1)).alias("event_count"), F.max("timestamp").alias("last_event_at"))
+
+
+def activity(ev: DataFrame, rollup: DataFrame, as_of, windows: tuple[int, ...], app_ids: DataFrame | None = None) -> DataFrame:
+    """Per app from its days: all events (``_rows``), ``last_event_at`` and, for each rolling window,
+    the events after ``as_of`` less that many days (``_n<days>``).
+
+    A strict bound cuts one day: days after it come from the rollup, the cut day alone is
+    read from the events (event ids are unique, so rows count events).
+    """
+    bound = {n: F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(n)} DAYS") for n in windows}
+    if app_ids is not None:
+        ev, rollup = filter_apps(ev, app_ids), filter_apps(rollup, app_ids)
+    zero = F.lit(0).cast("long")
+    whole = rollup.select("app_id", F.col("event_count").alias("_rows"), F.col("last_event_at").cast("timestamp_ntz").alias("last_event_at"), *[
+        F.when(F.col("date") > F.to_date(b), F.col("event_count")).otherwise(zero).alias(f"_n{n}") for n, b in bound.items()])
+    day = F.col("event_date") if "event_date" in ev.columns else F.to_date("timestamp")
+    inside = {n: (day == F.to_date(b)) & (F.col("timestamp").cast("timestamp_ntz") > b) for n, b in bound.items()}
+    cut = ev.filter(day.isin(*[F.to_date(b) for b in bound.values()])).select(
+        "app_id", zero.alias("_rows"), F.lit(None).cast("timestamp_ntz").alias("last_event_at"),
+        *[F.when(c, F.lit(1).cast("long")).otherwise(zero).alias(f"_n{n}") for n, c in inside.items()])
+    return whole.unionByName(cut).groupBy("app_id").agg(
+        F.sum("_rows").alias("_rows"), F.max("last_event_at").alias("last_event_at"),
+        *[F.sum(f"_n{n}").alias(f"_n{n}") for n in windows])
+
+
 # Q9 ------------------------------------------------------------------------
 
 def app_with_stats(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, app_id=None,
-                   days: int = 30) -> DataFrame:
+                   days: int = 30, rollup: DataFrame | None = None) -> DataFrame:
     """Q9: app columns + distinct active keys + distinct events after ``as_of - days``.
 
     Strict lower bound, no upper bound. ``app_id=None`` returns every app. Events
     are filtered, then counted per app (one distinct aggregation, pre-aggregated
-    on (app, id) before the shuffle), then left-joined: no fan-out.
+    on (app, id) before the shuffle), then left-joined: no fan-out. With the
+    ``rollup`` of ``app_days`` only the day that the bound cuts is read from the events.
     """
     a = _apps_subset(apps, app_id=app_id)
-    e = rolling_after(ev, "timestamp", as_of, days)
-    if app_id is not None:
-        e = e.filter(F.col("app_id") == F.lit(app_id))
-    per_app = e.groupBy("app_id").agg(F.count_distinct("id").alias("_e"))
+    if rollup is not None:
+        per_app = activity(ev, rollup, as_of, (days,), None if app_id is None else a.select("id")).select(
+            "app_id", F.col(f"_n{days}").alias("_e"))
+    else:
+        e = rolling_after(ev, "timestamp", as_of, days)
+        if app_id is not None:
+            e = e.filter(F.col("app_id") == F.lit(app_id))
+        per_app = e.groupBy("app_id").agg(F.count_distinct("id").alias("_e"))
     k = _active_keys_per_app(keys)
     return (a.join(k, a["id"] == k["app_id"], "left").drop(k["app_id"])
              .join(per_app, a["id"] == per_app["app_id"], "left").drop(per_app["app_id"])
@@ -62,24 +99,26 @@ def app_with_stats(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, app_i
 # Q10 -----------------------------------------------------------------------
 
 def owner_apps(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, user_id=None,
-               exact_keys: bool = False, days: int = 7) -> DataFrame:
+               exact_keys: bool = False, days: int = 7, rollup: DataFrame | None = None) -> DataFrame:
     """Q10: each app of an owner with active keys, events in the last ``days`` and last event time.
 
     The reference counts active keys over the join apps x keys x events, so its
     ``active_api_keys`` is active keys x max(event rows of the app, 1). That
     product is computed from per-app counts instead of materialising the join;
     ``exact_keys=True`` drops the factor. Newest app first (NULL created_at first).
-    ``user_id=None`` lists the apps of every owner.
+    ``user_id=None`` lists the apps of every owner. ``rollup``: see ``app_with_stats``.
     """
     a = _apps_subset(apps, user_id=user_id)
-    e = ev
-    if user_id is not None:  # one owner: only that owner's apps are aggregated
-        e = filter_apps(e, a.select(F.col("id").alias("app_id")))
-    recent = _after(e, "timestamp", as_of, days)
-    per_app = (e.groupBy("app_id")
-                .agg(F.count(F.lit(1)).alias("_rows"),
-                     F.count_distinct(F.when(recent, F.col("id"))).alias("_recent"),
-                     F.max("timestamp").alias("last_event_at")))
+    own = None if user_id is None else a.select(F.col("id").alias("app_id"))  # one owner: only that owner's apps
+    if rollup is not None:
+        per_app = activity(ev, rollup, as_of, (days,), own).withColumnRenamed(f"_n{days}", "_recent")
+    else:
+        e = filter_apps(ev, own)
+        recent = _after(e, "timestamp", as_of, days)
+        per_app = (e.groupBy("app_id")
+                    .agg(F.count(F.lit(1)).alias("_rows"),
+                         F.count_distinct(F.when(recent, F.col("id"))).alias("_recent"),
+                         F.max("timestamp").alias("last_event_at")))
     k = _active_keys_per_app(keys)
     k_active = F.coalesce(F.col("_k_active"), F.lit(0)).cast("long")
     factor = F.lit(1) if exact_keys else F.greatest(F.coalesce(F.col("_rows"), F.lit(0)), F.lit(1))
@@ -94,13 +133,14 @@ def owner_apps(apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of, user_id=N
 # Q11 / Q11b ------------------------------------------------------------------
 
 def dashboard_stats(users: DataFrame, apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of,
-                    user_id=None) -> DataFrame:
+                    user_id=None, rollup: DataFrame | None = None) -> DataFrame:
     """Q11: per user total apps, distinct active keys, distinct events in 7 and 30 days.
 
     With ``user_id`` given: always exactly one row (zeros for an unknown user).
     With ``user_id=None``: one row per user of ``users``.
     Event ids are deduplicated per owner (``max(timestamp)`` per (owner, id)), so
     the counts stay exact distinct counts without expanding rows per filter.
+    ``rollup``: see ``app_with_stats``.
     """
     owners = users.select(F.col("id").alias("owner"))
     a = apps.select(F.col("id").alias("app_id"), F.col("user_id").alias("owner"))
@@ -111,14 +151,16 @@ def dashboard_stats(users: DataFrame, apps: DataFrame, keys: DataFrame, ev: Data
     n_apps = a.groupBy("owner").agg(F.count_distinct("app_id").alias("total_apps"))
     k = (keys.filter(F.col("is_active") == F.lit(True)).select("app_id", F.col("id").alias("key_id"))
              .join(a, "app_id").groupBy("owner").agg(F.count_distinct("key_id").alias("total_active_keys")))
-    e30 = rolling_after(ev, "timestamp", as_of, 30)
-    if user_id is not None:  # one owner: only that owner's apps are aggregated
-        e30 = filter_apps(e30, a.select("app_id"))
-    e30 = e30.select("app_id", "id", "timestamp")
-    per_id = e30.join(a, "app_id").groupBy("owner", "id").agg(F.max("timestamp").alias("_ts"))
-    seven = _after(per_id, "_ts", as_of, 7)
-    e = per_id.groupBy("owner").agg(F.count_if(seven).alias("events_last_7_days"),
-                                    F.count(F.lit(1)).alias("events_last_30_days"))
+    own = None if user_id is None else a.select("app_id")  # one owner: only that owner's apps are aggregated
+    if rollup is not None:
+        e = activity(ev, rollup, as_of, (7, 30), own).join(a, "app_id").groupBy("owner").agg(
+            F.sum("_n7").alias("events_last_7_days"), F.sum("_n30").alias("events_last_30_days"))
+    else:
+        e30 = filter_apps(rolling_after(ev, "timestamp", as_of, 30), own).select("app_id", "id", "timestamp")
+        per_id = e30.join(a, "app_id").groupBy("owner", "id").agg(F.max("timestamp").alias("_ts"))
+        seven = _after(per_id, "_ts", as_of, 7)
+        e = per_id.groupBy("owner").agg(F.count_if(seven).alias("events_last_7_days"),
+                                        F.count(F.lit(1)).alias("events_last_30_days"))
     zero = F.lit(0).cast("long")
     cols = ["total_apps", "total_active_keys", "events_last_7_days", "events_last_30_days"]
     if user_id is not None:
@@ -131,18 +173,19 @@ def dashboard_stats(users: DataFrame, apps: DataFrame, keys: DataFrame, ev: Data
 
 
 def dashboard(users: DataFrame, apps: DataFrame, keys: DataFrame, ev: DataFrame, as_of,
-              user_id=None, nested: bool = False) -> DataFrame:
+              user_id=None, nested: bool = False, rollup: DataFrame | None = None) -> DataFrame:
     """Q11 numbers (NULL -> 0) with the owner's Q10 app rows.
 
     Flat by default: one row per (user, app), users without apps kept once with
     NULL app fields. ``nested=True`` gives the reply shape, one row per user with
     the apps as an array (newest first, NULL creation time first); that collects
     each owner's app list into one row, so use it for bounded app lists only.
+    ``rollup``: see ``app_with_stats``.
     """
-    stats = dashboard_stats(users, apps, keys, ev, as_of, user_id)
+    stats = dashboard_stats(users, apps, keys, ev, as_of, user_id, rollup)
     if user_id is not None:
         stats = stats.withColumn("user_id", F.lit(user_id))
-    rows = (owner_apps(apps, keys, ev, as_of, user_id).withColumnRenamed("id", "app_id")
+    rows = (owner_apps(apps, keys, ev, as_of, user_id, rollup=rollup).withColumnRenamed("id", "app_id")
             .withColumnRenamed("events_last_7_days", "app_events_last_7_days"))
     if not nested:
         return stats.join(rows, "user_id", "left")

@@ -9,16 +9,16 @@ Snapshots are written to a new folder by the caller (``write_snapshot``).
 from __future__ import annotations
 
 import datetime as dt
-import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..session import folder_exists, remove_folder
 from . import limits as L
 from .filters import typed_lit
 from .ingest import MONTHS_AHEAD, STATIC_MONTHS
-from .reports import daily_summary
+from .reports import ROLLUP_COLUMNS, daily_summary
 
 
 def _now(df: DataFrame, column: str, as_of):
@@ -130,6 +130,34 @@ def delete_users_cascade(users, apps, keys, events, logs: list[DataFrame], user_
     return u, a, k, e, new_logs
 
 
+def cascade_stored_events(spark: SparkSession, path: str, app_ids: DataFrame,
+                          columns: tuple[str, ...] = ("event_date",)) -> dict:
+    """M4 on the stored event table: delete the apps' events, rewriting only the partitions that hold any.
+
+    Partitions without a deleted app keep their files; those left empty are dropped. What comes
+    to the driver is a row a touched partition. Returns the rewritten and the dropped ones.
+    """
+    from ..sources.tables import cluster_events
+    table = spark.read.parquet(path)
+    ids = app_ids.select(F.col(app_ids.columns[0]).alias("_del")).distinct()
+    gone = table["app_id"] == ids["_del"]
+    touched = [tuple(r) for r in table.join(ids, gone, "left_semi").select(*columns).distinct().collect()]
+    if not touched:
+        return {"rewritten": [], "dropped": []}
+    part = table.filter(F.struct(*columns).isin(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, t)]) for t in touched])
+                        if len(columns) > 1 else F.col(columns[0]).isin(*[t[0] for t in touched]))
+    left = part.join(ids, gone, "left_anti")
+    kept = {tuple(r) for r in left.select(*columns).distinct().collect()}
+    if kept:
+        (cluster_events(left).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*columns).parquet(path))
+    empty = [t for t in touched if t not in kept]
+    for t in empty:
+        folder = "/".join(f"{c}={v}" for c, v in zip(columns, t))
+        remove_folder(spark, f"{path.rstrip('/')}/{folder}")
+    return {"rewritten": sorted(kept), "dropped": sorted(empty)}
+
+
 # M5 - M9 -----------------------------------------------------------------------
 
 def insert_keys(keys: DataFrame, new_keys: DataFrame, as_of, default_name: str = "Default Key") -> DataFrame:
@@ -234,10 +262,18 @@ def expired_dates(events: DataFrame, as_of, months_to_keep: int = 12) -> DataFra
 
 
 def partition_values(table: DataFrame, column: str = "event_date") -> DataFrame:
-    """The distinct values of a stored table's partition column, read off its file names
-    (a driver-side listing with one row a partition, no file opened)."""
+    """The distinct values of a stored table's first partition column, from the names of the folders
+    below its root: one listing of one level, a row a partition, no file listed or opened."""
     spark, kind = table.sparkSession, table.schema[column].dataType
-    found = {m[1] for f in table.inputFiles() if (m := re.search(rf"/{re.escape(column)}=([^/]+)/", f))}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    roots = table._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation().location().rootPaths()
+    found = set()
+    for k in range(roots.size()):
+        root = roots.apply(k)
+        for entry in root.getFileSystem(conf).listStatus(root):
+            name = entry.getPath().getName()
+            if name.startswith(f"{column}="):
+                found.add(str(jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name.split("=", 1)[1])))
     rows = spark.createDataFrame([(None if v == "__HIVE_DEFAULT_PARTITION__" else v,) for v in sorted(found)], "v string")
     return rows.select(F.col("v").cast(kind).alias(column))
 
@@ -288,10 +324,80 @@ def refresh_rollup(events: DataFrame, dates: list | None = None) -> DataFrame:
     return daily_summary(ev)
 
 
+# The distinct counts of the rollup and the columns that they count.
+FIRST_SEEN = {"session": "session_id", "user": "user_id", "device": "device", "country": "country"}
+
+
+def add_to_rollup(batch: DataFrame, base: str, batch_id: int) -> None:
+    """M13 from a batch alone: exact distinct counts without reading any stored event.
+
+    ``first_seen`` holds each (app, day, event, kind, value) once, under the batch that brought
+    it; ``deltas`` what each batch adds to the day's counts. A batch is compared with the first-seen
+    partitions of its own days and earlier batches, so late events count right, and running a
+    batch again overwrites its own partitions with the same rows.
+    """
+    spark, base = batch.sparkSession, base.rstrip("/")
+    day = F.col("event_date") if "event_date" in batch.columns else F.to_date("timestamp")
+    rows = batch.select("app_id", day.alias("date"), "event_name", *FIRST_SEEN.values())
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in FIRST_SEEN.items()]))
+    facts = rows.select("app_id", "date", "event_name", kinds.alias("f")).select(
+        "app_id", "date", "event_name", "f.kind", "f.value").filter("value IS NOT NULL").distinct()
+    number = F.lit(int(batch_id)).alias("batch")
+    schema = facts.select("app_id", "event_name", "kind", "value", "date", number).schema
+    if folder_exists(spark, f"{base}/first_seen"):
+        dates = [r[0] for r in rows.select("date").distinct().collect()]  # the batch's days
+        seen = spark.read.schema(schema).parquet(f"{base}/first_seen").filter(F.col("date").isin(dates) & (F.col("batch") < batch_id))
+        names = {c: f"_{c}" for c in facts.columns}
+        seen = seen.select(*facts.columns).withColumnsRenamed(names)
+        facts = facts.join(seen, [F.col(c).eqNullSafe(F.col(o)) for c, o in names.items()], "left_anti")
+
+    def put(df: DataFrame, name: str) -> None:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(f"{base}/{name}"))
+
+    put(facts.select("*", number), "first_seen")
+    zero = [F.lit(0).cast("long").alias(f"{k}s") for k in FIRST_SEEN]
+    new = spark.read.schema(schema).parquet(f"{base}/first_seen").filter(F.col("batch") == batch_id)
+    one = [F.when(F.col("kind") == k, F.lit(1)).otherwise(F.lit(0)).cast("long").alias(f"{k}s") for k in FIRST_SEEN]
+    parts = rows.select("app_id", "date", "event_name", F.lit(1).cast("long").alias("events"), *zero).unionByName(
+        new.select("app_id", "date", "event_name", F.lit(0).cast("long").alias("events"), *one))
+    sums = parts.groupBy("app_id", "date", "event_name").agg(*[F.sum(c).alias(c) for c in ("events", *(f"{k}s" for k in FIRST_SEEN))])
+    put(sums.select("*", number), "deltas")
+
+
+def rollup_of_deltas(spark: SparkSession, base: str) -> DataFrame:
+    """The daily rollup (as Q8) from what every batch added."""
+    deltas = spark.read.parquet(f"{base.rstrip('/')}/deltas")
+    return deltas.groupBy("app_id", "date", "event_name").agg(
+        F.sum("events").alias("event_count"), F.sum("sessions").alias("unique_sessions"), F.sum("users").alias("unique_users"),
+        F.sum("devices").alias("unique_devices"), F.sum("countrys").alias("unique_countries")).select(*ROLLUP_COLUMNS)
+
+
+def distinct_over_days(first_seen: DataFrame, kind: str = "user", start=None, end=None) -> DataFrame:
+    """A2 over any range of days, exact, from the first-seen table instead of the events: per app and
+    event the distinct values of a kind between two days (both included)."""
+    d = first_seen.filter(F.col("kind") == kind)
+    if start is not None:
+        d = d.filter(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        d = d.filter(F.col("date") <= F.lit(end).cast("date"))
+    return d.groupBy("app_id", "event_name").agg(F.count_distinct("value").alias(f"unique_{kind}s"))
+
+
+def touched_apps(batch: DataFrame) -> DataFrame:
+    """The distinct apps of a batch of events, with their number of events (batch receipt)."""
+    return batch.groupBy("app_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _stored_partitions(table: DataFrame) -> list[str]:
+    """The partition columns of a frame that is a file scan, else none."""
+    leaf = table._jdf.queryExecution().analyzed().collectLeaves().apply(0)
+    return list(leaf.relation().partitionSchema().fieldNames()) if leaf.getClass().getSimpleName() == "LogicalRelation" else []
+
+
 def vanished_dates(rollup: DataFrame, events: DataFrame) -> DataFrame:
     """Rollup dates whose base rows are gone (e.g. dropped by retention)."""
     day = F.col("event_date") if "event_date" in events.columns else F.to_date("timestamp")
-    base = (partition_values(events).select(F.col("event_date").alias("date")) if events.inputFiles() and "event_date" in events.columns
+    base = (partition_values(events).select(F.col("event_date").alias("date")) if "event_date" in _stored_partitions(events)
             else events.select(day.alias("date")).distinct())
     return rollup.select("date").distinct().join(base, "date", "left_anti")
 

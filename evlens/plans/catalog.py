@@ -274,6 +274,48 @@ def q11b_dashboard(spark, sf_dir):
     return T.dashboard(fx.users, fx.apps, fx.api_keys, fx.analytics_events, AS_OF)
 
 
+# The same reports from the app-day rollup: only the days that the rolling bounds cut are read raw.
+
+_APP_DAYS: dict = {}
+
+
+def _app_days(spark, sf_dir):
+    """The stored event table and the app-day rollup of it (once per session and folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    ev_path, _ = _stored_tables(spark, sf_dir)
+    if key not in _APP_DAYS:
+        _APP_DAYS[key] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-app-days/{uuid.uuid4().hex}"
+        T.app_days(spark.read.parquet(ev_path)).write.parquet(_APP_DAYS[key])
+    return spark.read.parquet(ev_path), spark.read.parquet(_APP_DAYS[key])
+
+
+@register("q9_app_with_stats_rollup", oracle_with(f"""
+SELECT a.*, {_ACTIVE_KEYS} AS active_api_keys, {_events_since(30)} AS events_last_30_days FROM apps a""",
+    "apps", "api_keys", EV))
+def q9_app_with_stats_rollup(spark, sf_dir):
+    """Q9 for every app from the app-day rollup and the one cut day."""
+    fx, (ev, days) = Fixture(spark, sf_dir), _app_days(spark, sf_dir)
+    return T.app_with_stats(fx.apps, fx.api_keys, ev, AS_OF, rollup=days)
+
+
+@register("q10_owner_apps_rollup", oracle_with(_Q10_SQL.format(keys=_ACTIVE_KEY_ROWS), "apps", "api_keys", EV))
+def q10_owner_apps_rollup(spark, sf_dir):
+    """Q10 for every owner from the app-day rollup and the one cut day."""
+    fx, (ev, days) = Fixture(spark, sf_dir), _app_days(spark, sf_dir)
+    return T.owner_apps(fx.apps, fx.api_keys, ev, AS_OF, rollup=days)
+
+
+@register("q11b_dashboard_rollup", oracle_with("""
+SELECT s.*, q10.id AS app_id, q10.app_name, q10.app_url, q10.description, q10.created_at,
+       q10.active_api_keys, q10.events_last_7_days AS app_events_last_7_days, q10.last_event_at
+FROM s LEFT JOIN q10 ON q10.user_id = s.user_id""", "users", "apps", "api_keys", EV,
+    more=f"s AS (SELECT u.id AS user_id, {_Q11_FIGURES} FROM users u),\nq10 AS ({_Q10_SQL.format(keys=_ACTIVE_KEY_ROWS)})"))
+def q11b_dashboard_rollup(spark, sf_dir):
+    """Q11b for every user from the app-day rollup and the two cut days."""
+    fx, (ev, days) = Fixture(spark, sf_dir), _app_days(spark, sf_dir)
+    return T.dashboard(fx.users, fx.apps, fx.api_keys, ev, AS_OF, rollup=days)
+
+
 @register("q12_apps_with_keys", oracle_with("""
 SELECT q10.*, ak.id AS key_id, ak.key_prefix AS key_key_prefix, ak.name AS key_name,
        ak.is_active AS key_is_active, ak.expires_at AS key_expires_at,
@@ -472,7 +514,7 @@ _REQUESTS: dict = {}
 
 def _requests(spark, sf_dir):
     """The fixture requests as a stored table: admission numbers its rows on a file scan."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _REQUESTS:
         _REQUESTS[key] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-requests/{uuid.uuid4().hex}"
         Fixture(spark, sf_dir).raw_requests.write.parquet(_REQUESTS[key])
@@ -710,7 +752,7 @@ def _stored_tables(spark, sf_dir):
     """Write the fixture events as the partitioned event table in two batches, refreshing
     the rollup incrementally after each (once per session and folder, in the shared
     checkpoint folder)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key in _SCRATCH:
         return _SCRATCH[key]
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-tables/{uuid.uuid4().hex}"
@@ -755,6 +797,89 @@ def m15_upkeep_rollup(spark, sf_dir):
     return spark.read.parquet(f"{base}/daily_summary").select(*R.ROLLUP_COLUMNS)
 
 
+_FIRST_SEEN: dict = {}
+
+
+def _first_seen(spark, sf_dir):
+    """The fixture events added to the first-seen rollup in three batches that share their days
+    (by id, so every later batch is full of late events), the second of them run twice."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FIRST_SEEN:
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-first-seen/{uuid.uuid4().hex}"
+        ev = Fixture(spark, sf_dir).analytics_events
+        for batch in (0, 1, 2, 1):
+            M.add_to_rollup(ev.filter(F.col("id") % 3 == batch), base, batch)
+        _FIRST_SEEN[key] = base
+    return _FIRST_SEEN[key]
+
+
+@register("m13_rollup_first_seen", oracle_with("SELECT * FROM daily", EV, more=_ROLLUP_SQL))
+def m13_rollup_first_seen(spark, sf_dir):
+    """The rollup from batches alone (first-seen table and deltas), with late events and a replay."""
+    return M.rollup_of_deltas(spark, _first_seen(spark, sf_dir))
+
+
+@register("a2_distinct_users_over_days", oracle_with("""
+SELECT app_id, event_name, count(DISTINCT user_id) AS unique_users FROM analytics_events
+WHERE CAST("timestamp" AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-25' AND user_id IS NOT NULL GROUP BY 1, 2""", EV))
+def a2_distinct_users_over_days(spark, sf_dir):
+    """A2 over 24 days, exact, from the first-seen table."""
+    seen = spark.read.parquet(f"{_first_seen(spark, sf_dir)}/first_seen")
+    return M.distinct_over_days(seen, "user", "2024-01-02", "2024-01-25")
+
+
+@register("m4_cascade_stored_events", oracle_with("""
+SELECT CAST("timestamp" AS DATE) AS event_date, app_id, count(*) AS events FROM analytics_events
+WHERE NOT (app_id IN (SELECT id FROM apps WHERE user_id = 3) OR app_id % 4 = 1) GROUP BY 1, 2""", EV, "apps"))
+def m4_cascade_stored_events(spark, sf_dir):
+    """M4 on a stored event table of its own: owner 3's apps and every fourth app go; only partitions that
+    hold them are rewritten."""
+    fx, path = Fixture(spark, sf_dir), f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-cascade/{uuid.uuid4().hex}"
+    TB.append_events(fx.analytics_events.withColumn("event_date", F.to_date("timestamp")), path)
+    M.cascade_stored_events(spark, path, fx.apps.filter("user_id = 3 OR id % 4 = 1").select("id"))
+    return spark.read.parquet(path).groupBy("event_date", "app_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("s6_batch_apps", oracle_with("SELECT app_id, count(*) AS events FROM analytics_events GROUP BY 1", EV))
+def s6_batch_apps(spark, sf_dir):
+    """The distinct apps that a batch touches, with their number of events."""
+    return M.touched_apps(Fixture(spark, sf_dir).analytics_events)
+
+
+@register("s2_dimension_scan", oracle_with("""
+SELECT id, app_id, key_hash, is_active, can_write, rate_limit_per_hour, expires_at FROM api_keys""", "api_keys"))
+def s2_dimension_scan(spark, sf_dir):
+    """The key table written as a snapshot and read back with its fixed schema."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-keys/{uuid.uuid4().hex}"
+    TB.write_snapshot(Fixture(spark, sf_dir).api_keys.select(*TB.API_KEYS.fieldNames()), path)
+    return TB.read_dim(spark, path, "api_keys").select(
+        "id", "app_id", "key_hash", "is_active", F.col("permissions.write").alias("can_write"), "rate_limit_per_hour", "expires_at")
+
+
+@register("s3_log_scan", oracle_with("""
+SELECT CAST(created_at AS DATE) AS log_date, event_type, severity, count(*) AS events FROM security_events
+WHERE created_at >= TIMESTAMP '2024-01-10' AND created_at < TIMESTAMP '2024-01-20' GROUP BY 1, 2, 3""", "security_events"))
+def s3_log_scan(spark, sf_dir):
+    """S3: the security log written by day, ten days of it read by their partitions."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-log/{uuid.uuid4().hex}"
+    log = Fixture(spark, sf_dir).security_events.withColumn("user_id", F.col("user_id").cast("string")).withColumn("id", F.col("id").cast("string"))
+    TB.write_log(log, path)
+    log = TB.read_log(spark, path, "security_events").filter(F.col("log_date").between("2024-01-10", "2024-01-19"))
+    return log.groupBy("log_date", "event_type", "severity").agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("m12_events_by_provisioned_month", oracle_with("""
+SELECT m.month, count(e.month) AS events FROM (
+  SELECT DISTINCT strftime(TIMESTAMP '2024-01-31' + INTERVAL (i) MONTH, '%Y-%m') AS month FROM range(0, 12) r(i)
+  UNION SELECT unnest(['2024-02', '2024-03', '2024-11', '2024-12', '2025-01', '2025-02'])) m
+LEFT JOIN (SELECT strftime("timestamp", '%Y-%m') AS month FROM analytics_events) e ON e.month = m.month GROUP BY 1""", EV))
+def m12_events_by_provisioned_month(spark, sf_dir):
+    """Every provisioned month with its events."""
+    per_month = Fixture(spark, sf_dir).analytics_events.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("events"))
+    return M.provisioned_months_frame(spark, AS_OF).join(per_month, "month", "left").fillna({"events": 0})
+
+
 @register("q27_partition_rows", oracle_with("""
 SELECT CAST("timestamp" AS DATE) AS event_date, count(*) AS rows FROM analytics_events GROUP BY 1""", EV))
 def q27_partition_rows(spark, sf_dir):
@@ -875,7 +1000,7 @@ _STREAMED: dict = {}
 
 def _stream_admission(spark, sf_dir):
     """The streaming collection over three appended thirds (once per session and folder)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STREAMED:
         base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-stream/{uuid.uuid4().hex}"
         fx = Fixture(spark, sf_dir)

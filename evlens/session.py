@@ -97,6 +97,11 @@ def remove_folder(spark, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
 
 
+def folder_exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
 @contextmanager
 def persist_scope():
     """Release every frame ``keep`` persisted and every folder ``stored`` wrote while the scope

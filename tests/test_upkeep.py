@@ -128,3 +128,82 @@ def test_latest_change_is_settled_by_content(spark):
     got = {tuple(M._latest(spark.createDataFrame(rows, "k string, o int, v string").repartition(n), "k", "o")
                  .filter("k = 'a'").first()) for n in (1, 2, 5)}
     assert len(got) == 1
+
+
+EVENTS = ("id long, app_id long, event_name string, session_id string, user_id string, device string, country string, "
+          "timestamp timestamp_ntz, url string")
+
+
+def some_events(spark, n=240):
+    rows = [(k, k % 7, "click" if k % 3 else None, f"s{k % 11}", f"u{k % 13}" if k % 5 else None, "mobile" if k % 2 else None,
+             "DE", dt.datetime(2024, 1, 1 + k % 9, k % 24, 5), "https://x/") for k in range(n)]
+    return spark.createDataFrame(rows, EVENTS)
+
+
+def test_rollup_from_batches_equals_the_whole(spark, tmp_path):
+    """Late events, null values, a replayed batch and an empty one."""
+    from evlens.operators import reports as R
+    ev = some_events(spark)
+    for batch, cond in ((0, "id < 100 AND id % 2 = 0"), (1, "id < 100 AND id % 2 = 1"), (2, "id > 1000"), (3, "id >= 100"), (1, "id < 100 AND id % 2 = 1")):
+        M.add_to_rollup(ev.filter(cond), str(tmp_path), batch)
+    got = sorted(map(tuple, M.rollup_of_deltas(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(map(tuple, R.daily_summary(ev).collect()), key=str)
+    seen = spark.read.parquet(f"{tmp_path}/first_seen")
+    got = {(r[0], r[1]): r[2] for r in M.distinct_over_days(seen, "user", "2024-01-02", "2024-01-06").collect()}
+    want = ev.filter("timestamp >= '2024-01-02' AND timestamp < '2024-01-07' AND user_id IS NOT NULL").groupBy("app_id", "event_name").agg(
+        F.count_distinct("user_id"))
+    assert got == {(r[0], r[1]): r[2] for r in want.collect()}
+
+
+def test_cascade_on_the_stored_table_leaves_other_files_alone(spark, tmp_path):
+    import os
+    path = f"{tmp_path}/events"
+    ev = some_events(spark).withColumn("event_date", F.to_date("timestamp"))
+    # App 3 only on days 1 and 2, and alone on day 20.
+    ev = ev.filter("app_id <> 3 OR dayofmonth(timestamp) <= 2")
+    alone = some_events(spark, 4).withColumn("app_id", F.lit(3).cast("long")).withColumn("event_date", F.lit("2024-01-20").cast("date"))
+    ev.unionByName(alone).repartition(1).write.partitionBy("event_date").parquet(path)
+
+    def files():
+        return {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+    before = files()
+    out = M.cascade_stored_events(spark, path, spark.createDataFrame([(3,), (99,)], "id long"))
+    assert [str(t[0]) for t in out["rewritten"]] == ["2024-01-01", "2024-01-02"]
+    assert [str(t[0]) for t in out["dropped"]] == ["2024-01-20"]
+    after = files()
+    assert {f: t for f, t in before.items() if not any(d in f for d in ("-01/", "-02/", "-20/"))}.items() <= after.items()
+    left = spark.read.parquet(path)
+    assert sorted(map(tuple, left.select("id", "app_id", "event_name").collect()), key=str) == sorted(
+        map(tuple, ev.filter("app_id <> 3").select("id", "app_id", "event_name").collect()), key=str)
+    assert M.cascade_stored_events(spark, path, spark.createDataFrame([(3,)], "id long")) == {"rewritten": [], "dropped": []}
+
+
+def test_partition_values_list_one_level(spark, tmp_path):
+    some_events(spark).withColumn("event_date", F.to_date("timestamp")).write.partitionBy("event_date", "app_id").parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    table.inputFiles = None  # not asked for
+    assert sorted(str(r[0]) for r in M.partition_values(table).collect()) == [f"2024-01-0{k}" for k in range(1, 10)]
+
+
+def test_dashboards_from_app_days(spark, tmp_path):
+    """Bounds inside a day, on midnight and outside the data; only the cut days are read raw."""
+    from evlens.operators import tenants as T
+    ev = some_events(spark).withColumn("event_date", F.to_date("timestamp"))
+    ev.write.partitionBy("event_date").parquet(f"{tmp_path}/ev")
+    ev = spark.read.parquet(f"{tmp_path}/ev")
+    T.app_days(ev).write.parquet(f"{tmp_path}/days")
+    days = spark.read.parquet(f"{tmp_path}/days")
+    users = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    apps = spark.createDataFrame([(k, 1 + k % 2, f"a{k}", None) for k in range(9)], "id long, user_id long, app_name string, created_at timestamp_ntz")
+    keys = spark.createDataFrame([(k, k % 5, True) for k in range(8)], "id long, app_id long, is_active boolean")
+    for as_of in ("2024-01-09 11:30:00", "2024-01-10 00:00:00", "2024-02-05 03:00:00", "2025-01-01 00:00:00"):
+        for user in (None, 2, 77):
+            raw = T.dashboard(users, apps, keys, ev, as_of, user_id=user)
+            fast = T.dashboard(users, apps, keys, ev, as_of, user_id=user, rollup=days)
+            assert sorted(map(str, raw.collect())) == sorted(map(str, fast.select(*raw.columns).collect())), (as_of, user)
+        raw, fast = (T.app_with_stats(apps, keys, ev, as_of, rollup=r) for r in (None, days))
+        assert sorted(map(str, raw.collect())) == sorted(map(str, fast.collect()))
+    plan = T.app_with_stats(apps, keys, ev, "2024-01-10 12:00:00", days=3, rollup=days)._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("FileScan") if "/ev]" in x)
+    assert "PartitionFilters: [isnotnull(event_date" in scan and "2024-01-07" in scan.split("PartitionFilters")[1][:160]
