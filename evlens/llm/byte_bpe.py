@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from .chunked import ChunkEncoder
-from .common import pieces
+from .common import pieces, tidy
 
 
 def byte_to_char() -> dict[int, str]:
@@ -58,7 +58,7 @@ def bpe_tokenizer(path: str, pattern: str) -> Tokenizer:
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> ChunkEncoder:
     """One per Python worker, so that its memo serves all tasks of that worker."""
-    return ChunkEncoder(bpe_tokenizer(path, pattern), "<i4", memo_entries=150_000)
+    return ChunkEncoder(bpe_tokenizer(path, pattern), "<i4", memo_entries=75_000)
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,7 +114,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                     cols.append(pa.array([decode(x, token_bytes(path)) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
@@ -140,4 +140,4 @@ def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> Dat
                 out.append(decode(ids.values.to_numpy() if ids.is_valid else np.empty(0, dtype=np.int32), table))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, prefix_sums, range_hash, window_hashes
+from .common import byte_values, prefix_sums, range_hash, tidy, window_hashes
 
 WIDTH, BLOCK_WORDS = 3, 500_000
 #: Scores of the alignment: equal words, different words, a gap.
@@ -115,7 +115,7 @@ def document_frequency(docs: DataFrame, text_col: str, items: Items) -> np.ndarr
 
     out = np.zeros(len(items.distinct), dtype=np.int64)
     if len(out):
-        sums = docs.select(text_col).mapInArrow(run, "k long, n long").filter("n > 0").groupBy("k").agg(
+        sums = docs.select(text_col).mapInArrow(tidy(run), "k long, n long").filter("n > 0").groupBy("k").agg(
             F.sum("n").alias("n")).toPandas()  # at most one row an n-gram of the block
         out[sums["k"]] = sums["n"]
     return out
@@ -230,5 +230,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_c
         items = Items([(r["i"], r["t"]) for r in pdf], width)
         if len(items.distinct):
             items.rank(document_frequency(rows, text_col, items))
-            out = out.unionByName(rows.mapInArrow(run_with(items), schema))
+            out = out.unionByName(rows.mapInArrow(tidy(run_with(items)), schema))
     return out.withColumnsRenamed(names)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, pieces, stored, window_hashes, word_hashes
+from .common import mix, pieces, stored, tidy, window_hashes, word_hashes
 from .components import components
 
 TREES, DEPTH, RECALL = 32, 12, 0.9999
@@ -95,7 +95,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int,
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("vertex", T.BinaryType()),
                            T.StructField("n", T.LongType()), T.StructField("labels", T.ArrayType(T.LongType()))])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(tidy(run), schema)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -111,7 +111,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(
         wanted.select(F.col("first_id"), "vertex"), F.col("id").eqNullSafe(F.col("first_id")))
-    return rows.select("vertex", "body").mapInArrow(run, "vertex binary, sets binary").dropDuplicates(["vertex"])
+    return rows.select("vertex", "body").mapInArrow(tidy(run), "vertex binary, sets binary").dropDuplicates(["vertex"])
 
 
 def overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = sets.select(F.col("vertex").alias("u"), F.col("sets").alias("a"))
     right = sets.select(F.col("vertex").alias("v"), F.col("sets").alias("b"))
     rows = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return rows.mapInArrow(run, "u binary, v binary")
+    return rows.mapInArrow(tidy(run), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8,

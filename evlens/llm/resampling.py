@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import byte_values, mix, null_safe_hash, pieces, prefix_sums, range_hash, stored
+from .common import byte_values, mix, null_safe_hash, pieces, prefix_sums, range_hash, release, stored, tidy
 
 BUCKETS, PASSAGE, SMOOTH = 1 << 16, 100, 10.0
 HELD_OUT, TAIL, SLACK = 5, 0.01, 5.0
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.arange(buckets), raw, target, held)],
                                          names=["bucket", "raw", "target", "held"])
 
-    sums = rows.mapInArrow(count, "bucket long, raw long, target long, held long").groupBy("bucket").agg(
+    sums = rows.mapInArrow(tidy(count), "bucket long, raw long, target long, held long").groupBy("bucket").agg(
         *[F.sum(c).alias(c) for c in ("raw", "target", "held")]).toPandas()  # one row a bucket
     raw, target, held = (np.zeros(buckets) for _ in range(3))
     for out, name in ((raw, "raw"), (target, "target"), (held, "held")):
@@ -133,7 +133,9 @@ def log_weight(text: Column, model: Model) -> Column:
             row, bucket = ngram_buckets(part.column(0), len(ratio))
             total = np.bincount(row, weights=ratio[bucket], minlength=part.num_rows)
             out.append(total / np.maximum(1, np.bincount(row, minlength=part.num_rows) / PASSAGE))
-        return pa.array(np.concatenate(out))
+        total = pa.array(np.concatenate(out))
+        release()
+        return total
 
     return score(text)
 
