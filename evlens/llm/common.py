@@ -53,8 +53,22 @@ def release() -> None:
         trim(0)
 
 
+#: Bytes of an Arrow batch of texts, where the session sets no bound of its own.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches() -> None:
+    """Bound the session's Arrow batches: Spark's own 64 MB stand several times in the executor
+    (written, doubled while growing, read, returned) and again in each Python worker."""
+    spark = SparkSession.active()
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def tidy(run):
-    """The mapInArrow function ``run``, with ``release`` at the end of each task."""
+    """The mapInArrow function ``run``, with ``release`` at the end of each task and bounded batches."""
+    bound_batches()
+
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         release()

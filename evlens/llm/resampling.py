@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import byte_values, mix, null_safe_hash, pieces, prefix_sums, range_hash, release, stored, tidy
+from .common import bound_batches, byte_values, mix, null_safe_hash, pieces, prefix_sums, range_hash, release, stored, tidy
 
 BUCKETS, PASSAGE, SMOOTH = 1 << 16, 100, 10.0
 HELD_OUT, TAIL, SLACK = 5, 0.01, 5.0
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def log_weight(text: Column, model: Model) -> Column:
     """The weight of each text under a fitted model."""
     ratio = model.ratio
+    bound_batches()
 
     @arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
