@@ -29,6 +29,7 @@ from ..functions import text as X
 from ..functions import useragent as UA
 from ..session import keep, stored
 from . import limits as L
+from .lookup import spread_lookup
 
 # Body fields of a collect request (all strings; metadata is JSON text).
 BODY_FIELDS = ("event", "url", "referrer", "device", "ipAddress", "userId", "sessionId", "timestamp_text",
@@ -82,7 +83,7 @@ def _first_reason(*steps: tuple[Column, str]) -> Column:
 def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, months=None,
               key_hour_ttl: int = L.KEY_HOUR_TTL, collect_limit: int = L.COLLECT_LIMIT,
               collect_ttl: int = L.COLLECT_TTL, seeds: dict | None = None,
-              counters: dict | None = None) -> DataFrame:
+              counters: dict | None = None, spread_keys: bool = False) -> DataFrame:
     """Annotate every raw request with ``reject_reason`` (NULL = accepted),
     ``validation_errors`` and the enriched event columns.
 
@@ -94,7 +95,9 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
 
     ``seeds`` carries open counters from earlier batches ({'key_hour': frame,
     'collect': frame}, see ``counter_state``); a dict given as ``counters`` receives the
-    stored counter frames with exact windows and counts, for the next seed.
+    stored counter frames with exact windows and counts, for the next seed. With
+    ``spread_keys`` the key lookup deals busy keys over many tasks (one more pass over the
+    keys of ``raw``): for key tables that are too large to broadcast. The rows are the same.
     """
     seeds = seeds or {}
     # Row ids are taken straight off the input scan, before any shuffle, so a
@@ -143,7 +146,10 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
                       F.col("rate_limit_per_hour").alias("_key_limit")))
     d = d.withColumn("_hash", F.when(F.col("api_key").isNotNull() & (F.col("api_key") != ""),
                                      K.key_hash(F.col("api_key"))))
-    d = d.join(kd, F.col("_hash") == F.col("_key_hash"), "left")
+    if spread_keys:
+        d = spread_lookup(d, "_hash", kd, "_key_hash", F.col("_rowid"))
+    else:
+        d = d.join(kd, F.col("_hash") == F.col("_key_hash"), "left")
     now = F.col("received_at").cast(keys.schema["expires_at"].dataType) if "expires_at" in keys.columns \
         else F.col("received_at")
     stateless = _first_reason(

@@ -578,7 +578,7 @@ def i15_security_events(spark, sf_dir):
     return I.security_events(_admission(spark, sf_dir))
 
 
-@register("i_key_check", oracle_with("""
+_KEY_CHECK_SQL = oracle_with("""
 SELECT r.received_at, r.api_key, r.client_ip,
        CASE WHEN r.api_key IS NULL OR r.api_key = '' THEN 'api_key_missing'
             WHEN k.id IS NULL OR NOT coalesce(k.is_active, false)
@@ -588,16 +588,17 @@ SELECT r.received_at, r.api_key, r.client_ip,
             WHEN NOT k.can_write THEN 'no_permission' END AS key_outcome
 FROM raw_requests r
 LEFT JOIN (SELECT ak.* FROM api_keys ak JOIN apps a ON ak.app_id = a.id) k ON k.key_hash = sha256(r.api_key)""",
-    "raw_requests", "api_keys", "apps"))
-def i_key_check(spark, sf_dir):
-    """The key checks alone (missing, unknown/inactive/expired, IP allow-list, write permission)."""
+    "raw_requests", "api_keys", "apps")
+
+
+def _key_details(fx):
+    return (fx.api_keys.join(fx.apps.select(F.col("id").alias("_a")), F.col("app_id") == F.col("_a"), "inner")
+            .select("key_hash", F.col("id").alias("key_id"), "is_active", "expires_at", "allowed_ips", "permissions"))
+
+
+def _key_outcome(j):
     from ..functions import keys as K
-    fx = Fixture(spark, sf_dir)
-    raw = fx.raw_requests
-    kd = (fx.api_keys.join(fx.apps.select(F.col("id").alias("_a")), F.col("app_id") == F.col("_a"), "inner")
-          .select("key_hash", F.col("id").alias("key_id"), "is_active", "expires_at", "allowed_ips", "permissions"))
-    j = raw.join(kd, K.key_hash(raw["api_key"]) == kd["key_hash"], "left")
-    outcome = (F.when(raw["api_key"].isNull() | (raw["api_key"] == ""), F.lit("api_key_missing"))
+    outcome = (F.when(F.col("api_key").isNull() | (F.col("api_key") == ""), F.lit("api_key_missing"))
                 .when(F.col("key_id").isNull()
                       | ~K.key_usable(F.col("is_active"), F.col("expires_at"), F.col("received_at")),
                       F.lit("api_key_invalid"))
@@ -606,6 +607,26 @@ def i_key_check(spark, sf_dir):
     return j.select("received_at", "api_key", "client_ip", outcome.alias("key_outcome"))
 
 
+@register("i_key_check", _KEY_CHECK_SQL)
+def i_key_check(spark, sf_dir):
+    """The key checks alone (missing, unknown/inactive/expired, IP allow-list, write permission)."""
+    from ..functions import keys as K
+    fx = Fixture(spark, sf_dir)
+    raw, kd = fx.raw_requests, _key_details(fx)
+    return _key_outcome(raw.join(kd, K.key_hash(raw["api_key"]) == kd["key_hash"], "left"))
+
+
+@register("j7_key_check_spread", _KEY_CHECK_SQL)
+def j7_key_check_spread(spark, sf_dir):
+    """The same checks with busy keys dealt over many tasks, nothing but their list broadcast."""
+    from ..functions import keys as K
+    from ..operators.lookup import spread_lookup
+    fx = Fixture(spark, sf_dir)
+    raw = fx.raw_requests.withColumn("_hash", K.key_hash(F.col("api_key")))
+    row = F.xxhash64("received_at", "client_ip", "event", "url", "userId")
+    return _key_outcome(spread_lookup(raw, "_hash", _key_details(fx), "key_hash", row))
+
+
 # --- L1 - L6: rate-limit replay ----------------------------------------------------
 
 # Step-by-step replay of an anchored counter in SQL: each key's requests in
