@@ -131,3 +131,22 @@ def test_missing_counter_state_is_an_error(spark, tmp_path):
     import pytest
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         SC._read_state(spark, str(tmp_path), 3)
+
+
+def test_live_users_within_the_sketch_bound(spark, tmp_path):
+    """T3's approximate users against exact distincts: three standard errors (5 % each), one at least."""
+    from evlens.streaming import live as SL
+    Fixture(spark, SF_SMALL).analytics_events.write.parquet(f"{tmp_path}/in")
+    stored = spark.read.parquet(f"{tmp_path}/in")
+    src = spark.readStream.schema(stored.schema).parquet(f"{tmp_path}/in")
+    q = (SL.live_event_counts(src, window="7 days").writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start(f"{tmp_path}/out"))
+    q.awaitTermination()
+    exact = {(r["w"]["start"], r["event_name"]): r["users"] for r in stored.groupBy(
+        F.window(F.col("timestamp").cast("timestamp"), "7 days").alias("w"), "event_name").agg(
+        F.count_distinct("user_id").alias("users")).collect()}
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert got and max(r["approx_users"] for r in got) > 10
+    for r in got:
+        users = exact[r["window_start"], r["event_name"]]
+        assert abs(r["approx_users"] - users) <= max(1, 0.15 * users), r
