@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlens.session import ensure_checkpoint_dir
+from evlens.session import ensure_checkpoint_dir, remove_folder
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs nothing but a re-read."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def unstore(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once nothing that is still to run reads them."""
+    for table in tables:
+        remove_folder(table.sparkSession, table.stored_at)
 
 
 def null_safe_hash(*cols: Column, seed: int = 0) -> Column:
@@ -144,6 +152,13 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return mix((sums[end] - sums[start]) * _POWERS.inv[start] + (end - start).astype(np.uint64) * _BYTE[7])
 
 
+def gram_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """``range_hash`` of every ``width`` consecutive entries."""
+    n = len(sums) - width
+    with np.errstate(over="ignore"):
+        return mix((sums[width:] - sums[:n]) * _POWERS.inv[:n] + np.uint64(width) * _BYTE[7])
+
+
 def byte_values(raw: np.ndarray) -> np.ndarray:
     return _BYTE[raw]
 

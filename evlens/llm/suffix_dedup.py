@@ -14,8 +14,9 @@ is sorted or ranked. All of it runs on what is left after two exact screens:
    suffixes are told apart by the bytes around them that any window over them can reach. A suffix that isn't the first with its surroundings repeats them:
    all its windows go. If a bucket has one kind of surroundings only, its first suffix's
    windows have no partner there.
-4. What is then undecided, windows at the edges of repeats, is settled by their whole
-   128-bit hashes.
+4. What is then undecided are windows at the edges of repeats. Those over one suffix are taken in
+   four ranges of starts; the bytes that all windows of a range share are named over the corpus,
+   and a range whose name stands once is done. The rest is settled by whole 128-bit hashes.
 
 Every grouping keeps counts and least places only, combined before the shuffle, so a
 passage in a third of all texts is one row a task and no bucket is collected. Text moves
@@ -37,13 +38,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, key_filter, mix, pieces, prefix_sums, range_hash, row_key, stored
+from .common import byte_values, gram_hashes, key_filter, mix, pieces, prefix_sums, range_hash, row_key, stored, unstore
 
 WIDTH, GRAM = 100, 48
 # A perfect difference set modulo 57.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
-_SLICE = 1 << 19
+_SLICE = 1 << 18
+BUCKET_BITS = 48
+_REST = np.uint64((1 << 64 - BUCKET_BITS) - 1)
+# The starts of the windows over a suffix, as ranges of their distance before it.
+NEAREST, FARTHEST = np.array([0, 14, 28, 42]), np.array([13, 27, 41, PERIOD - 1])
+RANGES = len(NEAREST)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,12 +69,12 @@ def anchors(raw: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, width: int,
     empty = np.empty(0, dtype=np.int64)
     if len(raw) < width:
         return empty, empty.astype(np.uint64), empty, empty
-    at = np.arange(len(raw) - gram + 1)
-    names = range_hash(prefix_sums(byte_values(raw)), at, at + gram)
+    names = gram_hashes(prefix_sums(byte_values(raw)), gram)
     low = np.uint64(0xFFFFFFFF)
-    least = (sliding_min((names & ~low) | at.astype(np.uint64), width - gram + 1) & low).astype(np.int64)
-    start = np.concatenate([empty, *[np.arange(f, f + n - width + 1) for f, n in zip(firsts, sizes) if n >= width]])
-    doc = np.searchsorted(firsts, start, side="right") - 1
+    least = (sliding_min((names & ~low) | np.arange(len(names), dtype=np.uint64), width - gram + 1) & low).astype(np.int64)
+    windows = np.maximum(sizes - width + 1, 0)
+    doc = np.repeat(np.arange(len(sizes)), windows)
+    start = np.arange(len(doc)) + np.repeat(firsts - (np.cumsum(windows) - windows), windows)
     least = least[start]
     new = np.ones(len(start), dtype=bool)
     new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
@@ -131,6 +137,12 @@ def _spread(at: np.ndarray, reach: np.ndarray | int, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(np.maximum(at, 0), minlength=n + 1)[:n + 1] - np.bincount(stop, minlength=n + 1)[:n + 1])[:n] > 0
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """Each row's list of numbers (null: empty)."""
+    values, cut = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[x:y] if ok else values[:0] for x, y, ok in zip(cut, cut[1:], column.is_valid().to_pylist())]
+
+
 def open_windows(parsed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(first_id, a, b, n, open): packed flags of the windows whose name stands in several places."""
     places = parsed.select("a", F.explode(F.arrays_zip("names", "places")).alias("x")).select("a", "x.names", "x.places")
@@ -141,10 +153,10 @@ def open_windows(parsed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n, lo, span, single in zip(*(batch.column(i).to_pylist() for i in range(3, 7))):
+            for n, lo, span, single in zip(*(batch.column(i).to_pylist() for i in range(3, 6)), _lists(batch.column(6))):
                 lo = np.frombuffer(lo, dtype="<i4").astype(np.int64)
                 many = np.ones(len(lo), dtype=bool)
-                many[single or []] = False
+                many[single] = False
                 out.append(_pack(_spread(lo[many], np.frombuffer(span, dtype="u1")[many], n - width + 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=schema.names)
 
@@ -176,11 +188,10 @@ def _rows_of(texts: DataFrame, flags: str, rows, hashes: list[str], *more: str)
         for batch in batches:
             for part in pieces(batch, 3, _SLICE):
                 found = []
-                lists = [part.column(4 + k).to_pylist() for k in range(len(more))]
+                lists = [_lists(part.column(4 + k)) for k in range(len(more))]
                 for packed, text, *places in zip(part.column(2).to_pylist(), part.column(3), *lists):
                     values = byte_values(np.frombuffer(text.as_buffer(), dtype=np.uint8))
-                    given = [np.array(x or [], dtype=np.int64) for x in places]
-                    found.append(rows(_flags(packed), len(values), prefix_sums(values), prefix_sums(mix(values)), *given))
+                    found.append(rows(_flags(packed), len(values), prefix_sums(values), prefix_sums(mix(values)), *places))
                 row = pa.array(np.repeat(np.arange(len(found)), [len(f[-1]) for f in found]))
                 cols = [np.concatenate(c) for c in zip(*found)]
                 yield pa.RecordBatch.from_arrays(
@@ -203,21 +214,73 @@ def lonely(open_texts: DataFrame, width: int) -> DataFrame:
 
 
 def sampled_suffixes(open_texts: DataFrame, width: int) -> DataFrame:
-    """(name, g, h, first_id, a, pos): bucket, surroundings and place of each sampled suffix whose
-    bucket has others, of those that a text repeats itself the first."""
-    def rows(flags: np.ndarray, n: int, one: np.ndarray, two: np.ndarray, lone: list) -> tuple:
+    """(g, h, first_id, a, pos): 128-bit name and place of each sampled suffix whose bucket has
+    others, of those that a text repeats itself the first. The upper BUCKET_BITS of g are the
+    bucket's, all other bits the surroundings': two buckets that share their bits are taken for
+    one, which leaves more windows to the whole hashes and changes no result."""
+    def rows(flags: np.ndarray, n: int, one: np.ndarray, two: np.ndarray, lone: np.ndarray) -> tuple:
         p = np.setdiff1d(samples(flags[:n - width + 1], n, width), lone, assume_unique=True)
         low, high = np.maximum(p - PERIOD + 1, 0), np.minimum(p + width, n)
         with np.errstate(over="ignore"):  # where the text ends inside the reach, its ends are part of the surroundings
             shape = mix(((p - low) * 256 + (high - p)).astype(np.uint64))
             g, h = range_hash(one, low, high) ^ shape, range_hash(two, low, high) + shape
+        g = (range_hash(one, p, p + width - PERIOD + 1) & ~_REST) | (g & _REST)
         order = np.lexsort((p, h, g))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (np.diff(g[order].view(np.int64)) != 0) | (np.diff(h[order].view(np.int64)) != 0)
         keep = order[new]
-        return range_hash(one, p, p + width - PERIOD + 1)[keep], g[keep], h[keep], p[keep]
+        return g[keep], h[keep], p[keep]
+
+    return _rows_of(open_texts, "open", rows, ["g", "h"], "lone")
+
+
+def ranges_of(flags: np.ndarray, loud: np.ndarray) -> np.ndarray:
+    """Codes (place * RANGES + range) of the ranges of starts that hold a flagged window."""
+    code = (loud.astype(np.int64)[:, None] * RANGES + np.arange(RANGES)).ravel()
+    first, last = starts_of(code, len(flags))
+    total = np.concatenate(([0], np.cumsum(flags)))
+    some = first <= last
+    some[some] = total[last[some] + 1] > total[first[some]]
+    return code[some]
+
+
+def starts_of(code: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of m window starts in each range."""
+    p, k = np.divmod(code, RANGES)
+    return np.maximum(p - FARTHEST[k], 0), np.minimum(p - NEAREST[k], m - 1)
+
+
+def settled_ranges(texts: DataFrame, width: int) -> DataFrame:
+    """(a, single): codes of the ranges whose windows share bytes that stand nowhere else."""
+    def rows(flags: np.ndarray, n: int, one: np.ndarray, two: np.ndarray, loud: np.ndarray) -> tuple:
+        code = ranges_of(flags[:n - width + 1], loud)
+        p, k = np.divmod(code, RANGES)
+        names, at = _places(range_hash(one, p - NEAREST[k], p + width - FARTHEST[k]) ^ mix(k.astype(np.uint64) + np.uint64(1)))
+        return names, np.where(at < 0, -1, code[at]).astype(np.int64)
+
+    once = _rows_of(texts, "undecided", rows, ["name"], "loud").groupBy("name").agg(
+        F.count(F.lit(1)).alias("m"), F.min("a").alias("a"), F.min("pos").alias("pos")).filter("m = 1 and pos >= 0")
+    return once.groupBy("a").agg(F.collect_list("pos").alias("single"))
+
+
+def narrow(state: DataFrame, singles: DataFrame, width: int) -> DataFrame:
+    """``state`` without the undecided windows of settled ranges."""
+    names = ["a", "b", "first_id", "n", "removed", "undecided"]
+    schema = T.StructType([state.schema[c] for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, packed, loud, single in zip(*(batch.column(i).to_pylist() for i in (3, 5)), *(_lists(batch.column(i)) for i in (6, 7))):
+                m = n - width + 1
+                if packed is not None:
+                    flags = _flags(packed)[:m].astype(bool)
+                    open_ranges = np.setdiff1d(ranges_of(flags, loud), single, assume_unique=True)
+                    packed = _pack(flags & _between(*starts_of(open_ranges, m), m))
+                out.append(packed)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], names=names)
 
-    return _rows_of(open_texts, "open", rows, ["name", "g", "h"], "lone")
+    return state.join(singles, "a", "left").select(*names, "loud", "single").mapInArrow(run, schema)
 
 
 def whole_windows(texts: DataFrame, width: int) -> DataFrame:
@@ -235,25 +298,31 @@ def _first(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def decide(found: DataFrame, firsts: DataFrame, calm: DataFrame, width: int) -> DataFrame:
-    """``found`` (its last column the lone places) with removed and undecided: packed flags of windows."""
-    schema = T.StructType([*found.schema.fields, T.StructField("removed", T.BinaryType()), T.StructField("undecided", T.BinaryType())])
+    """``found`` (its last column the lone places) with removed and undecided, packed flags of windows,
+    and loud, the places whose windows are undecided."""
+    schema = T.StructType([*found.schema.fields, T.StructField("removed", T.BinaryType()), T.StructField("undecided", T.BinaryType()),
+                           T.StructField("loud", T.ArrayType(T.IntegerType()))])
     at = [found.columns.index(c) for c in ("n", "open")]
     k = len(found.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, left = [], []
-            for n, flags, lone, first, quiet in zip(*(batch.column(i).to_pylist() for i in (*at, k - 1, k, k + 1))):
+            gone, left, at_edges = [], [], []
+            lists = [_lists(batch.column(i)) for i in (k - 1, k, k + 1)]
+            for n, flags, lone, first, quiet in zip(*(batch.column(i).to_pylist() for i in at), *lists):
                 flags = _flags(flags)[:n - width + 1].astype(bool)
-                p = np.setdiff1d(samples(flags, n, width), np.array(lone or [], dtype=np.int64), assume_unique=True)
-                again = p[~np.isin(p, first or [])]
-                loud = p[np.isin(p, first or []) & ~np.isin(p, quiet or [])]
+                p = np.setdiff1d(samples(flags, n, width), lone, assume_unique=True)
+                mine = np.isin(p, first)
+                again = p[~mine]
+                loud = p[mine & ~np.isin(p, quiet)]
                 m = len(flags)
                 # Windows over a sample start up to PERIOD - 1 before it.
                 removed = flags & _spread_back(again, m)
                 gone.append(_pack(removed))
                 left.append(_pack(flags & ~removed & _spread_back(loud, m)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(gone, pa.binary()), pa.array(left, pa.binary())], names=schema.names)
+                at_edges.append(None if left[-1] is None else loud.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(gone, pa.binary()), pa.array(left, pa.binary()),
+                                              pa.array(at_edges, pa.list_(pa.int32()))], names=schema.names)
 
     lists = firsts.groupBy("a").agg(F.collect_list("pos").alias("first")).join(
         calm.groupBy("a").agg(F.collect_list("pos").alias("quiet")), "a", "left")
@@ -262,7 +331,11 @@ def decide(found: DataFrame, firsts: DataFrame, calm: DataFrame, width: int) ->
 
 def _spread_back(p: np.ndarray, m: int) -> np.ndarray:
     """Which of m window starts lie within [p - PERIOD + 1, p] of a sample."""
-    lo, hi = np.maximum(p - PERIOD + 1, 0), np.minimum(p, m - 1)
+    return _between(np.maximum(p - PERIOD + 1, 0), np.minimum(p, m - 1), m)
+
+
+def _between(lo: np.ndarray, hi: np.ndarray, m: int) -> np.ndarray:
+    """Which of m window starts lie in any [lo, hi]."""
     good = lo <= hi
     return np.cumsum(np.bincount(lo[good], minlength=m + 1)[:m + 1] - np.bincount(hi[good] + 1, minlength=m + 1)[:m + 1])[:m] > 0
 
@@ -275,29 +348,37 @@ def _least_id() -> Column:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (the bytes left; null if all are) and kept_sha256."""
     parsed = stored(parse(docs, id_col, text_col, width, gram), "parsed")
+    heads = stored(parsed.select("id", "a", "b", "n", "sha"), "heads")
     texts = parsed.groupBy("a", "b").agg(_least_id().alias("first_id"), F.first("n").alias("n"), F.first("lo").alias("lo"),
                                          F.first("span").alias("span"))
-    found = stored(open_windows(parsed, texts, width), "open")
-    found = stored(found.join(lonely(_with_text(docs, found, id_col, text_col), width), "a", "left").select(*found.columns, "lone"), "lone")
+    opened = stored(open_windows(parsed, texts, width), "open")
+    unstore(parsed)
+    found = stored(opened.join(lonely(_with_text(docs, opened, id_col, text_col), width), "a", "left").select(*opened.columns, "lone"), "lone")
+    unstore(opened)
     suffixes = sampled_suffixes(_with_text(docs, found, id_col, text_col), width)
-    kinds = stored(_first(suffixes, "name", "g", "h").select("name", "place.a", "place.pos"), "kinds")
+    bucket = F.shiftrightunsigned("g", 64 - BUCKET_BITS).alias("name")
+    kinds = stored(_first(suffixes, "g", "h").select(bucket, "place.a", "place.pos"), "kinds")
     alone = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.min("a").alias("a"), F.min("pos").alias("pos")).filter("m = 1")
     state = stored(decide(found, kinds.select("a", "pos"), alone.select("a", "pos"), width), "state")
+    unstore(found, kinds)
 
+    edges = _with_text(docs, state.filter("undecided is not null").select("first_id", "a", "b", "undecided", "loud"), id_col, text_col)
+    wide, state = state, stored(narrow(state, settled_ranges(edges, width), width), "narrowed")
+    unstore(wide)
     left = state.filter("undecided is not null")
     windows = whole_windows(_with_text(docs, left.select("first_id", "a", "b", "undecided"), id_col, text_col), width)
     kept = _first(windows, "g", "h").select("place.a", "place.pos").groupBy("a").agg(F.collect_list("pos").alias("kept"))
-    settled = state.join(kept, "a", "left").select("a", "b", "first_id", "n", "removed", "undecided", "kept")
+    settled = state.join(kept, "a", "left").select(*state.columns, "kept")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n, removed, undecided, first in zip(*(batch.column(i).to_pylist() for i in range(3, 7))):
+            for n, removed, undecided, first in zip(*(batch.column(i).to_pylist() for i in range(3, 6)), _lists(batch.column(6))):
                 m = n - width + 1
                 flags = np.zeros(m, dtype=np.uint8)
                 if undecided is not None:
                     flags |= _flags(undecided)[:m]
-                    flags[first or []] = 0
+                    flags[first] = 0
                 if removed is not None:
                     flags |= _flags(removed)[:m]
                 out.append(_pack(flags))
@@ -306,6 +387,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
                            T.StructField("first_id", docs.schema[id_col].dataType), T.StructField("starts", T.BinaryType())])
     repeats = stored(settled.mapInArrow(merge, schema).filter("starts is not null"), "repeats")
+    unstore(state)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,8 +404,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     changed = _with_text(docs, repeats.select("a", "b", "starts"), id_col, text_col).select("a", "b", "starts", "body").mapInArrow(
         cut, "a long, b long, removed long, spans long, kept binary, kept_sha string")
-    first = parsed.groupBy("a", "b").agg(_least_id().alias("first_id"))
-    rows = parsed.select("id", "a", "b", "n", "sha").join(first, ["a", "b"]).join(changed, ["a", "b"], "left")
+    first = heads.groupBy("a", "b").agg(_least_id().alias("first_id"))
+    rows = heads.join(first, ["a", "b"]).join(changed, ["a", "b"], "left")
     copy = ~F.col("id").eqNullSafe(F.col("first_id")) & (F.col("n") >= width)
 
     def pick(all_gone: Column, some: str, none: Column) -> Column:
