@@ -2,8 +2,8 @@
 
 The reference hands the header to a parsing library; here a short ordered rule
 list (first match wins) classifies the browser family, the OS family and
-whether the device is a handheld. It is a CASE expression, evaluated per row
-inside whole-stage codegen: no Python, no shuffle, no join.
+whether the device is a handheld. It is a CASE expression inside whole-stage codegen: no
+Python, no shuffle, no join. Admission evaluates it on every row, or once a distinct agent.
 """
 
 from __future__ import annotations
@@ -64,3 +64,7 @@ def agent_os(ua: Column) -> Column:
 def agent_is_handheld(ua: Column) -> Column:
     """True when the device family is known (phone/tablet), i.e. not 'Other'."""
     return ua.rlike(HANDHELD_PATTERN)
+
+
+#: What I11 takes from an agent.
+AGENT_RULES = {"browser": agent_browser, "os": agent_os, "handheld": agent_is_handheld}

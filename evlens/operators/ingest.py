@@ -83,7 +83,7 @@ def _first_reason(*steps: tuple[Column, str]) -> Column:
 def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, months=None,
               key_hour_ttl: int = L.KEY_HOUR_TTL, collect_limit: int = L.COLLECT_LIMIT,
               collect_ttl: int = L.COLLECT_TTL, seeds: dict | None = None,
-              counters: dict | None = None, spread_keys: bool = False) -> DataFrame:
+              counters: dict | None = None, spread_keys: bool = False, distinct_agents: bool = False) -> DataFrame:
     """Annotate every raw request with ``reject_reason`` (NULL = accepted),
     ``validation_errors`` and the enriched event columns.
 
@@ -97,7 +97,9 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     'collect': frame}, see ``counter_state``); a dict given as ``counters`` receives the
     stored counter frames with exact windows and counts, for the next seed. With
     ``spread_keys`` the key lookup deals busy keys over many tasks (one more pass over the
-    keys of ``raw``): for key tables that are too large to broadcast. The rows are the same.
+    keys of ``raw``): for key tables that are too large to broadcast. With ``distinct_agents``
+    the user-agent rules run once an agent, on a stored table of the distinct ones that is joined
+    back with busy agents dealt over many tasks. The rows are the same either way.
     """
     seeds = seeds or {}
     # Row ids are taken straight off the input scan, before any shuffle, so a
@@ -206,11 +208,17 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
 
     # I11 / I12 enrichment.
     ua = F.nullif(F.col("user_agent"), F.lit(""))
+    agent = {"browser": UA.agent_browser(ua), "os": UA.agent_os(ua), "handheld": UA.agent_is_handheld(ua)}
+    if distinct_agents:
+        agents = stored(d.select(ua.alias("_agent")).filter("_agent IS NOT NULL").distinct().select(
+            "_agent", *[rule(F.col("_agent")).alias(f"_agent_{name}") for name, rule in UA.AGENT_RULES.items()]), "agents")
+        d = spread_lookup(d, "user_agent", agents, "_agent", F.col("_rowid"))
+        agent = {name: F.col(f"_agent_{name}") for name in agent}
     meta = F.col("metadata")
     m_browser, m_os = X.json_field(meta, "browser"), X.json_field(meta, "os")
-    browser = F.when(ua.isNotNull(), X.js_or(m_browser, UA.agent_browser(ua)))
-    os_ = F.when(ua.isNotNull(), X.js_or(m_os, UA.agent_os(ua)))
-    device_type = F.when(ua.isNotNull(), X.js_or(F.col("device"), F.when(UA.agent_is_handheld(ua), F.lit("mobile"))
+    browser = F.when(ua.isNotNull(), X.js_or(m_browser, agent["browser"]))
+    os_ = F.when(ua.isNotNull(), X.js_or(m_os, agent["os"]))
+    device_type = F.when(ua.isNotNull(), X.js_or(F.col("device"), F.when(agent["handheld"], F.lit("mobile"))
                                                   .otherwise(F.lit("desktop"))))
     ts_text = F.nullif(F.col("timestamp_text"), F.lit(""))
     parsed = F.try_to_timestamp(ts_text).cast("timestamp_ntz")
@@ -242,7 +250,7 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
     constraint_steps.append((~month_ok, "no_partition"))
     later = _first_reason((F.size("validation_errors") > 0, "validation"), *constraint_steps)
     d = d.withColumn("reject_reason", F.coalesce(F.col("_reason"), later))
-    return d.drop("_reason", "_rowid", "_meta_ok", "_size", "_hash", "_key_hash", "_key_active",
+    return d.drop("_agent", "_agent_browser", "_agent_os", "_agent_handheld", "_reason", "_rowid", "_meta_ok", "_size", "_hash", "_key_hash", "_key_active",
                   "_key_expires", "_key_perms", "_key_limit", "_app_id")
 
 

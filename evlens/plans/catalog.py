@@ -23,7 +23,7 @@ from ..sources.fixtures import AS_OF, Fixture, oracle_with
 from ..streaming import collect as SC
 from ..streaming import live as SL
 from .admission_sql import admission_oracle
-from .registry import register
+from .registry import REGISTRY, register
 
 EV = "analytics_events"
 
@@ -62,6 +62,16 @@ def q1_event_summary_filtered(spark, sf_dir):
     return R.event_summary(Fixture(spark, sf_dir).analytics_events, F_APPS, F_EVENT, F_START, F_END)
 
 
+@register("q1b_event_summary_api", oracle_with("""
+SELECT event_name AS event, count, unique_users AS "uniqueUsers", unique_sessions AS "uniqueSessions",
+       mobile_count AS mobile, desktop_count AS desktop, tablet_count AS tablet
+FROM (""" + _Q1_SELECT.format(where="") + ") q", EV))
+def q1b_event_summary_api(spark, sf_dir):
+    """The reply shape of Q1, its nested device counts taken out again to compare them."""
+    api = R.event_summary_api(R.event_summary(Fixture(spark, sf_dir).analytics_events))
+    return api.select("event", "count", "uniqueUsers", "uniqueSessions", "deviceData.*")
+
+
 # --- Q2 / Q2a ---------------------------------------------------------------
 
 _Q2_AGGS = """count(*) AS total_events, max(browser) AS browser, max(os) AS os, max(device) AS device,
@@ -84,6 +94,23 @@ def q2_user_stats_all(spark, sf_dir):
     return R.user_stats_all(Fixture(spark, sf_dir).analytics_events)
 
 
+@register("q2b_user_stats_api", oracle_with(f"""
+SELECT s.app_id, s.user_id AS "userId", total_events AS "totalEvents", first_event AS "firstEvent", last_event AS "lastEvent",
+       browser, os, device, ip_address AS "ipAddress", n_recent, newest
+FROM (SELECT app_id, user_id, {_Q2_AGGS} FROM analytics_events WHERE user_id IS NOT NULL GROUP BY app_id, user_id) s
+JOIN (SELECT app_id, user_id, CAST(count(*) AS INTEGER) AS n_recent,
+             string_agg(event_name || '@' || strftime("timestamp", '%Y-%m-%d %H:%M:%S'), ',' ORDER BY rank) AS newest
+      FROM (SELECT *, row_number() OVER (PARTITION BY app_id, user_id ORDER BY "timestamp" DESC, id DESC) AS rank
+            FROM analytics_events WHERE user_id IS NOT NULL) r
+      WHERE rank <= 10 GROUP BY app_id, user_id) t ON s.app_id = t.app_id AND s.user_id = t.user_id""", EV))
+def q2b_user_stats_api(spark, sf_dir):
+    """The reply shape of every user, its nested details and newest events flattened to compare them."""
+    api = R.user_stats_api(Fixture(spark, sf_dir).analytics_events)
+    newest = F.transform("recentEvents", lambda r: F.concat_ws("@", r["event_name"], F.date_format(r["timestamp"], "yyyy-MM-dd HH:mm:ss")))
+    return api.select("app_id", "userId", "totalEvents", "firstEvent", "lastEvent", "deviceDetails.*",
+                      F.size("recentEvents").alias("n_recent"), F.array_join(newest, ",").alias("newest"))
+
+
 @register("q2a_recent_events", oracle_with("""
 SELECT app_id, user_id, event_name, "timestamp", url, recent_rank FROM (
   SELECT app_id, user_id, event_name, "timestamp", url,
@@ -558,6 +585,40 @@ def i14_accepted_events(spark, sf_dir):
     return I.accepted_events(_admission(spark, sf_dir), with_ids=False)
 
 
+@register("i11_accepted_events_by_agent", admission_oracle("""
+SELECT app_id, event_name, user_id, session_id, ts AS "timestamp", device_out AS device, browser, os
+FROM outcome WHERE reject_reason IS NULL""", AS_OF, ADM_KEY_TTL))
+def i11_accepted_events_by_agent(spark, sf_dir):
+    """Enrichment from a table of the distinct user agents, on which alone the rules run."""
+    fx = Fixture(spark, sf_dir)
+    adm = I.admission(_requests(spark, sf_dir), fx.api_keys, fx.apps, as_of=AS_OF, key_hour_ttl=ADM_KEY_TTL,
+                      distinct_agents=True, **ADM_COLLECT)
+    return I.accepted_events(adm, with_ids=False).select(
+        "app_id", "event_name", "user_id", "session_id", "timestamp", "device", "browser", "os")
+
+
+_DIGITS = "md5(coalesce(api_key, '') || strftime(received_at, '%Y-%m-%d %H:%M:%S'))"
+_UUID_TEXT = " || '-' || ".join(f"substr({_DIGITS}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+
+
+@register("c12_c13_formats", oracle_with(f"""
+SELECT length(api_key) = 64 AS raw_key_ok, length(sha256(api_key)) = 64 AS hashed_key_ok,
+       regexp_matches({_UUID_TEXT}, '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-4[0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}$') AS uuid_ok,
+       count(*) AS requests
+FROM raw_requests GROUP BY 1, 2, 3""", "raw_requests"))
+def c12_c13_formats(spark, sf_dir):
+    """Key length and UUID-v4 checks over every request (keys, their hashes, and texts of
+    the UUID layout made of a request's hash, of which one in 64 has the version and variant digits)."""
+    from ..functions import keys as K
+    from ..functions import text as X
+    raw = Fixture(spark, sf_dir).raw_requests
+    digits = F.md5(F.concat(F.coalesce("api_key", F.lit("")), F.date_format("received_at", "yyyy-MM-dd HH:mm:ss")))
+    layout = F.concat_ws("-", *[F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return raw.groupBy(K.key_well_formed(F.col("api_key")).alias("raw_key_ok"),
+                       K.key_well_formed(K.key_hash(F.col("api_key"))).alias("hashed_key_ok"),
+                       X.is_uuid_v4(layout).alias("uuid_ok")).agg(F.count(F.lit(1)).alias("requests"))
+
+
 @register("s5_receipts", admission_oracle("""
 SELECT event_name AS event, ts AS "timestamp" FROM outcome WHERE reject_reason IS NULL""", AS_OF, ADM_KEY_TTL))
 def s5_receipts(spark, sf_dir):
@@ -1057,6 +1118,18 @@ def t2_stream_rollup(spark, sf_dir):
     return spark.read.parquet(f"{out}/daily_summary").select(*R.ROLLUP_COLUMNS)
 
 
+@register("t2_stream_rollup_first_seen", REGISTRY["t2_stream_rollup"].oracle)
+def t2_stream_rollup_first_seen(spark, sf_dir):
+    """The rollup that the stream keeps from its batches alone (first-seen table and deltas): no
+    batch reads stored events again."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evlens-stream/{uuid.uuid4().hex}"
+    fx = Fixture(spark, sf_dir)
+    _in_thirds(spark, sf_dir, f"{base}/raw", lambda: SC.start_collect_stream(
+        spark, f"{base}/raw", fx.api_keys, fx.apps, f"{base}/out", f"{base}/ckpt", as_of=AS_OF,
+        key_hour_ttl=ADM_KEY_TTL, first_seen=True, **ADM_COLLECT))
+    return M.rollup_of_deltas(spark, f"{base}/out")
+
+
 @register("t3_live_event_counts", oracle_with("""
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_name, count(*) AS count FROM (
   SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS window_start, event_name FROM analytics_events) t

@@ -9,7 +9,9 @@
   3. quarantine and security events likewise, keyed by ingest_batch;
   4. T2: the rollup dates touched by the batch are recomputed from the stored
      events and overwritten (exact distinct counts; a streaming aggregate cannot
-     keep exact distincts).
+     keep exact distincts); with ``first_seen`` the batch is compared with the
+     first-seen table instead and adds its deltas (``upkeep.add_to_rollup``), so no
+     stored event is read again; ``upkeep.rollup_of_deltas`` is then the rollup.
 """
 
 from __future__ import annotations
@@ -40,14 +42,15 @@ def _read_state(spark: SparkSession, out_dir: str, batch_id: int) -> dict:
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, keys: DataFrame, apps: DataFrame,
                   out_dir: str, as_of=None, months=None, key_hour_ttl: int = L.KEY_HOUR_TTL,
-                  collect_limit: int = L.COLLECT_LIMIT, collect_ttl: int = L.COLLECT_TTL) -> dict:
+                  collect_limit: int = L.COLLECT_LIMIT, collect_ttl: int = L.COLLECT_TTL,
+                  first_seen: bool = False) -> dict:
     """Admit one micro-batch and write every output of it; safe to re-run for the same id."""
     with persist_scope():
         return _process(spark, batch, batch_id, keys, apps, out_dir.rstrip("/"), as_of, months, key_hour_ttl,
-                        collect_limit, collect_ttl)
+                        collect_limit, collect_ttl, first_seen)
 
 
-def _process(spark, batch, batch_id, keys, apps, out, as_of, months, key_hour_ttl, collect_limit, collect_ttl):
+def _process(spark, batch, batch_id, keys, apps, out, as_of, months, key_hour_ttl, collect_limit, collect_ttl, first_seen):
     seeds, counters = _read_state(spark, out, batch_id), {}
     adm = I.admission(batch, keys, apps, as_of=as_of, months=months, key_hour_ttl=key_hour_ttl,
                       collect_limit=collect_limit, collect_ttl=collect_ttl, seeds=seeds, counters=counters)
@@ -66,10 +69,13 @@ def _process(spark, batch, batch_id, keys, apps, out, as_of, months, key_hour_tt
     state = I.counter_state(counters, seeds, last_seen, key_hour_ttl, collect_ttl)
     for name, frame in state.items():
         frame.write.mode("overwrite").parquet(_state_path(out, name, batch_id))
-    # Exact refresh of the touched rollup dates.
+    # Exact refresh of the touched rollup dates, or the batch's own part.
     stored = spark.read.parquet(f"{out}/events")
-    dates = M.touched_dates(stored.filter(F.col("ingest_batch") == batch_id))
-    if dates:
+    mine = stored.filter(F.col("ingest_batch") == batch_id)
+    dates = M.touched_dates(mine)
+    if first_seen:
+        M.add_to_rollup(mine, out, batch_id)
+    elif dates:
         TB.write_rollup(M.refresh_rollup(stored, dates), f"{out}/daily_summary")
     return {"batch_id": batch_id, "dates": [str(d) for d in dates]}
 

@@ -79,3 +79,28 @@ def test_admission_with_spread_keys(spark):
         return Counter(adm.select("received_at", "api_key", "client_ip", "event", "key_id", "app_id", "reject_reason").collect())
 
     assert outcome(spread_keys=True) == outcome()
+
+
+def test_admission_by_distinct_agents(spark, monkeypatch):
+    """Same enrichment; the rules see every distinct agent once."""
+    fx = Fixture(spark, SF_SMALL)
+    tables = []
+    store = I.stored
+
+    def watched(df, name):
+        out = store(df, name)
+        tables.extend([out] if name == "agents" else [])
+        return out
+
+    monkeypatch.setattr(I, "stored", watched)
+
+    def enriched(**kw):
+        adm = I.admission(fx.raw_requests, fx.api_keys, fx.apps, as_of=AS_OF, key_hour_ttl=7 * 86400, **kw)
+        return Counter(adm.select("received_at", "api_key", "client_ip", "event", "browser", "os", "device", "reject_reason").collect())
+
+    plain = enriched()
+    assert not tables
+    assert enriched(distinct_agents=True) == plain
+    want = {r[0] for r in fx.raw_requests.select("user_agent").distinct().collect()} - {None, ""}
+    rows = [r["_agent"] for r in tables[0].collect()]
+    assert len(rows) == len(want) and set(rows) == want
