@@ -45,6 +45,7 @@ WIDTH, GRAM = 100, 48
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 _SLICE = 1 << 18
+_BYTE_VALUES = (byte_values(np.arange(256)), mix(byte_values(np.arange(256))))
 BUCKET_BITS = 48
 _REST = np.uint64((1 << 64 - BUCKET_BITS) - 1)
 # The starts of the windows over a suffix, as ranges of their distance before it.
@@ -179,8 +180,10 @@ def samples(flags: np.ndarray, n: int, width: int) -> np.ndarray:
 
 
 def _rows_of(texts: DataFrame, flags: str, rows, hashes: list[str], *more: str) -> DataFrame:
-    """What ``rows`` makes of each text: hashes and positions, with the text's id and key. ``more``
+    """What ``rows`` makes of each text: hashes and positions, with the text's id and key. It takes
+    the running sums of one hash family for one hash, of two for two. ``more``
     are columns of position lists that ``rows`` takes besides (null: none)."""
+    families = min(len(hashes), 2)
     schema = T.StructType([*(T.StructField(h, T.LongType()) for h in hashes), T.StructField("first_id", texts.schema["first_id"].dataType),
                            T.StructField("a", T.LongType()), T.StructField("pos", T.LongType())])
 
@@ -190,8 +193,9 @@ def _rows_of(texts: DataFrame, flags: str, rows, hashes: list[str], *more: str)
                 found = []
                 lists = [_lists(part.column(4 + k)) for k in range(len(more))]
                 for packed, text, *places in zip(part.column(2).to_pylist(), part.column(3), *lists):
-                    values = byte_values(np.frombuffer(text.as_buffer(), dtype=np.uint8))
-                    found.append(rows(_flags(packed), len(values), prefix_sums(values), prefix_sums(mix(values)), *places))
+                    raw = np.frombuffer(text.as_buffer(), dtype=np.uint8)
+                    sums = [prefix_sums(v[raw]) for v in _BYTE_VALUES[:families]]
+                    found.append(rows(_flags(packed), len(raw), *sums, *places))
                 row = pa.array(np.repeat(np.arange(len(found)), [len(f[-1]) for f in found]))
                 cols = [np.concatenate(c) for c in zip(*found)]
                 yield pa.RecordBatch.from_arrays(
@@ -203,7 +207,7 @@ def _rows_of(texts: DataFrame, flags: str, rows, hashes: list[str], *more: str)
 
 def lonely(open_texts: DataFrame, width: int) -> DataFrame:
     """(a, lone): the places of each text's sampled suffixes that are alone in their bucket."""
-    def rows(flags: np.ndarray, n: int, one: np.ndarray, two: np.ndarray) -> tuple:
+    def rows(flags: np.ndarray, n: int, one: np.ndarray) -> tuple:
         p = samples(flags[:n - width + 1], n, width)
         names, at = _places(range_hash(one, p, p + width - PERIOD + 1))
         return names, np.where(at < 0, -1, p[at]).astype(np.int64)
@@ -225,7 +229,7 @@ def sampled_suffixes(open_texts: DataFrame, width: int) -> DataFrame:
             shape = mix(((p - low) * 256 + (high - p)).astype(np.uint64))
             g, h = range_hash(one, low, high) ^ shape, range_hash(two, low, high) + shape
         g = (range_hash(one, p, p + width - PERIOD + 1) & ~_REST) | (g & _REST)
-        order = np.lexsort((p, h, g))
+        order = np.argsort(g, kind="stable")  # places ascend; h only tells neighbours of one g apart
         new = np.ones(len(order), dtype=bool)
         new[1:] = (np.diff(g[order].view(np.int64)) != 0) | (np.diff(h[order].view(np.int64)) != 0)
         keep = order[new]
@@ -252,7 +256,7 @@ def starts_of(code: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 def settled_ranges(texts: DataFrame, width: int) -> DataFrame:
     """(a, single): codes of the ranges whose windows share bytes that stand nowhere else."""
-    def rows(flags: np.ndarray, n: int, one: np.ndarray, two: np.ndarray, loud: np.ndarray) -> tuple:
+    def rows(flags: np.ndarray, n: int, one: np.ndarray, loud: np.ndarray) -> tuple:
         code = ranges_of(flags[:n - width + 1], loud)
         p, k = np.divmod(code, RANGES)
         names, at = _places(range_hash(one, p - NEAREST[k], p + width - FARTHEST[k]) ^ mix(k.astype(np.uint64) + np.uint64(1)))

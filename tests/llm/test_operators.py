@@ -248,6 +248,37 @@ def test_suffix_dedup(unique):
     assert all(sha(bytes(r.kept)) == r.kept_sha256 for r in rows if r.kept is not None)
 
 
+def test_suffix_dedup_edges_of_edited_repeats(spark):
+    """Copies that begin, end or are edited at every distance from a sampled suffix, and texts of few letters."""
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(700))
+    texts = [base]
+    for k in range(40):
+        at, n = rnd.randrange(500), rnd.randrange(90, 200)
+        noise = ["".join(rnd.choice("ijklmnop ") for _ in range(rnd.randrange(80))) for _ in range(2)]
+        part = list(base[at:at + n])
+        if k % 3 == 0:
+            part[rnd.randrange(len(part))] = "#"
+        texts.append(noise[0] + "".join(part) + noise[1])
+    texts += ["ab" * 90, "ba" * 70 + "c" + "ab" * 80, "a" * 260, "a" * 99 + "b" + "a" * 120]
+    rows = list(enumerate(texts))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+    want = suffix_brute(rows, 100)
+    assert got == want
+    assert sum(0 < v[1] < v[0] for v in want.values()) > 20
+
+
+def test_suffix_dedup_ranges_cover_every_start():
+    flags = [1] * 300
+    for p in (0, 5, 56, 57, 150, 298, 330):
+        code = suffix_dedup.ranges_of(np.array(flags), np.array([p]))
+        first, last = suffix_dedup.starts_of(code, 300)
+        covered = sorted(w for x, y in zip(first, last) for w in range(x, y + 1))
+        assert covered == list(range(max(0, p - suffix_dedup.PERIOD + 1), min(p, 299) + 1))
+
+
 def test_suffix_dedup_nulls_and_repeats(docs, empty):
     rows = suffix_dedup.remove_repeats(docs).collect()
     assert len(rows) == len(ROWS)
