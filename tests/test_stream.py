@@ -150,3 +150,29 @@ def test_live_users_within_the_sketch_bound(spark, tmp_path):
     for r in got:
         users = exact[r["window_start"], r["event_name"]]
         assert abs(r["approx_users"] - users) <= max(1, 0.15 * users), r
+
+
+def test_streaming_counter_folds_many_keys_a_group(spark, tmp_path):
+    """Keys share groups (one call a group, not a key); counters carried over three batches, rows
+    without a time among them, equal the batch counter's."""
+    import datetime as dt
+    import random
+
+    from evlens.operators import limits as L
+    from evlens.streaming import live as SL
+    rnd, start, schema = random.Random(5), dt.datetime(2024, 1, 1), "api_key string, received_at timestamp"
+    rows = sorted(((f"k{rnd.randrange(40)}", start + dt.timedelta(seconds=rnd.randrange(30_000))) for _ in range(1500)), key=lambda r: r[1])
+    for k in range(3):
+        part = rows[k * 500:k * 500 + 500] + [("k1", None)] * (k == 1)
+        rnd.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        src = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = (SL.streaming_key_counter(src, ttl_seconds=3600, limit=3, key_groups=3).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start(f"{tmp_path}/out"))
+        q.awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.filter("received_at IS NULL").count() <= 1
+    got = sorted(map(tuple, out.filter("received_at IS NOT NULL AND key <> 'k1'").collect()))
+    want = L.anchored_counter(spark.createDataFrame(rows, schema).filter("api_key <> 'k1'"), ["api_key"], "received_at", 3600, 3)
+    assert got == sorted(map(tuple, want.select("api_key", "received_at", "window_start", "window_count", "limit_exceeded").collect()))
+    assert len(got) > 1400
