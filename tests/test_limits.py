@@ -222,3 +222,12 @@ def test_aligned_counter_of_hot_windows_is_the_same(spark):
     cold = L.aligned_counter(df, ["k"], "ts", 3600, 3, tiebreak=["seq"], hot_rows=None)
     hot = L.aligned_counter(df, ["k"], "ts", 3600, 3, tiebreak=["seq"], hot_rows=20)
     assert sorted(map(tuple, cold.collect())) == sorted(map(tuple, hot.select(*cold.columns).collect()))
+
+
+def test_next_arrival_is_one_pass_and_hot_keys_are_bounded(spark):
+    """A frame that ends at the last row is evaluated anew for every row of a bucket."""
+    times = spark.createDataFrame([("k", 1), ("k", 2), ("k", 13), ("m", 4)], "k string, _us long")
+    nxt = L._next_arrival(times, ["k"], 10)
+    assert "unboundedfollowing" not in nxt._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(map(tuple, nxt.collect())) == [("k", 1, 13), ("k", 2, 13), ("k", 13, None), ("m", 4, None)]
+    assert L.HOT_KEY_ROWS <= 500_000
