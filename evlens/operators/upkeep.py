@@ -340,19 +340,24 @@ def add_to_rollup(batch: DataFrame, base: str, batch_id: int) -> None:
     day = F.col("event_date") if "event_date" in batch.columns else F.to_date("timestamp")
     rows = batch.select("app_id", day.alias("date"), "event_name", *FIRST_SEEN.values())
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in FIRST_SEEN.items()]))
+    names = ["app_id", "date", "event_name", "kind", "value"]
     facts = rows.select("app_id", "date", "event_name", kinds.alias("f")).select(
-        "app_id", "date", "event_name", "f.kind", "f.value").filter("value IS NOT NULL").distinct()
+        "app_id", "date", "event_name", "f.kind", "f.value").filter("value IS NOT NULL")
     number = F.lit(int(batch_id)).alias("batch")
     schema = facts.select("app_id", "event_name", "kind", "value", "date", number).schema
     if folder_exists(spark, f"{base}/first_seen"):
         dates = [r[0] for r in rows.select("date").distinct().collect()]  # the batch's days
         seen = spark.read.schema(schema).parquet(f"{base}/first_seen").filter(F.col("date").isin(dates) & (F.col("batch") < batch_id))
-        names = {c: f"_{c}" for c in facts.columns}
-        seen = seen.select(*facts.columns).withColumnsRenamed(names)
-        facts = facts.join(seen, [F.col(c).eqNullSafe(F.col(o)) for c, o in names.items()], "left_anti")
+        # One grouping makes the facts distinct and drops those seen before.
+        both = facts.withColumn("_old", F.lit(False)).unionByName(seen.select(*names, F.lit(True).alias("_old")))
+        facts = both.groupBy(*names).agg(F.max("_old").alias("_old")).filter("NOT _old").drop("_old")
+    else:
+        facts = facts.distinct()
 
     def put(df: DataFrame, name: str) -> None:
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(f"{base}/{name}"))
+        # A day's rows go to few tasks (a large day to several), so that days x tasks aren't all files.
+        (df.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("date", "batch").parquet(f"{base}/{name}"))
 
     put(facts.select("*", number), "first_seen")
     zero = [F.lit(0).cast("long").alias(f"{k}s") for k in FIRST_SEEN]

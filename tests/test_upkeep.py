@@ -207,3 +207,16 @@ def test_dashboards_from_app_days(spark, tmp_path):
     plan = T.app_with_stats(apps, keys, ev, "2024-01-10 12:00:00", days=3, rollup=days)._jdf.queryExecution().executedPlan().toString()
     scan = next(x for x in plan.split("FileScan") if "/ev]" in x)
     assert "PartitionFilters: [isnotnull(event_date" in scan and "2024-01-07" in scan.split("PartitionFilters")[1][:160]
+
+
+def test_rollup_batches_write_few_files(spark, tmp_path):
+    """A day's rows go to one task (a large day to several): not a file a day and task."""
+    import glob
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        M.add_to_rollup(some_events(spark), str(tmp_path), 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for name in ("first_seen", "deltas"):
+        assert len(glob.glob(f"{tmp_path}/{name}/date=*/batch=0/*.parquet")) == 9
