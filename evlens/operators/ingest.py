@@ -11,7 +11,7 @@ Everything is Column expressions plus one left join to the key dimension, except
 the two counters (I7, I9), which use the exact counter replay of
 ``operators.limits``. A counter only counts the requests that reached it: rows
 already rejected get a private key, so they never share a counter with anyone.
-The annotated rows are persisted once (released by ``persist_scope`` around
+The annotated rows are stored once (released by ``persist_scope`` around
 the caller's writes); the counters shuffle only narrow frames, which are stored in
 the shared folder (their lineage ends there), and the rows over a limit are joined
 back by row id.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import text as X
 from ..functions import useragent as UA
-from ..session import keep, stored
+from ..session import stored
 from . import limits as L
 from .lookup import spread_lookup
 
@@ -165,10 +165,11 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
          "api_key_invalid"),
         (~K.ip_allowed(F.col("_key_ips"), F.col("client_ip")), "api_key_ip_blocked"),
     )
-    # The wide annotated rows are kept once; the counters see a narrow stored frame of only the
+    # The wide annotated rows are stored once; the counters see a narrow stored frame of only the
     # requests that reach them, and only the rows over a limit are joined back.
     may_write = K.has_permission(F.col("_key_perms"), "write")
-    d = keep(d.withColumn("_reason", stateless).drop("_walk_metadata", "_walk_extra"))
+    d = stored(d.withColumn("_reason", stateless).drop(
+        "_walk_metadata", "_walk_extra", "_meta_ok", "_size", "_hash", "_key_hash", "_key_active", "_key_expires", "_app_id"), "annotated")
     reach = stored(d.filter(F.col("_reason").isNull()).select(
         "_rowid", "_rid", "received_at", "_key_limit", F.coalesce(may_write, F.lit(False)).alias("_may_write"),
         F.concat(F.lit("k"), F.col("key_id").cast("string")).alias("_k1"),
@@ -187,7 +188,9 @@ def admission(raw: DataFrame, keys: DataFrame, apps: DataFrame, as_of=None, mont
         counters.update(key_hour=c1, collect=c2)
     late = c1.filter("limit_exceeded").select("_rowid", F.lit("api_key_rate_limit").alias("_late")).unionByName(
         c2.filter("limit_exceeded").select("_rowid", F.lit("collect_rate_limit").alias("_late")))
-    d = d.join(late, "_rowid", "left")
+    # Only requests that reached the counters can be late: no other row is shuffled for the join.
+    d = (d.filter(F.col("_reason").isNull()).join(late, "_rowid", "left")
+          .unionByName(d.filter(F.col("_reason").isNotNull()).withColumn("_late", F.lit(None).cast("string"))))
     first = F.when(F.col("_late") == "api_key_rate_limit", F.col("_late"))
     d = d.withColumn("_reason", F.coalesce("_reason", first, F.when(~may_write, F.lit("no_permission")), "_late")).drop("_late")
 

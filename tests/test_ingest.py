@@ -155,3 +155,13 @@ def test_further_fields_survive_a_round_trip(spark, tmp_path):
     TB.write_raw(df, f"{tmp_path}/raw")
     got = {r["event"]: r["extra"] for r in TB.read_raw(spark, f"{tmp_path}/raw").collect()}
     assert got == {"click": '{"a":{"b":["x",1,null]},"c":"d"}', "view": None, "none": None}
+
+
+def test_only_requests_at_the_counters_are_joined_with_the_late_ones(spark):
+    """The rejected rows go round the join, each once."""
+    from conftest import SF_SMALL
+    from evlens.sources.fixtures import AS_OF, Fixture
+    fx = Fixture(spark, SF_SMALL)
+    adm = I.admission(fx.raw_requests, fx.api_keys, fx.apps, as_of=AS_OF)
+    assert "Union" in adm._jdf.queryExecution().optimizedPlan().toString()
+    assert adm.count() == fx.raw_requests.count()
